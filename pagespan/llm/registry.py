@@ -6,15 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagespan.llm import bpe, tokencount
+from pagespan.llm import bpe, mixing, quality, tokencount
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality": quality.op1_quality,
+        "op7_mixing": mixing.op7_mixing,
         "op6_bpe": bpe.op6_bpe,
         "op9_tokens": tokencount.op9_tokens,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_quality": quality.ORACLE,
+        "op7_mixing": mixing.ORACLE,
+    }
