@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagespan.llm import bpe, mixing, quality, tokencount
+from pagespan.llm import bpe, langid, mixing, quality, tokencount
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality": quality.op1_quality,
         "op7_mixing": mixing.op7_mixing,
         "op6_bpe": bpe.op6_bpe,
+        "op8_langid": langid.op8_langid,
         "op9_tokens": tokencount.op9_tokens,
     }
 
