@@ -1,6 +1,6 @@
 """Toxicity: Levenshtein automata of a learnt lexicon, and a score of each match's context.
 
-1. The lexicon is learnt from labels: words, and stems (prefixes of 4 to 6 letters that many
+1. The lexicon is learnt from labels: words, and stems (prefixes of 4 to 7 letters that many
    words share), that are far likelier in toxic texts. Counts cover all labelled rows that may
    be learnt.
 2. Lexicon trie and Levenshtein automata are intersected: a state is a set of (trie node,
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pagespan.llm.shared import in_train, sliced, unit_hash, written
 
 TRAIN_ROWS = 20_000
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7)
 #: A term is in this share of toxic texts at least (and in 3), and so many times likelier in them.
 MIN_SHARE, MIN_COUNT, MIN_RATIO = 0.005, 3, 12.0
 #: Terms are at most texts' words / MIN_SHARE; of these the strongest.
@@ -238,7 +238,15 @@ def learn_lexicon(labelled: DataFrame) -> tuple[list[str], list[str]]:
     # at most (terms of a text) / MIN_SHARE terms are so frequent, whatever the input's size
     pos = {r["term"]: r["n"] for r in _counted(labelled.filter("toxic = 1"), None).filter(F.col("n") >= least).collect()}
     neg = {r["term"]: r["n"] for r in _counted(labelled.filter("toxic = 0"), set(pos)).collect()}
-    strong = {t for t, n in pos.items() if (n - math.sqrt(n)) / p_all >= MIN_RATIO * (neg.get(t, 0) + 0.5) / n_all}
+    share = p_all / (p_all + n_all)
+
+    def evidence(n: int, m: int) -> float:
+        """Log-likelihood of n toxic and m clean texts at their own share, above that at the common one."""
+        return n * math.log(n / ((n + m) * share)) + (m * math.log(m / ((n + m) * (1 - share))) if m else 0.0)
+
+    # so that of all the terms tested, chance alone passes about one
+    enough = math.log(max(100, len(pos)))
+    strong = {t for t, n in pos.items() if n / p_all >= MIN_RATIO * (m := neg.get(t, 0)) / n_all and evidence(n, m) >= enough}
     # a prefix that one word accounts for stands for that word
     best: dict[str, int] = {}
     for t, n in pos.items():
