@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagespan.llm import bpe, langid, mixing, quality, tokencount, toxicity
+from pagespan.llm import bpe, langid, mixing, neardup, quality, tokencount, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": quality.op1_quality,
         "op7_mixing": mixing.op7_mixing,
+        "op3_neardup": neardup.op3_neardup,
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_bpe": bpe.op6_bpe,
         "op8_langid": langid.op8_langid,
