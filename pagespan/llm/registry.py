@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagespan.llm import bpe, langid, mixing, neardup, quality, tokencount, toxicity
+from pagespan.llm import bpe, langid, linededup, mixing, neardup, quality, tokencount, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_bpe": bpe.op6_bpe,
         "op8_langid": langid.op8_langid,
         "op9_tokens": tokencount.op9_tokens,
+        "op10_lines": linededup.op10_lines,
     }
 
 
