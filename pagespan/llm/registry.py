@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagespan.llm import bpe, langid, linededup, mixing, neardup, quality, tokencount, toxicity
+from pagespan.llm import ann, bpe, langid, linededup, mixing, neardup, quality, tokencount, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": quality.op1_quality,
         "op7_mixing": mixing.op7_mixing,
+        "op2_warc": warc.op2_warc,
+        "op4_ann": ann.op4_ann,
         "op3_neardup": neardup.op3_neardup,
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_bpe": bpe.op6_bpe,
