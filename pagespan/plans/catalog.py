@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-Query = Callable[[SparkSession, str], DataFrame]
+from pagespan.plans import layout
+from pagespan.plans.registered import ORACLES, QUERIES
+from pagespan.sources.tables import Tables
 
 
-def queries() -> dict[str, Query]:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Order and question groups of every page."""
+    return layout.flagship(Tables(spark, sf_dir))
