@@ -13,19 +13,38 @@ from pyspark.sql import functions as F
 from pagespan import schema as S
 from pagespan.sources.scratch import cut
 
-CX = F.col("bbox_x") + F.col("bbox_width") / 2
-CY = F.col("bbox_y") + F.col("bbox_height") / 2
-ANCHOR = F.col("class_name").isin(S.ANCHORS)
-CHILD = F.col("class_name").isin(S.CHILDREN)
-VISUAL = F.col("class_name").isin(S.VISUALS)
-ZONE = Window.partitionBy("page_id", "path")
+# Columns and windows are made on call: they need a session.
+def cx() -> Column:
+    return F.col("bbox_x") + F.col("bbox_width") / 2
+
+
+def cy() -> Column:
+    return F.col("bbox_y") + F.col("bbox_height") / 2
+
+
+def anchor() -> Column:
+    return F.col("class_name").isin(S.ANCHORS)
+
+
+def child() -> Column:
+    return F.col("class_name").isin(S.CHILDREN)
+
+
+def visual() -> Column:
+    return F.col("class_name").isin(S.VISUALS)
+
+
+def zone():
+    return Window.partitionBy("page_id", "path")
+
+
 MAX_LEVELS = 16
 
 
 def preprocess(elements: DataFrame, document_type: str = "question_based") -> DataFrame:
     """Elements with an area; of question pages only anchors and children."""
     sized = elements.filter(F.col("bbox_width") * F.col("bbox_height") > 0)
-    return sized.filter(ANCHOR | CHILD) if document_type == "question_based" else sized
+    return sized.filter(anchor() | child()) if document_type == "question_based" else sized
 
 
 def page_extent(elements: DataFrame, pages: DataFrame | None = None) -> DataFrame:
@@ -64,16 +83,16 @@ def with_zone(elements: DataFrame) -> DataFrame:
 def detect_layout_type(zoned: DataFrame) -> DataFrame:
     """Adds layout_type, n_anchors, c0 and c1 of each row's zone."""
     width, height = F.col("zx1") - F.col("zx0"), F.col("zy1") - F.col("zy0")
-    df = two_means(zoned, ["page_id", "path"], CX, ANCHOR)
+    df = two_means(zoned, ["page_id", "path"], cx(), anchor())
     wide = (F.col("class_name") == S.SEPARATOR) & (F.col("bbox_y") < S.SEPARATOR_TOP * height) & (width > 0) & (F.col("bbox_width") / width >= S.SEPARATOR_WIDTH)
-    cx, top = F.when(ANCHOR, CX), F.when(ANCHOR, CY < S.SPLIT_Y * height)
-    many = lambda side: (F.count(F.when(side, cx)).over(ZONE) > 1) & (F.stddev_pop(F.when(side, cx)).over(ZONE) > S.SPREAD_X * width)
+    mid, top = F.when(anchor(), cx()), F.when(anchor(), cy() < S.SPLIT_Y * height)
+    many = lambda side: (F.count(F.when(side, mid)).over(zone()) > 1) & (F.stddev_pop(F.when(side, mid)).over(zone()) > S.SPREAD_X * width)
     df = df.withColumns(
         {
-            "n_anchors": F.count(cx).over(ZONE),
-            "_wide": F.max(wide.cast("int")).over(ZONE) == 1,
-            "_two": (F.min(cx).over(ZONE) < F.max(cx).over(ZONE)) & (F.col("c1") - F.col("c0") >= S.MIN_COLUMN_GAP),
-            "_one_side": (F.count_if(top).over(ZONE) == 0) | (F.count_if(~top).over(ZONE) == 0),
+            "n_anchors": F.count(mid).over(zone()),
+            "_wide": F.max(wide.cast("int")).over(zone()) == 1,
+            "_two": (F.min(mid).over(zone()) < F.max(mid).over(zone())) & (F.col("c1") - F.col("c0") >= S.MIN_COLUMN_GAP),
+            "_one_side": (F.count_if(top).over(zone()) == 0) | (F.count_if(~top).over(zone()) == 0),
             "_top": many(top),
             "_bottom": many(~top),
         }
@@ -95,18 +114,19 @@ def with_separator(df: DataFrame) -> DataFrame:
     """Adds sep (y, element_id, h): the zone's topmost separator, where it splits the zone."""
     width = F.col("zx1") - F.col("zx0")
     wide = (F.col("class_name") == S.SEPARATOR) & (width > 0) & (F.col("bbox_width") / width >= S.SEPARATOR_WIDTH)
-    sep = F.min(F.when(wide, F.struct(F.col("bbox_y").alias("y"), "element_id", F.col("bbox_height").alias("h")))).over(ZONE)
+    sep = F.min(F.when(wide, F.struct(F.col("bbox_y").alias("y"), "element_id", F.col("bbox_height").alias("h")))).over(zone())
     df = df.withColumn("sep", sep)
     fits = (F.col("sep.y") > F.col("zy0")) & (F.col("sep.y") < F.col("zy1")) & (F.col("sep.y") + F.col("sep.h") < F.col("zy1"))
     return df.withColumn("sep", F.when(fits, F.col("sep")))
 
 
-def anchor_gaps(df: DataFrame, by: Window = ZONE, keys: tuple[str, ...] = ("page_id", "path")) -> DataFrame:
+def anchor_gaps(df: DataFrame, keys: tuple[str, ...] = ("page_id", "path")) -> DataFrame:
     """Adds gap and gap_y: the widest gap between consecutive anchors' centres, where it reaches the threshold, and its middle."""
-    order = Window.partitionBy(*keys).orderBy((~ANCHOR).cast("int"), "bbox_y", "element_id")
-    df = df.withColumns({"_cy": F.lead(CY).over(order), "_y": F.lead("bbox_y").over(order), "_a": F.lead(ANCHOR).over(order), "_r": F.row_number().over(order)})
-    here = F.when(ANCHOR & F.col("_a"), F.struct((F.col("_cy") - CY).alias("gap"), (-F.col("_r")).alias("r"), ((F.col("bbox_y") + F.col("bbox_height") + F.col("_y")) / 2).alias("y")))
-    height = F.coalesce(F.avg(F.when(ANCHOR & (F.col("bbox_height") > 0), F.col("bbox_height"))).over(by), F.lit(float(S.DEFAULT_ANCHOR_HEIGHT)))
+    by = Window.partitionBy(*keys)
+    order = by.orderBy((~anchor()).cast("int"), "bbox_y", "element_id")
+    df = df.withColumns({"_cy": F.lead(cy()).over(order), "_y": F.lead("bbox_y").over(order), "_a": F.lead(anchor()).over(order), "_r": F.row_number().over(order)})
+    here = F.when(anchor() & F.col("_a"), F.struct((F.col("_cy") - cy()).alias("gap"), (-F.col("_r")).alias("r"), ((F.col("bbox_y") + F.col("bbox_height") + F.col("_y")) / 2).alias("y")))
+    height = F.coalesce(F.avg(F.when(anchor() & (F.col("bbox_height") > 0), F.col("bbox_height"))).over(by), F.lit(float(S.DEFAULT_ANCHOR_HEIGHT)))
     df = df.withColumns({"_g": F.max(here).over(by), "_t": F.greatest(height * S.GAP_RATIO, F.lit(float(S.GAP_PIXELS)))})
     ok = F.col("_g.gap") >= F.col("_t")
     return df.withColumns({"gap": F.when(ok, F.col("_g.gap")), "gap_y": F.when(ok, F.col("_g.y"))}).drop("_cy", "_y", "_a", "_r", "_g", "_t")
@@ -132,7 +152,7 @@ def split_zones(df: DataFrame, gutter: str = "margin") -> DataFrame:
     )
     df = df.withColumn("_how", how)
     is_sep = (F.col("_how") == "separator") & (F.col("element_id") == F.col("sep.element_id"))
-    first = F.when(F.col("_how") == "separator", CY < F.col("sep.y") + F.col("sep.h") / 2).when(F.col("_how") == "gap", CY < F.col("gap_y")).when(F.col("_how") == "columns", CX < F.col("gutter"))
+    first = F.when(F.col("_how") == "separator", cy() < F.col("sep.y") + F.col("sep.h") / 2).when(F.col("_how") == "gap", cy() < F.col("gap_y")).when(F.col("_how") == "columns", cx() < F.col("gutter"))
     df = df.withColumns({"_sep": is_sep, "_first": first})
     rows, columns = F.col("_how").isin("separator", "gap"), F.col("_how") == "columns"
     top = F.when(F.col("_how") == "separator", F.col("sep.y").cast("double")).otherwise(F.floor("gap_y").cast("double"))
@@ -176,7 +196,7 @@ def zone_tree(elements: DataFrame, gutter: str = "margin") -> DataFrame:
 def adjacent_pairs(zoned: DataFrame, either_side: bool = True, keys: tuple[str, ...] = ("page_id", "path")) -> DataFrame:
     """anchor_id, child_id, dy of anchors and children side by side in one zone."""
     side = lambda p: [F.col(k) for k in keys] + [F.col(c).alias(f"{p}_{c}") for c in ("element_id", "bbox_x", "bbox_y", "bbox_width", "bbox_height")]
-    a, c = zoned.filter(ANCHOR).select(*side("a")), zoned.filter(CHILD).select(*side("c"))
+    a, c = zoned.filter(anchor()).select(*side("a")), zoned.filter(child()).select(*side("c"))
     dy = F.abs((F.col("a_bbox_y") + F.col("a_bbox_height") / 2) - (F.col("c_bbox_y") + F.col("c_bbox_height") / 2))
     right = F.abs(F.col("c_bbox_x") - (F.col("a_bbox_x") + F.col("a_bbox_width"))) < S.ADJACENT_X
     left = F.abs(F.col("a_bbox_x") - (F.col("c_bbox_x") + F.col("c_bbox_width"))) < S.ADJACENT_X
@@ -201,15 +221,15 @@ def adjacent_assign(pairs: DataFrame, keys: tuple[str, ...] = ("page_id", "path"
 
 def nearest_anchor(zoned: DataFrame, taken: DataFrame | None = None, keep_top: bool = True, keys: tuple[str, ...] = ("page_id", "path")) -> DataFrame:
     """anchor_id, child_id, distance: the nearest anchor not below a child, closer than the limit."""
-    a = zoned.filter(ANCHOR).select(*keys, F.col("element_id").alias("anchor_id"), F.col("bbox_y").alias("ay"), CX.alias("ax"), CY.alias("acy"))
-    c = zoned.filter(CHILD)
+    a = zoned.filter(anchor()).select(*keys, F.col("element_id").alias("anchor_id"), F.col("bbox_y").alias("ay"), cx().alias("ax"), cy().alias("acy"))
+    c = zoned.filter(child())
     if taken is not None:
         c = c.join(taken.select(F.col("child_id").alias("element_id")), "element_id", "left_anti")
     if keep_top:
         first = a.groupBy(*keys).agg(F.min("ay").alias("first_y"))
         high = F.col("bbox_y") < F.col("zy0") + S.TOP_ORPHANS * (F.col("zy1") - F.col("zy0"))
-        c = c.join(first, list(keys)).filter(~(high & (CY < F.col("first_y") - S.NEAR / 2)))
-    c = c.select(*keys, F.col("element_id").alias("child_id"), CX.alias("cx"), CY.alias("cy"))
+        c = c.join(first, list(keys)).filter(~(high & (cy() < F.col("first_y") - S.NEAR / 2)))
+    c = c.select(*keys, F.col("element_id").alias("child_id"), cx().alias("cx"), cy().alias("cy"))
     far = F.sqrt(F.pow(S.NEAR_X * (F.col("cx") - F.col("ax")), F.lit(2)) + F.pow(F.col("cy") - F.col("acy"), F.lit(2)))
     both = a.join(c, list(keys)).filter("acy <= cy").withColumn("distance", far)
     best = both.groupBy(*keys, "child_id").agg(F.min(F.struct("distance", "ay", "anchor_id")).alias("b"))
@@ -220,13 +240,13 @@ def carry_anchor(df: DataFrame, order_y: Column, boundary: Column) -> DataFrame:
     """Adds anchor_id: for rows without, the last anchor in (y, x) order; before the first anchor, rows
     above ``boundary`` (by ``order_y``) are orphans 'top', others the first anchor's; without any
     anchor they are orphans 'top' and 'bottom'. Needs own (anchor already known, or null)."""
-    order = ZONE.orderBy("bbox_y", "bbox_x", (~ANCHOR).cast("int"), "element_id")
-    first = F.min(F.when(ANCHOR, F.struct("bbox_y", "bbox_x", "element_id"))).over(ZONE)["element_id"]
-    last = F.last(F.when(ANCHOR, F.col("element_id")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    order = zone().orderBy("bbox_y", "bbox_x", (~anchor()).cast("int"), "element_id")
+    first = F.min(F.when(anchor(), F.struct("bbox_y", "bbox_x", "element_id"))).over(zone())["element_id"]
+    last = F.last(F.when(anchor(), F.col("element_id")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
     df = df.withColumns({"_last": last, "_first": first, "_top": order_y < boundary})
-    anchor = F.coalesce(F.col("own"), F.col("_last"), F.when(~F.col("_top"), F.col("_first")))
-    kind = F.when(anchor.isNull(), F.when(F.col("_top"), "top").otherwise("bottom"))
-    return df.withColumns({"anchor_id": anchor, "orphans": kind}).drop("_last", "_first", "_top")
+    found = F.coalesce(F.col("own"), F.col("_last"), F.when(~F.col("_top"), F.col("_first")))
+    kind = F.when(found.isNull(), F.when(F.col("_top"), "top").otherwise("bottom"))
+    return df.withColumns({"anchor_id": found, "orphans": kind}).drop("_last", "_first", "_top")
 
 
 def group_zones(zoned: DataFrame, proximity: bool = True) -> DataFrame:
@@ -237,13 +257,13 @@ def group_zones(zoned: DataFrame, proximity: bool = True) -> DataFrame:
     known = taken.select("child_id", "anchor_id")
     if proximity:
         known = known.unionByName(nearest_anchor(plain, taken).select("child_id", "anchor_id"))
-    own = F.when(ANCHOR, F.col("element_id")).otherwise(F.col("known"))
+    own = F.when(anchor(), F.col("element_id")).otherwise(F.col("known"))
     known = known.select(F.col("child_id").alias("element_id"), F.col("anchor_id").alias("known"))
     df = zoned.join(known, "element_id", "left").withColumn("own", own).drop("known")
     height = F.col("zy1") - F.col("zy0")
     return carry_anchor(
         df,
-        F.when(mixed, CY).otherwise(F.col("bbox_y").cast("double")),
+        F.when(mixed, cy()).otherwise(F.col("bbox_y").cast("double")),
         F.col("zy0") + height * F.when(mixed, S.SPLIT_Y).otherwise(S.TOP_ORPHANS),
     ).drop("own")
 
@@ -267,7 +287,7 @@ def lookahead_target(grouped: DataFrame, whole_page: bool = False) -> DataFrame:
     groups = group_positions(grouped, whole_page)
     keys = ["page_id"] if whole_page else ["page_id", "path"]
     anchored = groups.filter(F.col("anchor_id").isNotNull())
-    now = grouped.filter(VISUAL & F.col("anchor_id").isNotNull()).join(anchored.select("page_id", "anchor_id", "anchor_y", "place"), ["page_id", "anchor_id"])
+    now = grouped.filter(visual() & F.col("anchor_id").isNotNull()).join(anchored.select("page_id", "anchor_id", "anchor_y", "place"), ["page_id", "anchor_id"])
     now = now.select(*keys, "element_id", "bbox_y", F.col("anchor_y").alias("ay"), F.col("place").alias("p"))
     after = anchored.select(*keys, F.col("anchor_id").alias("target"), F.col("path").alias("target_path"), F.col("anchor_y").alias("ty"), (F.col("place")).alias("tp"), F.explode(F.sequence(F.col("place") - S.LOOKAHEAD, F.col("place") - 1)).alias("p"))
     if not whole_page:

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagespan.plans import cleaning, layout
+from pagespan.plans import cleaning, layout, tables_queries
 from pagespan.plans.registered import ORACLES, QUERIES
 from pagespan.sources.tables import Tables
 
 
-MODULES = (cleaning, layout)
+MODULES = (cleaning, tables_queries, layout)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -229,12 +229,11 @@ def _(t):
 
 
 LABELLED = "case element_id%6 when 0 then '③ ' when 1 then ' (2) ' when 2 then '4. ' when 3 then '(7) ' when 4 then '⑪ ' else '' end || ocr_text"
-LABELS = F.expr("case element_id%6 when 0 then '③ ' when 1 then ' (2) ' when 2 then '4. ' when 3 then '(7) ' when 4 then '⑪ ' else '' end || ocr_text")
 
 
 @query("e11_choice_number", f"select element_id, nullif(regexp_extract(trim({LABELLED}, ' \n\t\r'), '^([①-⑩]|\\([1-5]\\)|[1-5]\\.)', 1), '') as label from text_contents")
 def _(t):
-    return t.text_contents.select("element_id", X.choice_number(LABELS).alias("label"))
+    return t.text_contents.select("element_id", X.choice_number(F.expr(LABELLED)).alias("label"))
 
 
 KEYWORD = "case element_id%4 when 0 then ocr_text when 1 then ocr_text || ' 다음' when 2 then '해설 ' || ocr_text else '② ' || ocr_text end"
