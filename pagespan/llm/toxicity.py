@@ -330,7 +330,9 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The score of every document, learnt from labels that may be learnt."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(in_train(F.col("doc_id"))).select("doc_id", "toxic")
-    model = train(written(docs.join(labels, "doc_id"), "labelled"))
+    # labels grow with the documents, so that both sides are always shuffled
+    labelled = docs.filter(in_train(F.col("doc_id"))).join(labels.hint("merge"), "doc_id")
+    model = train(written(labelled, "labelled"))
     out = scored(docs, model)
     held = ~in_train(F.col("doc_id")) & F.col("doc_id").isNotNull()
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
