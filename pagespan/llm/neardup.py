@@ -6,9 +6,10 @@ growing; a register keeps the minimum, truncated to powers of BASE. Sketches of
 (of the exponents), and equal registers are the likelier the more alike two sets are. Then:
 
 1. documents of equal sets form a class; its smallest id represents it from there on;
-2. bands of ROWS registers propose partners: first, in every bucket, all members against its
-   smallest; then, in buckets that still hold several components, members of different
-   components (large buckets in blocks, against the block's members at once);
+2. bands of ROWS registers propose partners. First each class meets the smallest of all its buckets'
+   members, then the smallest of each bucket that is of another component. In buckets that still hold
+   several components, members of different components meet: in small buckets pair by pair, in
+   large ones in blocks, where full sets travel along and only confirmed links come out;
 3. a joint maximum-likelihood estimate over whole sketches and the sets' sizes drops proposals
    far below the threshold;
 4. the rest is confirmed on full sets, and confirmed links make components.
@@ -40,8 +41,8 @@ ROWS = 4
 BANDS = REGISTERS // ROWS
 #: Pairs estimated this far below the threshold are dropped; about five standard errors.
 SLACK = 0.18
-#: Members of a bucket that are compared pair by pair; larger ones go in blocks of that many.
-BLOCK = 64
+#: Members of a bucket that are compared in one go; larger buckets go in blocks of BLOCK members.
+SMALL, BLOCK = 64, 512
 WIDTH, PERCENT = 5, 80
 
 
@@ -134,27 +135,26 @@ def _alike(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     return both.mapInArrow(run, "u long, v long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, width: int, percent: int) -> DataFrame:
-    """Pairs whose full sets reach the similarity."""
-    ids = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
+def _sets(docs: DataFrame, ids: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
+    """id and sorted shingle hashes of the documents in ``ids``, as a written table."""
     wanted = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(ids, "id", "left_semi")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(batches, "text"):
             flat, first = shingle_sets(part.column("text"), width)
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([flat[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())], ["id", "shingles"])
 
-    table = written(wanted.mapInArrow(sets, "id long, shingles binary").dropDuplicates(["id"]), "sets")
+    return written(wanted.mapInArrow(run, "id long, shingles binary").dropDuplicates(["id"]), "sets")
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, width: int, percent: int) -> DataFrame:
+    """Pairs whose full sets reach the similarity."""
+    ids = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
+    table = _sets(docs, ids, doc_id, text, width)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            ok = []
-            for a, b in zip(part.column("a"), part.column("b"), strict=True):
-                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0
-                ok.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
+            ok = [_similar(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64), percent) for a, b in zip(part.column("a"), part.column("b"), strict=True)]
             yield part.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
     both = pairs.join(table.toDF("u", "a"), "u").join(table.toDF("v", "b"), "v")
@@ -163,39 +163,107 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, width:
     return found
 
 
-def _across(members: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """Pairs of one bucket but of different components, by the estimate; ``members``: key, rep, comp, n."""
-    small = members.filter(F.col("n") <= BLOCK)
-    a, b = small.select("key", F.col("rep").alias("u"), F.col("comp").alias("cu")), small.select("key", F.col("rep").alias("v"), F.col("comp").alias("cv"))
-    pairs = a.join(b, "key").filter("u < v and cu <> cv").select("u", "v").distinct()
-    near = _alike(pairs, classes, least)
-    # large buckets: members outside of the bucket's most common component meet every block of it
-    large = members.filter(F.col("n") > BLOCK)
-    main = large.groupBy("key", "comp").count().groupBy("key").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
+def _first_band(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The first band in which pairs of sketches agree: there, and only there, a pair is looked at."""
+    same = (a[:, : BANDS * ROWS] == b[:, : BANDS * ROWS]).reshape(-1, BANDS, ROWS).all(2)
+    return same.argmax(1)
+
+
+def _proposed(members: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """Pairs (u, v) of small buckets that are of different components, each once, by the estimate."""
+    rows = members.join(classes.select("rep", F.col("n").alias("size"), "sketch"), "rep").select("key", "rep", "comp", "size", "sketch")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(t: pa.Table) -> pa.RecordBatch:
+            key, rep, comp, size = (t.column(c).to_numpy() for c in ("key", "rep", "comp", "size"))
+            sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, REGISTERS)
+            found = []
+            for step in range(1, SMALL):  # rows are sorted: a key's partners follow it closely
+                i = np.flatnonzero(key[step:] == key[:-step]) if len(key) > step else np.zeros(0, int)
+                if not len(i):
+                    break
+                j = i + step
+                go = comp[i] != comp[j]
+                i, j = i[go], j[go]
+                go = _first_band(sketch[i], sketch[j]) == key[i] >> 8 * ROWS
+                i, j = i[go], j[go]
+                go = likeliest(sketch[i], sketch[j], size[i], size[j]) >= least
+                found.append((rep[i[go]], rep[j[go]]))
+            u, v = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+
+        rest = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = pa.concat_tables([rest, t]) if rest is not None else t
+            if not t.num_rows:
+                continue
+            key = t.column("key").to_numpy()
+            end = int(np.searchsorted(key, key[-1]))  # the last key may go on in the next batch
+            for at in np.searchsorted(key, np.unique(key[:end:4096])) if end else []:
+                to = min(end, int(np.searchsorted(key, key[min(at + 4096, end) - 1], "right")))
+                yield pairs(t.slice(at, to - at))
+            rest = t.slice(end)
+        if rest is not None and rest.num_rows:
+            yield pairs(rest)
+
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long").distinct()
+
+
+def _linked(members: DataFrame, classes: DataFrame, sets: DataFrame, least: float, percent: int) -> DataFrame:
+    """Links (u, v) between components in large buckets, one a member and component met in a block.
+
+    Members outside of a bucket's most common component meet every block of it.
+    """
+    main = members.groupBy("key", "comp").count().groupBy("key").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    large = large.join(main, "key").join(classes.select("rep", F.col("n").alias("size"), "sketch"), "rep")
-    own = F.pmod(F.hash("rep"), blocks)
-    held = large.select("key", own.alias("block"), "rep", "comp", "size", "sketch", F.lit(False).alias("asks"))
-    asks = large.filter(F.col("comp") != F.col("main")).select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "rep", "comp", "size", "sketch", F.lit(True).alias("asks"))
-
-    def meet(table: pa.Table) -> pa.Table:
-        ask = table.column("asks").to_numpy()
-        rep, comp, size = (table.column(c).to_numpy() for c in ("rep", "comp", "size"))
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, REGISTERS)
+    rows = members.join(main, "key").join(classes.select("rep", F.col("n").alias("size"), "sketch"), "rep").join(sets.select(F.col("id").alias("rep"), "shingles"), "rep")
+    columns = ["rep", "comp", "size", "sketch", "shingles"]
+    held = rows.select("key", F.pmod(F.hash("rep"), blocks).alias("block"), *columns, F.lit(False).alias("asks"))
+    asks = rows.filter(F.col("comp") != F.col("main")).select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), *columns, F.lit(True).alias("asks"))
+
+    def meet(t: pa.Table) -> pa.Table:
+        ask = t.column("asks").to_numpy()
+        rep, comp, size = (t.column(c).to_numpy() for c in ("rep", "comp", "size"))
+        band = t.column("key")[0].as_py() >> 8 * ROWS
+        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, REGISTERS)
+        full = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
         here = np.flatnonzero(~ask)
-        out: list[tuple[np.ndarray, np.ndarray]] = []
+        out = []
         for k in np.flatnonzero(ask):
             other = here[comp[here] != comp[k]]
+            other = other[_first_band(sketch[other], sketch[np.full(len(other), k)]) == band] if len(other) else other
             if not len(other):
                 continue
-            rows = np.full(len(other), k)
-            ok = likeliest(sketch[rows], sketch[other], size[rows], size[other]) >= least
-            out.append((np.minimum(rep[rows], rep[other])[ok], np.maximum(rep[rows], rep[other])[ok]))
-        u, v = (np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64) for i in (0, 1))
-        return pa.table({"u": u, "v": v})
-
-    met = held.unionByName(asks).groupBy("key", "block").applyInArrow(meet, "u long, v long").filter("u < v")
-    return near.unionByName(met).distinct()
+            me = np.full(len(other), k)
+            near = likeliest(sketch[me], sketch[other], size[me], size[other])
+            met: set[int] = set()
+            for x in np.argsort(-near, kind="stable"):
+                if near[x] < least:
+                    break
+                o = other[x]
+                if comp[o] not in met and _similar(full[k], full[o], percent):
+                    met.add(int(comp[o]))
+                    out.append((min(rep[k], rep[o]), max(rep[k], rep[o])))
+        return pa.table({"u": pa.array([o[0] for o in out], pa.int64()), "v": pa.array([o[1] for o in out], pa.int64())})
+
+    return held.unionByName(asks).groupBy("key", "block").applyInArrow(meet, "u long, v long").distinct()
+
+
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x) or 100 * len(x) < percent * len(y):
+        return False
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of buckets that hold several components: key, rep, n, center, comp."""
+    held = members.join(labels.toDF("rep", "comp"), "rep", "left").select("key", "rep", "n", "center", F.coalesce("comp", "rep").alias("comp"))
+    mixed = held.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("key")
+    return written(held.join(mixed, "key", "left_semi"), "open")
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -207,16 +275,20 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     banded = _banded(classes)
     buckets = banded.groupBy("key").agg(F.min("rep").alias("center"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = written(banded.join(buckets, "key"), "members")
-    star = written(members.filter("rep <> center").select(F.col("center").alias("u"), F.col("rep").alias("v")).distinct(), "star")
-    links = _confirmed(written(_alike(star, classes, least), "alike"), docs, doc_id, text, width, percent)
-    labels = written(components(links), "labels")
-    held = members.join(labels.toDF("rep", "comp"), "rep", "left").select("key", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
-    mixed = held.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("key")
-    open_ = written(held.join(mixed, "key", "left_semi"), "open")
-    tried = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    rest = written(_across(open_, classes, least).join(tried, ["u", "v"], "left_anti"), "rest")
-    more = _confirmed(rest, docs, doc_id, text, width, percent)
-    labels = written(components(labels.toDF("u", "v").unionByName(more)), "labels")
+    confirm = lambda pairs: _confirmed(written(_alike(pairs, classes, least), "alike"), docs, doc_id, text, width, percent)
+    star = members.filter("rep <> center").groupBy("rep").agg(F.min("center").alias("u")).select("u", F.col("rep").alias("v"))
+    labels = written(components(confirm(star)), "labels")
+    open_ = _labelled(members, labels)
+    of = open_.select("rep", "comp").distinct()
+    star = open_.filter("rep <> center").join(of.toDF("center", "center_comp"), "center").filter("comp <> center_comp").select(F.col("center").alias("u"), F.col("rep").alias("v")).distinct()
+    labels = written(components(labels.toDF("u", "v").unionByName(confirm(star))), "labels")
+    open_ = _labelled(members, labels)
+    small, large = open_.filter(F.col("n") <= SMALL), open_.filter(F.col("n") > SMALL)
+    sets = _sets(docs, large.select(F.col("rep").alias("id")).distinct(), doc_id, text, width)
+    links = written(_linked(large, classes, sets, least, percent), "links")
+    dropped(sets)
+    more = _confirmed(written(_proposed(small, classes, least), "proposed"), docs, doc_id, text, width, percent)
+    labels = written(components(labels.toDF("u", "v").unionByName(links).unionByName(more)), "labels")
     of_class = classes.select("f1", "f2", "n", "rep").join(labels.toDF("rep", "comp"), "rep", "left").select("f1", "f2", "n", F.coalesce("comp", "rep").alias("comp"))
     out = sketched.select("id", "n", "f1", "f2").join(of_class, ["f1", "f2", "n"], "left")
     comp = F.when(F.col("id").isNotNull(), F.coalesce("comp", "id"))
