@@ -22,10 +22,12 @@ of an id are one document; the first occurrence stays; an empty table gives an e
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagespan.llm.shared import WORD_GAP, dropped, fresh, written
+from pagespan.llm.shared import WORD_GAP, dropped, fresh, shared_dir, written
 
 MIN_WORDS, PERCENT = 5, 80
 BUCKET_BITS, RANK_BITS = 18, 8
@@ -34,6 +36,8 @@ FREQUENT = 4096
 #: Ranks are eighths of the count's binary logarithm.
 _SCALE = 8
 _HASH_BITS = 63 - RANK_BITS
+#: Rows of two numbers that are broadcast at most.
+NARROW_ROWS = 500_000
 
 
 def _bound(value: Column, body) -> Column:
@@ -113,24 +117,30 @@ def _verified(pairs: DataFrame, distinct: DataFrame, percent: int) -> DataFrame:
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """d, l, similar of every line to remove: copies (similar is false) and similar lines."""
-    lines = _lines(docs, doc_id, text)
-    long_enough = lines.filter(F.size(words_of(F.col("line"))) >= MIN_WORDS)
-    distinct = long_enough.groupBy("line").agg(F.min(F.struct("d", "l")).alias("at")).select("line", "at.d", "at.l")
-    distinct = written(distinct, "lines")
-    keys = written(_keys(distinct, _rarity(distinct), percent), "keys")
+    spark = docs.sparkSession
+    # MIN_WORDS words have so many characters at least; the exact test is made once a distinct line
+    lines = _lines(docs, doc_id, text).filter(F.length("line") >= 2 * MIN_WORDS - 1)
+    distinct = lines.groupBy("line").agg(F.min(F.struct("d", "l")).alias("at")).select("line", "at.d", "at.l")
+    distinct = written(distinct.filter(F.size(words_of(F.col("line"))) >= MIN_WORDS), "lines")
+    # bucketed by key: the three passes over the keys need no further exchange
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    name = f"line_keys_{uuid.uuid4().hex}"
+    keyed = _keys(distinct, _rarity(distinct), percent).repartition(n, "key")
+    keyed.write.bucketBy(n, "key").sortBy("key").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    keys = spark.table(name)
     pair = [F.col("x.d").alias("xd"), F.col("x.l").alias("xl"), F.col("y.d").alias("yd"), F.col("y.l").alias("yl")]
     heads = keys.groupBy("key").agg(F.min(F.struct("d", "l", "i", "s", "m0", "m1")).alias("h"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "h.*")
     led = keys.alias("x").join(heads.alias("y"), (F.col("x.key") == F.col("y.key")) & _may_match("x", "y", percent)).select(*pair).distinct()
     first = written(_verified(written(led, "led"), distinct, percent), "matched")
-    left = keys.join(first, ["d", "l"], "left_anti")
+    left = keys.join(F.broadcast(first), ["d", "l"], "left_anti") if first.count() <= NARROW_ROWS else keys.join(first, ["d", "l"], "left_anti")
     rest = left.alias("x").join(keys.alias("y"), (F.col("x.key") == F.col("y.key")) & _may_match("x", "y", percent)).select(*pair).distinct()
     more = written(_verified(written(rest, "rest"), distinct, percent), "matched")
     dropped(keys)
+    spark.sql(f"drop table {name}")
     similar = first.unionByName(more)
     copies = [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")]
     state = distinct.join(similar.withColumn("similar", F.lit(True)), ["d", "l"], "left").select(*copies, F.col("d").alias("fd"), F.col("l").alias("fl"), F.coalesce("similar", F.lit(False)).alias("similar"))
-    every = long_enough.select("d", "l", *copies)
-    out = every.join(state, ["h1", "h2"]).filter("similar or d <> fd or l <> fl")
+    out = lines.select("d", "l", *copies).join(state, ["h1", "h2"]).filter("similar or d <> fd or l <> fl")
     return out.select("d", "l", "similar").distinct()
 
 
