@@ -1,4 +1,4 @@
-"""Queries of the layout operators."""
+"""Queries of layout, sorting, windows, rendering, versions, questions and streams, with their oracles."""
 
 from __future__ import annotations
 
@@ -6,14 +6,518 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagespan.operators import layout as L
+from pagespan.operators import maintenance as M
+from pagespan.operators import questions as Q
+from pagespan.operators import render as D
+from pagespan.operators import strategies as G
 from pagespan.plans.registered import query
+from pagespan.sources import dimensions
 from pagespan.sources.tables import Tables
+from pagespan.streaming import streams as R
+
+IN_A = "('question type','question number','second_question_number')"
+IN_C = "('question text','list','choices','figure','table','flowchart')"
+ZONED = f"select *, bbox_x+bbox_width/2 as cx, bbox_y+bbox_height/2 as cy, class_name in {IN_A} as an from layout_elements where class_name in {IN_A} or class_name in {IN_C}"
+
+
+def zoned(t: Tables) -> DataFrame:
+    return L.with_zone(L.page_extent(L.preprocess(t.layout_elements), t.doc_pages))
+
+
+ORDER = ["page_id", "element_id", "order_in_question", "group_id", "order_in_group", "anchor_id"]
+READING = "select page_id, element_id, row_number() over (partition by page_id order by bbox_y, bbox_x, element_id)-1 as order_in_question from layout_elements"
+
+
+@query("w01_reading_order", READING)
+def _(t):
+    return L.reading_order(t.layout_elements).select("page_id", "element_id", "order_in_question")
+
+
+GAPS = f"""with z as ({ZONED}), a as (select *, row_number() over w as r, lead(cy) over w - cy as gap, (bbox_y+bbox_height+lead(bbox_y) over w)/2 as y from z where an window w as (partition by page_id order by bbox_y, element_id)),
+ b as (select page_id, max((gap, -r, y)) filter (gap is not null) as m, greatest(1.5*avg(bbox_height),100) as t from a group by 1)
+ select page_id, m[1] as gap, m[3] as gap_y from b where m[1]>=t"""
+
+
+@query("w02_anchor_gaps", GAPS)
+def _(t):
+    return L.anchor_gaps(zoned(t)).select("page_id", "gap", "gap_y").filter("gap is not null").distinct()
+
+
+MEANS = f"""with z as ({ZONED}), a as (select *, row_number() over w as k, sum(cx) over w as s, count(*) over (partition by page_id) as n, sum(cx) over (partition by page_id) as t from z where an window w as (partition by page_id order by cx, element_id rows unbounded preceding)),
+ m as (select page_id, max((round(s*s/k+(t-s)*(t-s)/(n-k),6), -k, s/k, (t-s)/(n-k))) as m from a where k<n group by 1)"""
+
+
+@query("w03_two_means_1d", MEANS + " select page_id, m[3] as c0, m[4] as c1 from m")
+def _(t):
+    return L.two_means(zoned(t), ["page_id"], L.cx(), L.anchor()).select("page_id", "c0", "c1").filter("c0 is not null").distinct()
+
+
+@query("w04_carry_anchor", f"with z as ({ZONED}) select element_id, last_value(case when an then element_id end ignore nulls) over (partition by page_id order by bbox_y, bbox_x, case when an then 0 else 1 end, element_id rows unbounded preceding) as anchor_id from z")
+def _(t):
+    df = zoned(t).withColumn("own", F.when(L.anchor(), F.col("element_id")))
+    return L.carry_anchor(df, F.col("bbox_y"), F.lit(100000)).select("element_id", "anchor_id")
+
+
+@query("w05_flatten_groups", f"with z as ({ZONED}), g as (select *, max(case when an then element_id end) over w as anchor_id from z window w as (partition by page_id order by bbox_y, bbox_x, case when an then 0 else 1 end, element_id rows unbounded preceding)) select page_id, element_id, row_number() over (partition by page_id order by bbox_y, bbox_x, element_id)-1 as order_in_question, dense_rank() over (partition by page_id order by bbox_y, bbox_x, element_id)-1 as group_id from z where an")
+def _(t):
+    anchors = zoned(t).filter(L.anchor()).withColumns({"anchor_id": F.col("element_id"), "orphans": F.lit(None).cast("string")})
+    return L.flatten_groups(anchors).select("page_id", "element_id", "order_in_question", "group_id")
+
+
+@query("w06_number_versions", "select page_id, version_number, is_current and page_id%2=0 as is_current from text_versions union all select page_id, max(version_number)+1, true from text_versions where page_id%2=1 group by 1")
+def _(t):
+    new = t.text_versions.filter("page_id % 2 = 1 and is_current").select("page_id", F.lit(0).alias("seq"), F.lit("user_edited").alias("version_type"), "content")
+    return M.number_versions(t.text_versions, new).select("page_id", "version_number", "is_current")
+
+
+@query("w07_current_version", "select page_id, case when page_id%3=0 then max(version_number) else max(version_number) filter (is_current) end as version_number from text_versions group by 1")
+def _(t):
+    none = t.text_versions.withColumn("is_current", F.col("is_current") & (F.col("page_id") % 3 != 0))
+    return M.current_version(none).select("page_id", "version_number")
+
+
+@query("w08_number_pages", "with n as (select project_id, page_id from doc_pages where page_id%2=0) select n.page_id, cast(m.top+row_number() over (partition by n.project_id order by n.page_id) as int) as page_number from n join (select project_id, max(page_number) as top from doc_pages group by 1) m using (project_id)")
+def _(t):
+    new = t.doc_pages.filter("page_id % 2 = 0").select("project_id", F.col("page_id").alias("seq"))
+    return M.number_pages(t.doc_pages, new).select(F.col("seq").alias("page_id"), "page_number")
+
+
+@query("w09_order_groups", f"select page_id, element_id, row_number() over (partition by page_id order by case when class_name in {IN_A} then 1 else 0 end, bbox_y, case when class_name in {IN_A} then bbox_x else 0 end, element_id)-1 as group_id from (select *, row_number() over (partition by page_id, bbox_y, class_name in {IN_A} order by element_id) as r from layout_elements where class_name in {IN_A}) where true")
+def _(t):
+    df = zoned(t).filter(L.anchor()).withColumns({"anchor_id": F.col("element_id"), "orphans": F.lit(None).cast("string")})
+    return L.flatten_groups(df).select("page_id", "element_id", "group_id")
+
+
+@query("w10_format_bundles", "with s as (select page_id, element_id, class_name, bbox_y, bbox_x, case when element_id%5=0 then null else element_id%4 end as g, case when element_id%3=0 then null else element_id%100 end as o from layout_elements), k as (select *, coalesce('g'||g, 'o'||element_id) as k, coalesce(o, 10000000+bbox_y) as ord from s), f as (select *, min((ord, 0, bbox_y, bbox_x, element_id)) over (partition by page_id, k) as first from k) select element_id, dense_rank() over (partition by page_id order by first)-1 as bundle from f")
+def _(t):
+    e = t.layout_elements.withColumns({"group_id": F.when(F.col("element_id") % 5 != 0, F.col("element_id") % 4), "order_in_question": F.when(F.col("element_id") % 3 != 0, F.col("element_id") % 100), "order_in_group": F.lit(0)})
+    return D.format_bundles(e).select("element_id", "bundle")
+
+
+BOXES = "with recursive x as (select page_id, element_id, bbox_y as q_y, cast(element_id%60+1 as varchar) as question from layout_elements where class_name='question number'), b as (select page_id, question, arg_min(q_y, element_id) as q_y from x group by 1,2)"
+
+
+def numbered(t: Tables) -> DataFrame:
+    return t.sql("select page_id, cast(element_id%60+1 as string) as question, min_by(bbox_y, element_id) as q_y from layout_elements where class_name='question number' group by 1, 2")
+
+
+@query("w11_next_question_y", BOXES.replace("with recursive", "with") + " select page_id, question, q_y, (select arg_min(c.q_y, cast(c.question as int)) from b c where c.page_id=b.page_id and cast(c.question as int) between cast(b.question as int)+1 and cast(b.question as int)+10) as next_q_y from b")
+def _(t):
+    return Q.next_question_y(numbered(t))
+
+
+SEP = f"with z as ({ZONED}) select page_id, min((bbox_y, element_id))[2] as element_id from z where class_name='question type' and bbox_y<0.15*3508 and bbox_width/2480>=0.8 group by 1"
+
+
+@query("l02_find_wide_separator", SEP)
+def _(t):
+    top = L.with_separator(zoned(t).filter(F.col("bbox_y") < 0.15 * F.col("page_height")).withColumn("zy0", F.lit(-1.0)))
+    return top.select("page_id", F.col("sep.element_id").alias("element_id")).filter("element_id is not null").distinct()
+
+
+KIND = (
+    MEANS
+    + """, d as (select page_id, count(*) filter (an) as n, count(distinct cx) filter (an) as nx, bool_or(class_name='question type' and bbox_y<0.15*3508 and bbox_width/2480>=0.8) as sep,
+ count(*) filter (an and cy<0.4*3508) as tn, count(*) filter (an and cy>=0.4*3508) as bn, coalesce(stddev_pop(cx) filter (an and cy<0.4*3508),0)>248 as tm, coalesce(stddev_pop(cx) filter (an and cy>=0.4*3508),0)>248 as bm from z group by 1),
+ k as (select d.page_id, case when n<2 then 'STANDARD_1_COLUMN' when sep then 'HORIZONTAL_SEP_PRESENT' when nx<2 or m[4]-m[3]<50 then 'STANDARD_1_COLUMN' when tn=0 or bn=0 then 'STANDARD_2_COLUMN'
+ when bm and not tm then 'MIXED_TOP1_BOTTOM2' when tm and not bm then 'MIXED_TOP2_BOTTOM1' when tm and bm then 'STANDARD_2_COLUMN' else 'UNKNOWN' end as layout_type from d left join m using (page_id))"""
+)
+
+
+@query("l03_detect_layout_type", KIND + " select page_id, layout_type from k")
+def _(t):
+    return L.detect_layout_type(zoned(t)).select("page_id", "layout_type").distinct()
+
+
+@query("l04_split_by_separator", f"with z as ({ZONED}), s as (select page_id, min((bbox_y, element_id, bbox_height)) as m from z where class_name='question type' and bbox_width/2480>=0.8 group by 1) select z.element_id, case when z.element_id=m[2] then '1' when cy<m[1]+m[3]/2 then '0' else '2' end as part from z join s using (page_id) where m[1]>0 and m[1]+m[3]<3508")
+def _(t):
+    df = L.with_separator(zoned(t)).filter("sep is not null")
+    part = F.when(F.col("element_id") == F.col("sep.element_id"), "1").when(L.cy() < F.col("sep.y") + F.col("sep.h") / 2, "0").otherwise("2")
+    return df.select("element_id", part.alias("part"))
+
+
+@query("l05_split_by_gap", GAPS.replace("select page_id, m[1] as gap, m[3] as gap_y from b where m[1]>=t", "select element_id, case when cy<m[3] then '0' else '2' end as part from z join b using (page_id) where m[1]>=t"))
+def _(t):
+    return L.anchor_gaps(zoned(t)).filter("gap_y is not null").select("element_id", F.when(L.cy() < F.col("gap_y"), "0").otherwise("2").alias("part"))
+
+
+@query("l06_split_by_columns", MEANS + " select element_id, case when cx<m[4]-20 then '0' else '2' end as part from z join m using (page_id) where m[4]-m[3]>=50 and m[4]-20>0 and m[4]-20<2480")
+def _(t):
+    df = L.with_gutter(L.detect_layout_type(zoned(t))).filter("gutter is not null")
+    return df.select("element_id", F.when(L.cx() < F.col("gutter"), "0").otherwise("2").alias("part"))
+
+
+@query("l07_zone_tree")
+def _(t):
+    return L.zone_tree(L.page_extent(L.preprocess(t.layout_elements), t.doc_pages)).select("page_id", "element_id", "path", "layout_type")
+
+
+@query("l08_sort_two_column", KIND + " select element_id, case when m[4]-m[3]<50 then '' when cx<m[4]-20 then '0' else '2' end as path from z join k using (page_id) join m using (page_id) where layout_type='STANDARD_2_COLUMN'")
+def _(t):
+    two = L.detect_layout_type(zoned(t)).filter("layout_type = 'STANDARD_2_COLUMN'")
+    return L.split_zones(two).select("element_id", "path")
+
+
+PAIRS = f"with recursive z as ({ZONED}), p as (select a.page_id, a.bbox_y as ay, a.element_id as a, c.element_id as c, abs(a.cy-c.cy) as dy from z a join z c on a.page_id=c.page_id and a.an and not c.an where abs(a.cy-c.cy)<(a.bbox_height+c.bbox_height)/2*0.7 and (abs(c.bbox_x-a.bbox_x-a.bbox_width)<50 or abs(a.bbox_x-c.bbox_x-c.bbox_width)<50))"
+
+
+@query(
+    "l09_adjacent_assign",
+    PAIRS + ", o as (select *, row_number() over (partition by page_id order by ay, a, dy, c) as r from p), f as (select page_id, 1::bigint as r, [a] as ua, [c] as uc from o where r=1 union all select f.page_id, o.r, case when list_contains(ua, a) or list_contains(uc, c) then ua else list_append(ua, a) end, case when list_contains(ua, a) or list_contains(uc, c) then uc else list_append(uc, c) end from f join o on o.page_id=f.page_id and o.r=f.r+1), l as (select page_id, arg_max(ua, r) as ua, arg_max(uc, r) as uc from f group by 1) select page_id, unnest(ua) as anchor_id, unnest(uc) as child_id from l",
+)
+def _(t):
+    pairs = L.adjacent_pairs(zoned(t), keys=("page_id",))
+    return L.adjacent_assign(pairs, keys=("page_id",)).select("page_id", "anchor_id", "child_id")
+
+
+@query("l10_group_one_column")
+def _(t):
+    one = L.detect_layout_type(zoned(t)).filter("layout_type = 'STANDARD_1_COLUMN'")
+    return L.reassign_visuals(L.group_zones(one)).select("page_id", "element_id", "anchor_id", "orphans")
+
+
+@query(
+    "l11_group_mixed",
+    KIND + f""", y as (select z.* from z join k using (page_id) where layout_type like 'MIXED%'),
+    c as (select *, last_value(case when an then element_id end ignore nulls) over (partition by page_id order by bbox_y, bbox_x, case when an then 0 else 1 end, element_id rows unbounded preceding) as last,
+     min(case when an then (bbox_y, bbox_x, element_id) end) over (partition by page_id) as first from y)
+    select page_id, element_id, coalesce(last, case when cy >= 0.4*3508 then first[3] end) as anchor_id from c""",
+)
+def _(t):
+    mixed = L.detect_layout_type(zoned(t)).filter("layout_type like 'MIXED%'")
+    return L.group_zones(mixed).select("page_id", "element_id", "anchor_id")
+
+
+MOVES = f"""with z as ({ZONED}), c as (select *, last_value(case when an then element_id end ignore nulls) over (partition by page_id order by bbox_y, bbox_x, case when an then 0 else 1 end, element_id rows unbounded preceding) as anchor_id from z),
+ g as (select page_id, element_id as anchor_id, bbox_y as ay, row_number() over (partition by page_id order by bbox_y, bbox_x, element_id) as p from z where an),
+ m as (select c.element_id, min((abs(c.bbox_y-n.ay), -n.p, n.anchor_id)) as m from c join g using (page_id, anchor_id) join g n on n.page_id=c.page_id and n.p between g.p+1 and g.p+2
+  where c.class_name in ('figure','table','flowchart') and c.bbox_y-g.ay>75 and abs(c.bbox_y-n.ay)<0.5*(c.bbox_y-g.ay) group by 1)"""
+
+
+def carried(t: Tables) -> DataFrame:
+    df = zoned(t).withColumn("own", F.when(L.anchor(), F.col("element_id")))
+    return L.carry_anchor(df, F.col("bbox_y"), F.lit(100000)).drop("own")
+
+
+@query("j13_lookahead_target", MOVES + " select element_id, m[3] as target from m")
+def _(t):
+    return L.lookahead_target(carried(t), whole_page=True).select("element_id", "target")
+
+
+@query("l12_reassign_visuals", MOVES + " select c.element_id, coalesce(m.m[3], c.anchor_id) as anchor_id from c left join m using (element_id)")
+def _(t):
+    return L.reassign_visuals(carried(t), whole_page=True).select("element_id", "anchor_id")
 
 
 @query("l13_sort_layout")
 def sort_layout(t: Tables) -> DataFrame:
-    return L.sort_layout(t.layout_elements, t.doc_pages).select("page_id", "element_id", "order_in_question", "group_id", "order_in_group", "anchor_id")
+    return L.sort_layout(t.layout_elements, t.doc_pages).select(*ORDER)
 
 
 def flagship(t: Tables) -> DataFrame:
     return sort_layout(t)
+
+
+PROFILE = (
+    KIND
+    + f""", r as (select a.page_id, count(distinct a.element_id) as k from z a join z c on a.page_id=c.page_id and a.an and not c.an where abs(a.cy-c.cy)<(a.bbox_height+c.bbox_height)/2*0.7 and abs(c.bbox_x-a.bbox_x-a.bbox_width)<50 group by 1),
+ p as (select d.page_id, n, layout_type, case when n>0 then coalesce(r.k,0)/n else 0 end as r, case when n>1 then greatest(0.0, 1-s.x/(0.3*2480)) else 0.5 end as c, coalesce(s.x,0) as x from d join k using (page_id) left join r using (page_id) left join (select page_id, stddev_pop(cx) filter (an) as x from z group by 1) s using (page_id))"""
+)
+STRATEGY = """case when layout_type='STANDARD_2_COLUMN' then case when r>=0.4 and r<0.6 and c between 0.4 and 0.75 then 'HYBRID' when r>=0.6 then 'GLOBAL_FIRST' when r<0.4 then 'LOCAL_FIRST' when n<8 then 'LOCAL_FIRST' when c>=0.6 then 'GLOBAL_FIRST' else 'LOCAL_FIRST' end
+ when layout_type like 'MIXED%' then case when r>=0.5 then 'HYBRID' else 'LOCAL_FIRST' end when layout_type='HORIZONTAL_SEP_PRESENT' then case when r>=0.4 then 'LOCAL_FIRST' else 'GLOBAL_FIRST' end
+ when r>0.5 then 'LOCAL_FIRST' when c>0.75 then 'GLOBAL_FIRST' when c<0.4 then 'LOCAL_FIRST' when r between 0.35 and 0.65 then 'HYBRID' else 'GLOBAL_FIRST' end"""
+
+
+@query("l14_layout_profile", PROFILE + " select page_id, n as n_anchors, layout_type, round(r,6) as adjacency_ratio, round(c,6) as consistency, round(x,4) as x_std from p")
+def _(t):
+    p = G.layout_profile(t.layout_elements, t.doc_pages)
+    return p.select("page_id", "n_anchors", "layout_type", F.round("adjacency_ratio", 6).alias("adjacency_ratio"), F.round("consistency", 6).alias("consistency"), F.round("x_std", 4).alias("x_std"))
+
+
+@query("l15_recommend_strategy", PROFILE + f" select page_id, {STRATEGY} as strategy from p")
+def _(t):
+    return G.layout_profile(t.layout_elements, t.doc_pages).select("page_id", "strategy")
+
+
+@query(
+    "l16_score_grouping",
+    f"""with z as ({ZONED}), c as (select *, last_value(case when an then element_id end ignore nulls) over (partition by page_id order by bbox_y, bbox_x, case when an then 0 else 1 end, element_id rows unbounded preceding) as anchor_id from z),
+    g as (select c.page_id, c.anchor_id, count(*) filter (not c.an) as k, count(*) filter (not c.an and c.cy<a.cy) as above, count(*) filter (not c.an and abs(c.cx-a.cx)>0.4*2480) as wide from c left join z a on a.element_id=c.anchor_id group by 1,2)
+    select page_id, sum(case when anchor_id is null then 5.0+3.5*k else (case when k=0 then 1 else 0 end)+above+0.5*wide end) as penalty from g group by 1""",
+)
+def _(t):
+    return G.score_grouping(carried(t).withColumn("group_id", F.coalesce("anchor_id", F.lit(-1))), F.lit(2480))
+
+
+@query("l17_sort_local_first")
+def _(t):
+    return G.sort_local_first(t.layout_elements, t.doc_pages).select(*ORDER)
+
+
+@query("l18_sort_hybrid")
+def _(t):
+    return G.sort_hybrid(t.layout_elements, t.doc_pages).select(*ORDER)
+
+
+@query("l19_sort_adaptive")
+def _(t):
+    return G.sort_adaptive(t.layout_elements, t.doc_pages).select(*ORDER)
+
+
+def rendered(t: Tables, kind: str = "question_based") -> DataFrame:
+    return D.rendered_elements(t.layout_elements, t.text_contents, t.ai_descriptions, dimensions.formatting_rules(t.spark), kind)
+
+
+T_SQL = "trim(coalesce(ocr_text,''), ' \n\t\r')"
+R_SQL = f"""with c as (select e.*, {T_SQL} as ocr, coalesce(description,'') as ai from layout_elements e left join text_contents using (element_id) left join ai_descriptions using (element_id)),
+ b as (select *, case when class_name in ('figure','table') then case when ai<>'' and ocr<>'' then ai||chr(10)||ocr when ai<>'' then ai else ocr end
+   when class_name='list' then array_to_string(list_transform(list_filter(list_transform(string_split(case when ocr<>'' then ocr else ai end, chr(10)), lambda x: trim(x, ' \t\r')), lambda x: x<>''), lambda x: '• '||case when regexp_matches(x, '^([-•]|\\d+\\.)\\s*.+$') then trim(regexp_extract(x, '^([-•]|\\d+\\.)\\s*(.+)$', 2)) else x end), chr(10))
+   when ocr<>'' then ocr else ai end as body from c),
+ r as (select *, case when body='' then '' when class_name='plain text' then body||chr(10)||chr(10) when class_name='list' then body||chr(10) when class_name='figure' then chr(10)||'[그림] '||body||chr(10)||chr(10) when class_name='table' then chr(10)||'[표] '||body||chr(10)||chr(10) else body||chr(10) end as rendered from b)"""
+
+
+@query("d01_format_element", R_SQL + " select element_id, rendered from r")
+def _(t):
+    return rendered(t, "reading_order").select("element_id", "rendered")
+
+
+@query("d02_render_numbered")
+def _(t):
+    groups = L.sort_layout(t.layout_elements, t.doc_pages)
+    rules = dimensions.formatting_rules(t.spark)
+    return D.render_bundles(D.format_bundles(D.rendered_elements(groups, t.text_contents, t.ai_descriptions, rules, "question_based")), rules)
+
+
+@query("d03_render_section", R_SQL + " select page_id, class_name, coalesce(string_agg(rendered, '' order by element_id) filter (trim(rendered, ' \n\t\r')<>''), '') as text from r group by 1,2")
+def _(t):
+    item = F.struct("element_id", "rendered")
+    return rendered(t, "reading_order").groupBy("page_id", "class_name").agg(D.render_section(F.array_sort(F.collect_list(item))).alias("text"))
+
+
+@query("d04_render_reading_order", R_SQL + " select page_id, coalesce(string_agg(rendered, '' order by bbox_y, bbox_x, element_id) filter (trim(rendered, ' \n\t\r')<>''), '') as text from r group by 1")
+def _(t):
+    return D.render_reading_order(rendered(t, "reading_order"))
+
+
+@query("d05_format_page")
+def format_page(t: Tables) -> DataFrame:
+    return D.format_page(L.sort_layout(t.layout_elements, t.doc_pages), t.text_contents, t.ai_descriptions, dimensions.formatting_rules(t.spark))
+
+
+@query("d05_format_page_adaptive")
+def format_adaptive(t: Tables) -> DataFrame:
+    return D.format_page(G.sort_adaptive(t.layout_elements, t.doc_pages), t.text_contents, t.ai_descriptions, dimensions.formatting_rules(t.spark))
+
+
+@query("d06_format_document_simple")
+def _(t):
+    return D.format_document_simple(D.with_texts(t.layout_elements, t.text_contents, t.ai_descriptions))
+
+
+def current(t: Tables) -> DataFrame:
+    return M.current_version(t.text_versions.filter("is_current"))
+
+
+BODY = "trim(coalesce(content,''), ' \n\t\r')"
+COMBINED = f"""with v as (select p.project_id, p.page_number, p.page_id, {BODY} as body, case when v.page_id is null then '─── 페이지 '||page_number||' ───' else '─── 페이지 '||page_number||' (Version: '||version_number||' - '||version_type||') ───' end as head from doc_pages p left join (select * from text_versions where is_current) v on v.page_id=p.page_id)"""
+
+
+@query("d08_combine_project_text", COMBINED + " select project_id, string_agg(head||chr(10)||case when body='' then '(내용 없음)' else body end, chr(10)||chr(10) order by page_number, page_id) as combined_text, count(*) as total_pages, cast(sum(len(list_filter(regexp_split_to_array(body,'\\s+'), lambda x: x<>''))) as bigint) as total_words, cast(sum(length(body)) as bigint) as total_characters from v group by 1")
+def combine(t: Tables) -> DataFrame:
+    return D.combine_project_text(t.doc_pages, current(t)).select("project_id", "combined_text", "stats.*")
+
+
+@query("d09_document_blocks", "with l as (select doc_id as project_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)),1)-1 as block from documents) select project_id, block, case when trim(line, ' \t\r')='---' then 'page_break' when regexp_matches(trim(line, ' \t\r'), '^─── .* ───$|^\\[.*\\]|^\\d+\\.') then 'heading' else 'paragraph' end as kind, trim(line, ' \t\r') as text from l where trim(line, ' \t\r')<>''")
+def _(t):
+    return D.document_blocks(t.documents.select(F.col("doc_id").alias("project_id"), F.col("text").alias("combined_text"))).select("project_id", "block", "kind", "text")
+
+
+@query("d10_list_source_texts", "select page_id, string_agg('['||class_name||']'||chr(10)||ocr_text||chr(10)||chr(10), '' order by element_id) as listing from layout_elements join text_contents using (element_id) group by 1")
+def _(t):
+    rows = t.layout_elements.join(t.text_contents, "element_id").select("page_id", F.col("element_id").alias("seq"), "class_name", F.col("ocr_text").alias("text"))
+    return D.list_source_texts(rows)
+
+
+def content(t: Tables) -> DataFrame:
+    return t.layout_elements.join(t.text_contents, "element_id").withColumn("text", F.col("ocr_text"))
+
+
+C_SQL = "with recursive c as (select e.*, t.ocr_text as text from layout_elements e join text_contents t on t.element_id=e.element_id)"
+NUMS = C_SQL.replace("recursive ", "") + ", n as (select distinct page_id, unnest(list_concat(" + ", ".join(f"regexp_extract_all(trim(text, ' \n\t\r'), '{p}', 1)" for p in Q.NUMBERS) + ")) as question from c)"
+
+
+@query("e13_extract_question_numbers", NUMS + " select page_id, question from n")
+def _(t):
+    return Q.extract_question_numbers(content(t))
+
+
+@query("e14_extract_sections", C_SQL.replace("recursive ", "") + ", s as (select page_id, element_id, bbox_y, unnest(list_concat(" + ", ".join(f"regexp_extract_all(trim(text, ' \n\t\r'), '{p}', 1)" for p in Q.SECTIONS) + ")) as section from c) select page_id, section, arg_max(bbox_y, element_id) as section_y from s group by 1,2")
+def _(t):
+    return Q.extract_sections(content(t))
+
+
+@query("e15_question_box", NUMS + " select n.page_id, n.question, arg_min(c.bbox_y, c.element_id) as q_y from n join c on c.page_id=n.page_id and c.class_name='question number' and starts_with(trim(c.text), n.question) group by 1,2")
+def _(t):
+    return Q.question_boxes(content(t), Q.extract_question_numbers(content(t)))
+
+
+@query("e16_layout_label", NUMS + " select page_id, count(*) as total_questions, case when count(*)<=2 then 'simple' when page_id%2=0 then 'sectioned' when count(*)>5 then 'multiple_choice' else 'standard' end as layout_label from n group by 1")
+def _(t):
+    return Q.layout_label(Q.extract_question_numbers(content(t)).withColumn("section", F.when(F.col("page_id") % 2 == 0, "A")))
+
+
+@query("t02_main_question_text", "select conv_id as page_id, role as question, arg_max(text, (length(text), -turn)) as main_question from conversations group by 1,2")
+def _(t):
+    parts = t.conversations.select(F.col("conv_id").alias("page_id"), F.col("role").alias("question"), F.lit("question_text").alias("kind"), "text", F.col("turn").alias("element_id"))
+    return Q.main_question_text(parts)
+
+
+@query("e19_join_texts", "select conv_id as page_id, role as question, string_agg(text, ' ' order by turn) as passage from conversations group by 1,2")
+def _(t):
+    parts = t.conversations.select(F.col("conv_id").alias("page_id"), F.col("role").alias("question"), F.lit("passage").alias("kind"), "text", F.col("turn").alias("element_id"), F.col("turn").alias("bbox_y"))
+    return Q.join_texts(parts, "passage", "passage")
+
+
+@query("e20_nested_document", "select page_id, count(*) as total_elements, count(*) filter (trim(coalesce(ocr_text,''))<>'') as text_elements, count(description) as ai_elements from layout_elements left join text_contents using (element_id) left join ai_descriptions using (element_id) group by 1")
+def _(t):
+    from pagespan.operators.joins import page_with_content
+
+    out = Q.nested_document(page_with_content(t.layout_elements, t.text_contents, t.ai_descriptions))
+    return out.select("page_id", F.from_json("document", "total_elements long, text_elements long, ai_elements long").alias("d")).select("page_id", "d.*")
+
+
+def nested(t: Tables) -> DataFrame:
+    return Q.nested_questions(content(t), t.layout_elements.join(t.ai_descriptions, "element_id"))
+
+
+@query("e21_nested_questions")
+def _(t):
+    return nested(t)
+
+
+@query("d07_format_questions_text")
+def _(t):
+    return Q.format_questions_text(nested(t))
+
+
+@query("m01_replace_page_elements", "with n as (select page_id, class_name, row_number() over (order by page_id, bbox_y, bbox_x, class_name, confidence) as r from layout_elements where page_id%3=0 and class_name='figure') select element_id, page_id, class_name from layout_elements where page_id not in (select page_id from n) union all select (select max(element_id) from layout_elements)+r, page_id, class_name from n")
+def _(t):
+    new = t.layout_elements.filter("page_id % 3 = 0 and class_name = 'figure'").drop("element_id")
+    return M.replace_page_elements(t.layout_elements, new).select("element_id", "page_id", "class_name")
+
+
+@query("m02_upsert_by_element", "select element_id, case when element_id%4=0 then 'new' else description end as description from ai_descriptions union all select -element_id, 'new' from ai_descriptions where element_id%4=1")
+def _(t):
+    a = t.ai_descriptions
+    new = a.filter("element_id % 4 = 0").unionByName(a.filter("element_id % 4 = 1").withColumn("element_id", -F.col("element_id"))).withColumn("description", F.lit("new"))
+    return M.upsert(a, new)
+
+
+@query("m03_set_current_version", "select page_id, version_number, case when page_id%2=0 then version_number=1 else is_current end as is_current from text_versions")
+def _(t):
+    v = t.text_versions
+    return M.set_current_version(v, v.filter("page_id % 2 = 0 and version_number = 1")).select("page_id", "version_number", "is_current")
+
+
+@query("m04_delete_versions", "select page_id, version_number from text_versions where is_current or page_id%2=1")
+def _(t):
+    v = t.text_versions
+    return M.delete_versions(v, v.filter("page_id % 2 = 0")).select("page_id", "version_number")
+
+
+def cached(t: Tables) -> DataFrame:
+    return t.doc_pages.groupBy("project_id").agg(F.min("analyzed_at").alias("generated_at"), F.max("analyzed_at").alias("updated_at"), F.lit("old").alias("combined_text"))
+
+
+@query("m05_save_edits", "select page_id, max(version_number)+1 as version_number, 'user_edited' as version_type from text_versions where page_id%2=1 group by 1")
+def _(t):
+    edits = t.text_versions.filter("page_id % 2 = 1 and is_current").select("page_id", F.lit(1).alias("seq"), F.lit("edited").alias("content"))
+    versions, _ = M.save_edits(t.text_versions, edits, t.doc_pages, cached(t))
+    return versions.filter("content = 'edited'").select("page_id", "version_number", "version_type")
+
+
+@query("m05_cache_after_edits", "select distinct project_id from doc_pages where project_id not in (select project_id from doc_pages where page_id in (select page_id from text_versions where page_id%2=1))")
+def _(t):
+    edits = t.text_versions.filter("page_id % 2 = 1 and is_current").select("page_id", F.lit(1).alias("seq"), F.lit("edited").alias("content"))
+    return M.save_edits(t.text_versions, edits, t.doc_pages, cached(t))[1].select("project_id")
+
+
+@query("m06_upsert_combined", "select project_id, min(analyzed_at) as generated_at, case when project_id%2=0 then 'new' else 'old' end as combined_text from doc_pages group by 1")
+def _(t):
+    new = cached(t).filter("project_id % 2 = 0").withColumns({"combined_text": F.lit("new"), "generated_at": F.col("updated_at")})
+    return M.upsert_combined(cached(t), new).select("project_id", "generated_at", "combined_text")
+
+
+@query("m07_cascade_delete", "select 'projects' as name, count(*) as n from projects where project_id%2=1 union all select 'pages', count(*) from doc_pages where project_id%2=1 union all select 'elements', count(*) from layout_elements where page_id not in (select page_id from doc_pages where project_id%2=0) union all select 'texts', count(*) from text_contents where element_id not in (select element_id from layout_elements where page_id in (select page_id from doc_pages where project_id%2=0))")
+def _(t):
+    tables = {"projects": t.projects, "pages": t.doc_pages, "elements": t.layout_elements, "texts": t.text_contents}
+    out = M.cascade_delete(tables, t.projects.filter("project_id % 2 = 0"))
+    counts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n") for name, df in out.items()]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2]).unionByName(counts[3])
+
+
+@query("m08_patch_rows", "select project_id, case when project_id%3=0 then null when project_id%3=1 then 'patched' else project_name end as project_name, case when project_id%3=1 then status when project_id%3=0 then 'new' else status end as status from projects")
+def _(t):
+    k = F.col("project_id") % 3
+    patch = t.projects.filter(k < 2).select("project_id", F.when(k == 1, "patched").alias("project_name"), F.when(k == 0, "new").alias("status"), F.when(k == 0, F.array(F.lit("project_name"), F.lit("status"))).otherwise(F.array(F.lit("project_name"))).alias("fields_set"))
+    return M.patch_rows(t.projects, patch, "project_id", ["project_name", "status"]).select("project_id", "project_name", "status")
+
+
+@query("m09_update_page_status", "select page_id, case when page_id%4=0 then 'completed' when page_id%4=1 then 'error' else analysis_status end as analysis_status, case when page_id%4<2 then 1.5 else processing_time end as processing_time, case when page_id%4=0 then timestamp '2030-01-01 00:00:00' else cast(analyzed_at as timestamp) end as analyzed_at from doc_pages")
+def _(t):
+    k = F.col("page_id") % 4
+    updates = t.doc_pages.filter(k < 2).select("page_id", F.when(k == 0, "completed").otherwise("error").alias("status"), F.lit(1.5).alias("processing_time"))
+    pages = t.doc_pages.withColumn("analyzed_at", F.col("analyzed_at").cast("timestamp"))
+    return M.update_page_status(pages, updates, F.expr("timestamp '2030-01-01 00:00:00'")).select("page_id", "analysis_status", "processing_time", "analyzed_at")
+
+
+@query("m10_cache_freshness", "with c as (select project_id, min(analyzed_at) as updated_at, max(analyzed_at) filter (page_id%2=0) as newest from doc_pages group by 1) select project_id, case when newest is null then true else updated_at>=newest end as fresh from c")
+def _(t):
+    combined = t.doc_pages.groupBy("project_id").agg(F.min("analyzed_at").alias("updated_at"))
+    versions = t.doc_pages.select("page_id", F.col("analyzed_at").alias("created_at"), (F.col("page_id") % 2 == 0).alias("is_current"))
+    return M.cache_freshness(combined, t.doc_pages, versions)
+
+
+@query("m11_project_status_view", "select project_id, string_agg(page_number||':'||analysis_status, ',' order by page_number, page_id) as pages from projects join doc_pages using (project_id) group by 1")
+def _(t):
+    view = M.project_status_view(t.projects, t.doc_pages).filter("pages is not null")
+    return view.select("project_id", F.array_join(F.transform("pages", lambda p: F.concat_ws(":", p["page_number"], p["analysis_status"])), ",").alias("pages"))
+
+
+@query("r02_stream_job_status", "select page_id, arg_max(status, (ts, event_id)) as status, max(ts) as ts from page_status_events group by 1")
+def _(t):
+    at = R.scratch_dir(t.spark)
+    status = F.when(F.col("event_type") == "signup", "pending").when(F.col("event_type") == "view", "processing").when(F.col("event_type") == "error", "failed").otherwise("completed")
+    events = R.file_stream(t.spark, f"{t.sf_dir}/events.parquet*", t.events.schema).select("event_id", "ts", F.col("user_id").alias("page_id"), status.alias("status"))
+    return R.stream_job_status(events, f"{at}/status", f"{at}/checkpoint")
+
+
+@query("r03_stream_edits", "select conv_id as page_id, cast(turn+2 as int) as version_number, turn=max(turn) over (partition by conv_id) as is_current from conversations union all select distinct conv_id, 1, false from conversations")
+def _(t):
+    at = R.scratch_dir(t.spark)
+    first = t.conversations.select(F.col("conv_id").alias("page_id")).distinct().select("page_id", F.lit(1).alias("version_number"), F.lit("original").alias("version_type"), F.lit("").alias("content"), F.lit(True).alias("is_current"))
+    log = R.VersionLog(t.spark, f"{at}/versions", first)
+    rows = R.file_stream(t.spark, f"{t.sf_dir}/conversations.parquet*", t.conversations.schema)
+    edits = rows.select(F.concat_ws("-", "conv_id", "turn").alias("edit_id"), F.col("conv_id").alias("page_id"), F.col("turn").alias("seq"), F.col("text").alias("content"))
+    return R.stream_edits(edits, log, f"{at}/checkpoint").select("page_id", "version_number", "is_current")
+
+
+@query("r01_stream_pages")
+def _(t):
+    at = R.scratch_dir(t.spark)
+    t.layout_elements.repartition(4, "page_id").write.parquet(f"{at}/in")
+    elements = R.file_stream(t.spark, f"{at}/in", t.layout_elements.schema, files=2)
+    log = R.VersionLog(t.spark, f"{at}/versions", t.text_versions.select("page_id", "version_number", "version_type", "content", "is_current"))
+    return R.stream_pages(elements, t.doc_pages, t.text_contents, t.ai_descriptions, dimensions.formatting_rules(t.spark), log, f"{at}/checkpoint")
+
+
+@query("x03_page_kernel", "select page_id, max(bbox_y+bbox_height) as bottom from layout_elements group by 1")
+def _(t):
+    def lowest(pdf):
+        import pandas as pd
+
+        return pd.DataFrame({"page_id": [pdf.page_id.iloc[0]], "bottom": [int((pdf.bbox_y + pdf.bbox_height).max())]})
+
+    return G.page_kernel(t.layout_elements.select("page_id", "bbox_y", "bbox_height"), lowest, "page_id long, bottom int")
+
+
