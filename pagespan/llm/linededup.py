@@ -27,7 +27,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagespan.llm.shared import WORD_GAP, dropped, fresh, shared_dir, written
+from pagespan.llm.shared import WORD_GAP, dropped, fresh, shared_dir, tidy, written
 
 MIN_WORDS, PERCENT = 5, 80
 BUCKET_BITS, RANK_BITS = 18, 8
@@ -126,7 +126,9 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     name = f"line_keys_{uuid.uuid4().hex}"
     keyed = _keys(distinct, _rarity(distinct), percent).repartition(n, "key")
-    keyed.write.bucketBy(n, "key").sortBy("key").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    keyed.write.bucketBy(n, "key").sortBy("key").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    del keyed
+    tidy(spark)
     keys = spark.table(name)
     pair = [F.col("x.d").alias("xd"), F.col("x.l").alias("xl"), F.col("y.d").alias("yd"), F.col("y.l").alias("yl")]
     heads = keys.groupBy("key").agg(F.min(F.struct("d", "l", "i", "s", "m0", "m1")).alias("h"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "h.*")
