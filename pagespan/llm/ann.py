@@ -104,7 +104,7 @@ def fit(vectors: DataFrame, sample: int = SAMPLE, size: int = LIST, seed: int =
     rows = vectors.select("x", unit_hash(seed, F.col("vec_id")).alias("h"), "vec_id").orderBy("h", "vec_id").limit(sample).collect()
     lengths = [len(r["x"]) for r in rows]
     dim = max(sorted(set(lengths)), key=lengths.count) if lengths else 0
-    x = np.array([r["x"] for r in rows if len(r["x"]) == dim], np.float64).reshape(-1, dim)
+    x = np.array([r["x"] for r in rows if len(r["x"]) == dim], np.float64).reshape(-1, dim or 1)
     rng = np.random.default_rng(seed)
     most = max(5, int(size * len(x) / max(n, 1)))
     return Centroids(split_evenly(x, most, rng), rng), dim
@@ -136,6 +136,8 @@ def neighbours(vectors: DataFrame, queries: Column, k: int = 10, vec_id: str = "
     """query_id, rank, vec_id, score: the ``k`` nearest found of each row that ``queries`` picks."""
     rows = vectors.filter(usable(F.col(vec_id), F.col(vector))).select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("x"), queries.alias("asks"))
     cells, dim = fit(rows)
+    if not dim:
+        return rows.limit(0).select(F.lit(0).cast("long").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
     rows = rows.filter(F.size("x") == dim)
     sent = vectors.sparkSession.sparkContext.broadcast(cells)
     lists = written(_dealt(rows, sent, dim, False), "lists")

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from pagespan.llm.shared import dropped, written
 
+#: Edges that one task may hold.
+FEW = 200_000
+
 
 def components(edges: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
     """node and component (smallest node reachable) of all nodes but components' smallest.
@@ -24,13 +27,17 @@ def components(edges: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
         if mark == before or not mark["n"]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
         before = mark
+        table = now
+        if mark["n"] <= FEW:  # counted: so few edges are one partition's work, without exchanges
+            now = now.coalesce(1)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         large = written(large, "edges")
+        table_large, large = large, large.coalesce(1) if mark["n"] <= FEW else large
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = written(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        dropped(now)
-        dropped(large)
+        dropped(table)
+        dropped(table_large)
         now = small

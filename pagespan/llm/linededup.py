@@ -27,7 +27,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagespan.llm.shared import WORD_GAP, dropped, fresh, shared_dir, tidy, written
+from pagespan.llm.shared import NARROW_ROWS, WORD_GAP, dropped, fresh, shared_dir, tidy, written
 
 MIN_WORDS, PERCENT = 5, 80
 BUCKET_BITS, RANK_BITS = 18, 8
@@ -36,8 +36,6 @@ FREQUENT = 4096
 #: Ranks are eighths of the count's binary logarithm.
 _SCALE = 8
 _HASH_BITS = 63 - RANK_BITS
-#: Rows of two numbers that are broadcast at most.
-NARROW_ROWS = 500_000
 
 
 def _bound(value: Column, body) -> Column:

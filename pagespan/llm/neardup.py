@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagespan.llm.components import components
-from pagespan.llm.shared import dropped, sliced, written
+from pagespan.llm.shared import NARROW_ROWS, dropped, sliced, written
 from pagespan.llm.textbytes import mix, shingle_sets
 
 #: A prime, so that any step walks through all registers.
@@ -137,6 +137,9 @@ def _alike(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
 
 def _sets(docs: DataFrame, ids: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
     """id and sorted shingle hashes of the documents in ``ids``, as a written table."""
+    ids = written(ids, "ids")
+    if ids.count() <= NARROW_ROWS:
+        ids = F.broadcast(ids)
     wanted = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(ids, "id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,11 +280,12 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     members = written(banded.join(buckets, "key"), "members")
     confirm = lambda pairs: _confirmed(written(_alike(pairs, classes, least), "alike"), docs, doc_id, text, width, percent)
     star = members.filter("rep <> center").groupBy("rep").agg(F.min("center").alias("u")).select("u", F.col("rep").alias("v"))
-    labels = written(components(confirm(star)), "labels")
-    open_ = _labelled(members, labels)
-    of = open_.select("rep", "comp").distinct()
-    star = open_.filter("rep <> center").join(of.toDF("center", "center_comp"), "center").filter("comp <> center_comp").select(F.col("center").alias("u"), F.col("rep").alias("v")).distinct()
-    labels = written(components(labels.toDF("u", "v").unionByName(confirm(star))), "labels")
+    links = confirm(star)
+    # one step of these links is enough to tell what the second star can leave out
+    open_ = _labelled(members, links.select(F.col("v").alias("node"), F.col("u").alias("component")))
+    of = open_.select(F.col("rep").alias("center"), F.col("comp").alias("center_comp")).distinct()
+    star = open_.filter("rep <> center").select("center", "rep", "comp").distinct().join(of, "center").filter("comp <> center_comp").select(F.col("center").alias("u"), F.col("rep").alias("v"))
+    labels = written(components(links.unionByName(confirm(star))), "labels")
     open_ = _labelled(members, labels)
     small, large = open_.filter(F.col("n") <= SMALL), open_.filter(F.col("n") > SMALL)
     sets = _sets(docs, large.select(F.col("rep").alias("id")).distinct(), doc_id, text, width)

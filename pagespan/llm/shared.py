@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
 #: A side of a join is broadcast only when this many rows were counted at most.
 BROADCAST_ROWS = 20_000
+#: The same for rows of one or two numbers.
+NARROW_ROWS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
