@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+PAGES_A_RANGE = 100_000
+
 
 def replace_page_elements(elements: DataFrame, new: DataFrame) -> DataFrame:
     """The pages of ``new`` (without element_id) lose their elements and get these, with ids after the largest.
@@ -13,10 +15,13 @@ def replace_page_elements(elements: DataFrame, new: DataFrame) -> DataFrame:
     """
     kept = elements.join(new.select("page_id").distinct(), "page_id", "left_anti")
     top = elements.agg(F.coalesce(F.max("element_id"), F.lit(0)).alias("m")).first()["m"]
-    per = new.groupBy("page_id").count()
-    # the pages of one write are few beside the table; their counts are summed in page order
-    before = F.coalesce(F.sum("count").over(Window.partitionBy(F.lit(0)).orderBy("page_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    first = per.select("page_id", before.alias("_before"))
+    # rows of smaller pages, in two steps: within a range of pages, and over the (far fewer) ranges
+    per = new.groupBy("page_id").count().withColumn("_range", F.floor(F.col("page_id") / PAGES_A_RANGE))
+    ranges = per.groupBy("_range").agg(F.sum("count").alias("_n"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select("_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    within = Window.partitionBy("_range").orderBy("page_id").rowsBetween(Window.unboundedPreceding, -1)
+    first = per.join(ranges, "_range").select("page_id", (F.col("_start") + F.coalesce(F.sum("count").over(within), F.lit(0))).alias("_before"))
     at = F.row_number().over(Window.partitionBy("page_id").orderBy("bbox_y", "bbox_x", "class_name", "confidence"))
     fresh = new.join(first, "page_id").withColumn("element_id", F.lit(top) + F.col("_before") + at).select(*elements.columns)
     return kept.unionByName(fresh)
@@ -27,16 +32,28 @@ def upsert(base: DataFrame, new: DataFrame, key: str = "element_id") -> DataFram
     return base.join(new.select(key), key, "left_anti").select(*base.columns).unionByName(new.select(*base.columns))
 
 
-def number_versions(versions: DataFrame, new: DataFrame) -> DataFrame:
-    """``new`` (page_id, seq, version_type, content) numbered after each page's last; only a page's newest row is current."""
+VERSION = ["page_id", "version_number", "version_type", "content", "is_current"]
+
+
+def numbered(versions: DataFrame, new: DataFrame) -> DataFrame:
+    """``new`` (page_id, seq, version_type, content) numbered after each page's last; is_current is still null."""
     top = versions.groupBy("page_id").agg(F.max("version_number").alias("_top"))
     at = F.row_number().over(Window.partitionBy("page_id").orderBy("seq"))
     fresh = new.join(top, "page_id", "left").withColumn("version_number", (F.coalesce("_top", F.lit(0)) + at).cast("int"))
-    every = versions.select("page_id", "version_number", "version_type", "content", "is_current").unionByName(fresh.select("page_id", "version_number", "version_type", "content", F.lit(None).cast("boolean").alias("is_current")))
+    return fresh.withColumn("is_current", F.lit(None).cast("boolean")).select(*VERSION)
+
+
+def with_current(versions: DataFrame) -> DataFrame:
+    """Pages with a row whose is_current is null have just their newest row current."""
     by = Window.partitionBy("page_id")
     touched = F.max(F.col("is_current").isNull()).over(by)
     newest = F.col("version_number") == F.max("version_number").over(by)
-    return every.withColumn("is_current", F.when(touched, newest).otherwise(F.col("is_current")))
+    return versions.withColumn("is_current", F.when(touched, newest).otherwise(F.col("is_current")))
+
+
+def number_versions(versions: DataFrame, new: DataFrame) -> DataFrame:
+    """``versions`` and the numbered ``new`` ones; only a page's newest row is current."""
+    return with_current(versions.select(*VERSION).unionByName(numbered(versions, new)))
 
 
 def current_version(versions: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pagespan.operators import layout as L
 from pagespan.operators import lookups as K
 from pagespan.operators import stats as A
 from pagespan.plans.registered import query
-from pagespan.sources import dimensions
+from pagespan.sources import dimensions, writers
 from pagespan.sources.tables import RAW
 
 
@@ -28,12 +28,39 @@ def _(t):
     return t.layout_elements.join(F.broadcast(rules), "class_name").select("element_id", F.regexp_replace("suffix", "\n\\z", "").alias("suffix"))
 
 
-@query("s08_resume_remaining", "select page_id, project_id || '_page_' || page_number as key from doc_pages where not (analysis_status='completed')")
+@query("s05_write_groups", "select page_id, element_id as first_element_id, bbox_y as start_y from layout_elements where class_name<>'plain text'")
 def _(t):
-    from pagespan.sources.writers import resume_remaining
+    from pagespan.streaming.streams import scratch_dir
+
+    at = f"{scratch_dir(t.spark)}/groups"
+    rows = L.reading_order(L.preprocess(t.layout_elements))
+    writers.write_groups(A.build_groups(rows), A.group_map(rows), at, buckets=4)
+    return t.spark.read.parquet(f"{at}/question_groups").select("page_id", "first_element_id", "start_y")
+
+
+@query("s06_write_json_results", "select page_id, cast(count(*) as int) as n from layout_elements group by 1")
+def _(t):
+    from pagespan.streaming.streams import scratch_dir
+
+    at = f"{scratch_dir(t.spark)}/json"
+    writers.write_json_results(J.nested_pages(J.page_with_content(t.layout_elements, t.text_contents, t.ai_descriptions)), at)
+    return t.spark.read.schema("page_id long, elements array<struct<element_id: long>>").json(at).select("page_id", F.size("elements").alias("n"))
+
 
+@query("s07_write_project_text", "select project_id, count(*) as lines from doc_pages group by 1")
+def _(t):
+    from pagespan.streaming.streams import scratch_dir
+
+    at = f"{scratch_dir(t.spark)}/texts"
+    texts = t.doc_pages.groupBy("project_id").agg(F.array_join(F.array_sort(F.collect_list(F.col("page_number").cast("string"))), "\n").alias("combined_text"))
+    writers.write_project_text(texts.repartition(4, "project_id"), at)
+    return t.spark.read.text(at).groupBy(F.col("project_id").cast("long").alias("project_id")).agg(F.count(F.lit(1)).alias("lines"))
+
+
+@query("s08_resume_remaining", "select page_id, project_id || '_page_' || page_number as key from doc_pages where not (analysis_status='completed')")
+def _(t):
     keyed = t.doc_pages.select("page_id", "analysis_status", F.concat_ws("_page_", "project_id", "page_number").alias("key"))
-    return resume_remaining(keyed, keyed.filter("analysis_status = 'completed'")).select("page_id", "key")
+    return writers.resume_remaining(keyed, keyed.filter("analysis_status = 'completed'")).select("page_id", "key")
 
 
 @query("f01_search_users", "select user_id, name from users where role='user' and (contains(lower(name),'an') or contains(lower(email),'an')) order by created_at desc, user_id desc limit 5")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagespan.sources.scratch import cut
+
 
 def write_groups(groups: DataFrame, members: DataFrame, path: str, buckets: int = 64) -> None:
     """Groups and element map, partitioned by hash of the page. Pages written again replace what they had:
@@ -14,7 +16,7 @@ def write_groups(groups: DataFrame, members: DataFrame, path: str, buckets: int
         try:
             old = df.sparkSession.read.schema(df.schema).parquet(at)
             keep = old.join(df.select("bucket").distinct(), "bucket", "left_semi").join(df.select("page_id").distinct(), "page_id", "left_anti")
-            df = df.unionByName(keep.select(*df.columns)).checkpoint()
+            df = cut(df.unionByName(keep.select(*df.columns)))
         except Exception as e:  # the first write
             if "PATH_NOT_FOUND" not in str(e):
                 raise

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagespan.operators.maintenance import number_versions
+from pagespan.operators.maintenance import VERSION, numbered, with_current
 from pagespan.operators.render import format_page
 from pagespan.operators.strategies import sort_adaptive
 
@@ -22,27 +22,34 @@ def file_stream(spark: SparkSession, path: str, schema, form: str = "parquet", f
 
 
 class VersionLog:
-    """A table as numbered snapshots, one a micro-batch: a batch that is run again finds its snapshot and stops."""
+    """Versions as a base table and one small table of new rows a micro-batch.
+
+    A batch that is run again finds its table complete and adds nothing. Which row of a page is current
+    follows from the numbers when the log is read, so that no batch rewrites earlier rows.
+    """
 
     def __init__(self, spark: SparkSession, path: str, first: DataFrame):
-        self.spark, self.path, self.schema = spark, path, first.schema
+        self.spark, self.path, self.schema = spark, path, first.select(*VERSION).schema
         self.fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self.last = -1
         if not self.has(-1):
-            first.write.parquet(f"{path}/v-1")
+            first.select(*VERSION).write.mode("overwrite").parquet(f"{path}/v-1")
+        while self.has(self.last + 1):
+            self.last += 1
 
     def has(self, batch: int) -> bool:
         at = self.fs_path(f"{self.path}/v{batch}/_SUCCESS")
         return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
     def read(self, batch: int) -> DataFrame:
-        while not self.has(batch):
-            batch -= 1
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{batch}")
+        """The versions after ``batch``."""
+        paths = [f"{self.path}/v{k}" for k in range(-1, batch + 1) if self.has(k)]
+        return with_current(self.spark.read.schema(self.schema).parquet(*paths))
 
-    def append(self, batch: int, make) -> None:
+    def append(self, batch: int, new: DataFrame) -> None:
+        """``new``: page_id, seq, version_type, content."""
         if not self.has(batch):
-            make(self.read(batch - 1)).write.mode("overwrite").parquet(f"{self.path}/v{batch}")
+            numbered(self.read(batch - 1), new).write.mode("overwrite").parquet(f"{self.path}/v{batch}")
         self.last = max(self.last, batch)
 
     def latest(self) -> DataFrame:
@@ -57,13 +64,11 @@ def stream_pages(elements: DataFrame, pages: DataFrame, texts: DataFrame, ai: Da
     """Elements of new pages (a page's all come in one batch) are sorted, rendered, and appended as versions."""
 
     def batch(df: DataFrame, n: int) -> None:
-        def add(versions: DataFrame) -> DataFrame:
-            got = df.persist()
-            text = format_page(sort_adaptive(got, pages), texts, ai, rules)
-            new = text.select("page_id", F.lit(0).alias("seq"), F.lit("auto_formatted").alias("version_type"), F.col("text").alias("content"))
-            return number_versions(versions, new)
-
-        log.append(n, add)
+        if log.has(n):
+            return
+        df.persist()
+        text = format_page(sort_adaptive(df, pages), texts, ai, rules)
+        log.append(n, text.select("page_id", F.lit(0).alias("seq"), F.lit("auto_formatted").alias("version_type"), F.col("text").alias("content")))
         df.unpersist()
 
     run(elements.writeStream.foreachBatch(batch), checkpoint)
@@ -85,7 +90,7 @@ def stream_edits(edits: DataFrame, log: VersionLog, checkpoint: str) -> DataFram
     """Edits (edit_id, page_id, seq, content), each once, become user_edited versions."""
 
     def batch(df: DataFrame, n: int) -> None:
-        log.append(n, lambda versions: number_versions(versions, df.select("page_id", "seq", F.lit("user_edited").alias("version_type"), "content")))
+        log.append(n, df.select("page_id", "seq", F.lit("user_edited").alias("version_type"), "content"))
 
     run(edits.dropDuplicates(["edit_id"]).writeStream.foreachBatch(batch), checkpoint)
     return log.latest()
