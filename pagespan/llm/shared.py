@@ -70,7 +70,7 @@ def join_small(big: DataFrame, small: DataFrame, key: str, how: str = "left", sa
         return big.join(F.broadcast(small), key, how)
     (salt,) = fresh(big, "salt")
     dealt = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return big.withColumn(salt, (F.rand(7) * salts).cast("int")).join(dealt, [key, salt], how).drop(salt)
+    return big.withColumn(salt, F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int")).join(dealt, [key, salt], how).drop(salt)
 
 
 def unit_hash(seed: int | str, *cols: Column) -> Column:
