@@ -10,21 +10,36 @@ document whose every line repeats earlier lines has no text left and goes.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagespan.llm import bpe, linededup, mixing, neardup, quality
-from pagespan.llm.shared import written
+from pagespan.llm.shared import dropped, stage_of, written
+
+def staged(stage):
+    """``stage``, which first removes what earlier stages wrote for themselves."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        with stage_of(docs):
+            return stage(spark, docs, sf_dir)
+
+    return run_stage
+
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+@staged
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rules nor their host's verdict reject."""
     out, got = quality.judged(docs.select(*COLUMNS))
     return out.filter(F.col(got["kept"])).select(*COLUMNS)
 
 
+@staged
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that equal or resemble earlier ones; n_chars is renewed."""
     out, got = linededup.deduplicated(docs.select(*COLUMNS))
@@ -34,17 +49,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", "lang", "source", size.alias("n_chars"))
 
 
+@staged
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five words, 0.8): the smallest id."""
     return neardup.deduplicated(docs.select(*COLUMNS))
 
 
+@staged
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Copies of documents with all sources at equal weight, in one global order."""
     out, _ = mixing.mixed(docs.select(*COLUMNS))
     return out.select(*COLUMNS)
 
 
+@staged
 def bpe_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and the digests of ids and decoded text of every copy."""
     return bpe.token_digests(docs, bpe.vocabulary_path())
@@ -57,9 +75,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = written(docs, name)
+            if last is not None:
+                dropped(last)
+            last = docs
     return docs

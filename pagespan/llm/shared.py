@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -29,10 +30,40 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: lineage ends, lost executors cost nothing."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if _recording:
+        _stage_tables.append(path)
     tidy(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Tables that stages wrote, and whether one is being built.
+_stage_tables: list[str] = []
+_recording: list[bool] = []
+
+
+@contextlib.contextmanager
+def stage_of(docs: DataFrame) -> Iterator[None]:
+    """Around a stage's code: tables of earlier stages go, once ``docs`` no longer reads them.
+
+    A stage's result is lazy and reads its tables; when it was written and read again, the next
+    stage's ``docs`` does not name them any more.
+    """
+    read = docs.inputFiles() if _stage_tables else []
+    for path in [p for p in _stage_tables if not any(p.rsplit("/", 1)[-1] in f for f in read)]:
+        _delete(docs.sparkSession, path)
+        _stage_tables.remove(path)
+    _recording.append(True)
+    try:
+        yield
+    finally:
+        _recording.pop()
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def tidy(spark: SparkSession) -> None:
     """Let Spark delete shuffle files of plans that nothing names any more; it does so only after the driver's garbage collection."""
     spark.sparkContext._jvm.System.gc()
@@ -40,11 +71,8 @@ def tidy(spark: SparkSession) -> None:
 
 def dropped(df: DataFrame) -> None:
     """Remove a table of ``written`` that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, folder)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
