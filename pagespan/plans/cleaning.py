@@ -101,10 +101,10 @@ def _(t):
 
 @query(
     "p13_map_doc_type",
-    "select project_id, case when doc_type_id in (2,3) then 'reading_order' else 'question_based' end as sorting_method, case when project_id%10=0 then null when project_id%5=0 then 'DocLayout-YOLO' when doc_type_id=2 then 'DocLayout-YOLO' else 'SmartEyeSsen' end as model_name, project_id%10=0 as model_fault from projects",
+    "select project_id, case when doc_type_id in (2,3) then 'reading_order' else 'question_based' end as sorting_method, case when project_id%10=0 then null when project_id%5=0 then 'document-layout' when doc_type_id=2 then 'document-layout' else 'worksheet-layout' end as model_name, project_id%10=0 as model_fault from projects",
 )
 def _(t):
-    given = F.when(F.col("project_id") % 10 == 0, "no such model").when(F.col("project_id") % 5 == 0, "DocLayout-YOLO")
+    given = F.when(F.col("project_id") % 10 == 0, "no such model").when(F.col("project_id") % 5 == 0, "document-layout")
     return C.map_doc_type(t.projects, given).select("project_id", "sorting_method", "model_name", "model_fault")
 
 

@@ -30,9 +30,10 @@ CLASS_NAMES = {
     6: "figure", 7: "table", 8: "flowchart", 9: "plain text", 10: "title", 11: "unit",
 }
 
+# id, name, layout model (a deployment's own names), sorting method.
 DOCUMENT_TYPES = [
-    (1, "worksheet", "SmartEyeSsen", "question_based"),
-    (2, "document", "DocLayout-YOLO", "reading_order"),
+    (1, "worksheet", "worksheet-layout", "question_based"),
+    (2, "document", "document-layout", "reading_order"),
 ]
 
 # Prefix, suffix, indent, transform, allow_empty of each document type's classes.
