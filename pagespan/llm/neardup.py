@@ -7,7 +7,7 @@ growing; a register keeps the minimum, truncated to powers of BASE. Sketches of
 
 1. documents of equal sets form a class; its smallest id represents it from there on;
 2. bands of ROWS registers propose partners. First each class meets the smallest of all its buckets'
-   members, then the smallest of each bucket that is of another component. In buckets that still hold
+   members, then the smallest of each large bucket that is of another component. In buckets that still hold
    several components, members of different components meet: in small buckets pair by pair, in
    large ones in blocks, where full sets travel along and only confirmed links come out;
 3. a joint maximum-likelihood estimate over whole sketches and the sets' sizes drops proposals
@@ -284,7 +284,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     # one step of these links is enough to tell what the second star can leave out
     open_ = _labelled(members, links.select(F.col("v").alias("node"), F.col("u").alias("component")))
     of = open_.select(F.col("rep").alias("center"), F.col("comp").alias("center_comp")).distinct()
-    star = open_.filter("rep <> center").select("center", "rep", "comp").distinct().join(of, "center").filter("comp <> center_comp").select(F.col("center").alias("u"), F.col("rep").alias("v"))
+    star = open_.filter(f"rep <> center and n > {SMALL}").select("center", "rep", "comp").distinct().join(of, "center").filter("comp <> center_comp").select(F.col("center").alias("u"), F.col("rep").alias("v"))
     labels = written(components(links.unionByName(confirm(star))), "labels")
     open_ = _labelled(members, labels)
     small, large = open_.filter(F.col("n") <= SMALL), open_.filter(F.col("n") > SMALL)
