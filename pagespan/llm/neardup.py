@@ -203,9 +203,11 @@ def _proposed(members: DataFrame, classes: DataFrame, least: float) -> DataFrame
                 continue
             key = t.column("key").to_numpy()
             end = int(np.searchsorted(key, key[-1]))  # the last key may go on in the next batch
-            for at in np.searchsorted(key, np.unique(key[:end:4096])) if end else []:
-                to = min(end, int(np.searchsorted(key, key[min(at + 4096, end) - 1], "right")))
+            at = 0
+            while at < end:  # whole buckets, each chunk from where the last one ended
+                to = int(np.searchsorted(key, key[min(at + 4096, end) - 1], "right"))
                 yield pairs(t.slice(at, to - at))
+                at = to
             rest = t.slice(end)
         if rest is not None and rest.num_rows:
             yield pairs(rest)
