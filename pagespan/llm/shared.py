@@ -87,14 +87,14 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def join_small(big: DataFrame, small: DataFrame, key: str, how: str = "left", salts: int = 64) -> DataFrame:
+def join_small(big: DataFrame, small: DataFrame, key: str, how: str = "left", salts: int = 64, size: str = "count(1)") -> DataFrame:
     """Join on ``key`` with a side that is usually small but may not be.
 
-    ``small`` (a written table, one row a key) is counted: up to BROADCAST_ROWS
-    it is broadcast, beyond that both sides are shuffled on key and salt, so that
+    ``small`` (a written table, one row a key) is counted (by ``size``, where rows are long): up to
+    BROADCAST_ROWS it is broadcast, beyond that both sides are shuffled on key and salt, so that
     a key with a third of all rows is dealt to ``salts`` partitions.
     """
-    if small.count() <= BROADCAST_ROWS:
+    if (small.agg(F.expr(size)).first()[0] or 0) <= BROADCAST_ROWS:
         return big.join(F.broadcast(small), key, how)
     (salt,) = fresh(big, "salt")
     dealt = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

@@ -1,9 +1,12 @@
 """Results are whole: no bucket, source, line or level is left out, whatever its size or place."""
 
+import decimal
+import hashlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from pagespan.llm import neardup
+from pagespan.llm import mixing, neardup
 
 
 def test_every_small_bucket_is_looked_at(spark):
@@ -26,3 +29,34 @@ def test_every_small_bucket_is_looked_at(spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert len(key) > 10_000 and len(want) == sum(n * (n - 1) // 2 for n in sizes)
     assert got == want, len(want - got)
+
+
+def test_rare_sources_are_mixed_too(spark):
+    """Counts of sources with mean rates of 0 to 1,001 are the exact inverse, by decimals."""
+    sources = ["hot"] * 2999 + [None] * 3
+    docs = spark.createDataFrame(list(enumerate(sources)), "doc_id long, source string")
+
+    def inverse(rate, u):
+        with decimal.localcontext(decimal.Context(prec=60, Emin=-10**6)):
+            p = c = (-decimal.Decimal(rate)).exp()
+            k = 0
+            while c <= decimal.Decimal(u):
+                k += 1
+                p = p * decimal.Decimal(rate) / k
+                c += p
+            return k
+
+    def check(weights, rates):
+        out, _ = mixing.mixed(docs, weights=weights)
+        got = {r["doc_id"]: r["n"] for r in out.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+        for k, s in enumerate(sources):
+            u = int(hashlib.md5(f"{mixing.SEED}|{k}".encode()).hexdigest()[:8], 16) / 2**32
+            assert got.get(k, 0) == inverse(rates[s], u), (k, s)
+
+    check(None, {"hot": 3002 / 2 / 2999, None: 3002 / 2 / 3})
+    check({"": 1.0}, {"hot": 0.0, None: 3002 / 3})
+    tables = spark.createDataFrame([("x", 60_050.0), ("y", 1e7)], "mix_source string, rate double")
+    for r in mixing.poisson_tables(tables).collect():
+        for z, c in ((-3, 0.00135), (0, 0.5), (3, 0.99865)):
+            assert abs(r["table"][round(r["rate"] + z * r["rate"] ** 0.5) - r["first"]] - c) < 0.003
+        assert len(r["table"]) < 25 * r["rate"] ** 0.5 + 200 and r["table"][0] < 2**-40 and r["table"][-1] > 1 - 2**-40
