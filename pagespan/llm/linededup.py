@@ -2,13 +2,14 @@
 
 A line is the set of its words. A line is removed when an earlier line (smaller doc_id, then
 smaller number in its document) is equal or has Jaccard similarity of ``PERCENT`` or more with
-it; lines of fewer than MIN_WORDS distinct words always stay. All candidates come from the join:
+it; lines without a word always stay. All candidates come from the join:
 
 * words are ordered by rarity: the (logarithm of the) count of each of 2**BUCKET_BITS hash
   buckets over all lines (a table of fixed size, sent as one literal), then the word's hash. Any one order for all lines gives exact results;
 * prefix filter: lines that similar share a word among each line's first
   ``size - ceil(t * size) + 1`` words. Where all of these are frequent, pairs of words of a prefix
-  one longer are the keys (two such lines share two words there);
+  one longer are the keys (two such lines share two words there). Lines so short that only an equal
+  set is that similar have their whole set as key;
 * positional and length filters, and a parity bitmap of all words (its bits differ in at most as
   many places as the sets do), drop candidates inside the join;
 * what is left is verified on the words themselves.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from pagespan.llm.shared import NARROW_ROWS, WORD_GAP, dropped, fresh, shared_dir, tidy, written
 
-MIN_WORDS, PERCENT = 5, 80
+PERCENT = 80
 BUCKET_BITS, RANK_BITS = 18, 8
 #: Words in more lines than this are keys in pairs only.
 FREQUENT = 4096
@@ -80,9 +81,12 @@ def _keys(distinct: DataFrame, ranks: Column, percent: int) -> DataFrame:
     size = F.size("t")
     prefix = size - F.ceil(size * percent / 100).cast("int") + 1
     hot = F.lit((_SCALE * (FREQUENT.bit_length() - 1)) << _HASH_BITS)
-    lines = distinct.select("d", "l", _ordered(F.col("line"), ranks).alias("t")).filter(F.size("t") >= MIN_WORDS)
-    lines = lines.select("d", "l", size.alias("s"), parity(0).alias("m0"), parity(1).alias("m1"), F.slice("t", F.lit(1), prefix).alias("p"), F.slice("t", F.lit(1), prefix + 1).alias("q"))
-    single = F.filter(F.transform("p", lambda x, i: F.struct(x.alias("key"), i.alias("i"))), lambda k: k["key"] < hot)
+    lines = distinct.select("d", "l", _ordered(F.col("line"), ranks).alias("t")).filter(F.size("t") > 0)
+    lines = lines.select("d", "l", size.alias("s"), F.xxhash64("t").alias("all"), parity(0).alias("m0"), parity(1).alias("m1"), F.slice("t", F.lit(1), prefix).alias("p"), F.slice("t", F.lit(1), prefix + 1).alias("q"))
+    s = F.col("s")
+    whole = 100 * s < percent * (s + 1)  # neither a larger nor a smaller set can match
+    # where one common word may do, there is no pair, so that frequent words are keys as well
+    single = F.filter(F.transform("p", lambda x, i: F.struct(x.alias("key"), i.alias("i"))), lambda k: (k["key"] < hot) | (percent * s <= 100))
     tail = F.filter(F.transform("q", lambda x, i: F.struct(x.alias("key"), i.alias("i"))), lambda k: k["key"] >= hot)
     pairs = _bound(
         tail,
@@ -90,7 +94,7 @@ def _keys(distinct: DataFrame, ranks: Column, percent: int) -> DataFrame:
             F.transform(h, lambda a: F.transform(F.filter(h, lambda b: b["i"] > a["i"]), lambda b: F.struct(F.xxhash64(a["key"], b["key"]).alias("key"), a["i"].alias("i"))))
         ),
     )
-    return lines.select("d", "l", "s", "m0", "m1", F.explode(F.concat(single, pairs)).alias("k")).select(F.col("k.key").alias("key"), F.col("k.i").alias("i"), "d", "l", "s", "m0", "m1")
+    return lines.select("d", "l", "s", "m0", "m1", F.explode(F.when(whole, F.array(F.struct(F.col("all").alias("key"), F.lit(0).alias("i")))).otherwise(F.concat(single, pairs))).alias("k")).select(F.col("k.key").alias("key"), F.col("k.i").alias("i"), "d", "l", "s", "m0", "m1")
 
 
 def _may_match(x: str, y: str, percent: int) -> Column:
@@ -116,10 +120,10 @@ def _verified(pairs: DataFrame, distinct: DataFrame, percent: int) -> DataFrame:
 def removed_lines(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """d, l, similar of every line to remove: copies (similar is false) and similar lines."""
     spark = docs.sparkSession
-    # MIN_WORDS words have so many characters at least; the exact test is made once a distinct line
-    lines = _lines(docs, doc_id, text).filter(F.length("line") >= 2 * MIN_WORDS - 1)
+    # the exact test for a word is made once a distinct line
+    lines = _lines(docs, doc_id, text).filter(F.length("line") > 0)
     distinct = lines.groupBy("line").agg(F.min(F.struct("d", "l")).alias("at")).select("line", "at.d", "at.l")
-    distinct = written(distinct.filter(F.size(words_of(F.col("line"))) >= MIN_WORDS), "lines")
+    distinct = written(distinct.filter(F.size(words_of(F.col("line"))) > 0), "lines")
     # bucketed by key: the three passes over the keys need no further exchange
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     name = f"line_keys_{uuid.uuid4().hex}"

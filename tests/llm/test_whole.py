@@ -6,7 +6,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from pagespan.llm import mixing, neardup
+from pagespan.llm import linededup, mixing, neardup
 
 
 def test_every_small_bucket_is_looked_at(spark):
@@ -60,3 +60,32 @@ def test_rare_sources_are_mixed_too(spark):
         for z, c in ((-3, 0.00135), (0, 0.5), (3, 0.99865)):
             assert abs(r["table"][round(r["rate"] + z * r["rate"] ** 0.5) - r["first"]] - c) < 0.003
         assert len(r["table"]) < 25 * r["rate"] ** 0.5 + 200 and r["table"][0] < 2**-40 and r["table"][-1] > 1 - 2**-40
+
+
+def test_short_lines_go_too(spark):
+    """Copies of lines of one to four words, and similar ones: equal sets, four words of five, and a very frequent word."""
+    many = "\n".join(f"often w{k} x{k} y{k} z{k}" for k in range(4200))
+    rows = [
+        (1, "one two\n一二三四五\nalpha beta gamma delta\nred green blue\noften\np q r s t"),
+        (2, "one two\n一二三四五\nkept\n \n\t\n"),
+        (3, "two  one\nblue red green red\n \nred green\noften often"),
+        (4, "delta gamma alpha beta epsilon\np q r s\np q r"),
+        (5, many),
+    ]
+    for percent, want in (
+        (80, {1: rows[0][1], 2: "kept\n \n\t\n", 3: " \nred green", 4: "p q r", 5: many}),
+        (50, None),
+    ):
+        got = {(r["d"], r["l"]) for r in linededup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string"), percent).collect()}
+        lines = [(d, k, line) for d, t in rows for k, line in enumerate(t.split("\n")) if line.split()]
+        few = [x for x in lines if x[0] < 5]
+        exact = set()
+        for a, (d, k, x) in enumerate(few):
+            for _, _, y in few[:a]:
+                p, q = set(x.split()), set(y.split())
+                if x == y or 100 * len(p & q) >= percent * len(p | q):
+                    exact.add((d, k))
+        assert {g for g in got if g[0] < 5} == exact, percent
+        if want:
+            out, _ = linededup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), percent)
+            assert {r["doc_id"]: r["text"] for r in out.collect()} == want
