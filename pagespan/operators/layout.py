@@ -38,9 +38,6 @@ def zone():
     return Window.partitionBy("page_id", "path")
 
 
-MAX_LEVELS = 16
-
-
 def preprocess(elements: DataFrame, document_type: str = "question_based") -> DataFrame:
     """Elements with an area; of question pages only anchors and children."""
     sized = elements.filter(F.col("bbox_width") * F.col("bbox_height") > 0)
@@ -154,6 +151,9 @@ def split_zones(df: DataFrame, gutter: str = "margin") -> DataFrame:
     is_sep = (F.col("_how") == "separator") & (F.col("element_id") == F.col("sep.element_id"))
     first = F.when(F.col("_how") == "separator", cy() < F.col("sep.y") + F.col("sep.h") / 2).when(F.col("_how") == "gap", cy() < F.col("gap_y")).when(F.col("_how") == "columns", cx() < F.col("gutter"))
     df = df.withColumns({"_sep": is_sep, "_first": first})
+    # a gap above all elements, at the zone's own edge, leaves the zone as it is: there the zone is final
+    stuck = (F.col("_how") == "gap") & (F.floor("gap_y") == F.col("zy0")) & (F.max(F.col("_first").cast("int")).over(zone()) == 0)
+    df = df.withColumn("_how", F.when(stuck, "none").otherwise(F.col("_how")))
     rows, columns = F.col("_how").isin("separator", "gap"), F.col("_how") == "columns"
     top = F.when(F.col("_how") == "separator", F.col("sep.y").cast("double")).otherwise(F.floor("gap_y").cast("double"))
     bottom = F.when(F.col("_how") == "separator", (F.col("sep.y") + F.col("sep.h")).cast("double")).otherwise(F.floor("gap_y").cast("double"))
@@ -172,19 +172,17 @@ def split_zones(df: DataFrame, gutter: str = "margin") -> DataFrame:
 
 
 def zone_tree(elements: DataFrame, gutter: str = "margin") -> DataFrame:
-    """Elements with their final zone. All pages' zones of a level are split together.
+    """Elements with their final zone. All pages' zones of a level are split together, until no split applies.
 
     A level's result is checkpointed, since the plan would otherwise double with each level.
     """
     todo = detect_layout_type(with_zone(elements))
     parts: list[DataFrame] = []
-    for level in range(MAX_LEVELS):
+    while True:
         split = cut(split_zones(todo, gutter))
         parts.append(split.filter("done").drop("done"))
         rest = split.filter("not done").drop("done", "layout_type")
-        if level + 1 == MAX_LEVELS or rest.isEmpty():
-            if level + 1 == MAX_LEVELS:
-                parts.append(split.filter("not done").drop("done"))
+        if rest.isEmpty():
             break
         todo = detect_layout_type(rest)
     out = parts[0]
