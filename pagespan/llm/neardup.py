@@ -5,21 +5,24 @@ a value for each register, exponentially distributed and, in each shingle's own
 growing; a register keeps the minimum, truncated to powers of BASE. Sketches of unions are registers' maxima
 (of the exponents), and equal registers are the likelier the more alike two sets are. Then:
 
-1. documents of equal sets form a class; its smallest id represents it from there on;
+1. documents of equal sets (equal size and 128-bit fingerprint) form a class; its smallest id represents it;
 2. bands of ROWS registers propose partners. First each class meets the smallest of all its buckets'
    members, then the smallest of each large bucket that is of another component. In buckets that still hold
    several components, members of different components meet: in small buckets pair by pair, in
-   large ones in blocks, where full sets travel along and only confirmed links come out;
+   large ones block by block, where full sets travel along and only confirmed links come out;
 3. a joint maximum-likelihood estimate over whole sketches and the sets' sizes drops proposals
    far below the threshold;
 4. the rest is confirmed on full sets, and confirmed links make components.
 
 A link inside one component is never looked for again: it could not change the result. At
-similarity 0.8 all bands miss a pair with probability under 1e-6.
+similarity 0.8 all bands miss a pair with probability under 3e-6; BASE is so near 1 that sets without
+common shingles share a band with probability under 1e-12, sets 0.1 alike with 6e-5, so that buckets
+do not fill with unrelated texts as the corpus grows.
 
 Defined results: null texts and texts without words are empty sets and linked with nothing; texts
 shorter than a shingle are one shingle; rows with a null id have no component and are kept;
-repeated rows share their id's component; an empty table gives an empty one.
+repeated rows share their id's component; rows of one id with different texts are one document, linked with
+all that one of its texts is linked with (n_shingles is each row's own); an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -35,29 +38,31 @@ from pagespan.llm.components import components
 from pagespan.llm.shared import NARROW_ROWS, dropped, sliced, written
 from pagespan.llm.textbytes import mix, shingle_sets
 
-#: A prime, so that any step walks through all registers.
-REGISTERS, BASE, RATE = 127, 1.2, 20.0
-ROWS = 4
-BANDS = REGISTERS // ROWS
-#: Pairs estimated this far below the threshold are dropped; about five standard errors.
-SLACK = 0.18
+ROWS, BANDS = 6, 42
+REGISTERS, BASE, RATE = ROWS * BANDS, 1.02, 20.0
+#: Added to exponents, so that the largest values stay above 0.
+SHIFT = 40
+#: Bits of a bucket's key below its band.
+KEY_BITS = 57
+#: Pairs estimated this far below the threshold are dropped; over six standard errors.
+SLACK = 0.16
 #: Members of a bucket that are compared in one go; larger buckets go in blocks of BLOCK members.
 SMALL, BLOCK = 64, 512
 WIDTH, PERCENT = 5, 80
 
 
 def registers(flat: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sketches (rows of bytes) of sets given as hashes and offsets.
+    """Sketches (rows of 16-bit exponents) of sets given as hashes and offsets.
 
     At step j a set's elements draw values in [j, j + 1) / REGISTERS; a set is done when no register
-    is above the step.
+    is above the step. Each element walks through the registers by a step without common divisors with their number.
     """
     n = len(first) - 1
     least = np.ones(n * REGISTERS)
     size = np.diff(first)
     owner = np.repeat(np.arange(n), size)
     at = (mix(flat, 1) % np.uint64(REGISTERS)).astype(np.int64)
-    walk = (mix(flat, 2) % np.uint64(REGISTERS - 1)).astype(np.int64) + 1
+    walk = _STEPS[(mix(flat, 2) % np.uint64(len(_STEPS))).astype(np.int64)]
     h = flat
     for j in range(REGISTERS):
         if not len(owner):
@@ -71,8 +76,26 @@ def registers(flat: np.ndarray, first: np.ndarray) -> np.ndarray:
         owner, h, walk = owner[go], h[go], walk[go]
         at = (at[go] + walk) % REGISTERS
     x = -np.log1p(-np.minimum(least, 1 - 1e-16)) / RATE
-    k = np.floor(1 - np.log(np.maximum(x, 1e-300)) / np.log(BASE))
-    return np.clip(k, 0, 255).astype(np.uint8).reshape(n, REGISTERS)
+    k = np.floor(SHIFT - np.log(np.maximum(x, 1e-300)) / np.log(BASE))
+    return np.clip(k, 0, 65535).astype("<u2").reshape(n, REGISTERS)
+
+
+_STEPS = np.flatnonzero(np.gcd(np.arange(REGISTERS), REGISTERS) == 1)
+
+
+def unpacked(sketches: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """A column of sketches as rows of registers."""
+    return np.frombuffer(b"".join(sketches.to_pylist()), "<u2").reshape(-1, REGISTERS)
+
+
+def band_keys(sketch: np.ndarray) -> np.ndarray:
+    """The bucket of each band of each sketch: the band, then a hash of its registers."""
+    rows = sketch.reshape(len(sketch), BANDS, ROWS).astype(np.uint64)
+    code = np.zeros((len(sketch), BANDS), np.uint64)
+    for k in range(ROWS):
+        code = mix(code, k + 1) + rows[:, :, k]
+    band = np.arange(BANDS, dtype=np.uint64)[None, :] << np.uint64(KEY_BITS)
+    return (mix(code) >> np.uint64(64 - KEY_BITS) | band).astype(np.int64)
 
 
 def likeliest(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, grid: int = 50) -> np.ndarray:
@@ -108,68 +131,48 @@ def _sketched(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
 def _banded(classes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            k = part.num_rows
-            if not k:
-                continue
-            sketch = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint8).reshape(k, REGISTERS)
-            code = sketch[:, : BANDS * ROWS].reshape(k, BANDS, ROWS).astype(np.int64) @ (1 << 8 * np.arange(ROWS, dtype=np.int64))
-            code += np.arange(BANDS, dtype=np.int64)[None, :] << 8 * ROWS
-            yield pa.RecordBatch.from_arrays([pa.array(code.ravel()), pa.array(np.repeat(part.column("rep").to_numpy(), BANDS))], ["key", "rep"])
+            if part.num_rows:
+                keys = band_keys(unpacked(part.column("sketch")))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part.column("rep").to_numpy(), BANDS))], ["key", "rep"])
 
     return classes.select("rep", "sketch").mapInArrow(run, "key long, rep long")
 
 
-def _alike(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """Pairs (u, v) whose estimated similarity is ``least`` or more."""
-    c = classes.select("rep", "n", "sketch")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                a, b = (np.frombuffer(b"".join(part.column(x).to_pylist()), np.uint8).reshape(-1, REGISTERS) for x in ("su", "sv"))
-                got = likeliest(a, b, part.column("nu").to_numpy(), part.column("nv").to_numpy()) >= least
-                yield part.select(["u", "v"]).filter(pa.array(got))
-
-    both = pairs.join(c.toDF("u", "nu", "su"), "u").join(c.toDF("v", "nv", "sv"), "v")
-    return both.mapInArrow(run, "u long, v long")
-
-
-def _sets(docs: DataFrame, ids: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
-    """id and sorted shingle hashes of the documents in ``ids``, as a written table."""
-    ids = written(ids, "ids")
-    if ids.count() <= NARROW_ROWS:
-        ids = F.broadcast(ids)
-    wanted = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(ids, "id", "left_semi")
+def _sets(docs: DataFrame, members: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
+    """rep, size, sketch, shingles of the documents ``members`` names, as a written table."""
+    ids = written(members.select("rep").distinct(), "ids")
+    near = F.broadcast(ids) if ids.count() <= NARROW_ROWS else ids
+    wanted = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text")).join(near, "rep", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(batches, "text"):
             flat, first = shingle_sets(part.column("text"), width)
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([flat[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())], ["id", "shingles"])
+            sets = pa.array([flat[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array(np.diff(first).astype(np.int64)), pa.array([s.tobytes() for s in registers(flat, first)], pa.binary()), sets], ["rep", "size", "sketch", "shingles"])
 
-    return written(wanted.mapInArrow(run, "id long, shingles binary").dropDuplicates(["id"]), "sets")
+    out = wanted.mapInArrow(run, "rep long, size long, sketch binary, shingles binary").filter("size > 0")
+    return written(out.dropDuplicates(["rep", "shingles"]), "sets")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, width: int, percent: int) -> DataFrame:
-    """Pairs whose full sets reach the similarity."""
-    ids = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
-    table = _sets(docs, ids, doc_id, text, width)
+def _confirmed(pairs: DataFrame, sets: DataFrame, least: float, percent: int) -> DataFrame:
+    """Pairs (u, v) that the estimate does not rule out and whose full sets reach the similarity."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            ok = [_similar(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64), percent) for a, b in zip(part.column("a"), part.column("b"), strict=True)]
-            yield part.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                near = likeliest(unpacked(part.column("su")), unpacked(part.column("sv")), part.column("nu").to_numpy(), part.column("nv").to_numpy())
+                a, b = part.column("a"), part.column("b")
+                ok = [bool(e >= least) and _similar(np.frombuffer(a[k].as_buffer(), np.uint64), np.frombuffer(b[k].as_buffer(), np.uint64), percent) for k, e in enumerate(near)]
+                yield part.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    both = pairs.join(table.toDF("u", "a"), "u").join(table.toDF("v", "b"), "v")
-    found = written(both.mapInArrow(check, "u long, v long"), "links")
-    dropped(table)
-    return found
+    both = pairs.join(sets.toDF("u", "nu", "su", "a"), "u").join(sets.toDF("v", "nv", "sv", "b"), "v")
+    return written(both.mapInArrow(check, "u long, v long"), "links")
 
 
 def _first_band(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The first band in which pairs of sketches agree: there, and only there, a pair is looked at."""
-    same = (a[:, : BANDS * ROWS] == b[:, : BANDS * ROWS]).reshape(-1, BANDS, ROWS).all(2)
-    return same.argmax(1)
+    return (a == b).reshape(-1, BANDS, ROWS).all(2).argmax(1)
 
 
 def _proposed(members: DataFrame, classes: DataFrame, least: float) -> DataFrame:
@@ -179,16 +182,18 @@ def _proposed(members: DataFrame, classes: DataFrame, least: float) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(t: pa.Table) -> pa.RecordBatch:
             key, rep, comp, size = (t.column(c).to_numpy() for c in ("key", "rep", "comp", "size"))
-            sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, REGISTERS)
+            sketch = unpacked(t.column("sketch"))
             found = []
-            for step in range(1, SMALL):  # rows are sorted: a key's partners follow it closely
+            step = 0
+            while True:  # rows are sorted: a key's partners follow it closely
+                step += 1
                 i = np.flatnonzero(key[step:] == key[:-step]) if len(key) > step else np.zeros(0, int)
                 if not len(i):
                     break
                 j = i + step
                 go = comp[i] != comp[j]
                 i, j = i[go], j[go]
-                go = _first_band(sketch[i], sketch[j]) == key[i] >> 8 * ROWS
+                go = _first_band(sketch[i], sketch[j]) == key[i] >> KEY_BITS
                 i, j = i[go], j[go]
                 go = likeliest(sketch[i], sketch[j], size[i], size[j]) >= least
                 found.append((rep[i[go]], rep[j[go]]))
@@ -215,23 +220,26 @@ def _proposed(members: DataFrame, classes: DataFrame, least: float) -> DataFrame
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long").distinct()
 
 
-def _linked(members: DataFrame, classes: DataFrame, sets: DataFrame, least: float, percent: int) -> DataFrame:
+def _linked(members: DataFrame, sets: DataFrame, least: float, percent: int) -> DataFrame:
     """Links (u, v) between components in large buckets, one a member and component met in a block.
 
-    Members outside of a bucket's most common component meet every block of it.
+    Members outside of a bucket's most common component ask, all members are asked; both are dealt
+    into blocks of BLOCK rows, and each pair of blocks is one group.
     """
-    main = members.groupBy("key", "comp").count().groupBy("key").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
+    of = members.groupBy("key", "comp").count().groupBy("key").agg(F.max(F.struct("count", "comp")).alias("main"), F.sum("count").alias("all"))
+    of = of.select("key", F.col("main.comp").alias("main"), F.ceil((F.col("all") - F.col("main.count")) / BLOCK).cast("int").alias("askers"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = members.join(main, "key").join(classes.select("rep", F.col("n").alias("size"), "sketch"), "rep").join(sets.select(F.col("id").alias("rep"), "shingles"), "rep")
+    rows = members.join(of, "key").join(sets, "rep")
     columns = ["rep", "comp", "size", "sketch", "shingles"]
-    held = rows.select("key", F.pmod(F.hash("rep"), blocks).alias("block"), *columns, F.lit(False).alias("asks"))
-    asks = rows.filter(F.col("comp") != F.col("main")).select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), *columns, F.lit(True).alias("asks"))
+    ways = lambda n: F.sequence(F.lit(0), n - 1)
+    held = rows.select("key", F.pmod(F.hash("rep"), blocks).alias("block"), F.explode(ways(F.col("askers"))).alias("asker"), *columns, F.lit(False).alias("asks"))
+    asks = rows.filter(F.col("comp") != F.col("main")).select("key", F.explode(ways(blocks)).alias("block"), F.pmod(F.hash("rep"), "askers").alias("asker"), *columns, F.lit(True).alias("asks"))
 
     def meet(t: pa.Table) -> pa.Table:
         ask = t.column("asks").to_numpy()
         rep, comp, size = (t.column(c).to_numpy() for c in ("rep", "comp", "size"))
-        band = t.column("key")[0].as_py() >> 8 * ROWS
-        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, REGISTERS)
+        band = t.column("key")[0].as_py() >> KEY_BITS
+        sketch = unpacked(t.column("sketch"))
         full = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
         here = np.flatnonzero(~ask)
         out = []
@@ -252,7 +260,7 @@ def _linked(members: DataFrame, classes: DataFrame, sets: DataFrame, least: floa
                     out.append((min(rep[k], rep[o]), max(rep[k], rep[o])))
         return pa.table({"u": pa.array([o[0] for o in out], pa.int64()), "v": pa.array([o[1] for o in out], pa.int64())})
 
-    return held.unionByName(asks).groupBy("key", "block").applyInArrow(meet, "u long, v long").distinct()
+    return held.unionByName(asks).groupBy("key", "block", "asker").applyInArrow(meet, "u long, v long").distinct()
 
 
 def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -271,6 +279,14 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return written(held.join(mixed, "key", "left_semi"), "open")
 
 
+def _texts_of_one_id(usable: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (u, v) between an id and the classes of its texts, where these differ."""
+    prints = F.struct("f1", "f2", "n")
+    several = usable.groupBy("id").agg(F.min(prints).alias("a"), F.max(prints).alias("b")).filter("a <> b").select("id")
+    rows = usable.select("id", "f1", "f2", "n").join(several, "id", "left_semi").distinct()
+    return rows.join(classes.select("f1", "f2", "n", "rep"), ["f1", "f2", "n"]).select(F.col("id").alias("u"), F.col("rep").alias("v"))
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``docs``."""
     least = percent / 100 - SLACK
@@ -280,21 +296,22 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     banded = _banded(classes)
     buckets = banded.groupBy("key").agg(F.min("rep").alias("center"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = written(banded.join(buckets, "key"), "members")
-    confirm = lambda pairs: _confirmed(written(_alike(pairs, classes, least), "alike"), docs, doc_id, text, width, percent)
+    sets = _sets(docs, members, doc_id, text, width)
     star = members.filter("rep <> center").groupBy("rep").agg(F.min("center").alias("u")).select("u", F.col("rep").alias("v"))
-    links = confirm(star)
+    links = _confirmed(star, sets, least, percent).unionByName(_texts_of_one_id(usable, classes))
     # one step of these links is enough to tell what the second star can leave out
-    open_ = _labelled(members, links.select(F.col("v").alias("node"), F.col("u").alias("component")))
+    open_ = _labelled(members, links.groupBy("v").agg(F.min("u").alias("u")).select("v", F.least("u", "v")))
     of = open_.select(F.col("rep").alias("center"), F.col("comp").alias("center_comp")).distinct()
     star = open_.filter(f"rep <> center and n > {SMALL}").select("center", "rep", "comp").distinct().join(of, "center").filter("comp <> center_comp").select(F.col("center").alias("u"), F.col("rep").alias("v"))
-    labels = written(components(links.unionByName(confirm(star))), "labels")
+    labels = written(components(links.unionByName(_confirmed(star, sets, least, percent))), "labels")
+    dropped(open_)
     open_ = _labelled(members, labels)
     small, large = open_.filter(F.col("n") <= SMALL), open_.filter(F.col("n") > SMALL)
-    sets = _sets(docs, large.select(F.col("rep").alias("id")).distinct(), doc_id, text, width)
-    links = written(_linked(large, classes, sets, least, percent), "links")
-    dropped(sets)
-    more = _confirmed(written(_proposed(small, classes, least), "proposed"), docs, doc_id, text, width, percent)
+    links = _linked(large, sets, least, percent)
+    more = _confirmed(_proposed(small, classes, least), sets, least, percent)
     labels = written(components(labels.toDF("u", "v").unionByName(links).unionByName(more)), "labels")
+    for table in (sets, members, open_):
+        dropped(table)
     of_class = classes.select("f1", "f2", "n", "rep").join(labels.toDF("rep", "comp"), "rep", "left").select("f1", "f2", "n", F.coalesce("comp", "rep").alias("comp"))
     out = sketched.select("id", "n", "f1", "f2").join(of_class, ["f1", "f2", "n"], "left")
     comp = F.when(F.col("id").isNotNull(), F.coalesce("comp", "id"))

@@ -13,12 +13,13 @@ def test_every_small_bucket_is_looked_at(spark):
     """Against the exact join, on 14,000 open rows of one partition; buckets straddle multiples of 4096."""
     rnd = np.random.default_rng(3)
     sizes = [2] * 2045 + [10] + [2] * 2200 + rnd.integers(2, neardup.SMALL + 1, 170).tolist()
-    key = np.repeat(np.arange(len(sizes)), sizes)  # of band 0, as the code is below 2**32
-    rep = rnd.permutation(len(key))
-    sketch = rnd.integers(0, 256, (len(key), neardup.REGISTERS), dtype=np.uint8)
-    sketch[:, : neardup.ROWS] = key[:, None] >> 8 * np.arange(neardup.ROWS) & 255
+    bucket = np.repeat(np.arange(len(sizes)), sizes)
+    rep = rnd.permutation(len(bucket))
+    sketch = rnd.integers(0, 65536, (len(bucket), neardup.REGISTERS), dtype="<u2")
+    sketch[:, : neardup.ROWS] = bucket[:, None]
+    key = neardup.band_keys(sketch)[:, 0]  # of band 0
     members = spark.createDataFrame([(int(k), int(r), int(r)) for k, r in zip(key, rep)], "key long, rep long, comp long")
-    classes = spark.createDataFrame([(int(r), 100, bytes(s)) for r, s in zip(rep, sketch)], "rep long, n long, sketch binary")
+    classes = spark.createDataFrame([(int(r), 100, s.tobytes()) for r, s in zip(rep, sketch)], "rep long, n long, sketch binary")
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "1")
     try:
