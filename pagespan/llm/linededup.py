@@ -8,17 +8,20 @@ it; lines without a word always stay. All candidates come from the join:
   buckets over all lines (a table of fixed size, sent as one literal), then the word's hash. Any one order for all lines gives exact results;
 * prefix filter: lines that similar share a word among each line's first
   ``size - ceil(t * size) + 1`` words. Where all of these are frequent, pairs of words of a prefix
-  one longer are the keys (two such lines share two words there). Lines so short that only an equal
-  set is that similar have their whole set as key;
+  one longer are the keys (two such lines share two words there), or, of lines of LONG words and more, the frequent
+  words themselves, so that a line's keys stay in proportion to its words (lines a little longer than LONG have both, as
+  similar lines may lie on either side). Lines so short that only an equal set is that similar have their whole set as key;
 * positional and length filters, and a parity bitmap of all words (its bits differ in at most as
   many places as the sets do), drop candidates inside the join;
 * what is left is verified on the words themselves.
 
 Lines meet the first line of each key before all others: a line that this finds a match for needs
-no other, so that groups of very many similar lines give few candidates.
+no other, so that groups of very many similar lines give few candidates. Keys of more than HEAVY lines are
+then joined in blocks, a task a block.
 
 Defined results: null texts have no line; documents with a null id are left alone; repeated rows
-of an id are one document; the first occurrence stays; an empty table gives an empty one.
+of an id are one document (of rows of one id with different texts, a line number that goes, goes in all); the first
+occurrence stays; very long lines are lines like others; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -28,73 +31,87 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagespan.llm.shared import NARROW_ROWS, WORD_GAP, dropped, fresh, shared_dir, tidy, written
+from pagespan.llm.shared import NARROW_ROWS, dropped, fresh, shared_dir, tidy, written
 
 PERCENT = 80
 BUCKET_BITS, RANK_BITS = 18, 8
-#: Words in more lines than this are keys in pairs only.
-FREQUENT = 4096
+#: Words found more often than this are keys in pairs only, up to lines of LONG words.
+FREQUENT, LONG = 4096, 160
+#: Keys of more lines than this are joined in blocks of BLOCK lines.
+HEAVY, BLOCK = 4096, 1024
 #: Ranks are eighths of the count's binary logarithm.
 _SCALE = 8
 _HASH_BITS = 63 - RANK_BITS
+#: A line's place in one number, which hash aggregation can hold: the id, then 31 bits of the line's number.
+_LINE = 1 << 31
 
 
 def _bound(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _pieces(line: Column) -> Column:
+    """Words, and empty strings. Java splits at a single blank without a pattern; other white space is rare within lines."""
+    blank = F.when(line.rlike("[\\x09-\\x0D]"), F.regexp_replace(line, "[\\x09-\\x0D]", " ")).otherwise(line)
+    return F.split(blank, " ")
+
+
 def words_of(line: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(line, WORD_GAP), lambda w: w != ""))
+    return F.array_remove(F.array_distinct(_pieces(line)), "")
 
 
 def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("d"), F.posexplode(F.split(F.col(text), "\n")).alias("l", "line"))
 
 
+def _distinct(lines: DataFrame) -> DataFrame:
+    """Every line with a word once, at its first place: d, l, line."""
+    place = F.col("d").cast("decimal(19,0)") * F.lit(_LINE).cast("decimal(10,0)") + F.col("l").cast("decimal(10,0)")
+    first = lines.filter(F.col("line").rlike("[^\\x20\\x09-\\x0D]")).groupBy("line").agg(F.min(place).alias("at"))
+    l_ = F.pmod("at", F.lit(_LINE).cast("decimal(10,0)"))
+    return first.select(F.round((F.col("at") - l_) / F.lit(_LINE).cast("decimal(10,0)")).cast("long").alias("d"), l_.cast("int").alias("l"), "line")
+
+
 def _rarity(distinct: DataFrame) -> Column:
-    """A literal: the rank of each hash bucket, by how many lines have its words."""
+    """A literal: the rank of each hash bucket by how often its words occur, shifted above the hash's bits."""
     bucket = F.shiftrightunsigned(F.xxhash64("w"), 64 - BUCKET_BITS)
-    words = distinct.select(F.explode(words_of(F.col("line"))).alias("w")).groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    words = distinct.select(F.explode(_pieces(F.col("line"))).alias("w")).filter("w <> ''").groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n"))
     rank = F.least(F.floor(_SCALE * F.log2(1 + F.col("n"))), F.lit((1 << RANK_BITS) - 1)).cast("int")
     ranks = ["0"] * (1 << BUCKET_BITS)
     for r in words.select("b", rank.alias("r")).collect():  # at most 2**BUCKET_BITS rows
-        ranks[r["b"]] = str(r["r"])
-    return F.split(F.lit(",".join(ranks)), ",").cast("array<int>")
+        ranks[r["b"]] = str(r["r"] << _HASH_BITS)
+    return F.split(F.lit(",".join(ranks)), ",").cast("array<long>")
 
 
 def _ordered(line: Column, ranks: Column) -> Column:
     """The line's words as numbers that sort by rarity: bucket rank, then hash."""
-
-    def number(w: Column) -> Column:
-        h = F.xxhash64(w)
-        rank = F.get(ranks, F.shiftrightunsigned(h, 64 - BUCKET_BITS).cast("int")).cast("long")
-        return F.shiftleft(rank, _HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << _HASH_BITS) - 1)))
-
-    return F.sort_array(F.array_distinct(F.transform(words_of(line), number)))
+    hashes = F.transform(F.array_remove(_pieces(line), ""), lambda w: F.xxhash64(w))
+    numbers = F.transform(hashes, lambda h: F.get(ranks, F.shiftrightunsigned(h, 64 - BUCKET_BITS).cast("int")).bitwiseOR(F.shiftrightunsigned(h, RANK_BITS + 1)))
+    return F.sort_array(F.array_distinct(numbers))
 
 
 def _keys(distinct: DataFrame, ranks: Column, percent: int) -> DataFrame:
     """key, place, and the line's (d, l), size and bitmap, for every key of every line."""
-    def parity(odd: int) -> Column:
-        return F.expr(f"aggregate(t, 0L, (a, x) -> if((shiftright(x, 6) & 1L) = {odd}, a ^ shiftleft(1L, cast(x & 63L as int)), a))")
-
+    parity = F.aggregate("t", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63).cast("long")).cast("int"))))
     size = F.size("t")
     prefix = size - F.ceil(size * percent / 100).cast("int") + 1
     hot = F.lit((_SCALE * (FREQUENT.bit_length() - 1)) << _HASH_BITS)
     lines = distinct.select("d", "l", _ordered(F.col("line"), ranks).alias("t")).filter(F.size("t") > 0)
-    lines = lines.select("d", "l", size.alias("s"), F.xxhash64("t").alias("all"), parity(0).alias("m0"), parity(1).alias("m1"), F.slice("t", F.lit(1), prefix).alias("p"), F.slice("t", F.lit(1), prefix + 1).alias("q"))
+    lines = lines.select("d", "l", size.alias("s"), F.xxhash64("t").alias("all"), parity.alias("m"), F.slice("t", F.lit(1), prefix).alias("p"), F.slice("t", F.lit(1), prefix + 1).alias("q"))
     s = F.col("s")
     whole = 100 * s < percent * (s + 1)  # neither a larger nor a smaller set can match
     # where one common word may do, there is no pair, so that frequent words are keys as well
-    single = F.filter(F.transform("p", lambda x, i: F.struct(x.alias("key"), i.alias("i"))), lambda k: (k["key"] < hot) | (percent * s <= 100))
-    tail = F.filter(F.transform("q", lambda x, i: F.struct(x.alias("key"), i.alias("i"))), lambda k: k["key"] >= hot)
-    pairs = _bound(
-        tail,
-        lambda h: F.flatten(
-            F.transform(h, lambda a: F.transform(F.filter(h, lambda b: b["i"] > a["i"]), lambda b: F.struct(F.xxhash64(a["key"], b["key"]).alias("key"), a["i"].alias("i"))))
-        ),
-    )
-    return lines.select("d", "l", "s", "m0", "m1", F.explode(F.when(whole, F.array(F.struct(F.col("all").alias("key"), F.lit(0).alias("i")))).otherwise(F.concat(single, pairs))).alias("k")).select(F.col("k.key").alias("key"), F.col("k.i").alias("i"), "d", "l", "s", "m0", "m1")
+    alone = (percent * s <= 100) | (s >= LONG) | (F.element_at("p", -1) < hot)
+    singles = F.when(alone, F.col("p")).otherwise(F.filter("p", lambda x: x < hot))
+    tail = F.filter("q", lambda x: x >= hot)
+    pairs = _bound(tail, lambda h: F.flatten(F.transform(h, lambda a: F.transform(F.filter(h, lambda b: b > a), lambda b: F.xxhash64(a, b)))))
+    paired = (F.element_at("q", -1) >= hot) & (percent * s < 100 * LONG)
+    keys = F.when(whole, F.array("all")).when(paired, F.concat(singles, pairs)).otherwise(singles)
+    # pairs come after all single words; none begins before the first frequent word
+    n = F.when(whole, F.lit(1)).otherwise(F.size(singles))
+    rare = F.when(paired, F.size("q") - F.size(tail)).otherwise(F.lit(0))
+    out = lines.select("d", "l", "s", "m", n.alias("n"), rare.alias("rare"), F.posexplode(keys).alias("i", "key"))
+    return out.select("key", F.when(F.col("i") < F.col("n"), F.col("i")).otherwise(F.col("rare")).alias("i"), "d", "l", "s", "m")
 
 
 def _may_match(x: str, y: str, percent: int) -> Column:
@@ -103,7 +120,7 @@ def _may_match(x: str, y: str, percent: int) -> Column:
     total = c(x, "s") + c(y, "s")
     need = percent * total  # overlap >= percent * total / (100 + percent)
     rest = F.least(c(x, "s") - c(x, "i"), c(y, "s") - c(y, "i"))
-    differ = F.bit_count(c(x, "m0").bitwiseXOR(c(y, "m0"))) + F.bit_count(c(x, "m1").bitwiseXOR(c(y, "m1")))
+    differ = F.bit_count(c(x, "m").bitwiseXOR(c(y, "m")))
     earlier = (c(y, "d") < c(x, "d")) | ((c(y, "d") == c(x, "d")) & (c(y, "l") < c(x, "l")))
     return earlier & ((100 + percent) * rest >= need) & ((100 + percent) * differ <= (100 - percent) * total)
 
@@ -117,14 +134,29 @@ def _verified(pairs: DataFrame, distinct: DataFrame, percent: int) -> DataFrame:
     return both.filter((100 + percent) * common >= percent * (F.size("a") + F.size("b"))).select(F.col("xd").alias("d"), F.col("xl").alias("l")).distinct()
 
 
+def _met(x: DataFrame, y: DataFrame, percent: int, *more: str) -> DataFrame:
+    """Distinct candidates (xd, xl, yd, yl) of lines that share a key."""
+    same = F.col("x.key") == F.col("y.key")
+    for c in more:
+        same &= F.col(f"x.{c}") == F.col(f"y.{c}")
+    pair = [F.col("x.d").alias("xd"), F.col("x.l").alias("xl"), F.col("y.d").alias("yd"), F.col("y.l").alias("yl")]
+    return x.alias("x").join(y.alias("y"), same & _may_match("x", "y", percent)).select(*pair).distinct()
+
+
+def _met_in_blocks(left: DataFrame, keys: DataFrame, heavy: DataFrame, percent: int) -> DataFrame:
+    """The same for heavy keys (key, n): later lines are dealt into blocks, every earlier line goes to all blocks of its key."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    x = left.join(heavy, "key").withColumn("block", F.pmod(F.hash("d", "l"), blocks)).drop("n")
+    y = keys.join(heavy, "key").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("n")
+    return _met(x.repartition("key", "block"), y.repartition("key", "block"), percent, "block")
+
+
 def removed_lines(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """d, l, similar of every line to remove: copies (similar is false) and similar lines."""
     spark = docs.sparkSession
-    # the exact test for a word is made once a distinct line
     lines = _lines(docs, doc_id, text).filter(F.length("line") > 0)
-    distinct = lines.groupBy("line").agg(F.min(F.struct("d", "l")).alias("at")).select("line", "at.d", "at.l")
-    distinct = written(distinct.filter(F.size(words_of(F.col("line"))) > 0), "lines")
-    # bucketed by key: the three passes over the keys need no further exchange
+    distinct = written(_distinct(lines), "lines")
+    # bucketed by key: the passes over the keys need no further exchange
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     name = f"line_keys_{uuid.uuid4().hex}"
     keyed = _keys(distinct, _rarity(distinct), percent).repartition(n, "key")
@@ -132,14 +164,21 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id
     del keyed
     tidy(spark)
     keys = spark.table(name)
-    pair = [F.col("x.d").alias("xd"), F.col("x.l").alias("xl"), F.col("y.d").alias("yd"), F.col("y.l").alias("yl")]
-    heads = keys.groupBy("key").agg(F.min(F.struct("d", "l", "i", "s", "m0", "m1")).alias("h"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "h.*")
-    led = keys.alias("x").join(heads.alias("y"), (F.col("x.key") == F.col("y.key")) & _may_match("x", "y", percent)).select(*pair).distinct()
-    first = written(_verified(written(led, "led"), distinct, percent), "matched")
-    left = keys.join(F.broadcast(first), ["d", "l"], "left_anti") if first.count() <= NARROW_ROWS else keys.join(first, ["d", "l"], "left_anti")
-    rest = left.alias("x").join(keys.alias("y"), (F.col("x.key") == F.col("y.key")) & _may_match("x", "y", percent)).select(*pair).distinct()
-    more = written(_verified(written(rest, "rest"), distinct, percent), "matched")
-    dropped(keys)
+    # a key's first line: by the id, then by the line's number and what else the join needs
+    heads = keys.groupBy("key").agg(F.min(F.struct("d", "l", "i", "s", "m")).alias("h"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    led = written(_met(keys, heads.select("key", "h.*"), percent), "led")
+    first = written(_verified(led, distinct, percent), "matched")
+    few = lambda df: F.broadcast(df) if df.count() <= NARROW_ROWS else df
+    left = keys.join(few(first), ["d", "l"], "left_anti")
+    heavy = written(heads.filter(F.col("n") > HEAVY).select("key", "n"), "heavy")
+    if heavy.isEmpty():
+        rest = _met(left, keys, percent)
+    else:
+        rest = _met(left.join(few(heavy.select("key")), "key", "left_anti"), keys, percent).unionByName(_met_in_blocks(left, keys, few(heavy), percent)).distinct()
+    rest = written(rest, "rest")
+    more = written(_verified(rest, distinct, percent), "matched")
+    for table in (keys, led, rest, heavy):
+        dropped(table)
     spark.sql(f"drop table {name}")
     similar = first.unionByName(more)
     copies = [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")]
@@ -156,8 +195,8 @@ def deduplicated(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id"
     gone = removed_lines(docs, percent, doc_id, text).groupBy("d").agg(F.collect_set("l").alias("ls"), F.count_if(~F.col("similar")).alias("ne"), F.count_if(F.col("similar")).alias("ns"))
     key, drop, exact, near = fresh(docs, "gone_doc", "gone_lines", "n_exact", "n_similar")
     both = docs.withColumn(key, F.col(doc_id).cast("long")).join(gone.toDF(key, drop, exact, near), key, "left")
-    lines = F.split(F.col(text), "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col(drop), i)), "\n")
+    # the numbers that stay, by a hash set, then their lines: linear in the document's lines
+    kept = _bound(F.split(F.col(text), "\n"), lambda ls: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col(drop)), lambda i: F.get(ls, i)), "\n"))
     new = F.when(F.col(drop).isNull(), F.col(text)).otherwise(kept)
     columns = [new.alias(c) if c == text else F.col(c) for c in docs.columns]
     return both.select(*columns, F.coalesce(F.col(exact), F.lit(0)).alias(exact), F.coalesce(F.col(near), F.lit(0)).alias(near)), {"n_exact": exact, "n_similar": near}
