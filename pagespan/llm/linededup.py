@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagespan.llm.shared import NARROW_ROWS, dropped, fresh, shared_dir, tidy, written
@@ -73,20 +73,21 @@ def _distinct(lines: DataFrame) -> DataFrame:
 
 
 def _rarity(distinct: DataFrame) -> Column:
-    """A literal: the rank of each hash bucket by how often its words occur, shifted above the hash's bits."""
+    """A literal: the rank of each hash bucket, by how often its words occur."""
     bucket = F.shiftrightunsigned(F.xxhash64("w"), 64 - BUCKET_BITS)
     words = distinct.select(F.explode(_pieces(F.col("line"))).alias("w")).filter("w <> ''").groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n"))
     rank = F.least(F.floor(_SCALE * F.log2(1 + F.col("n"))), F.lit((1 << RANK_BITS) - 1)).cast("int")
     ranks = ["0"] * (1 << BUCKET_BITS)
     for r in words.select("b", rank.alias("r")).collect():  # at most 2**BUCKET_BITS rows
-        ranks[r["b"]] = str(r["r"] << _HASH_BITS)
-    return F.split(F.lit(",".join(ranks)), ",").cast("array<long>")
+        ranks[r["b"]] = str(r["r"])
+    return F.split(F.lit(",".join(ranks)), ",").cast("array<int>")
 
 
 def _ordered(line: Column, ranks: Column) -> Column:
     """The line's words as numbers that sort by rarity: bucket rank, then hash."""
     hashes = F.transform(F.array_remove(_pieces(line), ""), lambda w: F.xxhash64(w))
-    numbers = F.transform(hashes, lambda h: F.get(ranks, F.shiftrightunsigned(h, 64 - BUCKET_BITS).cast("int")).bitwiseOR(F.shiftrightunsigned(h, RANK_BITS + 1)))
+    rank = lambda h: F.coalesce(F.get(ranks, F.shiftrightunsigned(h, 64 - BUCKET_BITS).cast("int")), F.lit(0)).cast("long")
+    numbers = F.transform(hashes, lambda h: F.shiftleft(rank(h), _HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, RANK_BITS + 1)))
     return F.sort_array(F.array_distinct(numbers))
 
 
@@ -96,7 +97,7 @@ def _keys(distinct: DataFrame, ranks: Column, percent: int) -> DataFrame:
     size = F.size("t")
     prefix = size - F.ceil(size * percent / 100).cast("int") + 1
     hot = F.lit((_SCALE * (FREQUENT.bit_length() - 1)) << _HASH_BITS)
-    lines = distinct.select("d", "l", _ordered(F.col("line"), ranks).alias("t")).filter(F.size("t") > 0)
+    lines = distinct.select("d", "l", _ordered(F.col("line"), ranks).alias("t"))
     lines = lines.select("d", "l", size.alias("s"), F.xxhash64("t").alias("all"), parity.alias("m"), F.slice("t", F.lit(1), prefix).alias("p"), F.slice("t", F.lit(1), prefix + 1).alias("q"))
     s = F.col("s")
     whole = 100 * s < percent * (s + 1)  # neither a larger nor a smaller set can match
@@ -134,20 +135,23 @@ def _verified(pairs: DataFrame, distinct: DataFrame, percent: int) -> DataFrame:
     return both.filter((100 + percent) * common >= percent * (F.size("a") + F.size("b"))).select(F.col("xd").alias("d"), F.col("xl").alias("l")).distinct()
 
 
+def _places(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("x.d").alias("xd"), F.col("x.l").alias("xl"), F.col("y.d").alias("yd"), F.col("y.l").alias("yl")).distinct()
+
+
 def _met(x: DataFrame, y: DataFrame, percent: int, *more: str) -> DataFrame:
     """Distinct candidates (xd, xl, yd, yl) of lines that share a key."""
     same = F.col("x.key") == F.col("y.key")
     for c in more:
         same &= F.col(f"x.{c}") == F.col(f"y.{c}")
-    pair = [F.col("x.d").alias("xd"), F.col("x.l").alias("xl"), F.col("y.d").alias("yd"), F.col("y.l").alias("yl")]
-    return x.alias("x").join(y.alias("y"), same & _may_match("x", "y", percent)).select(*pair).distinct()
+    return _places(x.alias("x").join(y.alias("y"), same & _may_match("x", "y", percent)))
 
 
-def _met_in_blocks(left: DataFrame, keys: DataFrame, heavy: DataFrame, percent: int) -> DataFrame:
-    """The same for heavy keys (key, n): later lines are dealt into blocks, every earlier line goes to all blocks of its key."""
+def _met_in_blocks(left: DataFrame, keys: DataFrame, percent: int) -> DataFrame:
+    """The same for keys of very many lines: later lines are dealt into blocks, every earlier line goes to all blocks of its key."""
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    x = left.join(heavy, "key").withColumn("block", F.pmod(F.hash("d", "l"), blocks)).drop("n")
-    y = keys.join(heavy, "key").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("n")
+    x = left.withColumn("block", F.pmod(F.hash("d", "l"), blocks))
+    y = keys.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
     return _met(x.repartition("key", "block"), y.repartition("key", "block"), percent, "block")
 
 
@@ -156,29 +160,28 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id
     spark = docs.sparkSession
     lines = _lines(docs, doc_id, text).filter(F.length("line") > 0)
     distinct = written(_distinct(lines), "lines")
-    # bucketed by key: the passes over the keys need no further exchange
+    # a key of one line says nothing; others carry their key's first line and number of lines. Bucketed by
+    # key, so that the joins need no further exchange
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     name = f"line_keys_{uuid.uuid4().hex}"
-    keyed = _keys(distinct, _rarity(distinct), percent).repartition(n, "key")
+    of = Window.partitionBy("key")
+    head = F.first(F.struct("d", "l", "i", "s", "m")).over(of.orderBy("d", "l"))
+    keyed = _keys(distinct, _rarity(distinct), percent).repartition(n, "key").withColumns({"n": F.count(F.lit(1)).over(of), "h": head}).filter("n > 1")
     keyed.write.bucketBy(n, "key").sortBy("key").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
     del keyed
     tidy(spark)
-    keys = spark.table(name)
-    # a key's first line: by the id, then by the line's number and what else the join needs
-    heads = keys.groupBy("key").agg(F.min(F.struct("d", "l", "i", "s", "m")).alias("h"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    led = written(_met(keys, heads.select("key", "h.*"), percent), "led")
-    first = written(_verified(led, distinct, percent), "matched")
+    table = spark.table(name)
+    keys = table.drop("h")
+    led = table.select(F.struct("d", "l", "i", "s", "m").alias("x"), F.col("h").alias("y")).filter(_may_match("x", "y", percent))
+    first = written(_verified(_places(led), distinct, percent), "matched")
     few = lambda df: F.broadcast(df) if df.count() <= NARROW_ROWS else df
     left = keys.join(few(first), ["d", "l"], "left_anti")
-    heavy = written(heads.filter(F.col("n") > HEAVY).select("key", "n"), "heavy")
-    if heavy.isEmpty():
-        rest = _met(left, keys, percent)
-    else:
-        rest = _met(left.join(few(heavy.select("key")), "key", "left_anti"), keys, percent).unionByName(_met_in_blocks(left, keys, few(heavy), percent)).distinct()
-    rest = written(rest, "rest")
+    heavy = F.col("n") > HEAVY
+    rest = _met(left.filter(~heavy), keys.filter(~heavy), percent)
+    if not keys.filter(heavy).isEmpty():
+        rest = rest.unionByName(_met_in_blocks(left.filter(heavy), keys.filter(heavy), percent)).distinct()
     more = written(_verified(rest, distinct, percent), "matched")
-    for table in (keys, led, rest, heavy):
-        dropped(table)
+    dropped(table)
     spark.sql(f"drop table {name}")
     similar = first.unionByName(more)
     copies = [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")]
