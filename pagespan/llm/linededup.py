@@ -64,12 +64,35 @@ def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("d"), F.posexplode(F.split(F.col(text), "\n")).alias("l", "line"))
 
 
-def _distinct(lines: DataFrame) -> DataFrame:
-    """Every line with a word once, at its first place: d, l, line."""
+def _copies(line: str | Column) -> list[Column]:
+    """128 bits of hash, by which lines count as equal."""
+    return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2")]
+
+
+def _distinct(lines: DataFrame, parts: int) -> DataFrame:
+    """Every line with a word once, at its first place (d, l, line), dealt by its place."""
+    worded = lines.filter(F.col("line").rlike("[^\\x20\\x09-\\x0D]"))
     place = F.col("d").cast("decimal(19,0)") * F.lit(_LINE).cast("decimal(10,0)") + F.col("l").cast("decimal(10,0)")
-    first = lines.filter(F.col("line").rlike("[^\\x20\\x09-\\x0D]")).groupBy("line").agg(F.min(place).alias("at"))
+    first = worded.select(*_copies("line"), place.alias("at")).groupBy("h1", "h2").agg(F.min("at").alias("at"))
     l_ = F.pmod("at", F.lit(_LINE).cast("decimal(10,0)"))
-    return first.select(F.round((F.col("at") - l_) / F.lit(_LINE).cast("decimal(10,0)")).cast("long").alias("d"), l_.cast("int").alias("l"), "line")
+    first = first.select(F.round((F.col("at") - l_) / F.lit(_LINE).cast("decimal(10,0)")).cast("long").alias("d"), l_.cast("int").alias("l"), F.col("h1").alias("f1"))
+    # several texts of one id can have the place: the hash tells which
+    return worded.repartition(parts, "d", "l").join(first, ["d", "l"]).filter(F.xxhash64("line") == F.col("f1")).select("d", "l", "line")
+
+
+def _bucketed(df: DataFrame, parts: int, *by: str) -> tuple[str, DataFrame]:
+    """``df``, which is dealt by ``by`` into ``parts``, as a table that joins on ``by`` read without an exchange."""
+    spark = df.sparkSession
+    name = f"lines_{uuid.uuid4().hex}"
+    df.write.bucketBy(parts, *by).sortBy(*by).option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    tidy(spark)
+    return name, spark.table(name)
+
+
+def _freed(name: str, table: DataFrame) -> None:
+    dropped(table)
+    table.sparkSession.sql(f"drop table {name}")
+    tidy(table.sparkSession)
 
 
 def _rarity(distinct: DataFrame) -> Column:
@@ -157,20 +180,15 @@ def _met_in_blocks(left: DataFrame, keys: DataFrame, percent: int) -> DataFrame:
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """d, l, similar of every line to remove: copies (similar is false) and similar lines."""
-    spark = docs.sparkSession
+    n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     lines = _lines(docs, doc_id, text).filter(F.length("line") > 0)
-    distinct = written(_distinct(lines), "lines")
-    # a key of one line says nothing; others carry their key's first line and number of lines. Bucketed by
-    # key, so that the joins need no further exchange
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    name = f"line_keys_{uuid.uuid4().hex}"
+    texts, distinct = _bucketed(_distinct(lines, n), n, "d", "l")
+    # a key of one line says nothing; others carry their key's first line and number of lines
     of = Window.partitionBy("key")
     head = F.first(F.struct("d", "l", "i", "s", "m")).over(of.orderBy("d", "l"))
     keyed = _keys(distinct, _rarity(distinct), percent).repartition(n, "key").withColumns({"n": F.count(F.lit(1)).over(of), "h": head}).filter("n > 1")
-    keyed.write.bucketBy(n, "key").sortBy("key").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    name, table = _bucketed(keyed, n, "key")
     del keyed
-    tidy(spark)
-    table = spark.table(name)
     keys = table.drop("h")
     led = table.select(F.struct("d", "l", "i", "s", "m").alias("x"), F.col("h").alias("y")).filter(_may_match("x", "y", percent))
     first = written(_verified(_places(led), distinct, percent), "matched")
@@ -180,13 +198,13 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id
     rest = _met(left.filter(~heavy), keys.filter(~heavy), percent)
     if not keys.filter(heavy).isEmpty():
         rest = rest.unionByName(_met_in_blocks(left.filter(heavy), keys.filter(heavy), percent)).distinct()
-    more = written(_verified(rest, distinct, percent), "matched")
-    dropped(table)
-    spark.sql(f"drop table {name}")
-    similar = first.unionByName(more)
-    copies = [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")]
-    state = distinct.join(similar.withColumn("similar", F.lit(True)), ["d", "l"], "left").select(*copies, F.col("d").alias("fd"), F.col("l").alias("fl"), F.coalesce("similar", F.lit(False)).alias("similar"))
-    out = lines.select("d", "l", *copies).join(state, ["h1", "h2"]).filter("similar or d <> fd or l <> fl")
+    rest = written(rest, "rest")
+    _freed(name, table)
+    similar = first.unionByName(_verified(rest, distinct, percent)).withColumn("similar", F.lit(True))
+    state = distinct.join(similar, ["d", "l"], "left").select(*_copies("line"), F.col("d").alias("fd"), F.col("l").alias("fl"), F.coalesce("similar", F.lit(False)).alias("similar"))
+    state = written(state, "state")
+    _freed(texts, distinct)
+    out = lines.select("d", "l", *_copies("line")).join(state, ["h1", "h2"]).filter("similar or d <> fd or l <> fl")
     return out.select("d", "l", "similar").distinct()
 
 
