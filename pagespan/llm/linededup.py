@@ -69,15 +69,12 @@ def _copies(line: str | Column) -> list[Column]:
     return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2")]
 
 
-def _distinct(lines: DataFrame, parts: int) -> DataFrame:
-    """Every line with a word once, at its first place (d, l, line), dealt by its place."""
-    worded = lines.filter(F.col("line").rlike("[^\\x20\\x09-\\x0D]"))
+def _distinct(lines: DataFrame) -> DataFrame:
+    """Every line with a word once, at its first place: d, l, line."""
     place = F.col("d").cast("decimal(19,0)") * F.lit(_LINE).cast("decimal(10,0)") + F.col("l").cast("decimal(10,0)")
-    first = worded.select(*_copies("line"), place.alias("at")).groupBy("h1", "h2").agg(F.min("at").alias("at"))
+    first = lines.filter(F.col("line").rlike("[^\\x20\\x09-\\x0D]")).groupBy("line").agg(F.min(place).alias("at"))
     l_ = F.pmod("at", F.lit(_LINE).cast("decimal(10,0)"))
-    first = first.select(F.round((F.col("at") - l_) / F.lit(_LINE).cast("decimal(10,0)")).cast("long").alias("d"), l_.cast("int").alias("l"), F.col("h1").alias("f1"))
-    # several texts of one id can have the place: the hash tells which
-    return worded.repartition(parts, "d", "l").join(first, ["d", "l"]).filter(F.xxhash64("line") == F.col("f1")).select("d", "l", "line")
+    return first.select(F.round((F.col("at") - l_) / F.lit(_LINE).cast("decimal(10,0)")).cast("long").alias("d"), l_.cast("int").alias("l"), "line")
 
 
 def _bucketed(df: DataFrame, parts: int, *by: str) -> tuple[str, DataFrame]:
@@ -89,12 +86,6 @@ def _bucketed(df: DataFrame, parts: int, *by: str) -> tuple[str, DataFrame]:
     return name, spark.table(name)
 
 
-def _freed(name: str, table: DataFrame) -> None:
-    dropped(table)
-    table.sparkSession.sql(f"drop table {name}")
-    tidy(table.sparkSession)
-
-
 def _rarity(distinct: DataFrame) -> Column:
     """A literal: the rank of each hash bucket, by how often its words occur."""
     bucket = F.shiftrightunsigned(F.xxhash64("w"), 64 - BUCKET_BITS)
@@ -116,12 +107,14 @@ def _ordered(line: Column, ranks: Column) -> Column:
 
 def _keys(distinct: DataFrame, ranks: Column, percent: int) -> DataFrame:
     """key, place, and the line's (d, l), size and bitmap, for every key of every line."""
-    parity = F.aggregate("t", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63).cast("long")).cast("int"))))
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    side = F.lit(64).cast("long")
+    parity = lambda odd: F.aggregate("t", F.lit(0).cast("long"), lambda a, x: F.when((x.bitwiseAND(side) != 0) == F.lit(odd), a.bitwiseXOR(bit(x))).otherwise(a))
     size = F.size("t")
     prefix = size - F.ceil(size * percent / 100).cast("int") + 1
     hot = F.lit((_SCALE * (FREQUENT.bit_length() - 1)) << _HASH_BITS)
     lines = distinct.select("d", "l", _ordered(F.col("line"), ranks).alias("t"))
-    lines = lines.select("d", "l", size.alias("s"), F.xxhash64("t").alias("all"), parity.alias("m"), F.slice("t", F.lit(1), prefix).alias("p"), F.slice("t", F.lit(1), prefix + 1).alias("q"))
+    lines = lines.select("d", "l", size.alias("s"), F.xxhash64("t").alias("all"), parity(False).alias("m0"), parity(True).alias("m1"), F.slice("t", F.lit(1), prefix).alias("p"), F.slice("t", F.lit(1), prefix + 1).alias("q"))
     s = F.col("s")
     whole = 100 * s < percent * (s + 1)  # neither a larger nor a smaller set can match
     # where one common word may do, there is no pair, so that frequent words are keys as well
@@ -134,8 +127,8 @@ def _keys(distinct: DataFrame, ranks: Column, percent: int) -> DataFrame:
     # pairs come after all single words; none begins before the first frequent word
     n = F.when(whole, F.lit(1)).otherwise(F.size(singles))
     rare = F.when(paired, F.size("q") - F.size(tail)).otherwise(F.lit(0))
-    out = lines.select("d", "l", "s", "m", n.alias("n"), rare.alias("rare"), F.posexplode(keys).alias("i", "key"))
-    return out.select("key", F.when(F.col("i") < F.col("n"), F.col("i")).otherwise(F.col("rare")).alias("i"), "d", "l", "s", "m")
+    out = lines.select("d", "l", "s", "m0", "m1", n.alias("n"), rare.alias("rare"), F.posexplode(keys).alias("i", "key"))
+    return out.select("key", F.when(F.col("i") < F.col("n"), F.col("i")).otherwise(F.col("rare")).alias("i"), "d", "l", "s", "m0", "m1")
 
 
 def _may_match(x: str, y: str, percent: int) -> Column:
@@ -144,18 +137,25 @@ def _may_match(x: str, y: str, percent: int) -> Column:
     total = c(x, "s") + c(y, "s")
     need = percent * total  # overlap >= percent * total / (100 + percent)
     rest = F.least(c(x, "s") - c(x, "i"), c(y, "s") - c(y, "i"))
-    differ = F.bit_count(c(x, "m").bitwiseXOR(c(y, "m")))
+    differ = F.bit_count(c(x, "m0").bitwiseXOR(c(y, "m0"))) + F.bit_count(c(x, "m1").bitwiseXOR(c(y, "m1")))
     earlier = (c(y, "d") < c(x, "d")) | ((c(y, "d") == c(x, "d")) & (c(y, "l") < c(x, "l")))
     return earlier & ((100 + percent) * rest >= need) & ((100 + percent) * differ <= (100 - percent) * total)
 
 
 def _verified(pairs: DataFrame, distinct: DataFrame, percent: int) -> DataFrame:
-    """The later lines (d, l) of the pairs (xd, xl, yd, yl) that are similar."""
-    x = distinct.select(F.col("d").alias("xd"), F.col("l").alias("xl"), F.col("line").alias("a"))
-    y = distinct.select(F.col("d").alias("yd"), F.col("l").alias("yl"), F.col("line").alias("b"))
+    """The later lines (d, l) of the pairs (xd, xl, yd, yl) that are similar, as a written table; only lines in pairs travel."""
+    pairs = written(pairs, "pairs")
+    ids = pairs.select(F.col("xd").alias("d"), F.col("xl").alias("l")).unionByName(pairs.select(F.col("yd").alias("d"), F.col("yl").alias("l"))).distinct()
+    ids = written(ids, "ids")
+    worded = distinct.join(F.broadcast(ids) if ids.count() <= NARROW_ROWS else ids, ["d", "l"], "left_semi")
+    x, y = worded.toDF("xd", "xl", "a"), worded.toDF("yd", "yl", "b")
     both = pairs.join(x, ["xd", "xl"]).join(y, ["yd", "yl"]).select("xd", "xl", words_of(F.col("a")).alias("a"), words_of(F.col("b")).alias("b"))
     common = F.size(F.array_intersect("a", "b"))
-    return both.filter((100 + percent) * common >= percent * (F.size("a") + F.size("b"))).select(F.col("xd").alias("d"), F.col("xl").alias("l")).distinct()
+    found = both.filter((100 + percent) * common >= percent * (F.size("a") + F.size("b"))).select(F.col("xd").alias("d"), F.col("xl").alias("l")).distinct()
+    found = written(found, "matched")
+    dropped(pairs)
+    dropped(ids)
+    return found
 
 
 def _places(pairs: DataFrame) -> DataFrame:
@@ -182,28 +182,29 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id
     """d, l, similar of every line to remove: copies (similar is false) and similar lines."""
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     lines = _lines(docs, doc_id, text).filter(F.length("line") > 0)
-    texts, distinct = _bucketed(_distinct(lines, n), n, "d", "l")
+    distinct = written(_distinct(lines), "lines")
     # a key of one line says nothing; others carry their key's first line and number of lines
     of = Window.partitionBy("key")
-    head = F.first(F.struct("d", "l", "i", "s", "m")).over(of.orderBy("d", "l"))
+    head = F.first(F.struct("d", "l", "i", "s", "m0", "m1")).over(of.orderBy("d", "l"))
     keyed = _keys(distinct, _rarity(distinct), percent).repartition(n, "key").withColumns({"n": F.count(F.lit(1)).over(of), "h": head}).filter("n > 1")
-    name, table = _bucketed(keyed, n, "key")
+    name, table = _bucketed(keyed, n, "key")  # so that its join with itself needs no exchange
     del keyed
     keys = table.drop("h")
-    led = table.select(F.struct("d", "l", "i", "s", "m").alias("x"), F.col("h").alias("y")).filter(_may_match("x", "y", percent))
-    first = written(_verified(_places(led), distinct, percent), "matched")
+    led = table.select(F.struct("d", "l", "i", "s", "m0", "m1").alias("x"), F.col("h").alias("y")).filter(_may_match("x", "y", percent))
+    first = _verified(_places(led), distinct, percent)
     few = lambda df: F.broadcast(df) if df.count() <= NARROW_ROWS else df
     left = keys.join(few(first), ["d", "l"], "left_anti")
     heavy = F.col("n") > HEAVY
     rest = _met(left.filter(~heavy), keys.filter(~heavy), percent)
     if not keys.filter(heavy).isEmpty():
         rest = rest.unionByName(_met_in_blocks(left.filter(heavy), keys.filter(heavy), percent)).distinct()
-    rest = written(rest, "rest")
-    _freed(name, table)
-    similar = first.unionByName(_verified(rest, distinct, percent)).withColumn("similar", F.lit(True))
+    more = _verified(rest, distinct, percent)
+    dropped(table)
+    docs.sparkSession.sql(f"drop table {name}")
+    similar = first.unionByName(more).withColumn("similar", F.lit(True))
     state = distinct.join(similar, ["d", "l"], "left").select(*_copies("line"), F.col("d").alias("fd"), F.col("l").alias("fl"), F.coalesce("similar", F.lit(False)).alias("similar"))
     state = written(state, "state")
-    _freed(texts, distinct)
+    dropped(distinct)
     out = lines.select("d", "l", *_copies("line")).join(state, ["h1", "h2"]).filter("similar or d <> fd or l <> fl")
     return out.select("d", "l", "similar").distinct()
 
