@@ -96,11 +96,14 @@ def preview(text: Column, n: int) -> Column:
 
 
 def confidence_label(confidence: Column) -> Column:
-    return F.concat(F.format_string("%.1f", F.round(confidence * 100, 1)), F.lit("%"))
+    """Whole per cent, halves up."""
+    return F.concat(F.floor(confidence * 100 + 0.5).cast("string"), F.lit("%"))
 
 
-def duration_label(ms: Column) -> Column:
-    return F.when(ms < 1000, F.concat(F.round(ms).cast("long").cast("string"), F.lit("ms"))).otherwise(F.concat(F.format_string("%.2f", ms / 1000), F.lit("초")))
+def duration_label(seconds: Column) -> Column:
+    """Milliseconds below a second, else seconds with two digits; a dash where unknown."""
+    short = F.concat(F.format_string("%.0f", seconds * 1000), F.lit("ms"))
+    return F.when(seconds.isNull(), "-").when(seconds < 1, short).otherwise(F.concat(F.format_string("%.2f", seconds), F.lit("초")))
 
 
 def normalise_path(path: Column) -> Column:
@@ -108,43 +111,47 @@ def normalise_path(path: Column) -> Column:
 
 
 def safe_filename(name: Column) -> Column:
-    return F.substring(F.regexp_replace(name, "[^A-Za-z0-9._-]", "_"), 1, 50)
+    """Letters and digits of any script, dots, underscores and hyphens; 50 characters at most."""
+    return F.substring(F.regexp_replace(name, "[^\\p{L}\\p{N}._-]", ""), 1, 50)
 
 
-def wrap_text(text: Column, width: int = 25) -> Column:
-    """Lines that begin like a list stay; words of others are filled into lines of ``width``."""
-    start = F.struct(F.lit("").alias("done"), F.lit("").alias("line"))
+@F.pandas_udf(T.StringType())
+def _wrapped(texts, widths):
+    import re
+    import textwrap
 
-    def add(acc: Column, word: Column) -> Column:
-        fits = F.length(acc["line"]) + 1 + F.length(word) <= width
-        return F.when(acc["line"] == "", F.struct(acc["done"].alias("done"), word.alias("line"))).when(fits, F.struct(acc["done"].alias("done"), F.concat(acc["line"], F.lit(" "), word).alias("line"))).otherwise(
-            F.struct(F.when(acc["done"] == "", acc["line"]).otherwise(F.concat(acc["done"], F.lit("\n"), acc["line"])).alias("done"), word.alias("line"))
-        )
+    def one(text, width):
+        if text is None or len(text.strip()) <= 1:
+            return ""
+        keep = re.compile(r"(\d+\.\s|[-*]\s)")  # fixed value: how lines of a list begin
+        return "\n".join(x if keep.match(x) else textwrap.fill(x, width=int(width)) for x in map(str.strip, text.split("\n")))
 
-    def finish(acc: Column) -> Column:
-        return F.when(acc["done"] == "", acc["line"]).otherwise(F.concat(acc["done"], F.lit("\n"), acc["line"]))
+    return texts.combine(widths, one)
 
-    def one(x: Column) -> Column:
-        words = F.filter(F.split(x, f"{SPACE}+"), lambda w: w != "")
-        return F.when(x.rlike("^(\\d+\\.|[-*•]|[①-⑳])"), x).otherwise(F.aggregate(words, start, add, finish))
 
-    return F.array_join(F.transform(filled_lines(text), one), "\n")
+def wrap_text(text: Column, width: int = 25) -> Column:
+    """Lines that begin like a list stay, others are filled to ``width`` (breaking after hyphens and within longer words).
+
+    Python's own filling rules have no counterpart among Spark's functions, so that it runs as an Arrow function.
+    """
+    return _wrapped(text, F.lit(width))
+
+
+# Labels that a choice begins with.
+CHOICE_LABELS = ["^([①②③④⑤⑥⑦⑧⑨⑩])", f"^[(（]{SPACE}*([1-5]){SPACE}*[)）]", f"^([1-5]){SPACE}*[.．]"]
+# Words of passages and of explanations.
+PASSAGE_WORDS = ["다음을", "아래의", "위의", "그림을", "표를"]
+EXPLANATION_WORDS = ["설명", "해설", "풀이", "답:"]
 
 
 def choice_number(text: Column) -> Column:
-    """The label that a choice begins with: ①..⑩, (1)..(5), 1...5."""
-    got = F.regexp_extract(strip(text), "^([①-⑩]|\\([1-5]\\)|[1-5]\\.)", 1)
-    return F.nullif(got, F.lit(""))
+    """The digit of the label that a choice begins with; empty where there is none."""
+    return F.coalesce(*[F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in CHOICE_LABELS], F.lit(""))
 
 
 def classify_text(text: Column) -> Column:
     """choices, passage, explanations or question_text, by pattern and keyword."""
-    return (
-        F.when(text.rlike("^\\s*([①-⑳]|\\(\\d\\)|\\d\\)|[1-5]\\.)"), "choices")
-        .when(text.rlike("다음|글을|지문|읽고"), "passage")
-        .when(text.rlike("설명|해설|풀이|정답"), "explanations")
-        .otherwise("question_text")
-    )
+    return F.when(text.rlike("|".join(CHOICE_LABELS)), "choices").when(text.rlike("|".join(PASSAGE_WORDS)), "passage").when(text.rlike("|".join(EXPLANATION_WORDS)), "explanations").otherwise("question_text")
 
 
 def words(text: Column) -> Column:
@@ -152,7 +159,9 @@ def words(text: Column) -> Column:
 
 
 def section_header(page_number: Column, version: Column, kind: Column) -> Column:
-    return F.concat(F.lit("─── 페이지 "), page_number.cast("string"), F.lit(" (Version: "), version.cast("string"), F.lit(" - "), kind, F.lit(") ───"))
+    """A page's line in a project's text; a page without a version says so."""
+    state = F.when(version.isNull(), "내용 없음").otherwise(F.concat(F.lit("Version: "), version.cast("string"), F.lit(" - "), F.coalesce(kind, F.lit("None"))))
+    return F.concat(F.lit("─── 페이지 "), page_number.cast("string"), F.lit(" ("), state, F.lit(") ───"))
 
 
 def date_label(ts: Column, form: str = "file") -> Column:

@@ -56,11 +56,12 @@ def clamp_to_page(elements: DataFrame, width: Column, height: Column, keep_pixel
     return out if keep_pixel else out.filter("bbox_width > 0 and bbox_height > 0")
 
 
-def box_ratios(elements: DataFrame) -> DataFrame:
-    """Adds wh_ratio (0 for flat boxes) and the whole-pixel centre."""
+def box_ratios(elements: DataFrame, width: Column, height: Column) -> DataFrame:
+    """Adds width_ratio and height_ratio (of the image's; null where that is 0 or null) and the whole-pixel centre."""
     return elements.withColumns(
         {
-            "wh_ratio": F.when(F.col("bbox_height") > 0, F.col("bbox_width") / F.col("bbox_height")).otherwise(F.lit(0.0)),
+            "width_ratio": F.col("bbox_width") / F.nullif(width, F.lit(0)),
+            "height_ratio": F.col("bbox_height") / F.nullif(height, F.lit(0)),
             "center_x": F.floor(F.col("bbox_x") + F.col("bbox_width") / 2).cast("int"),
             "center_y": F.floor(F.col("bbox_y") + F.col("bbox_height") / 2).cast("int"),
         }
@@ -130,14 +131,10 @@ def map_doc_type(projects: DataFrame, overrides: Column | None = None) -> DataFr
     )
 
 
-NUMBER_CLASSES = ["question number", "second_question_number"]
-OCR_CLASSES = ["plain text", "unit", "question type", "question text", "question number", "title", "figure_caption", "table caption", "table footnote", "isolated_formula", "formula_caption", "list", "choices", "page", "second_question_number"]
-
-
 def route_ocr(elements: DataFrame, general: bool = True) -> DataFrame:
     """Elements to recognise, with their engine: number classes go to 'tesseract', others to 'vision' if enabled."""
     rest = "vision" if general else "tesseract"
-    return elements.filter(F.col("class_name").isin(OCR_CLASSES)).withColumn("engine", F.when(F.col("class_name").isin(NUMBER_CLASSES), "tesseract").otherwise(rest))
+    return elements.filter(F.col("class_name").isin(S.OCR_CLASSES)).withColumn("engine", F.when(F.col("class_name").isin(S.NUMBER_CLASSES), "tesseract").otherwise(rest))
 
 
 def coalesce_ocr(elements: DataFrame, primary: DataFrame, fallback: DataFrame) -> DataFrame:

@@ -222,7 +222,7 @@ def nearest_anchor(zoned: DataFrame, taken: DataFrame | None = None, keep_top: b
     a = zoned.filter(anchor()).select(*keys, F.col("element_id").alias("anchor_id"), F.col("bbox_y").alias("ay"), cx().alias("ax"), cy().alias("acy"))
     c = zoned.filter(child())
     if taken is not None:
-        c = c.join(taken.select(F.col("child_id").alias("element_id")), "element_id", "left_anti")
+        c = c.join(taken.select(*keys, F.col("child_id").alias("element_id")), [*keys, "element_id"], "left_anti")
     if keep_top:
         first = a.groupBy(*keys).agg(F.min("ay").alias("first_y"))
         high = F.col("bbox_y") < F.col("zy0") + S.TOP_ORPHANS * (F.col("zy1") - F.col("zy0"))
@@ -252,12 +252,12 @@ def group_zones(zoned: DataFrame, proximity: bool = True) -> DataFrame:
     mixed = F.col("layout_type").startswith("MIXED")
     plain = zoned.filter(~mixed)
     taken = adjacent_assign(adjacent_pairs(plain))
-    known = taken.select("child_id", "anchor_id")
+    found = ["page_id", "path", F.col("child_id").alias("element_id"), F.col("anchor_id").alias("known")]
+    known = taken.select(*found)
     if proximity:
-        known = known.unionByName(nearest_anchor(plain, taken).select("child_id", "anchor_id"))
+        known = known.unionByName(nearest_anchor(plain, taken).select(*found))
     own = F.when(anchor(), F.col("element_id")).otherwise(F.col("known"))
-    known = known.select(F.col("child_id").alias("element_id"), F.col("anchor_id").alias("known"))
-    df = zoned.join(known, "element_id", "left").withColumn("own", own).drop("known")
+    df = zoned.join(known, ["page_id", "path", "element_id"], "left").withColumn("own", own).drop("known")
     height = F.col("zy1") - F.col("zy0")
     return carry_anchor(
         df,
@@ -293,13 +293,13 @@ def lookahead_target(grouped: DataFrame, whole_page: bool = False) -> DataFrame:
     d, e = F.col("bbox_y") - F.col("ay"), F.abs(F.col("bbox_y") - F.col("ty"))
     moves = now.join(after, [*keys, "p"]).filter((d > S.MOVE_FROM) & (e < S.MOVE_RATIO * d))
     best = F.min(F.struct(e.alias("e"), (-F.col("tp")).alias("late"), F.col("target"), *(["target_path"] if whole_page else [])))
-    return moves.groupBy("element_id").agg(best.alias("b")).select("element_id", F.col("b.target").alias("target"), *([F.col("b.target_path").alias("target_path")] if whole_page else []))
+    return moves.groupBy("page_id", "element_id").agg(best.alias("b")).select("page_id", "element_id", F.col("b.target").alias("target"), *([F.col("b.target_path").alias("target_path")] if whole_page else []))
 
 
 def reassign_visuals(grouped: DataFrame, whole_page: bool = False) -> DataFrame:
     """All moves found, then applied."""
     moves = lookahead_target(grouped, whole_page)
-    out = grouped.join(moves, "element_id", "left").withColumn("anchor_id", F.coalesce("target", "anchor_id"))
+    out = grouped.join(moves, ["page_id", "element_id"], "left").withColumn("anchor_id", F.coalesce("target", "anchor_id"))
     if whole_page:
         out = out.withColumn("path", F.coalesce("target_path", "path")).drop("target_path")
     return out.drop("target")

@@ -5,10 +5,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagespan.functions import text as X
+from pagespan.sources.scratch import cut
 
 # How question numbers and sections are written.
 NUMBERS = ["(\\d+)번", "(\\d+)\\.", "문제\\s*(\\d+)", "(\\d+)\\s*(?:\\)|）)", "Q\\s*(\\d+)", "(\\d{2,3})"]
@@ -27,18 +28,32 @@ def extract_sections(content: DataFrame) -> DataFrame:
     return content.select("page_id", "element_id", "bbox_y", F.explode(found).alias("section")).groupBy("page_id", "section").agg(F.max_by("bbox_y", "element_id").alias("section_y"))
 
 
+def first_section(content: DataFrame) -> DataFrame:
+    """page_id and the section that is named first: all questions of the page belong to it."""
+    found = F.flatten(F.array(*[F.regexp_extract_all(X.strip(F.col("text")), F.lit(p), 1) for p in SECTIONS]))
+    return content.select("page_id", "element_id", F.posexplode(found).alias("at", "section")).groupBy("page_id").agg(F.min_by("section", F.struct("element_id", "at")).alias("section"))
+
+
 def question_boxes(content: DataFrame, numbers: DataFrame) -> DataFrame:
     """page_id, question, q_y: the first number element whose text is, or begins with, the number."""
+    return _placed(content, numbers).filter("q_y is not null").drop("exact_y")
+
+
+def _placed(content: DataFrame, numbers: DataFrame) -> DataFrame:
+    """All numbers with q_y and, of a number element whose whole text is the number, exact_y (null: none)."""
     marks = content.filter(F.col("class_name") == "question number").select("page_id", "element_id", F.col("bbox_y").alias("q_y"), X.strip(F.col("text")).alias("t"))
-    hits = numbers.join(marks, "page_id").filter(F.startswith("t", "question"))
-    return hits.groupBy("page_id", "question").agg(F.min_by("q_y", "element_id").alias("q_y"))
+    # a mark begins with at most as many numbers as it has characters: an equi-join instead of all pairs of a page
+    marks = marks.select("page_id", "element_id", "q_y", "t", F.explode(F.transform(F.sequence(F.lit(1), F.length(F.regexp_extract("t", "^\\d*", 0))), lambda k: F.substring("t", F.lit(1), k))).alias("question")).filter("question <> ''")
+    first = marks.groupBy("page_id", "question").agg(F.min_by("q_y", "element_id").alias("q_y"), F.min_by(F.when(F.col("t") == F.col("question"), F.col("q_y")), F.when(F.col("t") == F.col("question"), F.col("element_id"))).alias("exact_y"))
+    return numbers.join(first, ["page_id", "question"], "left")
 
 
 def next_question_y(boxes: DataFrame) -> DataFrame:
     """Adds next_q_y: the y of the next number present among the ten that follow (null: none)."""
-    n = F.col("question").cast("long")
+    n = F.col("question").try_cast("long")
     order = Window.partitionBy("page_id").orderBy("n").rangeBetween(1, 10)
-    return boxes.withColumn("n", n).withColumn("next_q_y", F.first("q_y").over(order)).drop("n")
+    there = F.when(F.col("q_y").isNotNull() & F.col("n").isNotNull(), F.struct("n", "question", "q_y"))
+    return boxes.withColumn("n", n).withColumn("next_q_y", F.when(F.col("n").isNotNull(), F.min(there).over(order)["q_y"])).drop("n")
 
 
 def layout_label(questions: DataFrame) -> DataFrame:
@@ -48,12 +63,22 @@ def layout_label(questions: DataFrame) -> DataFrame:
     return questions.groupBy("page_id").agg(n.alias("total_questions"), label.alias("layout_label"))
 
 
+def _within(boxes: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows of a page (with bbox_y) that lie from a question's y to before the next one's."""
+    both = boxes.select("page_id", "question", "q_y", "next_q_y").join(rows, "page_id")
+    return both.filter((F.col("bbox_y") >= F.col("q_y")) & (F.col("next_q_y").isNull() | (F.col("bbox_y") < F.col("next_q_y")))).drop("q_y", "next_q_y")
+
+
 def question_elements(content: DataFrame) -> DataFrame:
-    """page_id, question, element_id, kind, text, bbox_y: the texts of each question's range."""
+    """page_id, question, element_id, kind, text (stripped), bbox_y: the texts of each question's range."""
     boxes = next_question_y(question_boxes(content, extract_question_numbers(content)))
-    both = boxes.join(content.select("page_id", "element_id", "class_name", "text", "bbox_y"), "page_id")
-    inside = both.filter((F.col("bbox_y") >= F.col("q_y")) & (F.col("next_q_y").isNull() | (F.col("bbox_y") < F.col("next_q_y"))))
-    return inside.filter(X.strip(F.col("text")) != "").withColumn("kind", X.classify_text(F.col("text"))).select("page_id", "question", "element_id", "kind", "text", "bbox_y")
+    return _within(boxes, _kinds(content))
+
+
+def _kinds(content: DataFrame) -> DataFrame:
+    text = X.strip(F.col("text"))
+    rows = content.select("page_id", "element_id", text.alias("text"), "bbox_y").filter("text <> ''")
+    return rows.select("page_id", "element_id", X.classify_text(F.col("text")).alias("kind"), "text", "bbox_y")
 
 
 def main_question_text(parts: DataFrame) -> DataFrame:
@@ -67,42 +92,73 @@ def join_texts(parts: DataFrame, kind: str, name: str) -> DataFrame:
     return parts.filter(F.col("kind") == kind).groupBy("page_id", "question").agg(F.array_join(F.transform(listed, lambda x: x["text"]), " ").alias(name))
 
 
-def nested_questions(content: DataFrame, ai: DataFrame) -> DataFrame:
-    """One row a question: section, main question, passage, choices, explanations, AI lists.
+def nested_questions(content: DataFrame, ai: DataFrame, elements: DataFrame) -> DataFrame:
+    """One row a question: section, main question, passage, choices, images, tables, explanations, AI lists.
 
-    ``ai``: page_id, element_id, class_name, description, bbox_y.
+    ``ai``: page_id, element_id, class_name, description, bbox_y. ``elements``: page_id, element_id,
+    class_name, confidence and box; figures and tables of a question's range are its images and tables, described by
+    the question's first AI result of their class. Questions without a number element have no parts.
     """
+    content = content.select("page_id", "element_id", "class_name", "text", "bbox_y")
+    boxes = cut(next_question_y(_placed(content, extract_question_numbers(content))))
+    nothing = lambda kind: F.lit(None).cast(kind)
+    texts = _within(boxes, _kinds(content)).select("page_id", "question", "kind", "bbox_y", "element_id", "text", nothing("double").alias("confidence"))
+    drawn = elements.filter(F.col("class_name").isin("figure", "table")).select("page_id", "element_id", "class_name", "bbox_y", "confidence")
+    drawn = _within(boxes, drawn).select("page_id", "question", F.col("class_name").alias("kind"), "bbox_y", "element_id", nothing("string").alias("text"), "confidence")
     from pagespan.operators.joins import nearest_question
 
-    parts = question_elements(content)
-    boxes = question_boxes(content, extract_question_numbers(content))
-    sections = extract_sections(content).groupBy("page_id").agg(F.min_by("section", F.struct("section_y", "section")).alias("section"))
-    choice = F.struct("bbox_y", "element_id", X.choice_number(F.col("text")).alias("choice_number"), F.col("text").alias("choice_text"))
-    choices = parts.filter("kind = 'choices'").groupBy("page_id", "question").agg(F.array_sort(F.collect_list(choice)).alias("choices"))
-    of = nearest_question(ai, boxes).join(ai.select("element_id", "class_name", "description"), "element_id")
-    lists = of.groupBy("page_id", "question").agg(
-        F.array_sort(F.collect_list(F.when(F.col("class_name") == "figure", F.struct("element_id", "description")))).alias("image_descriptions"),
-        F.array_sort(F.collect_list(F.when(F.col("class_name") == "table", F.struct("element_id", "description")))).alias("table_analysis"),
-        F.array_sort(F.collect_list(F.when(~F.col("class_name").isin("figure", "table"), F.struct("element_id", "description")))).alias("problem_analysis"),
+    exact = boxes.filter("exact_y is not null").select("page_id", "question", F.col("exact_y").alias("q_y"))
+    said = nearest_question(ai, exact).join(ai.select("page_id", "element_id", "class_name", "description", "bbox_y"), ["page_id", "element_id"])
+    sort = F.when(F.col("class_name").isin("figure", "table"), F.concat(F.lit("ai "), "class_name")).otherwise(F.lit("ai other"))
+    said = said.select("page_id", "question", sort.alias("kind"), "bbox_y", "element_id", F.col("description").alias("text"), nothing("double").alias("confidence"))
+
+    def listed(kind: str, *names: str) -> Column:
+        return F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct(*names))))
+
+    joined = lambda kind: F.array_join(F.transform(listed(kind, "bbox_y", "element_id", "text"), lambda x: x["text"]), " ")
+    question = F.col("kind") == "question_text"
+    parts = texts.unionByName(drawn).unionByName(said).groupBy("page_id", "question").agg(
+        F.max_by(F.when(question, F.col("text")), F.when(question, F.struct(F.length("text"), -F.col("element_id")))).alias("main_question"),
+        joined("passage").alias("passage"),
+        joined("explanations").alias("explanations"),
+        listed("choices", "bbox_y", "element_id", "text").alias("choices"),
+        listed("figure", "element_id", "bbox_y", "confidence").alias("images"),
+        listed("table", "element_id", "bbox_y", "confidence").alias("tables"),
+        *[listed(f"ai {k}", "element_id", F.col("text").alias("description")).alias(name) for k, name in (("figure", "image_descriptions"), ("table", "table_analysis"), ("other", "problem_analysis"))],
+    )
+    out = boxes.select("page_id", "question").join(first_section(content), "page_id", "left").join(parts, ["page_id", "question"], "left")
+    described = lambda xs, by: F.transform(xs, lambda x: F.struct(x["element_id"], x["bbox_y"], F.coalesce(F.get(F.col(by), F.lit(0))["description"], F.lit("")).alias("description"), x["confidence"]))
+    return out.withColumns(
+        {
+            **{c: F.coalesce(c, F.lit("")) for c in ("main_question", "passage", "explanations")},
+            "choices": F.transform("choices", lambda c: F.struct(c["bbox_y"], c["element_id"], X.choice_number(c["text"]).alias("choice_number"), c["text"].alias("choice_text"))),
+            "images": described(F.col("images"), "image_descriptions"),
+            "tables": described(F.col("tables"), "table_analysis"),
+        }
     )
-    out = boxes.select("page_id", "question").join(sections, "page_id", "left")
-    for more in (main_question_text(parts), join_texts(parts, "passage", "passage"), join_texts(parts, "explanations", "explanations"), choices, lists):
-        out = out.join(more, ["page_id", "question"], "left")
-    return out.withColumns({c: F.coalesce(c, F.lit("")) for c in ("main_question", "passage", "explanations")})
 
 
 def format_questions_text(questions: DataFrame) -> DataFrame:
     """page_id and a readable text of its questions in numeric order, titled by their place."""
     label = layout_label(questions)
-    order = F.row_number().over(Window.partitionBy("page_id").orderBy(F.col("question").cast("long"), "question"))
+    order = F.row_number().over(Window.partitionBy("page_id").orderBy(F.col("question").try_cast("long"), "question"))
     part = lambda title, c: F.when(X.strip(c) != "", F.concat(F.lit(title), X.strip(c), F.lit("\n\n"))).otherwise(F.lit(""))
-    line = lambda c: F.when(F.coalesce(c["choice_number"], F.lit("")) != "", F.concat(F.lit("   "), c["choice_number"], F.lit(" "), c["choice_text"], F.lit("\n"))).otherwise(F.concat(F.lit("   • "), c["choice_text"], F.lit("\n")))
-    choices = F.when(F.size("choices") > 0, F.concat(F.lit("📝 선택지:\n"), F.array_join(F.transform("choices", line), ""), F.lit("\n"))).otherwise(F.lit(""))
-    said = lambda c, tag: F.array_join(F.transform(F.filter(F.coalesce(F.col(c), F.array()), lambda x: F.trim(x["description"]) != ""), lambda x: F.concat(F.lit(f"   [{tag}] "), F.trim(x["description"]), F.lit("\n"))), "")
-    has_ai = F.coalesce(F.size("image_descriptions"), F.lit(0)) + F.coalesce(F.size("table_analysis"), F.lit(0)) > 0
-    ai = F.when(has_ai, F.concat(F.lit("🤖 AI 분석:\n"), said("image_descriptions", "이미지"), said("table_analysis", "표"), F.lit("\n"))).otherwise(F.lit(""))
+    line = lambda c: F.when(c["choice_text"] == "", "").otherwise(F.concat(F.lit("   "), F.when(c["choice_number"] != "", c["choice_number"]).otherwise(F.lit("•")), F.lit(" "), c["choice_text"], F.lit("\n")))
+    some = lambda c: F.coalesce(F.size(F.col(c)) > 0, F.lit(False))
+    told = lambda c, lead: F.array_join(F.transform(F.filter(F.transform(F.col(c), lambda x: X.strip(F.coalesce(x["description"], F.lit("")))), lambda d: d != ""), lambda d: F.concat(F.lit(lead), d, F.lit("\n"))), "")
+    listed = lambda title, c, lines: F.when(some(c), F.concat(F.lit(title), lines, F.lit("\n"))).otherwise(F.lit(""))
+    says = F.concat(F.coalesce(told("image_descriptions", "   [이미지] "), F.lit("")), F.coalesce(told("table_analysis", "   [표] "), F.lit("")))
     title = F.concat(F.lit("🔸 문제"), order.cast("string"), F.when(F.col("section").isNotNull(), F.concat(F.lit(" ("), "section", F.lit(")"))).otherwise(F.lit("")), F.lit("\n\n"))
-    body = F.concat(title, part("📖 지문:\n", F.col("passage")), part("❓ 문제:\n", F.col("main_question")), F.coalesce(choices, F.lit("")), part("💡 해설:\n", F.col("explanations")), F.coalesce(ai, F.lit("")))
+    body = F.concat(
+        title,
+        part("📖 지문:\n", F.col("passage")),
+        part("❓ 문제:\n", F.col("main_question")),
+        listed("📝 선택지:\n", "choices", F.array_join(F.transform("choices", line), "")),
+        listed("🖼️ 이미지 설명:\n", "images", told("images", "   ")),
+        listed("📊 표 설명:\n", "tables", told("tables", "   ")),
+        part("💡 해설:\n", F.col("explanations")),
+        F.when(some("image_descriptions") | some("table_analysis"), F.concat(F.lit("🤖 AI 분석:\n"), says, F.lit("\n"))).otherwise(F.lit("")),
+    )
     by = questions.withColumns({"_n": order, "_body": body}).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("_n", "_body"))).alias("xs"))
     head = F.concat(F.lit("📋 문서 분석 결과\n총 문제 수: "), F.col("total_questions").cast("string"), F.lit("개\n레이아웃 유형: "), "layout_label", F.lit("\n\n" + "=" * 50 + "\n\n"))
     text = F.concat(head, F.array_join(F.transform("xs", lambda x: x["_body"]), "-" * 30 + "\n\n"))

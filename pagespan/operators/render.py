@@ -150,47 +150,89 @@ def format_page(sorted_: DataFrame, texts: DataFrame, ai: DataFrame, rules: Data
     return raw.select("page_id", X.limit_blank_runs(F.col("text")).alias("text"))
 
 
-# Prefix and suffix of the simple document formatter.
+# Prefix and suffix of the simple document formatter, by class (blanks as underscores).
 SIMPLE_RULES = {
-    "title": ("", "\n\n"), "heading": ("\n", "\n\n"), "plain text": ("", "\n\n"), "question type": ("\n[", "]\n"), "question number": ("\n", ". "),
-    "question text": ("", "\n"), "list": ("- ", "\n"), "choices": ("   ", "\n"), "figure": ("\n[그림] ", "\n\n"), "table": ("\n[표] ", "\n\n"), "flowchart": ("\n[순서도] ", "\n\n"), "unit": ("", "\n"),
-}
+    "title": ("", "\n\n"),
+    "question_number": ("", ". "),
+    "question_type": ("   ", "\n"),
+    "question_text": ("   ", "\n"),
+    "plain_text": ("", "\n"),
+    "table_caption": ("\n", "\n"),
+    "table_footnote": ("", "\n\n"),
+    "isolated_formula": ("\n", "\n\n"),
+    "formula_caption": ("", "\n"),
+    "abandon_text": ("[삭제됨] ", "\n"),
+    "figure": ("\n[그림 설명] ", "\n\n"),
+    "table": ("\n[표 설명] ", "\n\n"),
+}
 
 
 def format_document_simple(content: DataFrame, same_line: bool = False) -> DataFrame:
-    """page_id and text by SIMPLE_RULES in (y, x) order; ``same_line`` puts a number before the text that follows it."""
+    """page_id and text by SIMPLE_RULES in (y, x) order: the recognised text, else the description; at most one blank line.
+
+    ``same_line`` drops the prefix of a text that follows its number.
+    """
     prefix = F.create_map(*[F.lit(x) for k, v in SIMPLE_RULES.items() for x in (k, v[0])])
     suffix = F.create_map(*[F.lit(x) for k, v in SIMPLE_RULES.items() for x in (k, v[1])])
-    body = F.when(F.col("ai") != "", F.col("ai")).otherwise(F.col("ocr"))
-    end = F.coalesce(suffix[F.col("class_name")], F.lit("\n"))
-    if not same_line:
-        end = F.when(F.col("class_name") == "question number", F.lit(".\n")).otherwise(end)
-    piece = F.concat(F.coalesce(prefix[F.col("class_name")], F.lit("")), body, end)
-    item = F.struct("bbox_y", "bbox_x", "element_id", piece.alias("piece"))
-    by = content.filter(body != "").groupBy("page_id").agg(F.array_sort(F.collect_list(item)).alias("xs"))
-    return by.select("page_id", X.limit_blank_runs(F.array_join(F.transform("xs", lambda x: x["piece"]), ""), 1).alias("text"))
+    name = F.translate(F.lower("class_name"), " ", "_")
+    rows = content.select("page_id", "bbox_y", "bbox_x", "element_id", name.alias("name"), F.when(F.col("ocr") != "", F.col("ocr")).otherwise(F.col("ai")).alias("body")).filter("body <> ''")
+    before = F.lag("name").over(Window.partitionBy("page_id").orderBy("bbox_y", "bbox_x", "element_id"))
+    joined = (F.col("name") == "question_text") & (before == "question_number") if same_line else F.lit(False)
+    piece = F.concat(F.when(F.coalesce(joined, F.lit(False)), "").otherwise(F.coalesce(prefix[F.col("name")], F.lit(""))), F.col("body"), F.coalesce(suffix[F.col("name")], F.lit("\n")))
+    by = rows.withColumn("piece", piece).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("bbox_y", "bbox_x", "element_id", "piece"))).alias("xs"))
+    text = F.array_join(F.transform("xs", lambda x: x["piece"]), "")
+    blank = lambda x: X.strip(x) == ""
+    once = _let(F.split(text, "\n"), lambda ls: F.array_join(F.filter(ls, lambda x, i: ~(blank(x) & (i > 0) & blank(F.coalesce(F.get(ls, i - 1), F.lit("-"))))), "\n"))
+    return by.select("page_id", X.strip(once).alias("text"))
 
 
 def combine_project_text(pages: DataFrame, current: DataFrame) -> DataFrame:
-    """project_id, combined_text, and stats (total_pages, total_words, total_characters): a section a page, in order."""
+    """project_id, combined_text, and stats (total_pages, total_words, total_characters): a section a page, in order.
+
+    A section is the page's header, a blank line and its content, cut at the right; words and characters are the content's.
+    """
     both = pages.select("project_id", "page_id", "page_number").join(current.select("page_id", "version_number", "version_type", "content"), "page_id", "left")
-    body = X.strip(F.coalesce("content", F.lit("")))
-    header = F.when(F.col("version_number").isNull(), F.concat(F.lit("─── 페이지 "), F.col("page_number").cast("string"), F.lit(" ───"))).otherwise(X.section_header(F.col("page_number"), F.col("version_number"), F.col("version_type")))
-    section = F.concat(header, F.lit("\n"), F.when(body == "", F.lit("(내용 없음)")).otherwise(body))
-    both = both.withColumns({"section": section, "words": X.words(body), "chars": F.length(body)})
-    out = both.groupBy("project_id").agg(
+    body = F.coalesce("content", F.lit(""))
+    header = X.section_header(F.col("page_number"), F.col("version_number"), F.col("version_type"))
+    both = both.withColumns({"section": X.rstrip(F.concat(header, F.lit("\n\n"), body)), "words": X.words(body), "chars": F.length(body)})
+    return both.groupBy("project_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_number", "page_id", "section"))), lambda x: x["section"]), "\n\n").alias("combined_text"),
         F.struct(F.count(F.lit(1)).alias("total_pages"), F.sum("words").alias("total_words"), F.sum("chars").alias("total_characters")).alias("stats"),
     )
-    return out
+
+
+def text_blocks(texts: DataFrame, key: str = "project_id", text: str = "combined_text") -> DataFrame:
+    """Rows of a document: key, block (the line's number), kind (heading, paragraph, blank), level, text.
+
+    ``[x]`` is a heading of level 2; a line of digits, dots and blanks with a digit and a dot is one of level 3;
+    blank lines count where the last line that is not blank was a paragraph.
+    """
+    rows = texts.select(key, F.posexplode(F.split(F.col(text), "\n")).alias("block", "line")).withColumn("line", X.strip(F.col("line")))
+    line = F.col("line")
+    level = F.when(line.startswith("[") & line.endswith("]"), 2).when(line.rlike("^[\\p{Nd}. ]+$") & line.contains(".") & line.rlike("\\p{Nd}"), 3).otherwise(0)
+    rows = rows.withColumn("level", F.when(line != "", level))
+    last = F.last("level", ignorenulls=True).over(Window.partitionBy(key).orderBy("block").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("last", last).filter("line <> '' or last = 0")
+    kind = F.when(line == "", "blank").when(F.col("level") > 0, "heading").otherwise("paragraph")
+    shown = F.when(F.col("level") == 2, F.regexp_replace(line, "^[\\[\\]]+|[\\[\\]]+$", "")).otherwise(line)
+    return rows.select(key, "block", kind.alias("kind"), F.coalesce("level", F.lit(0)).alias("level"), shown.alias("text"))
 
 
 def document_blocks(combined: DataFrame, key: str = "project_id") -> DataFrame:
-    """Rows of a document: key, block (from 0), kind (heading, paragraph, page_break), level, text."""
-    rows = combined.select(key, F.posexplode(X.lines(F.col("combined_text"))).alias("block", "line")).withColumn("line", X.strip(F.col("line"))).filter("line <> ''")
-    level = F.when(F.col("line").rlike("^─── .* ───$"), 1).when(F.col("line").rlike("^\\[.*\\]"), 2).when(F.col("line").rlike("^\\d+\\."), 3)
-    kind = F.when(F.col("line") == "---", "page_break").when(level.isNotNull(), "heading").otherwise("paragraph")
-    return rows.select(key, "block", kind.alias("kind"), F.coalesce(level, F.lit(0)).alias("level"), F.col("line").alias("text"))
+    """Rows of a project's document: key, section, block, kind (heading, paragraph, page_break), level, text.
+
+    Sections begin at page headers; each is a heading of level 2, its filled lines are paragraphs, and
+    a page break stands between sections.
+    """
+    parts = F.filter(F.transform(F.split(F.col("combined_text"), "─── 페이지 "), X.strip), lambda s: s != "")
+    rows = combined.select(key, F.size(parts).alias("n"), F.posexplode(parts).alias("section", "part"))
+    lines = F.split(F.col("part"), "\n")
+    first = F.concat(F.lit("페이지 "), F.get(F.filter(F.split(F.get(lines, F.lit(0)), f"{X.SPACE}+"), lambda w: w != ""), F.lit(0)))
+    item = lambda kind, level, text: F.struct(F.lit(kind).alias("kind"), F.lit(level).alias("level"), text.alias("text"))
+    body = F.transform(F.filter(F.transform(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), X.strip), lambda x: x != ""), lambda x: item("paragraph", 0, x))
+    end = F.when(F.col("section") < F.col("n") - 1, F.array(item("page_break", 0, F.lit("")))).otherwise(F.slice(F.array(item("page_break", 0, F.lit(""))), 1, 0))
+    rows = rows.select(key, "section", F.posexplode(F.concat(F.array(item("heading", 2, first)), body, end)).alias("block", "b"))
+    return rows.select(key, "section", "block", "b.kind", "b.level", "b.text")
 
 
 def list_source_texts(rows: DataFrame, key: str = "page_id") -> DataFrame:

@@ -45,9 +45,10 @@ def _(t):
     return C.clamp_to_page(both, F.col("image_width"), F.col("image_height")).select("element_id", "bbox_x", "bbox_y", "bbox_width", "bbox_height")
 
 
-@query("p06_box_ratios", "select element_id, bbox_width/bbox_height as wh_ratio, cast(floor(bbox_x+bbox_width/2) as int) as center_x, cast(floor(bbox_y+bbox_height/2) as int) as center_y from layout_elements")
+@query("p06_box_ratios", "select element_id, bbox_width/image_width as width_ratio, bbox_height/image_height as height_ratio, cast(floor(bbox_x+bbox_width/2) as int) as center_x, cast(floor(bbox_y+bbox_height/2) as int) as center_y from layout_elements join doc_pages using (page_id)")
 def _(t):
-    return C.box_ratios(t.layout_elements).select("element_id", "wh_ratio", "center_x", "center_y")
+    both = t.layout_elements.join(t.doc_pages.select("page_id", "image_width", "image_height"), "page_id")
+    return C.box_ratios(both, F.col("image_width"), F.col("image_height")).select("element_id", "width_ratio", "height_ratio", "center_x", "center_y")
 
 
 @query(
@@ -134,14 +135,15 @@ def _(t):
     return t.documents.select("doc_id", X.preview(F.col("text"), 80).alias("preview"))
 
 
-@query("p18_format_metrics", "select element_id, printf('%.1f', round(confidence*100,1)) || '%' as confidence, case when bbox_y<1000 then cast(bbox_y as varchar)||'ms' else printf('%.2f', floor(bbox_y/10.0+0.5)/100)||'초' end as duration from layout_elements")
+@query("p18_format_metrics", "select element_id, cast(cast(floor(confidence*100+0.5) as int) as varchar) || '%' as confidence, case when element_id%9=0 then '-' when bbox_y<1024 then printf('%.0f', floor(bbox_y/1024*1000+0.5))||'ms' else printf('%.2f', floor(bbox_y/1024*100+0.5)/100)||'초' end as duration from layout_elements")
 def _(t):
-    return t.layout_elements.select("element_id", X.confidence_label(F.col("confidence")).alias("confidence"), X.duration_label(F.col("bbox_y")).alias("duration"))
+    seconds = F.when(F.col("element_id") % 9 != 0, F.col("bbox_y") / 1024)
+    return t.layout_elements.select("element_id", X.confidence_label(F.col("confidence")).alias("confidence"), X.duration_label(seconds).alias("duration"))
 
 
-@query("p19_normalise_path", "select page_id, replace(replace(url, '/', '\\'), '\\', '/') as path, substring(regexp_replace(url, '[^A-Za-z0-9._-]', '_', 'g'),1,50) as file_name from pages")
+@query("p19_normalise_path", "select page_id, replace(replace(url, '/', '\\'), '\\', '/') as path, substring(regexp_replace(url || '페이지 1', '[^\\p{L}\\p{N}._-]', '', 'g'),1,50) as file_name from pages")
 def _(t):
-    return t.pages.select("page_id", X.normalise_path(F.translate("url", "/", "\\")).alias("path"), X.safe_filename(F.col("url")).alias("file_name"))
+    return t.pages.select("page_id", X.normalise_path(F.translate("url", "/", "\\")).alias("path"), X.safe_filename(F.concat("url", F.lit("페이지 1"))).alias("file_name"))
 
 
 @query("p20_parse_bbox_variant", "select element_id, bbox_x, bbox_y, greatest(1, bbox_width-100) as bbox_width, greatest(1, bbox_height-100) as bbox_height from layout_elements")
@@ -162,7 +164,14 @@ def _(t):
     return C.iou_pairs(t.layout_elements, 0.3)
 
 
-@query("l01_dedupe_detections")
+GREEDY = """with recursive e as (select page_id, element_id, row_number() over (partition by page_id order by confidence desc, element_id) as r, bbox_x as x, bbox_y as y, bbox_width as w, bbox_height as h from layout_elements),
+ p as (select a.page_id, a.element_id as a, b.element_id as b, greatest(0, least(a.x+a.w,b.x+b.w)-greatest(a.x,b.x))*greatest(0, least(a.y+a.h,b.y+b.h)-greatest(a.y,b.y)) as i, a.w*a.h as s, b.w*b.h as u from e a join e b on a.page_id=b.page_id and a.r>b.r),
+ o as (select e.page_id, e.element_id, e.r, list(p.b) filter (p.b is not null) as over from e left join p on p.a=e.element_id and i/(s+u-i)>0.7 group by 1,2,3),
+ f as (select page_id, r, [element_id] as kept from o where r=1 union all select f.page_id, o.r, case when list_has_any(kept, coalesce(over, [])) then kept else list_append(kept, o.element_id) end from f join o on o.page_id=f.page_id and o.r=f.r+1)
+ select page_id, unnest(arg_max(kept, r)) as element_id from f group by page_id"""
+
+
+@query("l01_dedupe_detections", GREEDY)
 def _(t):
     return C.dedupe_detections(t.layout_elements).select("element_id", "page_id")
 
@@ -228,18 +237,19 @@ def _(t):
     return t.text_contents.select("element_id", X.wrap_text(F.col("ocr_text")).alias("wrapped"))
 
 
-LABELLED = "case element_id%6 when 0 then '③ ' when 1 then ' (2) ' when 2 then '4. ' when 3 then '(7) ' when 4 then '⑪ ' else '' end || ocr_text"
+LABELLED = "case element_id%7 when 0 then '③ ' when 1 then '( 2 ) ' when 2 then '4 ．' when 3 then '(7) ' when 4 then '⑪ ' when 5 then ' 5.' else '（1）' end || ocr_text"
 
 
-@query("e11_choice_number", f"select element_id, nullif(regexp_extract(trim({LABELLED}, ' \n\t\r'), '^([①-⑩]|\\([1-5]\\)|[1-5]\\.)', 1), '') as label from text_contents")
+@query("e11_choice_number", f"select element_id, coalesce(nullif(regexp_extract({LABELLED}, '^([①②③④⑤⑥⑦⑧⑨⑩])', 1), ''), nullif(regexp_extract({LABELLED}, '^[(（]\\s*([1-5])\\s*[)）]', 1), ''), nullif(regexp_extract({LABELLED}, '^([1-5])\\s*[.．]', 1), ''), '') as label from text_contents where ocr_text is not null")
 def _(t):
-    return t.text_contents.select("element_id", X.choice_number(F.expr(LABELLED)).alias("label"))
+    return t.text_contents.filter("ocr_text is not null").select("element_id", X.choice_number(F.expr(LABELLED)).alias("label"))
 
 
-KEYWORD = "case element_id%4 when 0 then ocr_text when 1 then ocr_text || ' 다음' when 2 then '해설 ' || ocr_text else '② ' || ocr_text end"
+KEYWORD = "case element_id%6 when 0 then ocr_text when 1 then ocr_text || ' 다음을' when 2 then '해설 ' || ocr_text when 3 then '② ' || ocr_text when 4 then '（ 3）' || ocr_text else '답: ' || ocr_text end"
+KIND_SQL = "case when regexp_matches({0}, '^[①②③④⑤⑥⑦⑧⑨⑩]|^[(（]\\s*[1-5]\\s*[)）]|^[1-5]\\s*[.．]') then 'choices' when regexp_matches({0}, '다음을|아래의|위의|그림을|표를') then 'passage' when regexp_matches({0}, '설명|해설|풀이|답:') then 'explanations' else 'question_text' end"
 
 
-@query("e12_classify_text", f"select element_id, case when regexp_matches({KEYWORD}, '^\\s*([①-⑳]|\\(\\d\\)|\\d\\)|[1-5]\\.)') then 'choices' when regexp_matches({KEYWORD}, '다음|글을|지문|읽고') then 'passage' when regexp_matches({KEYWORD}, '설명|해설|풀이|정답') then 'explanations' else 'question_text' end as kind from text_contents")
+@query("e12_classify_text", f"select element_id, {KIND_SQL.format(KEYWORD)} as kind from text_contents")
 def _(t):
     return t.text_contents.select("element_id", X.classify_text(F.expr(KEYWORD)).alias("kind"))
 
@@ -249,9 +259,10 @@ def _(t):
     return t.documents.select("doc_id", X.words(F.col("text")).alias("word_count"), F.length("text").alias("char_count"))
 
 
-@query("e18_section_header", "select page_id, version_number, '─── 페이지 ' || page_id || ' (Version: ' || version_number || ' - ' || version_type || ') ───' as header from text_versions")
+@query("e18_section_header", "select page_id, version_number, '─── 페이지 ' || page_id || case when version_number%2=0 then ' (내용 없음) ───' else ' (Version: ' || version_number || ' - ' || version_type || ') ───' end as header from text_versions")
 def _(t):
-    return t.text_versions.select("page_id", "version_number", X.section_header(F.col("page_id"), F.col("version_number"), F.col("version_type")).alias("header"))
+    version = F.when(F.col("version_number") % 2 != 0, F.col("version_number"))
+    return t.text_versions.select("page_id", "version_number", X.section_header(F.col("page_id"), version, F.col("version_type")).alias("header"))
 
 
 @query("e22_date_label", "select event_id, strftime(ts, '%Y%m%d_%H%M%S') as file_label, strftime(ts, '%Y-%m-%dT%H:%M:%S') as iso_label, strftime(ts, '%Y-%m-%d %H:%M') as minute_label from events")

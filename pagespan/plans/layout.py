@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagespan.operators import layout as L
@@ -10,6 +10,8 @@ from pagespan.operators import maintenance as M
 from pagespan.operators import questions as Q
 from pagespan.operators import render as D
 from pagespan.operators import strategies as G
+from pagespan.plans import sorter_sql as Z
+from pagespan.plans.cleaning import KIND_SQL
 from pagespan.plans.registered import query
 from pagespan.sources import dimensions
 from pagespan.sources.tables import Tables
@@ -147,7 +149,7 @@ def _(t):
     return df.select("element_id", F.when(L.cx() < F.col("gutter"), "0").otherwise("2").alias("part"))
 
 
-@query("l07_zone_tree")
+@query("l07_zone_tree", Z.query("select page_id, element_id, path, kind as layout_type from zt", Z.sorter()))
 def _(t):
     return L.zone_tree(L.page_extent(L.preprocess(t.layout_elements), t.doc_pages)).select("page_id", "element_id", "path", "layout_type")
 
@@ -170,7 +172,10 @@ def _(t):
     return L.adjacent_assign(pairs, keys=("page_id",)).select("page_id", "anchor_id", "child_id")
 
 
-@query("l10_group_one_column")
+ONE_COLUMN = Z.sorter(pages="join (select page_id from k where layout_type='STANDARD_1_COLUMN') o using (page_id)").replace("z as (select page_id", "zs as (select page_id").replace("from z where", "from zs where").replace("zt as (select * from z where done)", "zt as (select * from zs where done)")
+
+
+@query("l10_group_one_column", "with recursive " + Z.BASE + ",\n" + KIND.strip()[len("with ") :] + ",\n" + ONE_COLUMN + " select page_id, element_id, a1 as anchor_id, orphans from h0")
 def _(t):
     one = L.detect_layout_type(zoned(t)).filter("layout_type = 'STANDARD_1_COLUMN'")
     return L.reassign_visuals(L.group_zones(one)).select("page_id", "element_id", "anchor_id", "orphans")
@@ -209,7 +214,7 @@ def _(t):
     return L.reassign_visuals(carried(t), whole_page=True).select("element_id", "anchor_id")
 
 
-@query("l13_sort_layout")
+@query("l13_sort_layout", Z.GLOBAL_SQL)
 def sort_layout(t: Tables) -> DataFrame:
     return L.sort_layout(t.layout_elements, t.doc_pages).select(*ORDER)
 
@@ -249,17 +254,22 @@ def _(t):
     return G.score_grouping(carried(t).withColumn("group_id", F.coalesce("anchor_id", F.lit(-1))), F.lit(2480))
 
 
-@query("l17_sort_local_first")
+@query("l17_sort_local_first", Z.LOCAL_SQL)
 def _(t):
     return G.sort_local_first(t.layout_elements, t.doc_pages).select(*ORDER)
 
 
-@query("l18_sort_hybrid")
+@query("l18_sort_hybrid", Z.HYBRID_SQL)
 def _(t):
     return G.sort_hybrid(t.layout_elements, t.doc_pages).select(*ORDER)
 
 
-@query("l19_sort_adaptive")
+CHOSEN = f"ch as (select page_id, {STRATEGY} as strategy from p)"
+ADAPTIVE = "with recursive " + Z.BASE + ",\n" + PROFILE.strip()[len("with ") :].replace("z as (", "zp as (", 1).replace(" from z ", " from zp ").replace("from z)", "from zp)").replace(" join z ", " join zp ") + ",\n" + ",\n".join([CHOSEN, Z.sorter("g"), Z.sorter("l", **Z.LOCAL), Z.BETTER])
+CHOICE = f"select {Z.RESULT} from sog join be using (page_id) join ch using (page_id) where strategy='GLOBAL_FIRST' or (strategy='HYBRID' and k=0) union all select {Z.RESULT} from sol join be using (page_id) join ch using (page_id) where strategy='LOCAL_FIRST' or (strategy='HYBRID' and k=1)"
+
+
+@query("l19_sort_adaptive", ADAPTIVE + " " + CHOICE)
 def _(t):
     return G.sort_adaptive(t.layout_elements, t.doc_pages).select(*ORDER)
 
@@ -281,7 +291,31 @@ def _(t):
     return rendered(t, "reading_order").select("element_id", "rendered")
 
 
-@query("d02_render_numbered")
+WS = "' \n\t\r'"
+LINES = f"list_filter(list_transform(string_split({{0}}, chr(10)), lambda x: trim(x, ' \t\r')), lambda x: x<>'')"
+INDENTED = "array_to_string(list_transform(string_split(rtrim({0}, chr(10)), chr(10)), lambda x: case when trim(x, ' \t\r')='' then '' else '   '||x end), chr(10))"
+BUNDLES = f"""tx as (select s.*, trim(coalesce(ocr_text,''), {WS}) as ocr, coalesce(description,'') as ai from so s left join text_contents t on t.element_id=s.element_id left join ai_descriptions a on a.element_id=s.element_id),
+bo as (select *, case when class_name in {Z.V} then case when ai<>'' and ocr<>'' then ai||chr(10)||ocr when ai<>'' then ai else ocr end
+  when class_name='list' then array_to_string(list_transform({LINES.format("case when ocr<>'' then ocr else ai end")}, lambda x: '- '||case when regexp_matches(x, '^([-•]|\d+\.)\s*.+$') then trim(regexp_extract(x, '^([-•]|\d+\.)\s*(.+)$', 2)) else x end), chr(10))
+  when class_name='choices' then array_to_string(list_transform({LINES.format("case when ocr<>'' then ocr else ai end")}, lambda x: case when regexp_matches(x, '^(\(?\d{{1,2}}[\).]|[①-⑳]|[A-Z][\).]|[가-하]\.|[가-하]\))\s*.+$') then regexp_extract(x, '^(\(?\d{{1,2}}[\).]|[①-⑳]|[A-Z][\).]|[가-하]\.|[가-하]\))\s*(.+)$', 1)||' '||trim(regexp_extract(x, '^(\(?\d{{1,2}}[\).]|[①-⑳]|[A-Z][\).]|[가-하]\.|[가-하]\))\s*(.+)$', 2)) else '• '||x end), chr(10))
+  when class_name='question type' then replace(case when ocr<>'' then ocr else ai end, chr(10), ' ')
+  when ocr<>'' then ocr else ai end as body from tx),
+re as (select *, case when class_name in {Z.V} then chr(10)||'   ['||case class_name when 'figure' then '그림' when 'table' then '표' else '순서도' end||' 설명]'||chr(10)||case when body='' then '' else {INDENTED.format("body")}||chr(10)||chr(10) end
+  when body='' then '' when class_name='question type' then chr(10)||chr(10)||'['||body||']'||chr(10) when class_name='question number' then chr(10)||chr(10)||body||'. ' when class_name='second_question_number' then chr(10)||'   '||'   '||body
+  when class_name='list' then '   - '||body||chr(10) else {INDENTED.format("body")}||chr(10) end as rendered from bo),
+hd as (select *, element_id = (min(case when an then (order_in_group, y, x, element_id) end) over (partition by page_id, group_id))[4] as head from re),
+mq as (select *, row_number() over (partition by page_id, group_id, not head and class_name='question text' order by order_in_question)=1 and not head and class_name='question text' as main from (select * replace (coalesce(head,false) as head) from hd)),
+gb as (select page_id, group_id, min(order_in_question) as o, max(class_name) filter (head) as hc, max(rendered) filter (head) as hr, max(body) filter (main) as mb,
+  coalesce(string_agg(rendered, '' order by order_in_question) filter (not head and trim(rendered, {WS})<>''),'') as al, coalesce(string_agg(rendered, '' order by order_in_question) filter (not head and not main and trim(rendered, {WS})<>''),'') as ot from mq group by 1,2),
+gl as (select *, coalesce(rtrim(hr, chr(10)),'') as line, split_part(coalesce(mb,''), chr(10), 1) as fl, case when contains(coalesce(mb,''), chr(10)) then trim(substr(mb, instr(mb, chr(10))+1), {WS}) else '' end as rs from gb),
+gm as (select *, case when line<>'' then regexp_extract(line, '^(\n*)', 1)||rtrim(regexp_replace(line, '^\n+', '')||fl, {WS}) else fl end as cb, case when rs='' then '' else {INDENTED.format("rs")} end as mo from gl),
+bu as (select page_id, dense_rank() over (partition by page_id order by o)-1 as bundle, case when hc is null then al when hc='question type' then case when trim(hr, {WS})<>'' then hr else '' end||al
+  when ot='' then cb||mo when mo<>'' then cb||rtrim(mo, chr(10))||chr(10)||chr(10)||ot when line<>'' or fl<>'' then case when ends_with(cb, chr(10)||chr(10)) then cb else rtrim(cb, chr(10))||chr(10)||chr(10) end||ot else ot end as text from gm)"""
+PAGE_SQL = """pg as (select page_id, string_agg(text, '' order by bundle) as whole from bu group by 1),
+pt as (select page_id, trim(regexp_replace(array_to_string(list_transform(string_split(whole, chr(10)), lambda x: rtrim(x, ' \t\r')), chr(10)), '\n{3}\n+', chr(10)||chr(10)||chr(10), 'g'), ' \n\t\r') as text from pg)"""
+
+
+@query("d02_render_numbered", Z.query("select page_id, bundle, text from bu", Z.sorter(), BUNDLES))
 def _(t):
     groups = L.sort_layout(t.layout_elements, t.doc_pages)
     rules = dimensions.formatting_rules(t.spark)
@@ -299,17 +333,27 @@ def _(t):
     return D.render_reading_order(rendered(t, "reading_order"))
 
 
-@query("d05_format_page")
+@query("d05_format_page", Z.query("select page_id, text from pt", Z.sorter(), BUNDLES, PAGE_SQL))
 def format_page(t: Tables) -> DataFrame:
     return D.format_page(L.sort_layout(t.layout_elements, t.doc_pages), t.text_contents, t.ai_descriptions, dimensions.formatting_rules(t.spark))
 
 
-@query("d05_format_page_adaptive")
+ADAPTIVE_PAGES = ADAPTIVE + ",\n" + ",\n".join([f"so as (select s.* from (select *, 0 as k from sog union all select *, 1 from sol) s join be on be.page_id=s.page_id join ch on ch.page_id=s.page_id where s.k=case strategy when 'GLOBAL_FIRST' then 0 when 'LOCAL_FIRST' then 1 else be.k end)", BUNDLES, PAGE_SQL])
+
+
+@query("d05_format_page_adaptive", ADAPTIVE_PAGES + " select page_id, text from pt")
 def format_adaptive(t: Tables) -> DataFrame:
     return D.format_page(G.sort_adaptive(t.layout_elements, t.doc_pages), t.text_contents, t.ai_descriptions, dimensions.formatting_rules(t.spark))
 
 
-@query("d06_format_document_simple")
+@query(
+    "d06_format_document_simple",
+    R_SQL
+    + """, s as (select page_id, bbox_y, bbox_x, element_id, replace(class_name,' ','_') as name, case when ocr<>'' then ocr else ai end as t from c),
+ p as (select page_id, string_agg(case name when 'question_number' then t||'. ' when 'question_type' then '   '||t||chr(10) when 'question_text' then '   '||t||chr(10) when 'figure' then chr(10)||'[그림 설명] '||t||chr(10)||chr(10) when 'table' then chr(10)||'[표 설명] '||t||chr(10)||chr(10) else t||chr(10) end, '' order by bbox_y, bbox_x, element_id) as whole from s where t<>'' group by 1),
+ l as (select page_id, string_split(whole, chr(10)) as ls from p)
+ select page_id, trim(array_to_string(list_filter(ls, lambda x, i: not (trim(x, ' \t\r')='' and i>1 and trim(ls[i-1], ' \t\r')='')), chr(10)), ' \n\t\r') as text from l""",
+)
 def _(t):
     return D.format_document_simple(D.with_texts(t.layout_elements, t.text_contents, t.ai_descriptions))
 
@@ -318,18 +362,36 @@ def current(t: Tables) -> DataFrame:
     return M.current_version(t.text_versions.filter("is_current"))
 
 
-BODY = "trim(coalesce(content,''), ' \n\t\r')"
-COMBINED = f"""with v as (select p.project_id, p.page_number, p.page_id, {BODY} as body, case when v.page_id is null then '─── 페이지 '||page_number||' ───' else '─── 페이지 '||page_number||' (Version: '||version_number||' - '||version_type||') ───' end as head from doc_pages p left join (select * from text_versions where is_current) v on v.page_id=p.page_id)"""
+COMBINED = """with v as (select p.project_id, p.page_number, p.page_id, coalesce(content,'') as body, case when v.page_id is null then '─── 페이지 '||page_number||' (내용 없음) ───' else '─── 페이지 '||page_number||' (Version: '||version_number||' - '||version_type||') ───' end as head from doc_pages p left join (select * from text_versions where is_current) v on v.page_id=p.page_id),
+ u as (select project_id, string_agg(rtrim(head||chr(10)||chr(10)||body, ' \n\t\r'), chr(10)||chr(10) order by page_number, page_id) as combined_text, count(*) as total_pages, cast(sum(len(list_filter(regexp_split_to_array(body,'\\s+'), lambda x: x<>''))) as bigint) as total_words, cast(sum(length(body)) as bigint) as total_characters from v group by 1)"""
 
 
-@query("d08_combine_project_text", COMBINED + " select project_id, string_agg(head||chr(10)||case when body='' then '(내용 없음)' else body end, chr(10)||chr(10) order by page_number, page_id) as combined_text, count(*) as total_pages, cast(sum(len(list_filter(regexp_split_to_array(body,'\\s+'), lambda x: x<>''))) as bigint) as total_words, cast(sum(length(body)) as bigint) as total_characters from v group by 1")
+@query("d08_combine_project_text", COMBINED + " select * from u")
 def combine(t: Tables) -> DataFrame:
     return D.combine_project_text(t.doc_pages, current(t)).select("project_id", "combined_text", "stats.*")
 
 
-@query("d09_document_blocks", "with l as (select doc_id as project_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)),1)-1 as block from documents) select project_id, block, case when trim(line, ' \t\r')='---' then 'page_break' when regexp_matches(trim(line, ' \t\r'), '^─── .* ───$|^\\[.*\\]|^\\d+\\.') then 'heading' else 'paragraph' end as kind, trim(line, ' \t\r') as text from l where trim(line, ' \t\r')<>''")
+@query(
+    "d09_text_blocks",
+    """with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)),1)-1 as block from documents), m as (select doc_id, block, trim(line, ' \t\r') as t from l),
+ k as (select *, case when t='' then null when starts_with(t,'[') and ends_with(t,']') then 2 when regexp_matches(t,'^[\\p{Nd}. ]+$') and contains(t,'.') and regexp_matches(t,'\\p{Nd}') then 3 else 0 end as level from m),
+ w as (select *, last_value(level ignore nulls) over (partition by doc_id order by block rows unbounded preceding) as last from k)
+ select doc_id, block, case when t='' then 'blank' when level>0 then 'heading' else 'paragraph' end as kind, coalesce(level,0) as level, case when level=2 then trim(t,'[]') else t end as text from w where t<>'' or last=0""",
+)
 def _(t):
-    return D.document_blocks(t.documents.select(F.col("doc_id").alias("project_id"), F.col("text").alias("combined_text"))).select("project_id", "block", "kind", "text")
+    return D.text_blocks(t.documents.select("doc_id", "text"), "doc_id", "text")
+
+
+@query(
+    "d09_document_blocks",
+    COMBINED
+    + """, p as (select project_id, list_filter(list_transform(string_split(combined_text, '─── 페이지 '), lambda x: trim(x, ' \n\t\r')), lambda x: x<>'') as ps from u), e as (select project_id, len(ps) as n, unnest(ps) as part, generate_subscripts(ps,1)-1 as section from p),
+ f as (select *, list_filter(list_transform(string_split(part, chr(10))[2:], lambda x: trim(x, ' \t\r')), lambda x: x<>'') as ls from e)
+ select project_id, section, 0 as block, 'heading' as kind, 2 as level, '페이지 '||split_part(split_part(part, chr(10), 1), ' ', 1) as text from f
+ union all select project_id, section, generate_subscripts(ls,1), 'paragraph', 0, unnest(ls) from f union all select project_id, section, len(ls)+1, 'page_break', 0, '' from f where section<n-1""",
+)
+def _(t):
+    return D.document_blocks(combine(t))
 
 
 @query("d10_list_source_texts", "select page_id, string_agg('['||class_name||']'||chr(10)||ocr_text||chr(10)||chr(10), '' order by element_id) as listing from layout_elements join text_contents using (element_id) group by 1")
@@ -387,15 +449,56 @@ def _(t):
 
 
 def nested(t: Tables) -> DataFrame:
-    return Q.nested_questions(content(t), t.layout_elements.join(t.ai_descriptions, "element_id"))
+    return Q.nested_questions(content(t), t.layout_elements.join(t.ai_descriptions, "element_id"), t.layout_elements)
+
+
+LABEL_SQL = "coalesce(nullif(regexp_extract({0}, '^([①②③④⑤⑥⑦⑧⑨⑩])', 1), ''), nullif(regexp_extract({0}, '^[(（]\\s*([1-5])\\s*[)）]', 1), ''), nullif(regexp_extract({0}, '^([1-5])\\s*[.．]', 1), ''), '')"
+QUESTIONS = (
+    NUMS
+    + f""", kk as (select page_id, element_id, bbox_y, t, {KIND_SQL.format("t")} as kind from (select *, trim(text, ' \n\t\r') as t from c) where t<>''),
+ mk as (select page_id, element_id, bbox_y, trim(text, ' \n\t\r') as t from c where class_name='question number'),
+ bx as (select n.page_id, n.question, try_cast(n.question as bigint) as k, arg_min(m.bbox_y, m.element_id) as q_y, arg_min(m.bbox_y, m.element_id) filter (m.t=n.question) as e_y from n left join mk m on m.page_id=n.page_id and starts_with(m.t, n.question) group by 1,2),
+ b as (select *, (min(case when q_y is not null then (k, question, q_y) end) over (partition by page_id order by k range between 1 following and 10 following)) as nx from bx),
+ sn as (select page_id, element_id, unnest(ss) as s, generate_subscripts(ss,1) as i from (select page_id, element_id, list_concat(""" + ", ".join(f"regexp_extract_all(trim(text, ' \n\t\r'), '{p}', 1)" for p in Q.SECTIONS) + f""") as ss from c)),
+ se as (select page_id, arg_min(s, (element_id, i)) as section from sn group by 1),
+ pt as (select b.page_id, b.question, arg_max(t, (length(t), -kk.element_id)) filter (kind='question_text') as main_question, string_agg(t, ' ' order by bbox_y, kk.element_id) filter (kind='passage') as passage, string_agg(t, ' ' order by bbox_y, kk.element_id) filter (kind='explanations') as explanations,
+   string_agg({LABEL_SQL.format("t")}||'|'||t, chr(10) order by bbox_y, kk.element_id) filter (kind='choices') as choices, list((case when {LABEL_SQL.format("t")}='' then '•' else {LABEL_SQL.format("t")} end)||' '||t order by bbox_y, kk.element_id) filter (kind='choices') as cs
+  from b join kk on kk.page_id=b.page_id and kk.bbox_y>=q_y and (nx is null or kk.bbox_y<nx[3]) group by 1,2),
+ ne as (select e.page_id, e.element_id, e.class_name, min((abs(e.bbox_y-b.e_y), b.e_y, b.question)) as m from layout_elements e join ai_descriptions using (element_id) join b on b.page_id=e.page_id and b.e_y is not null group by 1,2,3),
+ ai as (select page_id, m[3] as question, string_agg(element_id||':'||description, ',' order by element_id) filter (class_name='figure') as image_descriptions, string_agg(element_id||':'||description, ',' order by element_id) filter (class_name='table') as table_analysis, string_agg(element_id||':'||description, ',' order by element_id) filter (class_name not in ('figure','table')) as problem_analysis,
+   arg_min(description, element_id) filter (class_name='figure') as fd, arg_min(description, element_id) filter (class_name='table') as td, list(description order by element_id) filter (class_name='figure') as fl, list(description order by element_id) filter (class_name='table') as tl from ne join ai_descriptions using (element_id) where m[1]<=500 group by 1,2),
+ dr as (select b.page_id, b.question, list(e.element_id order by e.element_id) filter (class_name='figure') as im, list(e.element_id order by e.element_id) filter (class_name='table') as tb from b join layout_elements e on e.page_id=b.page_id and e.class_name in ('figure','table') and e.bbox_y>=q_y and (nx is null or e.bbox_y<nx[3]) group by 1,2),
+ q as (select b.page_id, b.question, b.k, section, coalesce(main_question,'') as main_question, coalesce(passage,'') as passage, coalesce(explanations,'') as explanations, coalesce(choices,'') as choices, cs, im, tb, coalesce(fd,'') as fd, coalesce(td,'') as td, fl, tl,
+   coalesce(image_descriptions,'') as image_descriptions, coalesce(table_analysis,'') as table_analysis, coalesce(problem_analysis,'') as problem_analysis from b left join se using (page_id) left join pt using (page_id, question) left join ai using (page_id, question) left join dr using (page_id, question))"""
+)
 
 
-@query("e21_nested_questions")
+@query(
+    "e21_nested_questions",
+    QUESTIONS + " select page_id, question, section, main_question, passage, explanations, choices, coalesce(array_to_string(list_transform(im, lambda x: x||':'||fd), ','),'') as images, coalesce(array_to_string(list_transform(tb, lambda x: x||':'||td), ','),'') as tables, image_descriptions, table_analysis, problem_analysis from q",
+)
 def _(t):
-    return nested(t)
+    def listed(name: str, one) -> Column:
+        return F.coalesce(F.array_join(F.transform(name, one), "\n" if name == "choices" else ","), F.lit(""))
 
+    said = lambda x: F.concat_ws(":", x["element_id"], x["description"])
+    texts = ["page_id", "question", "section", "main_question", "passage", "explanations"]
+    return nested(t).select(*texts, listed("choices", lambda c: F.concat_ws("|", c["choice_number"], c["choice_text"])).alias("choices"), *[listed(c, said).alias(c) for c in ("images", "tables", "image_descriptions", "table_analysis", "problem_analysis")])
 
-@query("d07_format_questions_text")
+
+PART = "case when trim({0}, ' \n\t\r')<>'' then '{1}'||chr(10)||trim({0}, ' \n\t\r')||chr(10)||chr(10) else '' end"
+LISTED = "case when len({0})>0 then '{1}'||chr(10)||array_to_string(list_transform({0}, lambda x: '   '||{2}||chr(10)), '')||chr(10) else '' end"
+DRAWN = "case when len({0})>0 then '{1}'||chr(10)||case when trim({2})<>'' then repeat('   '||trim({2})||chr(10), len({0})) else '' end||chr(10) else '' end"
+
+
+@query(
+    "d07_format_questions_text",
+    QUESTIONS
+    + f""", o as (select *, row_number() over (partition by page_id order by k nulls first, question) as r, count(*) over (partition by page_id) as n_q, count(section) over (partition by page_id) as n_s from q),
+ x as (select page_id, n_q, n_s, string_agg('🔸 문제'||r||case when section is not null then ' ('||section||')' else '' end||chr(10)||chr(10)||{PART.format("passage", "📖 지문:")}||{PART.format("main_question", "❓ 문제:")}||{LISTED.format("cs", "📝 선택지:", "x")}||{DRAWN.format("im", "🖼️ 이미지 설명:", "fd")}||{DRAWN.format("tb", "📊 표 설명:", "td")}||{PART.format("explanations", "💡 해설:")}
+   ||case when len(fl)>0 or len(tl)>0 then '🤖 AI 분석:'||chr(10)||coalesce(array_to_string(list_transform(fl, lambda d: '   [이미지] '||d||chr(10)),''),'')||coalesce(array_to_string(list_transform(tl, lambda d: '   [표] '||d||chr(10)),''),'')||chr(10) else '' end, repeat('-',30)||chr(10)||chr(10) order by r) as body from o group by 1,2,3)
+ select page_id, trim('📋 문서 분석 결과'||chr(10)||'총 문제 수: '||n_q||'개'||chr(10)||'레이아웃 유형: '||case when n_q<=2 then 'simple' when n_s>0 then 'sectioned' when n_q>5 then 'multiple_choice' else 'standard' end||chr(10)||chr(10)||repeat('=',50)||chr(10)||chr(10)||body, ' \n\t\r') as text from x""",
+)
 def _(t):
     return Q.format_questions_text(nested(t))
 

@@ -8,6 +8,7 @@ from pagespan.operators import joins as J
 from pagespan.operators import layout as L
 from pagespan.operators import lookups as K
 from pagespan.operators import stats as A
+from pagespan.plans import sorter_sql as Z
 from pagespan.plans.registered import query
 from pagespan.sources import dimensions, writers
 from pagespan.sources.tables import RAW
@@ -272,12 +273,15 @@ def _(t):
     return A.document_counts(J.page_with_content(t.layout_elements, t.text_contents, t.ai_descriptions))
 
 
-@query("a08_group_stats")
+GROUPS_SQL = Z.query("", Z.sorter(), "gr as (select page_id, group_id, max(anchor_id) as anchor_element_id, case when max(anchor_id) is null then 'orphan' else 'anchor' end as group_type, arg_min(element_id, order_in_group) as first_element_id, min(y) as start_y, max(y+h) as end_y, count(*) as element_count from so group by 1,2)").rstrip()
+
+
+@query("a08_group_stats", GROUPS_SQL + " select page_id, count(*) as groups, count(*) filter (group_type='anchor') as anchor_groups, count(*) filter (group_type='orphan') as orphan_groups, cast(sum(element_count) as bigint) as mapped_elements from gr group by 1")
 def _(t):
     return A.group_stats(A.build_groups(L.sort_layout(t.layout_elements, t.doc_pages)))
 
 
-@query("a09_build_groups")
+@query("a09_build_groups", GROUPS_SQL + " select * from gr")
 def _(t):
     return A.build_groups(L.sort_layout(t.layout_elements, t.doc_pages))
 
@@ -354,7 +358,13 @@ def _(t):
     return J.unassigned(t.layout_elements, L.reading_order(t.layout_elements))
 
 
-@query("u03_unassigned_after_sort")
+UNASSIGNED_SQL = Z.query(
+    f"select page_id, element_id, 'anchor' as kind from layout_elements where class_name in {Z.A} and element_id not in (select element_id from so where element_id=anchor_id) union all select page_id, element_id, 'child' from layout_elements where class_name in {Z.C} and element_id not in (select element_id from so where anchor_id is not null)",
+    Z.sorter(),
+)
+
+
+@query("u03_unassigned_after_sort", UNASSIGNED_SQL)
 def _(t):
     return J.unassigned(t.layout_elements, L.sort_layout(t.layout_elements, t.doc_pages))
 

@@ -16,6 +16,9 @@ TOP_ORPHANS = 0.15
 NEAR, NEAR_X = 250, 0.2
 LOOKAHEAD, MOVE_FROM, MOVE_RATIO = 2, 75, 0.5
 IOU = 0.7
+NUMBER_CLASSES = ["question number", "second_question_number"]
+# classes whose texts are recognised; formulas come under both spellings
+OCR_CLASSES = ["plain text", "unit", "question type", "question text", "question number", "title", "figure_caption", "table caption", "table footnote", "isolate_formula", "isolated_formula", "formula_caption", "list", "choices", "page", "second_question_number"]
 DPI, PAGE_INCHES, MIN_DPI, MAX_DPI = 300.0, 11.69, 120.0, 600.0
 WIDE_INCHES, WIDE_MARGIN = 9.0, 0.75
 

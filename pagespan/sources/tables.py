@@ -48,11 +48,14 @@ select n_nationkey as user_id, n_name as name, concat(lower(n_name), '@example.o
 from nation""",
     "text_contents": """
 select e.element_id,
- case when e.class_name in ('question number','second_question_number') then cast(e.element_id%60+1 as varchar(10))
-      else substring(d.text, 1, 200) end as ocr_text,
+ case when own=0 then cast(e.element_id%60+1 as varchar(10))
+      else substring(d.text, cast((place-1)*floor((length(d.text)+parts-1)/parts)+1 as int), cast(floor((length(d.text)+parts-1)/parts) as int)) end as ocr_text,
  case when e.element_id%7=0 then 'fallback' else 'primary' end as ocr_engine, d.lang as language
-from layout_elements e join documents d on d.doc_id = e.element_id%200
-where e.class_name not in ('figure','table','flowchart')""",
+from (select element_id, own, sum(own) over (partition by page_id order by element_id) as place, greatest(sum(own) over (partition by page_id), 1) as parts,
+   page_id % (select max(doc_id)+1 from documents) as of_doc
+  from (select element_id, page_id, case when class_name in ('question number','second_question_number') then 0 else 1 end as own
+   from layout_elements where class_name not in ('figure','table','flowchart')) t) e
+join documents d on d.doc_id = e.of_doc""",
     "ai_descriptions": """
 select element_id, concat('description ', cast(element_id as varchar(20))) as description
 from layout_elements where class_name in ('figure','table','flowchart') and element_id%3<>0""",
