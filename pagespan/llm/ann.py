@@ -2,7 +2,8 @@
 
 * Fit: a sample of at most ``SAMPLE`` vectors (smallest hashes of their ids) is split in two again and
   again, by 2-means with equal halves' sizes favoured, until each part stands for about ``LIST`` vectors: the
-  centroids, at most SAMPLE / 5 and therefore small enough to send to every task.
+  centroids, at most SAMPLE / 3 (parts hold 5 rows at most and a third of that at least), small enough to send to every task.
+  Beyond about SAMPLE / 3 * LIST vectors lists grow with their number; they are then searched in blocks of ``BLOCK``.
 * Centroids form a graph (nearest neighbours and some far links), searched best-first by many
   vectors at once.
 * Index: every vector goes to its nearest list and, near a boundary, to up to ``REPLICAS`` lists
@@ -142,7 +143,7 @@ def neighbours(vectors: DataFrame, queries: Column, k: int = 10, vec_id: str = "
     sent = vectors.sparkSession.sparkContext.broadcast(cells)
     lists = written(_dealt(rows, sent, dim, False), "lists")
     blocks = lists.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    blocks = F.broadcast(blocks)  # at most SAMPLE / 5 rows
+    blocks = F.broadcast(blocks)  # at most SAMPLE / 3 rows
     held = lists.join(blocks, "list").select("list", F.pmod(F.hash("vec_id"), "blocks").alias("block"), "vec_id", "x", F.lit(False).alias("asks"))
     asked = _dealt(rows.filter("asks").dropDuplicates(["vec_id"]), sent, dim, True).join(blocks, "list")
     asked = asked.select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "vec_id", "x", F.lit(True).alias("asks"))

@@ -116,8 +116,10 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame, learn: Column, rows: int = TRAIN_ROWS, seed: int = 8) -> Model:
     """Fit on at most ``rows`` documents of those that ``learn`` allows and that have a language."""
-    ids = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", unit_hash(seed, F.col("doc_id")).alias("h")).orderBy("h", "doc_id").limit(rows)
-    sample = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi")
+    known = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("h", unit_hash(seed, F.col("doc_id")))
+    # rows, not ids, are drawn, of equal ones one: an id of very many rows adds no more than its different texts
+    most = known.select("h", "doc_id").orderBy("h", "doc_id").limit(rows).agg(F.max("h")).first()[0]
+    sample = known.filter(F.col("h") <= F.lit(most)).dropDuplicates(["doc_id", "lang", "text"]).orderBy("h", "doc_id", "text").limit(rows).drop("h")
     got = sorted(_features(sample).collect(), key=lambda r: (r["doc_id"], r["lang"], len(r["at"])))
     langs = sorted({r["lang"] for r in got})
     if not langs:

@@ -79,7 +79,7 @@ def mixed(docs: DataFrame, source: str = "source", doc_id: str = "doc_id", weigh
     copies = drawn.filter(F.col(n) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n))))
     text = F.concat_ws("|", F.lit(f"order {seed}"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.col(copy).cast("string"))
     out = copies.withColumn(order, F.md5(text)).select(*docs.columns, n, copy, order)
-    return out.orderBy(order), {"n_copies": n, "copy": copy, "mix_key": order}
+    return out.orderBy(order, F.xxhash64(*docs.columns)), {"n_copies": n, "copy": copy, "mix_key": order}
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

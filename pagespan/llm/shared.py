@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import threading
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -19,26 +20,25 @@ NARROW_ROWS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set only where it is unset (tests)."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None and spark.conf.get("spark.checkpoint.dir", None) is None:
-        context.setCheckpointDir("/tmp/checkpoints")
-    return (context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")).rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir, or what the context was given."""
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return folder.rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: lineage ends, lost executors cost nothing."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    if _recording:
-        _stage_tables.append(path)
+    if getattr(_stages, "recording", False):
+        _stages.tables.append(path)
     tidy(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Tables that stages wrote, and whether one is being built.
-_stage_tables: list[str] = []
-_recording: list[bool] = []
+#: Tables that stages wrote, and whether one is being built: each thread's own, so that pipelines side by side keep theirs.
+_stages = threading.local()
 
 
 @contextlib.contextmanager
@@ -48,15 +48,16 @@ def stage_of(docs: DataFrame) -> Iterator[None]:
     A stage's result is lazy and reads its tables; when it was written and read again, the next
     stage's ``docs`` does not name them any more.
     """
-    read = docs.inputFiles() if _stage_tables else []
-    for path in [p for p in _stage_tables if not any(p.rsplit("/", 1)[-1] in f for f in read)]:
+    made = getattr(_stages, "tables", [])
+    read = docs.inputFiles() if made else []
+    gone = [p for p in made if not any(p.rsplit("/", 1)[-1] in f for f in read)]
+    for path in gone:
         _delete(docs.sparkSession, path)
-        _stage_tables.remove(path)
-    _recording.append(True)
+    _stages.tables, _stages.recording = [p for p in made if p not in gone], True
     try:
         yield
     finally:
-        _recording.pop()
+        _stages.recording = False
 
 
 def _delete(spark: SparkSession, folder: str) -> None:

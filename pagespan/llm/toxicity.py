@@ -34,16 +34,17 @@ TRAIN_ROWS = 20_000
 STEMS = (4, 5, 6, 7)
 #: A term is in this share of toxic texts at least (and in 3), and so many times likelier in them.
 MIN_SHARE, MIN_COUNT, MIN_RATIO = 0.005, 3, 12.0
-#: Terms are at most texts' words / MIN_SHARE; of these the strongest.
-MAX_TERMS = 5000
-WINDOW = 4
+#: Misspelt forms and words of reporting are told by this share of clean texts at least (and 2, 3 of them), so that their
+#: number is bounded by a text's words / MIN_CLEAN, whatever the input's size.
+MIN_CLEAN, MIN_REPORTS, REPORT_RATIO = 1e-5, 3, 8.0
+#: Words before a term that can report it; tokens that a quotation spans at most.
+WINDOW, QUOTATION = 4, 60
 CACHE = 300_000
 THRESHOLD = 0.7
-#: Signs read as letters, quotation marks, words of reporting.
+#: Signs read as letters, quotation marks.
 LEET = str.maketrans("013457@$!", "oieastasi")
 EDGE = ".,;:!?\"'`()[]{}|#*$%&<>~-_/\\=+^“”„‘’«»…"
 QUOTES = "\"“”„«»"
-REPORTING = {"said", "says", "called", "calling", "quote", "quoted", "quoting", "wrote", "writes", "word", "term", "insult", "slur", "phrase"}
 FEATURES = ("any_used", "log_used", "any_quoted", "any_misspelt", "log_misspelt", "density")
 PRIOR = np.array([-3.0, 2.5, 1.2, 0.8, 2.0, 1.0, 0.5])  # bias first
 
@@ -151,8 +152,9 @@ class Automaton:
 class Scorer:
     """Features and scores of texts, with a memory of tokens seen."""
 
-    def __init__(self, words: list[str], stems: list[str], exceptions: set[str]):
+    def __init__(self, words: list[str], stems: list[str], exceptions: set[str], reporting: set[str] = frozenset()):
         self.automaton = Automaton(words, stems, exceptions)
+        self.reporting = reporting
         self.seen: set[str] = set()
         self.hits: dict[str, int] = {}
 
@@ -171,20 +173,26 @@ class Scorer:
             return []
         return [(i, self.hits[t]) for i, t in enumerate(tokens) if t in self.hits]
 
+    def context(self, text: str | None) -> set[str]:
+        """'form x' of a text's misspelt forms, and 'before x' of words that stand before terms."""
+        tokens = (text or "").lower().split()
+        found = self.matches(tokens)
+        out = {f"form {cleaned(tokens[i])}" for i, m in found if m == 2}
+        for i, _ in found:
+            out.update(f"before {w}" for t in tokens[max(0, i - WINDOW) : i] if (w := cleaned(t)))
+        return out
+
     def features(self, text: str | None) -> tuple[list[float], list[str]]:
         """FEATURES of a text, and its misspelt forms."""
         tokens = (text or "").lower().split()
         found = self.matches(tokens)
         if not found:
             return [0.0] * len(FEATURES), []
-        open_at = np.cumsum([sum(t.count(q) for q in QUOTES) for t in tokens])
+        inside_at = quotations(tokens)
         used = quoted = misspelt = 0
         forms = []
         for i, m in found:
-            before = int(open_at[i - 1]) if i else 0
-            inside = before % 2 == 1 and open_at[-1] > before or any(tokens[i].startswith(q) for q in QUOTES)
-            reported = any(cleaned(t) in REPORTING for t in tokens[max(0, i - WINDOW) : i])
-            if inside or reported:
+            if i in inside_at or any(cleaned(t) in self.reporting for t in tokens[max(0, i - WINDOW) : i]):
                 quoted += 1
             elif m == 2:
                 misspelt += 1
@@ -259,7 +267,42 @@ def learn_lexicon(labelled: DataFrame) -> tuple[list[str], list[str]]:
             stems.add(t)
     words = [t[1:] for t in strong if t[0] == "=" and not any(t[1 : k + 1] in stems for k in STEMS)]
     words.sort(key=lambda w: (-pos["=" + w], w))
-    return words[:MAX_TERMS], sorted(stems, key=lambda s: (-pos[s], s))[:MAX_TERMS]
+    return words, sorted(stems, key=lambda s: (-pos[s], s))
+
+
+def learn_context(labelled: DataFrame, words: list[str], stems: list[str]) -> tuple[set[str], set[str]]:
+    """Misspelt forms that clean texts have (no misspellings of terms), and words of reporting: those that stand before
+    terms in clean texts much more than in toxic ones. Counts are over all of ``labelled``."""
+    sent = labelled.sparkSession.sparkContext.broadcast((words, stems))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(*sent.value, set())
+        for part in sliced(batches, "text"):
+            rows = [(item, toxic) for text, toxic in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist(), strict=True) for item in scorer.context(text)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32())], ["item", "toxic"])
+
+    items = labelled.select("text", F.col("toxic").cast("int")).mapInArrow(run, "item string, toxic int")
+    counts = items.groupBy("item").agg(F.count_if(F.col("toxic") == 0).alias("clean"), F.count_if(F.col("toxic") == 1).alias("foul"))
+    totals = labelled.agg(F.count_if(F.col("toxic") == 0).alias("clean"), F.count_if(F.col("toxic") == 1).alias("foul")).first()
+    n = F.col("clean")
+    form = F.col("item").startswith("form ") & (n >= max(2, math.ceil(MIN_CLEAN * totals["clean"]))) & (n >= 2 * F.col("foul"))
+    report = F.col("item").startswith("before ") & (n >= max(MIN_REPORTS, math.ceil(MIN_CLEAN * totals["clean"]))) & (n / max(totals["clean"], 1) >= REPORT_RATIO * F.col("foul") / max(totals["foul"], 1))
+    got = [r["item"].split(" ", 1) for r in counts.filter(form | report).select("item").collect()]
+    return {x for kind, x in got if kind == "form"}, {x for kind, x in got if kind == "before"}
+
+
+def quotations(tokens: list[str]) -> set[int]:
+    """Places of tokens between two quotation marks at most QUOTATION tokens apart; a mark without partner quotes nothing."""
+    inside: set[int] = set()
+    open_at = None
+    for i, t in enumerate(tokens):
+        for _ in range(sum(map(t.count, QUOTES))):
+            if open_at is not None and i - open_at <= QUOTATION:
+                inside.update(range(open_at, i + 1))
+                open_at = None
+            else:
+                open_at = i
+    return inside
 
 
 def fit(x: np.ndarray, y: np.ndarray, prior: np.ndarray = PRIOR, pull: float = 2.0) -> np.ndarray:
@@ -278,37 +321,32 @@ def fit(x: np.ndarray, y: np.ndarray, prior: np.ndarray = PRIOR, pull: float = 2
 
 
 class Model:
-    def __init__(self, words: list[str], stems: list[str], exceptions: set[str], weights: np.ndarray):
-        self.words, self.stems, self.exceptions, self.weights = words, stems, exceptions, weights
+    def __init__(self, words: list[str], stems: list[str], exceptions: set[str], reporting: set[str], weights: np.ndarray):
+        self.words, self.stems, self.exceptions, self.reporting, self.weights = words, stems, exceptions, reporting, weights
 
 
 def train(labelled: DataFrame, rows: int = TRAIN_ROWS, seed: int = 5) -> Model:
     """Learn from ``labelled`` (doc_id, text, toxic), of which all rows may be learnt."""
     labelled = labelled.filter(F.col("toxic").isin(0, 1))
     words, stems = learn_lexicon(labelled)
-    sent = labelled.sparkSession.sparkContext.broadcast((words, stems))
-    ids = labelled.select("doc_id", unit_hash(seed, F.col("doc_id")).alias("h")).orderBy("h", "doc_id").limit(rows).select("doc_id").distinct()
+    exceptions, reporting = learn_context(labelled, words, stems)
+    sent = labelled.sparkSession.sparkContext.broadcast((words, stems, exceptions, reporting))
+    # rows, not ids, are drawn: an id of very many rows takes no more than its part
+    h = unit_hash(seed, F.col("doc_id"), F.xxhash64("text"))
+    sample = labelled.select(h.alias("h"), "doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(*sent.value, set())
+        scorer = Scorer(*sent.value)
         for part in sliced(batches, "text"):
-            got = [scorer.features(t) for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array([g[0] for g in got], pa.list_(pa.float64())), pa.array([sorted({*g[1]})[:20] for g in got], pa.list_(pa.string()))], ["toxic", "x", "forms"])
-
-    sample = labelled.join(F.broadcast(ids), "doc_id", "left_semi").select(F.col("toxic").cast("int"), "text")
-    got = sample.mapInArrow(run, "toxic int, x array<double>, forms array<string>").collect()
-    clean, foul = Counter(), Counter()
-    for r in got:
-        (foul if r["toxic"] else clean).update(r["forms"])
-    exceptions = {w for w, n in clean.items() if n >= 2 and n >= 2 * foul[w]}
-    if not got:
-        return Model(words, stems, exceptions, PRIOR)
+            got = [scorer.features(t)[0] for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("h"), part.column("doc_id"), part.column("toxic"), pa.array(got, pa.list_(pa.float64()))], ["h", "doc_id", "toxic", "x"])
+
+    most = sample.select("h", "doc_id").orderBy("h", "doc_id").limit(rows).agg(F.max("h")).first()[0]
+    if most is None:
+        return Model(words, stems, exceptions, reporting, PRIOR)
+    got = sample.filter(F.col("h") <= most).mapInArrow(run, "h double, doc_id long, toxic int, x array<double>").orderBy("h", "doc_id", "toxic").limit(rows).collect()
     x, y = np.array([r["x"] for r in got]), np.array([r["toxic"] for r in got], float)
-    # a clean text's misspelling that is an exception is no match
-    for k, r in enumerate(got):
-        if r["forms"] and exceptions.issuperset(r["forms"]):
-            x[k, 3:5] = 0.0
-    return Model(words, stems, exceptions, fit(x, y))
+    return Model(words, stems, exceptions, reporting, fit(x, y))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
@@ -317,7 +355,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        scorer = Scorer(m.words, m.stems, m.exceptions)
+        scorer = Scorer(m.words, m.stems, m.exceptions, m.reporting)
         for part in sliced(batches, "text"):
             x = np.array([scorer.features(t)[0] for t in part.column("text").to_pylist()])
             z = m.weights[0] + x @ m.weights[1:]

@@ -14,12 +14,12 @@ its target and digest; repeated rows give repeated records.
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import html
 import io
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -53,15 +53,43 @@ def plain_text(page: str) -> str:
     return "\n".join(x for x in lines if x)
 
 
+def one_line(value: str) -> str:
+    return " ".join(value.split())
+
+
+def valid(text: str) -> str:
+    """``text`` without lone surrogates, which UTF-8 cannot hold."""
+    return text.encode("utf-8", "replace").decode()
+
+
 def record(fields: list[tuple[str, str]], block: bytes) -> bytes:
-    head = "".join(f"{k}: {v}\r\n" for k, v in fields if v)
-    return f"WARC/1.1\r\n{head}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+    """A WARC record; line ends within values become blanks."""
+    head = "".join(f"{k}: {v}\r\n" for k, v in ((k, one_line(v or "")) for k, v in fields) if v)
+    return f"WARC/1.1\r\n{head}Content-Length: {len(block)}\r\n\r\n".encode("utf-8", "replace") + block + b"\r\n\r\n"
+
+
+def unpacked(data: bytes, bits: int) -> bytes:
+    """Decompressed members (31: gzip, 15: zlib, -15: raw); of a cut or broken stream, what could be read."""
+    out = []
+    while data:
+        stream = zlib.decompressobj(bits)
+        try:
+            out.append(stream.decompress(data))
+        except zlib.error:
+            break
+        if not stream.eof:
+            break
+        data = stream.unused_data
+    return b"".join(out)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (lower-case names) and block of each record; gzip members are read too."""
+    """Headers (lower-case names) and block of each record; gzip members are read too.
+
+    A cut record has the part that is there; one whose length cannot be read has an empty block, and the search for the next goes on.
+    """
     if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+        data = unpacked(data, 31)
     stream = io.BytesIO(data)
     while line := stream.readline():
         if not line.startswith(b"WARC/"):
@@ -70,7 +98,8 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         while (line := stream.readline()).strip():
             name, _, value = line.decode("utf-8", "replace").partition(":")
             fields[name.strip().lower()] = value.strip()
-        yield fields, stream.read(int(fields.get("content-length") or 0))
+        length = fields.get("content-length", "")
+        yield fields, stream.read(int(length)) if length.isascii() and length.isdigit() and len(length) < 19 else b""
 
 
 def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
@@ -82,26 +111,62 @@ def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     return first, [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in rest)], payload
 
 
+def body_of(payload: bytes, headers: list[tuple[str, str]]) -> bytes | None:
+    """The payload without transfer chunks and content encodings; None where an encoding is not known."""
+    of = {k.lower(): v.lower() for k, v in headers}
+    if "chunked" in of.get("transfer-encoding", ""):
+        parts, at = [], 0
+        while m := re.compile(rb"\s*([0-9A-Fa-f]{1,15})\s*(?:;[^\r\n]*)?\r\n").match(payload, at):
+            size = int(m[1], 16)
+            parts.append(payload[m.end() : m.end() + size])
+            at = m.end() + size
+            if not size:
+                break
+        payload = b"".join(parts) if at else payload  # else it was not chunked after all
+    for coding in reversed([c.strip() for c in of.get("content-encoding", "").split(",") if c.strip()]):
+        if coding in ("gzip", "x-gzip"):
+            payload = unpacked(payload, 31) if payload[:2] == b"\x1f\x8b" else payload
+        elif coding == "deflate":
+            payload = unpacked(payload, 15) or unpacked(payload, -15)
+        elif coding != "identity":
+            return None
+    return payload
+
+
+def decoded(body: bytes, charset: str) -> str:
+    """Text of a body; charsets that are unknown or are not for texts are read as UTF-8."""
+    try:
+        return valid(body.decode(charset, "replace"))
+    except (LookupError, UnicodeError, ValueError):
+        return body.decode("utf-8", "replace")
+
+
+#: Headers of the source that the derived records carry as their own.
+CARRIED = {"warc-type", "warc-record-id", "warc-target-uri", "warc-date", "warc-payload-digest", "content-length"}
+
+
 def derive(fields: dict[str, str], block: bytes) -> list[dict]:
-    """The metadata and the conversion record of one response."""
+    """The metadata and the conversion record of one response.
+
+    All other headers of the source stand in the metadata as source-<name>; a body in an encoding that
+    is not known gives an empty text.
+    """
     status, headers, payload = split_http(block)
     payload_digest = fields.get("warc-payload-digest") or digest(payload)
-    target, date = fields.get("warc-target-uri", ""), fields.get("warc-date", "")
+    target, date = one_line(fields.get("warc-target-uri", "")), fields.get("warc-date", "")
     source = fields.get("warc-record-id") or f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, target + payload_digest)}>"
     kind = next((v for k, v in headers if k.lower() == "content-type"), "text/html; charset=utf-8")
-    charset = (_CHARSET.search(kind) or [None, "utf-8"])[1]
-    try:
-        page = payload.decode(charset, "replace")
-    except LookupError:
-        page = payload.decode("utf-8", "replace")
-    one_line = lambda x: " ".join(x.split())
+    body = body_of(payload, headers)
+    page = decoded(body or b"", (_CHARSET.search(kind) or [None, "utf-8"])[1])
     title = _TITLE.search(page)
     lang = _LANG.search(page)
     about = [("source-block-digest", digest(block)), ("source-payload-digest", payload_digest), ("http-status", status)]
-    about += [(f"http-header-{k.lower()}", one_line(v)) for k, v in headers]
-    about += [("title", one_line(html.unescape(title[1])) if title else ""), ("language", lang[1] if lang else "")]
+    about += [(f"source-{k}", v) for k, v in sorted(fields.items()) if k and k not in CARRIED]
+    about += [(f"http-header-{k.lower()}", v) for k, v in headers if k]
+    about += [("title", html.unescape(title[1]) if title else ""), ("language", lang[1] if lang else ""), ("body", "" if body is not None else "unknown content-encoding")]
     about += [("outlink", f"{one_line(html.unescape(next(x for x in m.groups() if x is not None)))} L a/@href") for m in _LINK.finditer(_DROP.sub(" ", page))]
-    blocks = {"metadata": ("application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in about if v).encode()), "conversion": ("text/plain; charset=utf-8", plain_text(page).encode())}
+    lines = "".join(f"{one_line(k)}: {v}\r\n" for k, v in ((k, one_line(v)) for k, v in about) if v)
+    blocks = {"metadata": ("application/warc-fields", lines.encode("utf-8", "replace")), "conversion": ("text/plain; charset=utf-8", plain_text(page).encode("utf-8", "replace"))}
     out = []
     for name, (content_type, own) in blocks.items():
         made = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{name} {source}')}>"
@@ -130,7 +195,7 @@ def derivatives(responses: DataFrame, source_id: str = "source_id", data: str =
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """source_id (the file) and data of WARC files, plain or gzip; a file is one task's."""
+    """source_id (the file) and data of WARC files, plain or gzip; a file is one task's, and must be under 2 GB."""
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("source_id"), F.col("content").alias("data"))
 
 
@@ -142,7 +207,7 @@ def responses_of(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFr
             for at in range(0, batch.num_rows, 64):
                 part, out = batch.slice(at, 64), []
                 for key, url, page in zip(*[part.column(c).to_pylist() for c in ("page_id", "url", "html")], strict=True):
-                    payload = (page or "").encode()
+                    payload = (page or "").encode("utf-8", "replace")
                     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
                     rid = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{key} {url}')}>"
                     fields = [("WARC-Type", "response"), ("WARC-Record-ID", rid), ("WARC-Target-URI", url or ""), ("WARC-Date", date), ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", digest(payload)), ("WARC-Block-Digest", digest(block))]

@@ -262,6 +262,53 @@ def test_warc_files(spark, tmp_path):
     assert next(warc.parse(bytes(rows[1]["record"])))[1].decode() == "é"
 
 
+def test_hostile_warc_records():
+    """Charsets that are none, bad lengths, cut files, line ends in values, chunked and compressed bodies: no crash, two records each."""
+    import gzip
+    import zlib
+
+    def derived(http, body, **more):
+        fields = {"warc-record-id": "<urn:x>", "warc-target-uri": "http://a/\r\nX-Evil: 1", "warc-ip-address": "192.0.2.1", **more}
+        meta, conv = warc.derive(fields, http.encode() + b"\r\n\r\n" + body)
+        for r in (meta, conv):
+            (got, block), *rest = warc.parse(bytes(r["record"]))
+            assert not rest and "x-evil" not in got and got["warc-block-digest"] == warc.digest(block) and got["warc-refers-to"] == "<urn:x>"
+        assert b"source-warc-ip-address: 192.0.2.1\r\n" in meta["record"]
+        return next(warc.parse(bytes(conv["record"])))[1].decode()
+
+    html = "<p>été</p>".encode()
+    for charset in ("idna", "undefined", "utf-7", "unicode_escape", "rot13", "hex", "no-such", "utf-16", "punycode"):
+        derived(f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset={charset}", b"<p>\\ud800 +2AA- \xff</p>")
+    assert derived("HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked", b"5;x=1\r\n" + html[:5] + b"\r\n" + f"{len(html) - 5:x}".encode() + b"\r\n" + html[5:] + b"\r\n0\r\n\r\n") == "été"
+    assert derived("HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked", html) == "été"
+    assert derived("HTTP/1.1 200 OK\r\nContent-Encoding: gzip", gzip.compress(html)) == "été"
+    assert derived("HTTP/1.1 200 OK\r\nContent-Encoding: deflate", zlib.compress(html)) == "été"
+    assert derived("HTTP/1.1 200 OK\r\nContent-Encoding: br", b"\x0b\x02") == ""
+    good = warc.record([("WARC-Type", "response")], b"x")
+    for bad in (b"WARC/1.1\r\nContent-Length: -5\r\n\r\n", b"WARC/1.1\r\nContent-Length: many\r\n\r\n", b"junk\r\n"):
+        assert [b for f, b in warc.parse(bad + good) if f.get("warc-type")] == [b"x"]
+    whole = gzip.compress(good) + gzip.compress(good)
+    assert len([*warc.parse(whole)]) == 2 and len([*warc.parse(whole[:-12])]) >= 1 and [*warc.parse(whole[:12])] is not None
+    assert [b for _, b in warc.parse(good[:-3])] == [b"x"] and [*warc.parse(b"")] == []
+
+
+def test_a_stray_mark_quotes_nothing():
+    s = toxicity.Scorer(["idiot", "worthless"], [], set(), {"schrieb"})
+    far = " ".join(["word"] * 200)
+    assert s.features(f'a " {far} you idiot')[0][0] == 1 and s.features(f'" {far} idiot {far} "')[0][2] == 0
+    assert s.features('er schrieb idiot')[0][2] == 1 and s.features('“you idiot” and worthless')[0][:3:2] == [1, 1]
+
+
+def test_one_id_of_very_many_rows(spark):
+    """Training samples stay within their bound when an id repeats without end."""
+    words = {"en": "the and of to in", "de": "der und die das ist"}
+    rows = [(2, words["en"] + f" {k}", "en", "a", 1) for k in range(5000)] + [(k, words["de"] + f" {k}", "de", "a", 1) for k in range(10, 60)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = langid.train(docs, F.col("doc_id").isNotNull(), rows=200)
+    assert model.langs
+    toxicity.train(docs.select("doc_id", "text", F.lit(0).alias("toxic")), rows=200)
+
+
 def test_pipeline_runs_on_these(spark, docs, none):
     import corpus_pipeline
 
