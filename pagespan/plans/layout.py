@@ -296,8 +296,8 @@ LINES = f"list_filter(list_transform(string_split({{0}}, chr(10)), lambda x: tri
 INDENTED = "array_to_string(list_transform(string_split(rtrim({0}, chr(10)), chr(10)), lambda x: case when trim(x, ' \t\r')='' then '' else '   '||x end), chr(10))"
 BUNDLES = f"""tx as (select s.*, trim(coalesce(ocr_text,''), {WS}) as ocr, coalesce(description,'') as ai from so s left join text_contents t on t.element_id=s.element_id left join ai_descriptions a on a.element_id=s.element_id),
 bo as (select *, case when class_name in {Z.V} then case when ai<>'' and ocr<>'' then ai||chr(10)||ocr when ai<>'' then ai else ocr end
-  when class_name='list' then array_to_string(list_transform({LINES.format("case when ocr<>'' then ocr else ai end")}, lambda x: '- '||case when regexp_matches(x, '^([-•]|\d+\.)\s*.+$') then trim(regexp_extract(x, '^([-•]|\d+\.)\s*(.+)$', 2)) else x end), chr(10))
-  when class_name='choices' then array_to_string(list_transform({LINES.format("case when ocr<>'' then ocr else ai end")}, lambda x: case when regexp_matches(x, '^(\(?\d{{1,2}}[\).]|[①-⑳]|[A-Z][\).]|[가-하]\.|[가-하]\))\s*.+$') then regexp_extract(x, '^(\(?\d{{1,2}}[\).]|[①-⑳]|[A-Z][\).]|[가-하]\.|[가-하]\))\s*(.+)$', 1)||' '||trim(regexp_extract(x, '^(\(?\d{{1,2}}[\).]|[①-⑳]|[A-Z][\).]|[가-하]\.|[가-하]\))\s*(.+)$', 2)) else '• '||x end), chr(10))
+  when class_name='list' then array_to_string(list_transform({LINES.format("case when ocr<>'' then ocr else ai end")}, lambda x: '- '||case when regexp_matches(x, '^([-•]|\\d+\\.)\\s*.+$') then trim(regexp_extract(x, '^([-•]|\\d+\\.)\\s*(.+)$', 2)) else x end), chr(10))
+  when class_name='choices' then array_to_string(list_transform({LINES.format("case when ocr<>'' then ocr else ai end")}, lambda x: case when regexp_matches(x, '^(\\(?\\d{{1,2}}[\\).]|[①-⑳]|[A-Z][\\).]|[가-하]\\.|[가-하]\\))\\s*.+$') then regexp_extract(x, '^(\\(?\\d{{1,2}}[\\).]|[①-⑳]|[A-Z][\\).]|[가-하]\\.|[가-하]\\))\\s*(.+)$', 1)||' '||trim(regexp_extract(x, '^(\\(?\\d{{1,2}}[\\).]|[①-⑳]|[A-Z][\\).]|[가-하]\\.|[가-하]\\))\\s*(.+)$', 2)) else '• '||x end), chr(10))
   when class_name='question type' then replace(case when ocr<>'' then ocr else ai end, chr(10), ' ')
   when ocr<>'' then ocr else ai end as body from tx),
 re as (select *, case when class_name in {Z.V} then chr(10)||'   ['||case class_name when 'figure' then '그림' when 'table' then '표' else '순서도' end||' 설명]'||chr(10)||case when body='' then '' else {INDENTED.format("body")}||chr(10)||chr(10) end

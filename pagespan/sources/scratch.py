@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: what the context was given, or spark.checkpoint.dir."""
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return folder.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed (spark.checkpoint.dir, or a folder of its own where that is unset)."""
+    """``df`` checkpointed in the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

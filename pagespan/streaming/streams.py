@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from pagespan.operators.maintenance import VERSION, numbered, with_current
 from pagespan.operators.render import format_page
 from pagespan.operators.strategies import sort_adaptive
+from pagespan.sources.scratch import shared_folder
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def file_stream(spark: SparkSession, path: str, schema, form: str = "parquet", files: int = 4) -> DataFrame:
