@@ -344,6 +344,7 @@ def sort_layout(elements: DataFrame, pages: DataFrame | None = None, document_ty
     kept = preprocess(elements, document_type)
     if document_type != "question_based":
         return reading_order(kept)
-    zoned = zone_tree(page_extent(kept, pages), gutter)
-    grouped = reassign_visuals(reassign_visuals(group_zones(zoned, proximity)), whole_page=True)
-    return flatten_groups(grouped).select(*SORTED)
+    # each stage reads the one before several times: cut, it is computed once, and plans stay small
+    zoned = cut(zone_tree(page_extent(kept, pages), gutter).drop("page_width", "page_height"))
+    grouped = cut(reassign_visuals(cut(group_zones(zoned, proximity))))
+    return flatten_groups(reassign_visuals(grouped, whole_page=True)).select(*SORTED)

@@ -220,7 +220,11 @@ def _(t):
     return t.documents.select("doc_id", X.normalize_question_type(F.col("text")).alias("normal"))
 
 
-@query("e08_apply_rule", "select element_id, case when element_id%5=0 then '[' else '[' || array_to_string(list_transform(string_split(ocr_text, chr(10)), lambda x: case when trim(x)='' then '' else '   ' || x end), chr(10)) || ']' end as ruled from text_contents")
+@query(
+    "e08_apply_rule",
+    """with t as (select element_id, case when element_id%5=0 then '' else regexp_replace(ocr_text, '\\n$', '') end as x from text_contents),
+    b as (select element_id, array_to_string(list_transform(string_split(regexp_replace(x, '\\n$', ''), chr(10)), lambda x: case when trim(x, ' \t\r')='' then '' else '   ' || x end), chr(10)) as y from t) select element_id, case when y='' then '[' else '[' || y || ']' end as ruled from b""",
+)
 def _(t):
     text = F.when(F.col("element_id") % 5 == 0, "").otherwise(F.regexp_replace("ocr_text", "\\n\\z", ""))
     return t.text_contents.select("element_id", X.apply_rule(text, F.lit("["), F.lit("]"), F.lit(3), F.lit(True)).alias("ruled"))
