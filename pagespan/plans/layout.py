@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagespan.functions import text as X
 from pagespan.operators import layout as L
 from pagespan.operators import maintenance as M
 from pagespan.operators import questions as Q
@@ -614,6 +615,31 @@ def _(t):
     return R.stream_pages(elements, t.doc_pages, t.text_contents, t.ai_descriptions, dimensions.formatting_rules(t.spark), log, f"{at}/checkpoint")
 
 
+@query("s02_read_elements_json", "select page_id, element_id, class_name, confidence, bbox_x, bbox_y, bbox_width, bbox_height from layout_elements")
+def _(t):
+    from pagespan.sources import readers
+
+    at = f"{R.scratch_dir(t.spark)}/pages"
+    names = ["element_id", "class_name", "confidence", "bbox_x", "bbox_y", "bbox_width", "bbox_height"]
+    pages = t.layout_elements.groupBy("page_id").agg(F.to_json(F.collect_list(F.struct("page_id", *names))).alias("value"))
+    pages.withColumnRenamed("page_id", "page").write.partitionBy("page").text(at)
+    return readers.read_elements_json(t.spark, f"{at}/*").select("page_id", *names)
+
+
+@query("x01_register_transform", "select e.element_id, case when trim(coalesce(ocr_text,''), ' \n\t\r')='' then '' else '<' || trim(ocr_text, ' \n\t\r') || '!>' end as rendered from layout_elements e left join text_contents using (element_id) where class_name='plain text'")
+def _(t):
+    D.register_transform("exclaim", lambda text, ai: F.when(X.strip(text) == "", "").otherwise(F.concat(X.strip(text), F.lit("!"))))
+    rules = t.spark.createDataFrame([("reading_order", "plain text", "<", ">", 0, "exclaim", False)], "document_type string, class_name string, prefix string, suffix string, indent int, transform string, allow_empty boolean")
+    plain = t.layout_elements.filter("class_name = 'plain text'")
+    return D.rendered_elements(plain, t.text_contents, t.ai_descriptions, rules, "reading_order").select("element_id", "rendered")
+
+
+@query("x02_register_strategy", READING)
+def _(t):
+    G.register_strategy("TOP_DOWN", lambda elements, pages: L.reading_order(elements))
+    return G.sort_adaptive(t.layout_elements, t.doc_pages, force="TOP_DOWN").select("page_id", "element_id", "order_in_question")
+
+
 @query("x03_page_kernel", "select page_id, max(bbox_y+bbox_height) as bottom from layout_elements group by 1")
 def _(t):
     def lowest(pdf):

@@ -59,3 +59,34 @@ def test_registered_transform(spark):
     a = spark.createDataFrame([], "element_id long, description string")
     assert render.format_page(layout.reading_order(e), t, a, rules, "reading_order").first()["text"] == "HEY!"
     del render.TRANSFORMS["shout"]
+
+
+def test_values_as_given(spark):
+    df = spark.range(1)
+    one = lambda c: df.select(c).first()[0]
+    assert [one(X.choice_number(F.lit(x))) for x in ("③ a", "（ 2 ）b", "4 ．c", " (1) d", "⑪", "6.")] == ["③", "2", "4", "", "", ""]
+    assert [one(X.classify_text(F.lit(x))) for x in ("(1) a", "위의 글", "답: 3", "정답 3", "다음 글", "(7)")] == ["choices", "passage", "explanations", "question_text", "question_text", "question_text"]
+    assert one(X.wrap_text(F.lit("1. a list line that is longer than twenty-five signs\n\n" + "x" * 30 + " y\n- \n"))) == "1. a list line that is longer than twenty-five signs\n\n" + "x" * 25 + "\nxxxxx y\n-\n"
+    assert one(X.wrap_text(F.lit(" a "))) == "" and one(X.wrap_text(F.lit(None).cast("string"))) == ""
+    assert [one(X.duration_label(F.lit(x).cast("double"))) for x in (None, 0.25, 1.5)] == ["-", "250ms", "1.50초"]
+    assert one(X.safe_filename(F.lit("a b/페이지 1?.pdf"))) == "ab페이지1.pdf"
+    assert one(X.section_header(F.lit(3), F.lit(None).cast("int"), F.lit(None).cast("string"))) == "─── 페이지 3 (내용 없음) ───"
+
+
+def test_project_text_and_blocks(spark):
+    pages = spark.createDataFrame([(1, 11, 1), (1, 12, 2)], "project_id long, page_id long, page_number int")
+    current = spark.createDataFrame([(11, 2, "original", "  a b \n[c]\n")], "page_id long, version_number int, version_type string, content string")
+    got = render.combine_project_text(pages, current).first()
+    assert got["combined_text"] == "─── 페이지 1 (Version: 2 - original) ───\n\n  a b \n[c]\n\n─── 페이지 2 (내용 없음) ───"
+    assert tuple(got["stats"]) == (2, 3, 11)
+    blocks = render.document_blocks(render.combine_project_text(pages, current)).orderBy("section", "block").collect()
+    assert [(r["kind"], r["level"], r["text"]) for r in blocks] == [("heading", 2, "페이지 1"), ("paragraph", 0, "a b"), ("paragraph", 0, "[c]"), ("page_break", 0, ""), ("heading", 2, "페이지 2")]
+    rows = render.text_blocks(spark.createDataFrame([(1, "\n[x]\n\n1. 2\ntext\n\n\n3")], "project_id long, combined_text string")).orderBy("block").collect()
+    assert [(r["block"], r["kind"], r["level"], r["text"]) for r in rows] == [(1, "heading", 2, "x"), (3, "heading", 3, "1. 2"), (4, "paragraph", 0, "text"), (5, "blank", 0, ""), (6, "blank", 0, ""), (7, "paragraph", 0, "3")]
+
+
+def test_simple_document(spark):
+    rows = [(1, "question number", 0, "1", ""), (2, "question text", 1, "Why?", ""), (3, "figure", 2, "", "a cat"), (4, "table caption", 3, "T1", "x"), (5, "list", 4, " ", "")]
+    content = spark.createDataFrame([(1, k, c, 0, y, o.strip(), a) for k, c, y, o, a in rows], "page_id long, element_id long, class_name string, bbox_x int, bbox_y int, ocr string, ai string")
+    assert render.format_document_simple(content).first()["text"] == "1.    Why?\n\n[그림 설명] a cat\n\nT1"
+    assert render.format_document_simple(content, same_line=True).first()["text"].startswith("1. Why?")
