@@ -78,10 +78,10 @@ def _distinct(lines: DataFrame) -> DataFrame:
 
 
 def _bucketed(df: DataFrame, parts: int, *by: str) -> tuple[str, DataFrame]:
-    """``df``, which is dealt by ``by`` into ``parts``, as a table that joins on ``by`` read without an exchange."""
+    """``df``, which is dealt by ``by`` into ``parts``, as a table that joins on ``by`` read without an exchange (they sort it anyway)."""
     spark = df.sparkSession
     name = f"lines_{uuid.uuid4().hex}"
-    df.write.bucketBy(parts, *by).sortBy(*by).option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    df.write.bucketBy(parts, *by).option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
     tidy(spark)
     return name, spark.table(name)
 
@@ -105,28 +105,38 @@ def _ordered(line: Column, ranks: Column) -> Column:
     return F.sort_array(F.array_distinct(numbers))
 
 
+def _prefix(size: Column, percent: int) -> Column:
+    return size - F.ceil(size * percent / 100).cast("int") + 1
+
+
 def _keys(distinct: DataFrame, ranks: Column, percent: int) -> DataFrame:
     """key, place, and the line's (d, l), size and bitmap, for every key of every line."""
     bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63).cast("long")).cast("int"))
     side = F.lit(64).cast("long")
-    parity = lambda odd: F.aggregate("t", F.lit(0).cast("long"), lambda a, x: F.when((x.bitwiseAND(side) != 0) == F.lit(odd), a.bitwiseXOR(bit(x))).otherwise(a))
+    parity = lambda f: F.aggregate("t", F.lit(0).cast("long"), f)
+    both = parity(lambda a, x: a.bitwiseXOR(bit(x)))
+    one = parity(lambda a, x: F.when(x.bitwiseAND(side) != 0, a.bitwiseXOR(bit(x))).otherwise(a))
     size = F.size("t")
-    prefix = size - F.ceil(size * percent / 100).cast("int") + 1
     hot = F.lit((_SCALE * (FREQUENT.bit_length() - 1)) << _HASH_BITS)
     lines = distinct.select("d", "l", _ordered(F.col("line"), ranks).alias("t"))
-    lines = lines.select("d", "l", size.alias("s"), F.xxhash64("t").alias("all"), parity(False).alias("m0"), parity(True).alias("m1"), F.slice("t", F.lit(1), prefix).alias("p"), F.slice("t", F.lit(1), prefix + 1).alias("q"))
+    lines = lines.select("d", "l", size.alias("s"), F.xxhash64("t").alias("all"), both.alias("both"), one.alias("m1"), F.slice("t", F.lit(1), _prefix(size, percent) + 1).alias("q"))
     s = F.col("s")
     whole = 100 * s < percent * (s + 1)  # neither a larger nor a smaller set can match
+    # the rare words are the first of the prefix
+    m0 = F.col("both").bitwiseXOR(F.col("m1")).alias("m0")
+    lines = lines.select("d", "l", "s", "all", m0, "m1", "q", whole.alias("whole"), _prefix(s, percent).alias("most"), F.filter("q", lambda x: x >= hot).alias("tail"))
+    rare = F.size("q") - F.size("tail")
     # where one common word may do, there is no pair, so that frequent words are keys as well
-    alone = (percent * s <= 100) | (s >= LONG) | (F.element_at("p", -1) < hot)
-    singles = F.when(alone, F.col("p")).otherwise(F.filter("p", lambda x: x < hot))
-    tail = F.filter("q", lambda x: x >= hot)
-    pairs = _bound(tail, lambda h: F.flatten(F.transform(h, lambda a: F.transform(F.filter(h, lambda b: b > a), lambda b: F.xxhash64(a, b)))))
-    paired = (F.element_at("q", -1) >= hot) & (percent * s < 100 * LONG)
-    keys = F.when(whole, F.array("all")).when(paired, F.concat(singles, pairs)).otherwise(singles)
+    alone = (percent * s <= 100) | (s >= LONG) | (rare >= F.col("most"))
+    paired = (F.size("tail") > 0) & (percent * s < 100 * LONG)
+    singles = F.when(F.col("whole"), F.lit(1)).when(alone, F.col("most")).otherwise(rare)
+    lines = lines.select("d", "l", "s", "all", "m0", "m1", "q", "tail", "whole", singles.alias("n"), paired.alias("paired"), rare.alias("first"))
+    after = lambda i: F.slice("tail", i + 2, F.greatest(F.size("tail") - i - 1, F.lit(0)))
+    pairs = F.flatten(F.transform("tail", lambda a, i: F.transform(after(i), lambda b: F.xxhash64(a, b))))
+    words = F.slice("q", F.lit(1), F.col("n"))
+    keys = F.when(F.col("whole"), F.array("all")).when(F.col("paired"), F.concat(words, pairs)).otherwise(words)
     # pairs come after all single words; none begins before the first frequent word
-    n = F.when(whole, F.lit(1)).otherwise(F.size(singles))
-    rare = F.when(paired, F.size("q") - F.size(tail)).otherwise(F.lit(0))
+    rare, n = F.when(F.col("paired"), F.col("first")).otherwise(F.lit(0)), F.col("n")
     out = lines.select("d", "l", "s", "m0", "m1", n.alias("n"), rare.alias("rare"), F.posexplode(keys).alias("i", "key"))
     return out.select("key", F.when(F.col("i") < F.col("n"), F.col("i")).otherwise(F.col("rare")).alias("i"), "d", "l", "s", "m0", "m1")
 
@@ -148,13 +158,15 @@ def _verified(pairs: DataFrame, distinct: DataFrame, percent: int) -> DataFrame:
     ids = pairs.select(F.col("xd").alias("d"), F.col("xl").alias("l")).unionByName(pairs.select(F.col("yd").alias("d"), F.col("yl").alias("l"))).distinct()
     ids = written(ids, "ids")
     worded = distinct.join(F.broadcast(ids) if ids.count() <= NARROW_ROWS else ids, ["d", "l"], "left_semi")
+    worded = written(worded.select("d", "l", words_of(F.col("line")).alias("words")), "worded")
     x, y = worded.toDF("xd", "xl", "a"), worded.toDF("yd", "yl", "b")
-    both = pairs.join(x, ["xd", "xl"]).join(y, ["yd", "yl"]).select("xd", "xl", words_of(F.col("a")).alias("a"), words_of(F.col("b")).alias("b"))
+    both = pairs.join(x, ["xd", "xl"]).join(y, ["yd", "yl"])
     common = F.size(F.array_intersect("a", "b"))
     found = both.filter((100 + percent) * common >= percent * (F.size("a") + F.size("b"))).select(F.col("xd").alias("d"), F.col("xl").alias("l")).distinct()
     found = written(found, "matched")
     dropped(pairs)
     dropped(ids)
+    dropped(worded)
     return found
 
 
@@ -184,16 +196,18 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id
     lines = _lines(docs, doc_id, text).filter(F.length("line") > 0)
     distinct = written(_distinct(lines), "lines")
     # a key of one line says nothing; others carry their key's first line and number of lines
-    of = Window.partitionBy("key")
-    head = F.first(F.struct("d", "l", "i", "s", "m0", "m1")).over(of.orderBy("d", "l"))
-    keyed = _keys(distinct, _rarity(distinct), percent).repartition(n, "key").withColumns({"n": F.count(F.lit(1)).over(of), "h": head}).filter("n > 1")
+    of = Window.partitionBy("key").orderBy("d", "l")
+    whole = of.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    head = F.first(F.struct("d", "l", "i", "s", "m0", "m1")).over(whole)
+    keyed = _keys(distinct, _rarity(distinct), percent).repartition(n, "key").withColumns({"n": F.count(F.lit(1)).over(whole), "r": F.row_number().over(of), "h": head}).filter("n > 1")
     name, table = _bucketed(keyed, n, "key")  # so that its join with itself needs no exchange
     del keyed
-    keys = table.drop("h")
-    led = table.select(F.struct("d", "l", "i", "s", "m0", "m1").alias("x"), F.col("h").alias("y")).filter(_may_match("x", "y", percent))
+    led = table.filter("r > 1").select(F.struct("d", "l", "i", "s", "m0", "m1").alias("x"), F.col("h").alias("y")).filter(_may_match("x", "y", percent))
     first = _verified(_places(led), distinct, percent)
     few = lambda df: F.broadcast(df) if df.count() <= NARROW_ROWS else df
-    left = keys.join(few(first), ["d", "l"], "left_anti")
+    # a key's first line has met all others
+    keys = table.filter("r > 1 and n > 2").drop("h")
+    left = keys.filter("r > 2").join(few(first), ["d", "l"], "left_anti")
     heavy = F.col("n") > HEAVY
     rest = _met(left.filter(~heavy), keys.filter(~heavy), percent)
     if not keys.filter(heavy).isEmpty():
@@ -202,7 +216,8 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id
     dropped(table)
     docs.sparkSession.sql(f"drop table {name}")
     similar = first.unionByName(more).withColumn("similar", F.lit(True))
-    state = distinct.join(similar, ["d", "l"], "left").select(*_copies("line"), F.col("d").alias("fd"), F.col("l").alias("fl"), F.coalesce("similar", F.lit(False)).alias("similar"))
+    named = distinct.select("d", "l", *_copies("line"))  # first, so that no text travels
+    state = named.join(similar, ["d", "l"], "left").select("h1", "h2", F.col("d").alias("fd"), F.col("l").alias("fl"), F.coalesce("similar", F.lit(False)).alias("similar"))
     state = written(state, "state")
     dropped(distinct)
     out = lines.select("d", "l", *_copies("line")).join(state, ["h1", "h2"]).filter("similar or d <> fd or l <> fl")
