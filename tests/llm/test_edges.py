@@ -1,5 +1,6 @@
 """Nulls in any column, empty and long texts, ties and repeated rows, empty tables, clashing columns."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -219,20 +220,53 @@ def test_vectors(spark):
 
 
 def test_vectors_recall(spark):
-    import numpy as np
-
     sf = "/root/testdata/sf0.1"
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
     ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], float)
+    assert _recall(ann.op4_ann(spark, sf).collect(), ids, x) >= 0.9
+
+
+def _recall(got, ids, x):
     found = {}
-    for r in ann.op4_ann(spark, sf).collect():
+    for r in got:
         found.setdefault(r["query_id"], set()).add(r["vec_id"])
     hit = total = 0
     for q in np.flatnonzero(ids % 100 == 0):
         d = np.sqrt(((x - x[q]) ** 2).sum(1))
         best = [i for i in np.lexsort((ids, d)) if i != q][:10]
         hit, total = hit + len(found[ids[q]] & set(ids[best].tolist())), total + 10
-    assert hit >= 0.9 * total
+    return hit / total
+
+
+def test_vectors_lists_split_again(spark):
+    """A sample much smaller than the table: each list is split again, so that lists stay short."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(60, 16))[rng.integers(0, 60, 20_000)] * 2 + rng.normal(size=(20_000, 16))
+    ids = np.arange(20_000)
+    df = spark.createDataFrame(list(zip(ids.tolist(), x.tolist(), strict=True)), "vec_id long, embedding array<double>")
+    split = []
+    centres = ann._centres
+    ann._centres = lambda *a: split.append(centres(*a)) or split[-1]
+    try:
+        got = ann.neighbours(df, F.col("vec_id") % 100 == 0, sample=300, size=16).collect()
+    finally:
+        ann._centres = centres
+    assert split and split[0].count() > 500
+    assert _recall(got, ids, x) >= 0.9
+
+
+def test_vectors_equal(spark):
+    """A vector that most rows share: the smallest other ids at distance 0."""
+    rows = [(k, [1.0, 2.0] if k % 3 else [float(k), 0.5]) for k in range(3000)]
+    df = spark.createDataFrame(rows + rows[:50], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.neighbours(df, F.col("vec_id") % 100 == 0).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    x = np.array([v for _, v in rows])
+    for q in range(0, 3000, 100):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        best = [i for i in np.lexsort((np.arange(3000), d)) if i != q][:10]
+        assert sorted(got[q]) == [(k + 1, i, d[i]) for k, i in enumerate(best)]
 
 
 def test_warc(spark):
