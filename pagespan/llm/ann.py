@@ -13,7 +13,7 @@
   split again in the same way, on a sample of about ``FINE`` of its own vectors and in a task of its own: so the
   number of lists grows with the table, up to FINE / 5 parts a list.
 * Search: a query visits the lists whose centroid is at most ``RATIO`` times as far as the nearest
-  (LISTS at most, FEWEST at least; of lists that are split, the same number of parts). Lists longer than ``BLOCK`` are dealt
+  (LISTS at most, FEWEST at least; of lists that are split, the same number of parts, a quarter of them in one list at most). Lists longer than ``BLOCK`` are dealt
   in blocks. Distances are exact, in double precision; the best of the blocks are merged.
 
 Defined results: vectors that are null, zero, of another length than most, or with null or non-finite components, and
@@ -168,7 +168,7 @@ def _centres(lists: DataFrame, dim: int, size: int) -> DataFrame:
 
 
 def _in_parts(rows: DataFrame, centres: DataFrame, dim: int, asks: bool) -> DataFrame:
-    """``rows`` (list, vec_id, x) with the part of their list that they belong to, or the parts that a query visits; both in blocks."""
+    """list, part, vec_id of ``rows`` (list, vec_id, x): the part of their list that vectors belong to (with x), or those that queries visit; in blocks."""
     blocks = _sizes(rows, "list").select("list", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     blocks = F.broadcast(blocks)  # at most SAMPLE / 3 rows
     left = rows.join(blocks, "list").withColumn("block", F.pmod(F.hash("vec_id"), "blocks")).drop("blocks")
@@ -180,21 +180,22 @@ def _in_parts(rows: DataFrame, centres: DataFrame, dim: int, asks: bool) -> Data
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         for at in range(0, len(x), 64):
             far = np.sqrt(((x[at : at + 64, None, :] - c[None]) ** 2).sum(2))
-            order = np.argsort(far, axis=1, kind="stable")[:, : LISTS if asks else 2]
+            order = np.argsort(far, axis=1, kind="stable")[:, : LISTS // 4 if asks else 2]
             far = np.take_along_axis(far, order, 1)
             ok = (far <= (RATIO if asks else NEAR) * far[:, :1]) | (np.arange(order.shape[1])[None] < (FEWEST if asks else 1))
             row, col = np.nonzero(ok)
             found.append((row + at, order[row, col], far[row, col]))
         row, part, far = (np.concatenate(v) for v in zip(*found, strict=True))
-        kept = table.select(["list", "vec_id", "x"]).take(pa.array(row))
+        kept = table.select(["list", "vec_id"] if asks else ["list", "vec_id", "x"]).take(pa.array(row))
         return kept.append_column("part", pa.array(part.astype(np.int32))).append_column("far", pa.array(far))
 
-    placed = left.groupBy("list", "block").cogroup(right.groupBy("list", "block")).applyInArrow(near, "list int, vec_id long, x array<double>, part int, far double")
+    vector = "" if asks else "x array<double>, "  # a query's candidates are many before the last choice
+    placed = left.groupBy("list", "block").cogroup(right.groupBy("list", "block")).applyInArrow(near, f"list int, vec_id long, {vector}part int, far double")
     if asks:
         by = Window.partitionBy("vec_id")
         placed = placed.withColumns({"rank": F.row_number().over(by.orderBy("far", *PLACE)), "least": F.min("far").over(by)})
         placed = placed.filter((F.col("rank") <= FEWEST) | (F.col("rank") <= LISTS) & (F.col("far") <= RATIO * F.col("least")))
-    return placed.select(*PLACE, "vec_id", "x")
+    return placed.drop("far", "rank", "least")
 
 
 def neighbours(vectors: DataFrame, queries: Column, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding", sample: int = SAMPLE, size: int = LIST) -> DataFrame:
@@ -217,7 +218,7 @@ def neighbours(vectors: DataFrame, queries: Column, k: int = 10, vec_id: str = "
     asked = _dealt(named, sent, dim, True)
     if lists.count() > 4 * REPLICAS * size * len(cells.points):
         centres = written(_centres(lists, dim, size), "centres")
-        lists, asked = written(_in_parts(lists, centres, dim, False), "parts"), _in_parts(written(asked, "visits"), centres, dim, True)
+        lists, asked = written(_in_parts(lists, centres, dim, False), "parts"), _in_parts(written(asked, "visits"), centres, dim, True).join(named, "vec_id")
     else:
         lists, asked = lists.withColumn("part", F.lit(0)), asked.withColumn("part", F.lit(0))
     blocks = _sizes(lists, *PLACE).select(*PLACE, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")).filter("blocks > 1")
