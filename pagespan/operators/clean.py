@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagespan import schema as S
+from pagespan.operators.sides import if_small
 
 
 def with_geometry(elements: DataFrame) -> DataFrame:
@@ -35,7 +36,7 @@ def class_table(spark) -> DataFrame:
 
 def resolve_class_name(detections: DataFrame, names: DataFrame) -> DataFrame:
     """Adds class_name from a table of ids (a model's classes, small by nature); unknown ids are unknown_<id>."""
-    named = detections.join(F.broadcast(names.select("class_id", F.col("class_name").alias("_name"))), "class_id", "left")
+    named = detections.join(if_small(names.select("class_id", F.col("class_name").alias("_name"))), "class_id", "left")
     return named.withColumn("class_name", F.coalesce("_name", F.concat(F.lit("unknown_"), F.col("class_id").cast("string")))).drop("_name")
 
 
@@ -172,13 +173,21 @@ def box_iou(ax, ay, aw, ah, bx, by, bw, bh) -> Column:
     return F.when(union > 0, both / union).otherwise(F.lit(0.0))
 
 
+#: Boxes are compared within horizontal bands of their page, so high: a page of very many boxes is many small joins.
+GRID = 512
+
+
 def iou_pairs(elements: DataFrame, least: float = S.IOU) -> DataFrame:
     """Pairs of one page whose boxes overlap more than ``least``: page_id, a, b (ids, a < b), iou."""
-    side = lambda p: elements.select("page_id", F.col("element_id").alias(p), *[F.col(f"bbox_{n}").alias(f"{p}{k}") for k, n in zip("xywh", ("x", "y", "width", "height"), strict=True)])
+    top, bottom = F.floor(F.col("bbox_y") / GRID), F.floor((F.col("bbox_y") + F.col("bbox_height")) / GRID)
+    dealt = elements.filter(bottom >= top).withColumn("band", F.explode(F.sequence(top, bottom)))
+    side = lambda p: dealt.select("page_id", "band", F.col("element_id").alias(p), *[F.col(f"bbox_{n}").alias(f"{p}{k}") for k, n in zip("xywh", ("x", "y", "width", "height"), strict=True)])
     a, b = side("a"), side("b")
     # boxes that overlap that much start within one box's size of another: a cheap test before the ratio
     touch = (F.col("ax") < F.col("bx") + F.col("bw")) & (F.col("bx") < F.col("ax") + F.col("aw")) & (F.col("ay") < F.col("by") + F.col("bh")) & (F.col("by") < F.col("ay") + F.col("ah"))
-    pairs = a.join(b, "page_id").filter((F.col("a") < F.col("b")) & touch)
+    # a pair counts in the band where its common part begins, so once
+    here = F.floor(F.greatest("ay", "by") / GRID) == F.col("band")
+    pairs = a.join(b, ["page_id", "band"]).filter((F.col("a") < F.col("b")) & touch & here)
     return pairs.withColumn("iou", iou("a", "b")).filter(F.col("iou") > least).select("page_id", "a", "b", "iou")
 
 

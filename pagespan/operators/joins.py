@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagespan.operators.sides import if_small
+
 
 def page_with_content(elements: DataFrame, texts: DataFrame, ai: DataFrame) -> DataFrame:
     """Elements with their texts, each at most one."""
@@ -21,7 +23,7 @@ def project_details(projects: DataFrame, pages: DataFrame, types: DataFrame, com
     per = pages.groupBy("project_id").agg(F.count(F.lit(1)).alias("total_pages"))
     return (
         projects.join(per, "project_id", "left")
-        .join(F.broadcast(types.select("doc_type_id", "type_name", "sorting_method")), "doc_type_id", "left")
+        .join(if_small(types.select("doc_type_id", "type_name", "sorting_method")), "doc_type_id", "left")
         .join(combined.select("project_id", "combined_text"), "project_id", "left")
         .withColumn("total_pages", F.coalesce("total_pages", F.lit(0)))
     )
@@ -51,9 +53,14 @@ def elements_in_question_range(questions: DataFrame, elements: DataFrame) -> Dat
 
 
 def nearest_question(results: DataFrame, questions: DataFrame, most: int = 500) -> DataFrame:
-    """page_id, element_id, question: the one least far in y; 'unknown' beyond ``most`` or without coordinates."""
+    """page_id, element_id, question: the one least far in y; 'unknown' beyond ``most`` or without coordinates.
+
+    Elements meet the questions of their own and the neighbouring bands of ``most`` pixels only.
+    """
+    band = lambda y: F.floor(F.col(y) / most)
+    asked = questions.select("page_id", "question", "q_y", F.explode(F.sequence(band("q_y") - 1, band("q_y") + 1)).alias("band"))
     d = F.abs(F.col("bbox_y") - F.col("q_y"))
-    best = results.select("page_id", "element_id", "bbox_y").join(questions.select("page_id", "question", "q_y"), "page_id").groupBy("element_id").agg(F.min(F.struct(d.alias("d"), "q_y", "question")).alias("b"))
+    best = results.select("page_id", "element_id", "bbox_y", band("bbox_y").alias("band")).join(asked, ["page_id", "band"]).groupBy("element_id").agg(F.min(F.struct(d.alias("d"), "q_y", "question")).alias("b"))
     out = results.select("page_id", "element_id").join(best, "element_id", "left")
     return out.select("page_id", "element_id", F.when(F.col("b.d") <= most, F.col("b.question").cast("string")).otherwise("unknown").alias("question"))
 
@@ -61,7 +68,7 @@ def nearest_question(results: DataFrame, questions: DataFrame, most: int = 500)
 def apply_rule_overrides(base: DataFrame, stored: DataFrame, document_type: str) -> DataFrame:
     """Base rules with the stored ones of the type over them; an empty stored suffix is a line end."""
     own = stored.filter(F.col("document_type") == document_type).select("class_name", F.coalesce("prefix", F.lit("")).alias("_p"), F.coalesce(F.nullif("suffix", F.lit("")), F.lit("\n")).alias("_s"), F.coalesce("indent", F.lit(0)).alias("_i"))
-    both = base.filter(F.col("document_type") == document_type).join(F.broadcast(own), "class_name", "left")
+    both = base.filter(F.col("document_type") == document_type).join(if_small(own), "class_name", "left")
     return both.withColumns({"prefix": F.coalesce("_p", "prefix"), "suffix": F.coalesce("_s", "suffix"), "indent": F.coalesce("_i", "indent")}).drop("_p", "_s", "_i")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pagespan import schema as S
 from pagespan.functions import text as X
+from pagespan.operators.sides import if_small
 
 #: Transforms that rules name: (text, ai text) -> text. ``register_transform`` adds to them.
 TRANSFORMS: dict[str, Callable[[Column, Column], Column]] = {
@@ -33,7 +34,7 @@ def with_texts(elements: DataFrame, texts: DataFrame, ai: DataFrame) -> DataFram
 def with_rules(content: DataFrame, rules: DataFrame, document_type: str) -> DataFrame:
     """Adds the class's rule; a class without one gets just a line end."""
     own = rules.filter(F.col("document_type") == document_type).select("class_name", "prefix", "suffix", "indent", "transform", "allow_empty")
-    out = content.join(F.broadcast(own), "class_name", "left")
+    out = content.join(if_small(own), "class_name", "left")
     return out.withColumns({"prefix": F.coalesce("prefix", F.lit("")), "suffix": F.coalesce("suffix", F.lit("\n")), "indent": F.coalesce("indent", F.lit(0)), "allow_empty": F.coalesce("allow_empty", F.lit(False))})
 
 
@@ -125,7 +126,7 @@ def render_bundles(rendered: DataFrame, rules: DataFrame, document_type: str = "
         F.max(F.when(F.col("is_head"), item)).alias("head"),
     )
     rule = rules.filter((F.col("document_type") == document_type) & (F.col("class_name") == "question text")).select(F.struct("prefix", "suffix", "indent", "allow_empty").alias("rule"), F.lit(1).alias("_one"))
-    by = by.withColumn("_one", F.lit(1)).join(F.broadcast(rule), "_one", "left").drop("_one")
+    by = by.withColumn("_one", F.lit(1)).join(if_small(rule), "_one", "left").drop("_one")
     numbered = F.col("head.class_name").isin("question number", "second_question_number")
     text = F.when(F.col("head").isNull(), render_section(F.col("children"))).when(numbered, render_numbered(F.col("head"), F.col("children"), F.col("rule"))).otherwise(
         F.concat(F.when(X.strip(F.col("head.rendered")) != "", F.col("head.rendered")).otherwise(F.lit("")), render_section(F.col("children")))

@@ -26,7 +26,7 @@ def _(t):
 @query("s04_seed_dimensions", "select e.element_id, case class_name when 'question type' then ']' when 'question number' then '. ' when 'second_question_number' then '' when 'figure' then chr(10) when 'table' then chr(10) when 'flowchart' then chr(10) else '' end as suffix from layout_elements e")
 def _(t):
     rules = dimensions.formatting_rules(t.spark).filter("document_type = 'question_based'")
-    return t.layout_elements.join(F.broadcast(rules), "class_name").select("element_id", F.regexp_replace("suffix", "\n\\z", "").alias("suffix"))
+    return t.layout_elements.join(rules, "class_name").select("element_id", F.regexp_replace("suffix", "\n\\z", "").alias("suffix"))
 
 
 @query("s05_write_groups", "select page_id, element_id as first_element_id, bbox_y as start_y from layout_elements where class_name<>'plain text'")
@@ -87,7 +87,7 @@ def _(t):
 @query("f05_doc_types_by_method", "select project_id, 'worksheet' as type_name from projects where doc_type_id=1")
 def _(t):
     kinds = K.doc_types_by_method(dimensions.document_types(t.spark), "question_based")
-    return t.projects.join(F.broadcast(kinds), "doc_type_id").select("project_id", "type_name")
+    return t.projects.join(kinds, "doc_type_id").select("project_id", "type_name")
 
 
 @query("f06_versions_of_page", "select page_id, version_number from text_versions where is_current and version_type='user_edited' order by version_number desc")
@@ -125,7 +125,7 @@ def _(t):
 @query("f11_rules_for_type", "select element_id, 3 as indent from layout_elements where class_name='choices'")
 def _(t):
     rules = K.rules_for_type(dimensions.formatting_rules(t.spark), "question_based", "choices")
-    return t.layout_elements.join(F.broadcast(rules), "class_name").select("element_id", "indent")
+    return t.layout_elements.join(rules, "class_name").select("element_id", "indent")
 
 
 @query("t01_page_through", "select orders.o_orderkey from orders order by o_orderkey limit 1000 offset 500")
@@ -222,7 +222,7 @@ def _(t):
     base = dimensions.formatting_rules(t.spark)
     stored = t.spark.createDataFrame([("question_based", "list", "* ", "", 2), ("question_based", "no such class", "x", "x", 9), ("reading_order", "choices", "y", "y", 7)], "document_type string, class_name string, prefix string, suffix string, indent int")
     rules = J.apply_rule_overrides(base, stored, "question_based").filter("suffix = '\n'")
-    return t.layout_elements.filter("class_name in ('list','choices')").join(F.broadcast(rules), "class_name").select("element_id", "prefix", "indent")
+    return t.layout_elements.filter("class_name in ('list','choices')").join(rules, "class_name").select("element_id", "prefix", "indent")
 
 
 @query("j11_current_versions_for_pages", "select page_id, version_number from text_versions where is_current and page_id in (select page_id from doc_pages)")

@@ -56,6 +56,43 @@ class VersionLog:
         return self.read(self.last)
 
 
+#: So many batches of changed statuses are merged into one table.
+MERGED = 32
+
+
+class StatusLog:
+    """Changed statuses (page_id, m: ts, event_id, status), a table b<n> a batch, and of the last merge m<n> for all up to it."""
+
+    def __init__(self, spark: SparkSession, path: str, schema):
+        self.spark, self.path, self.schema = spark, path, schema
+        self.root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        self.fs = self.root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _done(self) -> list[tuple[int, str]]:
+        """Complete tables: number and name (m after b of one number)."""
+        names = [f.getPath().getName() for f in self.fs.listStatus(self.root)] if self.fs.exists(self.root) else []
+        return sorted((int(n[1:]), n) for n in names if self.fs.exists(self._at(f"{n}/_SUCCESS")))
+
+    def _at(self, name: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+
+    def latest(self, batch: int | None = None) -> DataFrame:
+        """The newest status of each page up to ``batch``: page_id, m."""
+        done = [(n, name) for n, name in self._done() if batch is None or n <= batch]
+        merged = max((n for n, name in done if name[0] == "m"), default=-1)
+        live = [f"{self.path}/{name}" for n, name in done if name == f"m{merged}" or name[0] == "b" and n > merged]
+        rows = self.spark.read.schema(self.schema).parquet(*live) if live else self.spark.createDataFrame([], self.schema)
+        return rows.groupBy("page_id").agg(F.max("m").alias("m"))
+
+    def merge(self, batch: int) -> None:
+        """One table of all up to ``batch``; those before it go."""
+        if not self.fs.exists(self._at(f"m{batch}/_SUCCESS")):
+            self.latest(batch).write.mode("overwrite").parquet(f"{self.path}/m{batch}")
+        for n, name in self._done():
+            if n <= batch and name != f"m{batch}":
+                self.fs.delete(self._at(name), True)
+
+
 def run(writer, checkpoint: str) -> None:
     writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
@@ -76,21 +113,33 @@ def stream_pages(elements: DataFrame, pages: DataFrame, texts: DataFrame, ai: Da
 
 
 def stream_job_status(events: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """The latest status of each page: page_id, status, ts. ``events``: event_id, ts, page_id, status."""
-    latest = events.groupBy("page_id").agg(F.max(F.struct("ts", "event_id", "status")).alias("m")).select("page_id", F.col("m.status").alias("status"), F.col("m.ts").alias("ts"))
+    """The latest status of each page: page_id, status, ts. ``events``: event_id, ts, page_id, status.
+
+    A batch adds a table of the pages that it changed; every MERGED batches these become one. A batch that is run again
+    writes its own table anew, and no table is overwritten that its result reads.
+    """
+    latest = events.groupBy("page_id").agg(F.max(F.struct("ts", "event_id", "status")).alias("m"))
+    spark = events.sparkSession
+    log = StatusLog(spark, path, latest.schema)
 
     def batch(df: DataFrame, n: int) -> None:
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").parquet(f"{path}/b{n}")
+        if n % MERGED == MERGED - 1:
+            log.merge(n)
+
+    run(latest.writeStream.outputMode("update").foreachBatch(batch), checkpoint)
+    return log.latest().select("page_id", F.col("m.status").alias("status"), F.col("m.ts").alias("ts"))
 
-    run(latest.writeStream.outputMode("complete").foreachBatch(batch), checkpoint)
-    return events.sparkSession.read.schema(latest.schema).parquet(path)
 
+def stream_edits(edits: DataFrame, log: VersionLog, checkpoint: str, within: str | None = None, ts: str = "ts") -> DataFrame:
+    """Edits (edit_id, page_id, seq, content), each once, become user_edited versions.
 
-def stream_edits(edits: DataFrame, log: VersionLog, checkpoint: str) -> DataFrame:
-    """Edits (edit_id, page_id, seq, content), each once, become user_edited versions."""
+    Ids are kept for ever, unless ``within`` (such as '7 days', of the event time ``ts``) bounds how late a repeated edit comes.
+    """
 
     def batch(df: DataFrame, n: int) -> None:
         log.append(n, df.select("page_id", "seq", F.lit("user_edited").alias("version_type"), "content"))
 
-    run(edits.dropDuplicates(["edit_id"]).writeStream.foreachBatch(batch), checkpoint)
+    once = edits.withWatermark(ts, within).dropDuplicatesWithinWatermark(["edit_id"]) if within else edits.dropDuplicates(["edit_id"])
+    run(once.writeStream.foreachBatch(batch), checkpoint)
     return log.latest()

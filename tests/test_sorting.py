@@ -1,11 +1,12 @@
 """Sorting against a plain model of one page, and properties of its results."""
 
 import collections
+import random
 
 import plain_model
 import pytest
 
-from pagespan.operators import clean, layout, strategies
+from pagespan.operators import clean, joins, layout, strategies
 from pagespan.sources.tables import Tables
 
 
@@ -108,3 +109,25 @@ def test_empty_table(t):
     none = t.layout_elements.filter("false")
     assert layout.sort_layout(none, t.doc_pages).count() == 0
     assert strategies.sort_adaptive(none, t.doc_pages).count() == 0
+
+
+def test_spatial_joins_over_bands(spark):
+    """Boxes and questions on and across the edges of bands, against all pairs."""
+    rng = random.Random(3)
+    boxes = [(k % 3, k, rng.choice([0, 40, 512, 1023, 1024]) - rng.choice([0, 0, 7]), rng.choice([3, 512, 700, 1500])) for k in range(150)]
+    df = spark.createDataFrame([(p, k, 10 * (k % 4), y, 30, h) for p, k, y, h in boxes] + [(0, 900, None, None, None, None)], "page_id long, element_id long, bbox_x int, bbox_y int, bbox_width int, bbox_height int")
+    got = {(r.a, r.b): r.iou for r in clean.iou_pairs(df, 0.3).collect()}
+    want = {}
+    for p, a, ay, ah in boxes:
+        for q, b, by, bh in boxes:
+            w, h = 30 - abs(10 * (a % 4) - 10 * (b % 4)), min(ay + ah, by + bh) - max(ay, by)
+            if p == q and a < b and w > 0 and h > 0 and w * h / (30 * ah + 30 * bh - w * h) > 0.3:
+                want[a, b] = w * h / (30 * ah + 30 * bh - w * h)
+    assert got.keys() == want.keys() and len(want) > 100
+    questions = [(p, q, y) for p in range(3) for q, y in enumerate((-3, 499, 500, 1900))]
+    asked = spark.createDataFrame(questions, "page_id long, question long, q_y int")
+    near = {r.element_id: r.question for r in joins.nearest_question(df, asked).collect()}
+    for p, k, y, _ in boxes:
+        d, _, q = min((abs(y - qy), qy, q) for page, q, qy in questions if page == p)
+        assert near[k] == (str(q) if d <= 500 else "unknown")
+    assert near[900] == "unknown"

@@ -63,3 +63,28 @@ def test_status_stream(spark, tmp_path):
     df.write.parquet(str(tmp_path / "in"))
     got = streams.stream_job_status(streams.file_stream(spark, str(tmp_path / "in"), df.schema), str(tmp_path / "out"), str(tmp_path / "c"))
     assert {r.page_id: r.status for r in got.collect()} == {7: "completed", 8: "failed"}
+
+
+def test_status_stream_merges_and_goes_on(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams, "MERGED", 2)
+    schema = "event_id long, ts timestamp, page_id long, status string"
+    at, want = str(tmp_path / "in"), {}
+    for k in range(5):
+        rows = [(10 * k + p, f"2024-01-{9 - k if p == 3 else 1 + k:02d}", p, f"s{k}") for p in range(k % 2, 4)]
+        spark.createDataFrame(rows, "event_id long, ts string, page_id long, status string").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(at)
+        for e, ts, p, status in rows:
+            want[p] = max(want.get(p, ("",)), (ts, e, status))
+        df = streams.file_stream(spark, at, spark.createDataFrame([], schema).schema)
+        got = streams.stream_job_status(df, str(tmp_path / "out"), str(tmp_path / "c"))
+        assert {r.page_id: r.status for r in got.collect()} == {p: w[2] for p, w in want.items()}
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if p.name[0] in "bm") == ["b4", "m3"]
+
+
+def test_edits_within_a_time(spark, tmp_path):
+    first = spark.createDataFrame([(1, 1, "original", "", True)], "page_id long, version_number int, version_type string, content string, is_current boolean")
+    log = streams.VersionLog(spark, str(tmp_path / "v"), first)
+    rows = [("e1", 1, 1, "x"), ("e1", 1, 1, "x"), ("e2", 1, 2, "y")]
+    df = spark.createDataFrame(rows, "edit_id string, page_id long, seq long, content string").withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
+    df.write.parquet(str(tmp_path / "in"))
+    got = streams.stream_edits(streams.file_stream(spark, str(tmp_path / "in"), df.schema), log, str(tmp_path / "c"), within="7 days")
+    assert got.count() == 3
