@@ -606,7 +606,12 @@ def _(t):
     return R.stream_edits(edits, log, f"{at}/checkpoint").select("page_id", "version_number", "is_current")
 
 
-@query("r01_stream_pages")
+STREAMED = """, top as (select page_id, max(version_number) as v from text_versions group by 1)
+select page_id, version_number, version_type, content, is_current and page_id not in (select page_id from pt) as is_current from text_versions
+union all select page_id, cast(coalesce(v,0)+1 as int), 'auto_formatted', text, true from pt left join top using (page_id)"""
+
+
+@query("r01_stream_pages", ADAPTIVE_PAGES + STREAMED)
 def _(t):
     at = R.scratch_dir(t.spark)
     t.layout_elements.repartition(4, "page_id").write.parquet(f"{at}/in")
