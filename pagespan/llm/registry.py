@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagespan.llm import ann, bpe, langid, linededup, mixing, neardup, quality, tokencount, toxicity, warc
+from pagespan.llm import ann, bpe, fim, langid, linededup, mixing, neardup, quality, tokencount, toxicity, vectorcodes, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_langid": langid.op8_langid,
         "op9_tokens": tokencount.op9_tokens,
         "op10_lines": linededup.op10_lines,
+        "op11_codes": vectorcodes.op11_codes,
+        "op12_fim": fim.op12_fim,
     }
 
 
@@ -28,4 +30,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality": quality.ORACLE,
         "op7_mixing": mixing.ORACLE,
+        "op11_codes": vectorcodes.ORACLE,
+        "op12_fim": fim.ORACLE,
     }
