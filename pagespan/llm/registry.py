@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagespan.llm import ann, bpe, fim, langid, linededup, mixing, neardup, quality, tokencount, toxicity, vectorcodes, warc
+from pagespan.llm import ann, bpe, fim, langid, linededup, mixing, neardup, quality, substringdedup, tokencount, toxicity, vectorcodes, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_lines": linededup.op10_lines,
         "op11_codes": vectorcodes.op11_codes,
         "op12_fim": fim.op12_fim,
+        "op13_substrings": substringdedup.op13_substrings,
     }
 
 
@@ -32,4 +33,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_mixing": mixing.ORACLE,
         "op11_codes": vectorcodes.ORACLE,
         "op12_fim": fim.ORACLE,
+        "op13_substrings": substringdedup.ORACLE,
     }

@@ -59,13 +59,13 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, np.flatnonzero(end) + 1, np.searchsorted(starts, offsets)
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each word, A-Z lower-cased, and the number of words before each text."""
+def word_hashes(texts: pa.Array, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word, A-Z lower-cased if ``fold``, and the number of words before each text."""
     data, offsets = raw(texts)
     starts, ends, first = spans(data, offsets)
     up, down = powers(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[_LOWER[data]] * up[:-1], out=total[1:])
+    np.cumsum(_BYTE[_LOWER[data] if fold else data] * up[:-1], out=total[1:])
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64)), first
 
 
