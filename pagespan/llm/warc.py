@@ -31,12 +31,15 @@ SCHEMA = (
     "source_digest string, block_digest string, content_length long, record binary"
 )
 SOFTWARE = "pagespan derivatives"
-_DROP = re.compile(r"<!--.*?-->|<(script|style|noscript|template)\b[^>]*>.*?</\1\s*>", re.I | re.S)
-_BREAK = re.compile(r"</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|nav|header|footer|title|head|body|html|main|aside|blockquote|pre|hr|dt|dd|form)\b[^>]*>", re.I)
-_TAG = re.compile(r"<[a-z/!?][^>]*>", re.I)
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.I | re.S)
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([\w-]+)", re.I)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+# Patterns for the beginnings of things only; their ends are searched for once, so that no page takes more than linear time.
+_OPENING = re.compile(r"<(?:!--|(script|style|noscript|template)\b)", re.I)
+_CLOSING = {n: re.compile(rf"</{n}\s*>", re.I) for n in ("script", "style", "noscript", "template", "title")}
+_BREAK = re.compile(r"</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|nav|header|footer|title|head|body|html|main|aside|blockquote|pre|hr|dt|dd|form)\b", re.I)
+_TAG = re.compile(r"<[a-z/!?]", re.I)
+_TITLE = re.compile(r"<title\b", re.I)
+_HTML, _ANCHOR = re.compile(r"<html\b", re.I), re.compile(r"<a\b", re.I)
+_LANG = re.compile(r"\blang\s*=\s*[\"']?([\w-]+)", re.I)
+_HREF = re.compile(r"\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w-]+)", re.I)
 _BLANKS = re.compile(r"[ \t\x0b\x0c\xa0]+")
 
@@ -46,9 +49,80 @@ def digest(block: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()
 
 
+def without_code(page: str) -> str:
+    """``page`` with a blank for each comment and each script, style, noscript and template element; what is not closed stays."""
+    out, at, done, open_ended = [], 0, 0, set()
+    while m := _OPENING.search(page, at):
+        name = (m[1] or "").lower()
+        at = m.end()
+        if name in open_ended:
+            continue
+        if name:
+            head = page.find(">", at)
+            end = _CLOSING[name].search(page, head + 1) if head >= 0 else None
+            to = end.end() if end else -1
+        else:
+            to = page.find("-->", at)
+            to = to + 3 if to >= 0 else -1
+        if to < 0:
+            open_ended.add(name)  # nor does a later one have an end
+            continue
+        out += [page[done : m.start()], " "]
+        at = done = to
+    return "".join([*out, page[done:]])
+
+
+def replaced(page: str, beginning: re.Pattern, by: str) -> str:
+    """``page`` with ``by`` for each tag that begins so, up to its ``>``; a tag without one stays."""
+    out, at, done = [], 0, 0
+    while m := beginning.search(page, at):
+        to = page.find(">", m.end())
+        if to < 0:
+            break
+        out += [page[done : m.start()], by]
+        at = done = to + 1
+    return "".join([*out, page[done:]])
+
+
+def title_of(page: str) -> str:
+    """What stands in the first title element, as written."""
+    m = _TITLE.search(page)
+    head = page.find(">", m.end()) if m else -1
+    end = _CLOSING["title"].search(page, head + 1) if head >= 0 else None
+    return page[head + 1 : end.start()] if end else ""
+
+
+def language_of(page: str) -> str:
+    """The lang attribute of the first html tag that has one."""
+    at = 0
+    while m := _HTML.search(page, at):
+        at = page.find(">", m.end())
+        at = len(page) if at < 0 else at
+        if lang := _LANG.search(page, m.end(), at):
+            return lang[1]
+    return ""
+
+
+def links(page: str) -> Iterator[str]:
+    """The first href of each a tag, as written."""
+    at, tag_end, href = 0, -1, None
+    while m := _ANCHOR.search(page, at):
+        at = m.end()
+        if tag_end < at:
+            tag_end = page.find(">", at)
+            tag_end = len(page) if tag_end < 0 else tag_end
+        if href is None or href.start() < at:
+            href = _HREF.search(page, at)
+        if href is None:
+            return
+        if href.start() < tag_end:
+            yield next(x for x in href.groups() if x is not None)
+            at = href.end()
+
+
 def plain_text(page: str) -> str:
     """The text of an HTML page: one line a block element, no markup, entities resolved."""
-    body = _TAG.sub("", _BREAK.sub("\n", _DROP.sub(" ", page)))
+    body = replaced(replaced(without_code(page), _BREAK, "\n"), _TAG, "")
     lines = (_BLANKS.sub(" ", x).strip() for x in html.unescape(body).split("\n"))
     return "\n".join(x for x in lines if x)
 
@@ -158,13 +232,11 @@ def derive(fields: dict[str, str], block: bytes) -> list[dict]:
     kind = next((v for k, v in headers if k.lower() == "content-type"), "text/html; charset=utf-8")
     body = body_of(payload, headers)
     page = decoded(body or b"", (_CHARSET.search(kind) or [None, "utf-8"])[1])
-    title = _TITLE.search(page)
-    lang = _LANG.search(page)
     about = [("source-block-digest", digest(block)), ("source-payload-digest", payload_digest), ("http-status", status)]
     about += [(f"source-{k}", v) for k, v in sorted(fields.items()) if k and k not in CARRIED]
     about += [(f"http-header-{k.lower()}", v) for k, v in headers if k]
-    about += [("title", html.unescape(title[1]) if title else ""), ("language", lang[1] if lang else ""), ("body", "" if body is not None else "unknown content-encoding")]
-    about += [("outlink", f"{one_line(html.unescape(next(x for x in m.groups() if x is not None)))} L a/@href") for m in _LINK.finditer(_DROP.sub(" ", page))]
+    about += [("title", html.unescape(title_of(page))), ("language", language_of(page)), ("body", "" if body is not None else "unknown content-encoding")]
+    about += [("outlink", f"{one_line(html.unescape(x))} L a/@href") for x in links(without_code(page))]
     lines = "".join(f"{one_line(k)}: {v}\r\n" for k, v in ((k, one_line(v)) for k, v in about) if v)
     blocks = {"metadata": ("application/warc-fields", lines.encode("utf-8", "replace")), "conversion": ("text/plain; charset=utf-8", plain_text(page).encode("utf-8", "replace"))}
     out = []
