@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagespan import schema as S
+from pagespan.operators import spatial
 from pagespan.operators.sides import if_small
+from pagespan.sources.scratch import cut
 
 
 def with_geometry(elements: DataFrame) -> DataFrame:
@@ -191,18 +193,48 @@ def iou_pairs(elements: DataFrame, least: float = S.IOU) -> DataFrame:
     return pairs.withColumn("iou", iou("a", "b")).filter(F.col("iou") > least).select("page_id", "a", "b", "iou")
 
 
+#: Pages of more boxes than this are compared in cells of box size.
+CROWDED = 2048
+
+
+def _rank() -> Column:
+    """Best first: by confidence, then id."""
+    return F.struct((-F.col("confidence")).alias("c"), F.col("element_id").alias("id"))
+
+
 def dedupe_detections(elements: DataFrame, most: float = S.IOU) -> DataFrame:
     """Greedy suppression: by confidence (then id), a box goes if it overlaps a kept one by more than ``most``.
 
     Only boxes in some overlapping pair can go or make others go, so that the fold runs over these
-    alone, a page's at a time; all other boxes stay without being collected.
+    alone, a page's at a time; all other boxes stay without being collected. Pages with many such boxes are settled in
+    rounds over their pairs, and pages of more than CROWDED boxes do not form all pairs of overlapping boxes either.
     """
-    pairs = iou_pairs(elements, most)
+    crowded = cut(elements.groupBy("page_id").count().filter(F.col("count") > CROWDED).select("page_id"))
+    gone = []
+    if not crowded.isEmpty():
+        gone.append(spatial.crowded_out(elements.join(crowded, "page_id", "left_semi").withColumn("rank", _rank()), most))
+    plain = elements.join(crowded, "page_id", "left_anti") if gone else elements
+    pairs = cut(iou_pairs(plain, most).select("page_id", "a", "b"))
     in_pair = pairs.select("page_id", F.explode(F.array("a", "b")).alias("element_id")).distinct()
-    boxes = elements.join(in_pair, ["page_id", "element_id"], "left_semi")
+    in_pair = in_pair.withColumn("_many", F.count(F.lit(1)).over(Window.partitionBy("page_id")) > spatial.FEW)
+    boxes = plain.join(in_pair, ["page_id", "element_id"])
+    gone.append(_folded(boxes.filter("not _many"), most))
+    many = cut(boxes.filter("_many").select("page_id", "element_id", _rank().alias("rank")))
+    if not many.isEmpty():
+        ranked = lambda c: many.select("page_id", F.col("element_id").alias(c), F.col("rank").alias(f"r{c}"))
+        both = pairs.join(ranked("a"), ["page_id", "a"]).join(ranked("b"), ["page_id", "b"])
+        first = F.col("ra") < F.col("rb")
+        gone.append(spatial.outshone(both.select("page_id", F.when(first, F.col("a")).otherwise(F.col("b")).alias("better"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("worse"))))
+    out = elements
+    for part in gone:
+        out = out.join(part, ["page_id", "element_id"], "left_anti")
+    return out.select(*elements.columns)
+
+
+def _folded(boxes: DataFrame, most: float) -> DataFrame:
+    """page_id, element_id of the boxes that go, by a fold over each page's sorted boxes."""
     box = F.struct((-F.col("confidence")).alias("c"), F.col("element_id").alias("id"), F.col("bbox_x").alias("x"), F.col("bbox_y").alias("y"), F.col("bbox_width").alias("w"), F.col("bbox_height").alias("h"))
     listed = boxes.groupBy("page_id").agg(F.array_sort(F.collect_list(box)).alias("bs"))
     over = lambda p, q: box_iou(p["x"], p["y"], p["w"], p["h"], q["x"], q["y"], q["w"], q["h"]) > most
     kept = F.aggregate("bs", F.slice("bs", 1, 0), lambda acc, b: F.when(F.exists(acc, lambda k: over(k, b)), acc).otherwise(F.concat(acc, F.array(b))))
-    gone = listed.select("page_id", F.explode(F.array_except(F.transform("bs", lambda b: b["id"]), F.transform(kept, lambda b: b["id"]))).alias("element_id"))
-    return elements.join(gone, ["page_id", "element_id"], "left_anti").select(*elements.columns)
+    return listed.select("page_id", F.explode(F.array_except(F.transform("bs", lambda b: b["id"]), F.transform(kept, lambda b: b["id"]))).alias("element_id"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagespan.operators.sides import if_small
+from pagespan.operators.spatial import points_in_ranges
 
 
 def page_with_content(elements: DataFrame, texts: DataFrame, ai: DataFrame) -> DataFrame:
@@ -48,8 +49,7 @@ def elements_in_question_range(questions: DataFrame, elements: DataFrame) -> Dat
     ``questions``: page_id, question, q_y, next_q_y (null: to the page's end).
     """
     e = elements.select("page_id", "element_id", "bbox_y")
-    both = questions.join(e, "page_id")
-    return both.filter((F.col("bbox_y") >= F.col("q_y")) & (F.col("next_q_y").isNull() | (F.col("bbox_y") < F.col("next_q_y")))).select("page_id", "question", "element_id")
+    return points_in_ranges(questions.select("page_id", "question", "q_y", "next_q_y"), e, "q_y", "next_q_y", "bbox_y").select("page_id", "question", "element_id")
 
 
 def nearest_question(results: DataFrame, questions: DataFrame, most: int = 500) -> DataFrame:

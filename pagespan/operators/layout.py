@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagespan import schema as S
+from pagespan.operators import spatial
 from pagespan.sources.scratch import cut
 
 # Columns and windows are made on call: they need a session.
@@ -192,29 +193,13 @@ def zone_tree(elements: DataFrame, gutter: str = "margin") -> DataFrame:
 
 
 def adjacent_pairs(zoned: DataFrame, either_side: bool = True, keys: tuple[str, ...] = ("page_id", "path")) -> DataFrame:
-    """anchor_id, child_id, dy of anchors and children side by side in one zone."""
-    side = lambda p: [F.col(k) for k in keys] + [F.col(c).alias(f"{p}_{c}") for c in ("element_id", "bbox_x", "bbox_y", "bbox_width", "bbox_height")]
-    a, c = zoned.filter(anchor()).select(*side("a")), zoned.filter(child()).select(*side("c"))
-    dy = F.abs((F.col("a_bbox_y") + F.col("a_bbox_height") / 2) - (F.col("c_bbox_y") + F.col("c_bbox_height") / 2))
-    right = F.abs(F.col("c_bbox_x") - (F.col("a_bbox_x") + F.col("a_bbox_width"))) < S.ADJACENT_X
-    left = F.abs(F.col("a_bbox_x") - (F.col("c_bbox_x") + F.col("c_bbox_width"))) < S.ADJACENT_X
-    near = dy < (F.col("a_bbox_height") + F.col("c_bbox_height")) / 2 * S.ADJACENT_Y
-    both = a.join(c, list(keys)).filter(near & ((right | left) if either_side else right))
-    return both.select(*keys, F.col("a_element_id").alias("anchor_id"), F.col("c_element_id").alias("child_id"), F.col("a_bbox_y").alias("anchor_y"), dy.alias("dy"))
+    """anchor_id, child_id, anchor_y, dy of anchors and children side by side in one zone."""
+    return spatial.side_by_side(zoned.filter(anchor()), zoned.filter(child()), keys, either_side)
 
 
 def adjacent_assign(pairs: DataFrame, keys: tuple[str, ...] = ("page_id", "path")) -> DataFrame:
-    """Each anchor, from the top, takes its best free adjacent child: a fold over the zone's sorted pairs."""
-    listed = pairs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("anchor_y", "anchor_id", "dy", "child_id"))).alias("ps"))
-    none = F.expr("cast(array() as array<struct<a: bigint, c: bigint>>)")
-    taken = F.aggregate(
-        "ps",
-        none,
-        lambda acc, p: F.when(F.exists(acc, lambda x: (x["a"] == p["anchor_id"]) | (x["c"] == p["child_id"])), acc).otherwise(
-            F.concat(acc, F.array(F.struct(p["anchor_id"].alias("a"), p["child_id"].alias("c"))))
-        ),
-    )
-    return listed.select(*keys, F.explode(taken).alias("p")).select(*keys, F.col("p.a").alias("anchor_id"), F.col("p.c").alias("child_id"))
+    """Each anchor, from the top, takes its best free adjacent child."""
+    return spatial.turns(pairs, list(keys))
 
 
 def nearest_anchor(zoned: DataFrame, taken: DataFrame | None = None, keep_top: bool = True, keys: tuple[str, ...] = ("page_id", "path")) -> DataFrame:
@@ -228,10 +213,7 @@ def nearest_anchor(zoned: DataFrame, taken: DataFrame | None = None, keep_top: b
         high = F.col("bbox_y") < F.col("zy0") + S.TOP_ORPHANS * (F.col("zy1") - F.col("zy0"))
         c = c.join(first, list(keys)).filter(~(high & (cy() < F.col("first_y") - S.NEAR / 2)))
     c = c.select(*keys, F.col("element_id").alias("child_id"), cx().alias("cx"), cy().alias("cy"))
-    far = F.sqrt(F.pow(S.NEAR_X * (F.col("cx") - F.col("ax")), F.lit(2)) + F.pow(F.col("cy") - F.col("acy"), F.lit(2)))
-    both = a.join(c, list(keys)).filter("acy <= cy").withColumn("distance", far)
-    best = both.groupBy(*keys, "child_id").agg(F.min(F.struct("distance", "ay", "anchor_id")).alias("b"))
-    return best.filter(F.col("b.distance") < S.NEAR).select(*keys, F.col("b.anchor_id").alias("anchor_id"), "child_id", F.col("b.distance").alias("distance"))
+    return spatial.nearest_above(a, c, keys)
 
 
 def carry_anchor(df: DataFrame, order_y: Column, boundary: Column) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagespan.functions import text as X
+from pagespan.operators.spatial import points_in_ranges
 from pagespan.sources.scratch import cut
 
 # How question numbers and sections are written.
@@ -65,8 +66,7 @@ def layout_label(questions: DataFrame) -> DataFrame:
 
 def _within(boxes: DataFrame, rows: DataFrame) -> DataFrame:
     """Rows of a page (with bbox_y) that lie from a question's y to before the next one's."""
-    both = boxes.select("page_id", "question", "q_y", "next_q_y").join(rows, "page_id")
-    return both.filter((F.col("bbox_y") >= F.col("q_y")) & (F.col("next_q_y").isNull() | (F.col("bbox_y") < F.col("next_q_y")))).drop("q_y", "next_q_y")
+    return points_in_ranges(boxes.select("page_id", "question", "q_y", "next_q_y"), rows, "q_y", "next_q_y", "bbox_y").drop("q_y", "next_q_y")
 
 
 def question_elements(content: DataFrame) -> DataFrame:
@@ -102,9 +102,9 @@ def nested_questions(content: DataFrame, ai: DataFrame, elements: DataFrame) ->
     content = content.select("page_id", "element_id", "class_name", "text", "bbox_y")
     boxes = cut(next_question_y(_placed(content, extract_question_numbers(content))))
     nothing = lambda kind: F.lit(None).cast(kind)
-    texts = _within(boxes, _kinds(content)).select("page_id", "question", "kind", "bbox_y", "element_id", "text", nothing("double").alias("confidence"))
-    drawn = elements.filter(F.col("class_name").isin("figure", "table")).select("page_id", "element_id", "class_name", "bbox_y", "confidence")
-    drawn = _within(boxes, drawn).select("page_id", "question", F.col("class_name").alias("kind"), "bbox_y", "element_id", nothing("string").alias("text"), "confidence")
+    texts = _kinds(content).withColumn("confidence", nothing("double"))
+    drawn = elements.filter(F.col("class_name").isin("figure", "table")).select("page_id", "element_id", F.col("class_name").alias("kind"), nothing("string").alias("text"), "bbox_y", "confidence")
+    held = _within(boxes, texts.unionByName(drawn)).select("page_id", "question", "kind", "bbox_y", "element_id", "text", "confidence")
     from pagespan.operators.joins import nearest_question
 
     exact = boxes.filter("exact_y is not null").select("page_id", "question", F.col("exact_y").alias("q_y"))
@@ -117,7 +117,7 @@ def nested_questions(content: DataFrame, ai: DataFrame, elements: DataFrame) ->
 
     joined = lambda kind: F.array_join(F.transform(listed(kind, "bbox_y", "element_id", "text"), lambda x: x["text"]), " ")
     question = F.col("kind") == "question_text"
-    parts = texts.unionByName(drawn).unionByName(said).groupBy("page_id", "question").agg(
+    parts = held.unionByName(said).groupBy("page_id", "question").agg(
         F.max_by(F.when(question, F.col("text")), F.when(question, F.struct(F.length("text"), -F.col("element_id")))).alias("main_question"),
         joined("passage").alias("passage"),
         joined("explanations").alias("explanations"),

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+from pyspark.sql.types import BooleanType, StructField, StructType
 
-from pagespan.operators.maintenance import VERSION, numbered, with_current
+from pagespan import schema as S
 from pagespan.operators.render import format_page
 from pagespan.operators.strategies import sort_adaptive
-from pagespan.sources.scratch import shared_folder
+from pagespan.sources.scratch import cut, shared_folder
+from pagespan.streaming.logs import MERGED, InvalidationLog, StatusLog, VersionLog
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -21,123 +25,121 @@ def file_stream(spark: SparkSession, path: str, schema, form: str = "parquet", f
     return spark.readStream.schema(schema).format(form).option("maxFilesPerTrigger", files).load(path)
 
 
-class VersionLog:
-    """Versions as a base table and one small table of new rows a micro-batch.
-
-    A batch that is run again finds its table complete and adds nothing. Which row of a page is current
-    follows from the numbers when the log is read, so that no batch rewrites earlier rows.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, first: DataFrame):
-        self.spark, self.path, self.schema = spark, path, first.select(*VERSION).schema
-        self.fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        self.last = -1
-        if not self.has(-1):
-            first.select(*VERSION).write.mode("overwrite").parquet(f"{path}/v-1")
-        while self.has(self.last + 1):
-            self.last += 1
+def run(writer, checkpoint: str) -> None:
+    writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
-    def has(self, batch: int) -> bool:
-        at = self.fs_path(f"{self.path}/v{batch}/_SUCCESS")
-        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
-    def read(self, batch: int) -> DataFrame:
-        """The versions after ``batch``."""
-        paths = [f"{self.path}/v{k}" for k in range(-1, batch + 1) if self.has(k)]
-        return with_current(self.spark.read.schema(self.schema).parquet(*paths))
+class Gathering(StatefulProcessor):
+    """Elements of a page (the key) until their number is the page's ``expected``, or it has waited too long since its first.
 
-    def append(self, batch: int, new: DataFrame) -> None:
-        """``new``: page_id, seq, version_type, content."""
-        if not self.has(batch):
-            numbered(self.read(batch - 1), new).write.mode("overwrite").parquet(f"{self.path}/v{batch}")
-        self.last = max(self.last, batch)
+    Elements that come twice count once, the later one. A page without a known number goes with the batch that brings it.
+    What comes after a page went is gathered anew.
+    """
 
-    def latest(self) -> DataFrame:
-        return self.read(self.last)
+    def __init__(self, wait_ms: int, element: StructType):
+        self.wait_ms, self.element = wait_ms, element
 
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.rows = handle.getMapState("rows", "element_id long", self.element)
 
-#: So many batches of changed statuses are merged into one table.
-MERGED = 32
+    def _whole(self, key, complete: bool):
+        import pandas as pd
 
+        out = pd.DataFrame([tuple(row) for _, row in self.rows.iterator()], columns=self.element.names)
+        self.rows.clear()
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        yield out.assign(complete=complete)
 
-class StatusLog:
-    """Changed statuses (page_id, m: ts, event_id, status), a table b<n> a batch, and of the last merge m<n> for all up to it."""
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803  Spark's names
+        first, expected = not self.rows.exists(), None
+        for pdf in rows:
+            for row in pdf[self.element.names].itertuples(index=False):
+                values = tuple(None if v != v else v for v in row)
+                self.rows.updateValue((int(row.element_id),), values)
+            known = pdf["expected"].dropna()
+            expected = int(known.max()) if len(known) else expected
+        if expected is None or sum(1 for _ in self.rows.keys()) >= expected:
+            yield from self._whole(key, expected is not None)
+        elif first:
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait_ms)
 
-    def __init__(self, spark: SparkSession, path: str, schema):
-        self.spark, self.path, self.schema = spark, path, schema
-        self.root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        self.fs = self.root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        yield from self._whole(key, False)
 
-    def _done(self) -> list[tuple[int, str]]:
-        """Complete tables: number and name (m after b of one number)."""
-        names = [f.getPath().getName() for f in self.fs.listStatus(self.root)] if self.fs.exists(self.root) else []
-        return sorted((int(n[1:]), n) for n in names if self.fs.exists(self._at(f"{n}/_SUCCESS")))
 
-    def _at(self, name: str):
-        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+def gathered_pages(elements: DataFrame, expected: DataFrame, wait_s: int = 600) -> DataFrame:
+    """A stream of the elements of whole pages, with ``complete`` (false: the wait was over). ``expected``: page_id, expected.
 
-    def latest(self, batch: int | None = None) -> DataFrame:
-        """The newest status of each page up to ``batch``: page_id, m."""
-        done = [(n, name) for n, name in self._done() if batch is None or n <= batch]
-        merged = max((n for n, name in done if name[0] == "m"), default=-1)
-        live = [f"{self.path}/{name}" for n, name in done if name == f"m{merged}" or name[0] == "b" and n > merged]
-        rows = self.spark.read.schema(self.schema).parquet(*live) if live else self.spark.createDataFrame([], self.schema)
-        return rows.groupBy("page_id").agg(F.max("m").alias("m"))
+    Needs the RocksDB state store (``with_rocksdb``).
+    """
+    kept = StructType([f for f in elements.schema.fields if f.name in S.ELEMENT_COLUMNS])
+    counted = elements.select(*kept.names).join(expected.select("page_id", "expected"), "page_id", "left")
+    schema = StructType([*kept.fields, StructField("complete", BooleanType())])
+    return counted.groupBy("page_id").transformWithStateInPandas(Gathering(wait_s * 1000, kept), schema, "Append", "ProcessingTime")
 
-    def merge(self, batch: int) -> None:
-        """One table of all up to ``batch``; those before it go."""
-        if not self.fs.exists(self._at(f"m{batch}/_SUCCESS")):
-            self.latest(batch).write.mode("overwrite").parquet(f"{self.path}/m{batch}")
-        for n, name in self._done():
-            if n <= batch and name != f"m{batch}":
-                self.fs.delete(self._at(name), True)
 
+@contextlib.contextmanager
+def with_rocksdb(spark: SparkSession):
+    """Streams that are started within keep their state in RocksDB, which keyed state with timers needs."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
 
-def run(writer, checkpoint: str) -> None:
-    writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
+def stream_pages(elements: DataFrame, pages: DataFrame, texts: DataFrame, ai: DataFrame, rules: DataFrame, log: VersionLog, checkpoint: str, expected: DataFrame | None = None, wait_s: int = 600) -> DataFrame:
+    """Elements of new pages are sorted, rendered, and appended as versions.
 
-def stream_pages(elements: DataFrame, pages: DataFrame, texts: DataFrame, ai: DataFrame, rules: DataFrame, log: VersionLog, checkpoint: str) -> DataFrame:
-    """Elements of new pages (a page's all come in one batch) are sorted, rendered, and appended as versions."""
+    A page's elements all come in one batch, unless ``expected`` (page_id, expected) says how many a page has: then they may come in
+    pieces over several batches, and the page waits for the rest, ``wait_s`` seconds at most.
+    """
 
     def batch(df: DataFrame, n: int) -> None:
         if log.has(n):
             return
-        df.persist()
-        text = format_page(sort_adaptive(df, pages), texts, ai, rules)
+        df = cut(df)
+        text = format_page(sort_adaptive(df.select(*S.ELEMENT_COLUMNS), pages), texts, ai, rules)
         log.append(n, text.select("page_id", F.lit(0).alias("seq"), F.lit("auto_formatted").alias("version_type"), F.col("text").alias("content")))
-        df.unpersist()
 
-    run(elements.writeStream.foreachBatch(batch), checkpoint)
+    with with_rocksdb(elements.sparkSession) if expected is not None else contextlib.nullcontext():
+        whole = elements if expected is None else gathered_pages(elements, expected, wait_s)
+        run(whole.writeStream.foreachBatch(batch), checkpoint)
     return log.latest()
 
 
 def stream_job_status(events: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """The latest status of each page: page_id, status, ts. ``events``: event_id, ts, page_id, status.
 
-    A batch adds a table of the pages that it changed; every MERGED batches these become one. A batch that is run again
+    A batch adds a table of the pages that it changed; MERGED such tables become one. A batch that is run again
     writes its own table anew, and no table is overwritten that its result reads.
     """
     latest = events.groupBy("page_id").agg(F.max(F.struct("ts", "event_id", "status")).alias("m"))
-    spark = events.sparkSession
-    log = StatusLog(spark, path, latest.schema)
-
-    def batch(df: DataFrame, n: int) -> None:
-        df.write.mode("overwrite").parquet(f"{path}/b{n}")
-        if n % MERGED == MERGED - 1:
-            log.merge(n)
-
-    run(latest.writeStream.outputMode("update").foreachBatch(batch), checkpoint)
+    log = StatusLog(events.sparkSession, path, latest.schema, MERGED)
+    run(latest.writeStream.outputMode("update").foreachBatch(lambda df, n: log.append(n, df)), checkpoint)
     return log.latest().select("page_id", F.col("m.status").alias("status"), F.col("m.ts").alias("ts"))
 
 
-def stream_edits(edits: DataFrame, log: VersionLog, checkpoint: str, within: str | None = None, ts: str = "ts") -> DataFrame:
+def stream_edits(edits: DataFrame, log: VersionLog, checkpoint: str, within: str | None = None, ts: str = "ts", pages: DataFrame | None = None, stale: InvalidationLog | None = None) -> DataFrame:
     """Edits (edit_id, page_id, seq, content), each once, become user_edited versions.
 
     Ids are kept for ever, unless ``within`` (such as '7 days', of the event time ``ts``) bounds how late a repeated edit comes.
+    With ``pages`` (page_id, project_id) and ``stale``, a batch has a second output: the projects of the edited pages, whose cached texts no
+    longer hold, with the time ``ts`` of their newest edit (or now, where edits have no such column).
     """
 
     def batch(df: DataFrame, n: int) -> None:
+        if log.has(n) and stale is None:
+            return
+        df = cut(df)
+        if stale is not None:  # first: a batch counts once its versions are complete
+            at = F.max(F.col(ts)) if ts in df.columns else F.current_timestamp()
+            touched = df.groupBy("page_id").agg(at.cast("timestamp").alias("at"))
+            stale.append(n, touched.join(pages.select("page_id", "project_id"), "page_id").groupBy("project_id").agg(F.max("at").alias("at")))
         log.append(n, df.select("page_id", "seq", F.lit("user_edited").alias("version_type"), "content"))
 
     once = edits.withWatermark(ts, within).dropDuplicatesWithinWatermark(["edit_id"]) if within else edits.dropDuplicates(["edit_id"])
