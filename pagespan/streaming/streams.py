@@ -80,16 +80,24 @@ def gathered_pages(elements: DataFrame, expected: DataFrame, wait_s: int = 600)
     return counted.groupBy("page_id").transformWithStateInPandas(Gathering(wait_s * 1000, kept), schema, "Append", "ProcessingTime")
 
 
+#: For keyed state with timers. Without batches that have no data, as a stream with timers would never be at its input's end.
+KEYED = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
+
+
 @contextlib.contextmanager
 def with_rocksdb(spark: SparkSession):
-    """Streams that are started within keep their state in RocksDB, which keyed state with timers needs."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    """Streams that are started within can keep keyed state with timers; these go off in batches with data."""
+    before = {name: spark.conf.get(name) for name in KEYED}
+    for name, value in KEYED.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before) if before else spark.conf.unset(name)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def stream_pages(elements: DataFrame, pages: DataFrame, texts: DataFrame, ai: DataFrame, rules: DataFrame, log: VersionLog, checkpoint: str, expected: DataFrame | None = None, wait_s: int = 600) -> DataFrame:
@@ -100,7 +108,7 @@ def stream_pages(elements: DataFrame, pages: DataFrame, texts: DataFrame, ai: Da
     """
 
     def batch(df: DataFrame, n: int) -> None:
-        if log.has(n):
+        if log.has(n) or df.isEmpty():
             return
         df = cut(df)
         text = format_page(sort_adaptive(df.select(*S.ELEMENT_COLUMNS), pages), texts, ai, rules)
