@@ -39,9 +39,27 @@ def zone():
     return Window.partitionBy("page_id", "path")
 
 
+#: Sides of boxes that are further out than this make a page faulty: sums of three of them must fit 32 bits.
+FARTHEST = 1 << 29
+
+
+def faulty() -> Column:
+    """Whether a row's box cannot be computed with: a side is null, NaN or out of bounds, or the area overflows."""
+    sound = [F.abs(F.col(c).cast("double")) <= FARTHEST for c in ("bbox_x", "bbox_y", "bbox_width", "bbox_height")]  # NaN is above all
+    return ~F.coalesce(sound[0] & sound[1] & sound[2] & sound[3] & F.try_multiply("bbox_width", "bbox_height").isNotNull(), F.lit(False))
+
+
+def set_apart(elements: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Anchors and children with an area of pages without a faulty row, and those of the other pages, where an area that is not known counts."""
+    area = F.col("bbox_width").cast("double") * F.col("bbox_height").cast("double")
+    rows = elements.filter((anchor() | child()) & ~F.coalesce(area <= 0, F.lit(False)))
+    rows = cut(rows.withColumn("_bad", F.max(faulty()).over(Window.partitionBy("page_id"))))
+    return rows.filter("not _bad").drop("_bad"), rows.filter("_bad").drop("_bad")
+
+
 def preprocess(elements: DataFrame, document_type: str = "question_based") -> DataFrame:
     """Elements with an area; of question pages only anchors and children."""
-    sized = elements.filter(F.col("bbox_width") * F.col("bbox_height") > 0)
+    sized = elements.filter(F.col("bbox_width").cast("double") * F.col("bbox_height").cast("double") > 0)
     return sized.filter(anchor() | child()) if document_type == "question_based" else sized
 
 
@@ -317,15 +335,23 @@ SORTED = [*S.ELEMENT_COLUMNS, "order_in_question", "group_id", "order_in_group",
 
 def reading_order(elements: DataFrame) -> DataFrame:
     """Rank by (y, x, id); each element is its own group."""
-    order = F.row_number().over(Window.partitionBy("page_id").orderBy("bbox_y", "bbox_x", "element_id")) - 1
+    order = F.row_number().over(Window.partitionBy("page_id").orderBy(F.col("bbox_y").asc_nulls_last(), F.col("bbox_x").asc_nulls_last(), "element_id")) - 1
     return elements.withColumn("order_in_question", order).withColumns({"group_id": F.col("order_in_question"), "order_in_group": F.lit(0), "anchor_id": F.lit(None).cast("long")}).select(*SORTED)
 
 
 def sort_layout(elements: DataFrame, pages: DataFrame | None = None, document_type: str = "question_based", gutter: str = "margin", proximity: bool = True) -> DataFrame:
-    """Elements in reading order and question groups."""
-    kept = preprocess(elements, document_type)
+    """Elements in reading order and question groups.
+
+    Pages with a row that cannot be computed with are not sorted: their elements come in (y, x) order (nulls last), each its own group.
+    """
     if document_type != "question_based":
-        return reading_order(kept)
+        return reading_order(preprocess(elements, document_type))
+    sound, other = set_apart(elements)
+    return sort_sound(sound, pages, gutter, proximity).unionByName(reading_order(other))
+
+
+def sort_sound(kept: DataFrame, pages: DataFrame | None, gutter: str = "margin", proximity: bool = True) -> DataFrame:
+    """The same for anchors and children of pages without a fault."""
     # each stage reads the one before several times: cut, it is computed once, and plans stay small
     zoned = cut(zone_tree(page_extent(kept, pages), gutter).drop("page_width", "page_height"))
     grouped = cut(reassign_visuals(cut(group_zones(zoned, proximity))))

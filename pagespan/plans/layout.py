@@ -15,6 +15,7 @@ from pagespan.plans import sorter_sql as Z
 from pagespan.plans.cleaning import KIND_SQL
 from pagespan.plans.registered import query
 from pagespan.sources import dimensions
+from pagespan.sources.scratch import cut
 from pagespan.sources.tables import Tables
 from pagespan.streaming import streams as R
 
@@ -620,6 +621,51 @@ def _(t):
     return R.stream_pages(elements, t.doc_pages, t.text_contents, t.ai_descriptions, dimensions.formatting_rules(t.spark), log, f"{at}/checkpoint")
 
 
+@query("r01_gathered_pages", "select page_id, count(*) as elements, count(*) as different from layout_elements where page_id%5<>0 group by 1")
+def _(t):
+    """Every page comes in pieces over three batches, and goes once it is whole; one in five stays short, and waits."""
+    at = R.scratch_dir(t.spark)
+    t.layout_elements.repartition(3, "element_id").write.parquet(f"{at}/in")
+    expected = t.layout_elements.groupBy("page_id").agg(F.count(F.lit(1)).alias("expected"))
+    expected = expected.withColumn("expected", F.when(F.col("page_id") % 5 == 0, F.col("expected") + 1).otherwise(F.col("expected")))
+    elements = R.file_stream(t.spark, f"{at}/in", t.layout_elements.schema, files=1)
+    with R.with_rocksdb(t.spark):
+        R.run(R.gathered_pages(elements, expected, wait_s=86_400).writeStream.format("parquet").option("path", f"{at}/out"), f"{at}/checkpoint")
+    out = t.spark.read.schema("element_id long, page_id long, complete boolean").parquet(f"{at}/out").filter("complete")
+    return out.groupBy("page_id").agg(F.count(F.lit(1)).alias("elements"), F.count_distinct("element_id").alias("different"))
+
+
+@query("r03_stale_projects", "with e as (select p.project_id, max(turn) as t from conversations c join doc_pages p on p.page_id=c.conv_id group by 1) select project_id, coalesce(t < 3, true) as valid from (select distinct project_id from doc_pages) left join e using (project_id)")
+def _(t):
+    """Edits of some turn are a day each; texts were cached before the third day's edits."""
+    at = R.scratch_dir(t.spark)
+    first = t.spark.createDataFrame([], "page_id long, version_number int, version_type string, content string, is_current boolean")
+    log, stale = R.VersionLog(t.spark, f"{at}/versions", first), R.InvalidationLog(t.spark, f"{at}/stale")
+    rows = R.file_stream(t.spark, f"{t.sf_dir}/conversations.parquet*", t.conversations.schema)
+    day = F.expr("timestamp '2024-01-01 00:00:00' + turn * interval '1' day")
+    edits = rows.select(F.concat_ws("-", "conv_id", "turn").alias("edit_id"), F.col("conv_id").alias("page_id"), F.col("turn").alias("seq"), F.col("text").alias("content"), day.alias("ts"))
+    R.stream_edits(edits, log, f"{at}/checkpoint", pages=t.doc_pages, stale=stale)
+    cached = t.doc_pages.select("project_id").distinct().withColumn("updated_at", F.expr("timestamp '2024-01-03 12:00:00'"))
+    left = stale.valid(cached).select("project_id", F.lit(True).alias("valid"))
+    return cached.select("project_id").join(left, "project_id", "left").select("project_id", F.coalesce("valid", F.lit(False)).alias("valid"))
+
+
+@query("m08_patch_stored_pages", "select page_id, case when page_id between 10 and 20 then 'patched' else analysis_status end as analysis_status, page_id is not null and page_id between 0 and 63 as rewritten from doc_pages where page_id<>11")
+def _(t):
+    """Of a stored table, only the range of 64 pages that the patch and the deletion touch is written again."""
+    from pagespan.sources.stored import StoredTable
+
+    table = StoredTable(t.spark, f"{R.scratch_dir(t.spark)}/pages", "page_id", span=64)
+    table.create(t.doc_pages)
+    files = F.col("_metadata.file_path").alias("file")
+    before = cut(t.spark.read.parquet(table.path).select(files).distinct())
+    patch = t.doc_pages.filter("page_id between 10 and 20").select("page_id", F.lit("patched").alias("analysis_status"), F.array(F.lit("analysis_status")).alias("fields_set"))
+    table.change(patch, lambda old, p: M.patch_rows(old, p, "page_id", ["analysis_status"]))
+    table.change(patch.filter("page_id = 11").select("page_id"), lambda old, gone: old.join(gone, "page_id", "left_anti"))
+    after = t.spark.read.parquet(table.path).select("page_id", "analysis_status", files)
+    return after.join(before.withColumn("old", F.lit(True)), "file", "left").select("page_id", "analysis_status", F.col("old").isNull().alias("rewritten"))
+
+
 @query("s02_read_elements_json", "select page_id, element_id, class_name, confidence, bbox_x, bbox_y, bbox_width, bbox_height from layout_elements")
 def _(t):
     from pagespan.sources import readers

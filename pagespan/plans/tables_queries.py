@@ -23,6 +23,15 @@ def _(t):
     return out
 
 
+@query("s03_register_page_files", " union all ".join(f"select '{n}' as source, 'table' as kind, 'parquet' as format, false as fault" for n in RAW))
+def _(t):
+    """The given tables' own files: kind by suffix, format by what they begin with."""
+    from pagespan.sources.readers import register_page_files
+
+    files = register_page_files(t.spark, f"{t.sf_dir}/*.parquet", look=True, kinds={"parquet": "table"})
+    return files.select(F.regexp_extract("path", "/(\\w+)\\.parquet", 1).alias("source"), "kind", "format", "fault").distinct()
+
+
 @query("s04_seed_dimensions", "select e.element_id, case class_name when 'question type' then ']' when 'question number' then '. ' when 'second_question_number' then '' when 'figure' then chr(10) when 'table' then chr(10) when 'flowchart' then chr(10) else '' end as suffix from layout_elements e")
 def _(t):
     rules = dimensions.formatting_rules(t.spark).filter("document_type = 'question_based'")
@@ -117,11 +126,23 @@ def _(t):
     return K.visible_classes(t.layout_elements, ["figure", "table"]).select("element_id")
 
 
-@query("f10_text_search", "with x as (select element_id, " + " + ".join(f"cast(contains(regexp_replace(lower(ocr_text), '\\s', '', 'g'), '{g}') as int)" for g in ("fa", "am", "mi", "il", "ly")) + " as hits from text_contents) select element_id, hits from x where hits > 0 order by hits desc, element_id limit 20")
+F10 = "with x as (select element_id, " + " + ".join(f"cast(contains(regexp_replace(lower(ocr_text), '\\s', '', 'g'), '{g}') as int)" for g in ("fa", "am", "mi", "il", "ly")) + " as hits from text_contents) select element_id, hits from x where hits > 0 order by hits desc, element_id limit 20"
+
+
+@query("f10_text_search", F10)
 def _(t):
     return K.text_search(t.text_contents, "Family")
 
 
+@query("f10_text_index", F10)
+def _(t):
+    from pagespan.streaming.streams import scratch_dir
+
+    index = K.TextIndex(t.spark, f"{scratch_dir(t.spark)}/index")
+    index.add(t.text_contents)
+    return index.search("Family")
+
+
 @query("f11_rules_for_type", "select element_id, 3 as indent from layout_elements where class_name='choices'")
 def _(t):
     rules = K.rules_for_type(dimensions.formatting_rules(t.spark), "question_based", "choices")

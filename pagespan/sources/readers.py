@@ -17,9 +17,31 @@ def read_elements_json(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("page_id", F.coalesce("page_id", named)).drop("_file")
 
 
-def register_page_files(spark: SparkSession, path: str) -> DataFrame:
-    """path, name, size_bytes, kind (image, pdf) of accepted files; their contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.col("length").alias("size_bytes"), "modificationTime")
+# What files begin with, in hexadecimal digits.
+MAGIC = {"89504E470D0A1A0A": "png", "FFD8FF": "jpeg", "25504446": "pdf", "424D": "bmp", "49492A00": "tiff", "4D4D002A": "tiff", "52494646": "webp", "50415231": "parquet"}
+#: Files whose beginnings are read are so large at most; the reader has no way to read a part of one.
+MAGIC_BYTES = 256 << 20
+
+
+def register_page_files(spark: SparkSession, path: str, look: bool = False, kinds: dict[str, str] | None = None) -> DataFrame:
+    """path, name, size_bytes, modificationTime, kind of accepted files: image, pdf, or what ``kinds`` says of suffixes.
+
+    Contents are not read, unless ``look`` asks for it: then ``format`` is what a file begins as (null: unknown), ``fault`` whether
+    that is not what its suffix says, and PNG images have their width and height. Files over MAGIC_BYTES have null there.
+    Empty files are not listed, as Spark leaves them out.
+    """
+    kinds = kinds or {"pdf": "pdf", **dict.fromkeys(IMAGES, "image")}
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     suffix = F.lower(F.regexp_extract("path", "\\.([A-Za-z0-9]+)$", 1))
-    kind = F.when(suffix == "pdf", "pdf").when(suffix.isin(IMAGES), "image")
-    return files.withColumns({"name": F.regexp_extract("path", "([^/]+)$", 1), "kind": kind}).filter("kind is not null")
+    kind = F.coalesce(*[F.when(suffix == s, k) for s, k in kinds.items()])
+    named = files.withColumns({"size_bytes": F.col("length"), "name": F.regexp_extract("path", "([^/]+)$", 1), "kind": kind}).filter("kind is not null")
+    columns = ["path", "size_bytes", "modificationTime", "name", "kind"]
+    if not look:
+        return named.select(*columns)
+    head = F.hex(F.substring("content", 1, 8))
+    is_ = F.coalesce(*[F.when(head.startswith(m), f) for m, f in MAGIC.items()])
+    wanted = F.when(suffix == "jpg", "jpeg").otherwise(suffix)
+    side = lambda at: F.when(F.col("format") == "png", F.conv(F.hex(F.substring("content", at, 4)), 16, 10).cast("int"))
+    small = named.filter(F.col("length") <= MAGIC_BYTES).withColumns({"format": is_, "fault": ~F.equal_null(is_, wanted)}).withColumns({"image_width": side(17), "image_height": side(21)})
+    more = ["format", "fault", "image_width", "image_height"]
+    return small.select(*columns, *more).unionByName(named.filter(F.col("length") > MAGIC_BYTES).select(*columns), allowMissingColumns=True)

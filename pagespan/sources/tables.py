@@ -124,6 +124,29 @@ def read_tables(spark: SparkSession, sf_dir: str, names: list[str] | None = None
     return {n: getattr(tables, n) for n in names or [*RAW, *DERIVED]}
 
 
-def read_jdbc(spark: SparkSession, url: str, table: str, partition_column: str = "page_id", partitions: int = 64, lower: int = 0, upper: int = 1 << 31) -> DataFrame:
-    """A table of a relational store, in parallel ranges of ``partition_column``."""
-    return spark.read.jdbc(url, table, column=partition_column, lowerBound=lower, upperBound=upper, numPartitions=partitions)
+def read_jdbc(spark: SparkSession, url: str, table: str, partition_column: str | None = None, partitions: int = 64, properties: dict[str, str] | None = None) -> DataFrame:
+    """A table of a relational store; with ``partition_column`` (whole numbers) in parallel ranges between its least and greatest value.
+
+    Rows whose column is null come with the first range. The bounds are asked of the store, one row.
+    """
+    properties = properties or {}
+    if partition_column is None:
+        return spark.read.jdbc(url, table, properties=properties)
+    column = spark.sparkContext._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(partition_column)
+    ends = spark.read.jdbc(url, f"(select min({column}) as low, max({column}) as high from {table}) ends", properties=properties)
+    low, high = (None if v is None else int(v) for v in ends.first())
+    if low is None or low == high:
+        return spark.read.jdbc(url, table, properties=properties)
+    return spark.read.jdbc(url, table, column=partition_column, lowerBound=low, upperBound=high + 1, numPartitions=max(1, min(partitions, high + 1 - low)), properties=properties)
+
+
+#: The relational store's tables, and the column by whose ranges each is read.
+STORED = {
+    "users": "user_id", "document_types": None, "projects": "project_id", "pages": "page_id", "layout_elements": "page_id", "text_contents": "element_id",
+    "ai_descriptions": "element_id", "question_groups": "page_id", "question_elements": "page_id", "text_versions": "page_id", "formatting_rules": None, "combined_results": "project_id",
+}
+
+
+def read_store(spark: SparkSession, url: str, partitions: int = 64, properties: dict[str, str] | None = None) -> dict[str, DataFrame]:
+    """All tables of a relational store by name."""
+    return {name: read_jdbc(spark, url, name, column, partitions, properties) for name, column in STORED.items()}
