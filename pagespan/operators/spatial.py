@@ -89,11 +89,15 @@ def nearest_above(anchors: DataFrame, children: DataFrame, keys: Iterable[str])
     nearest. The others look through cells of NEAR (a cluster of children far below a cluster of anchors still meets all of it).
     """
     keys = list(keys)
-    zone = anchors.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    one = {"_many": F.lit(False), "_reach": F.lit(float(S.NEAR))}
+    crowded = cut(anchors.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > FEW))
+    if crowded.isEmpty():
+        return _within(anchors.withColumns(one), children.withColumns(one), keys)
     narrow = F.pow(F.lit(2.0), F.least(F.lit(5.0), F.ceil(F.log2(F.col("_n") / FEW) / 2)))
-    zone = zone.select(*keys, (F.col("_n") > FEW).alias("_many"), F.when(F.col("_n") > FEW, S.NEAR / narrow).otherwise(F.lit(float(S.NEAR))).alias("_reach"))
-    a, c = anchors.join(zone, keys), children.join(zone, keys)
-    first = _within(a, c, keys)
+    zone = crowded.select(*keys, F.lit(True).alias("_many"), (S.NEAR / narrow).alias("_reach"))
+    dealt = lambda df: df.join(zone, keys, "left").withColumns({"_many": F.coalesce("_many", F.lit(False)), "_reach": F.coalesce("_reach", F.lit(float(S.NEAR)))})
+    a, c = cut(dealt(anchors)), cut(dealt(children))
+    first = cut(_within(a, c, keys))
     far = c.filter("_many").join(first.select(*keys, "child_id"), [*keys, "child_id"], "left_anti")
     wide = lambda df: df.withColumn("_reach", F.lit(float(S.NEAR)))
     return first.unionByName(_within(wide(a.filter("_many")), wide(far), keys))
