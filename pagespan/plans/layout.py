@@ -373,6 +373,15 @@ def combine(t: Tables) -> DataFrame:
     return D.combine_project_text(t.doc_pages, current(t)).select("project_id", "combined_text", "stats.*")
 
 
+@query("s07_write_project_text", COMBINED + " select project_id, unnest(string_split(combined_text, chr(10))) as line from u")
+def _(t):
+    from pagespan.sources.writers import write_project_text
+
+    at = f"{R.scratch_dir(t.spark)}/texts"
+    write_project_text(combine(t).repartition(4, "project_id"), at)
+    return t.spark.read.option("lineSep", "\n").text(at).select(F.col("project_id").cast("long").alias("project_id"), F.col("value").alias("line"))
+
+
 @query(
     "d09_text_blocks",
     """with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)),1)-1 as block from documents), m as (select doc_id, block, trim(line, ' \t\r') as t from l),
@@ -442,12 +451,20 @@ def _(t):
     return Q.join_texts(parts, "passage", "passage")
 
 
-@query("e20_nested_document", "select page_id, count(*) as total_elements, count(*) filter (trim(coalesce(ocr_text,''))<>'') as text_elements, count(description) as ai_elements from layout_elements left join text_contents using (element_id) left join ai_descriptions using (element_id) group by 1")
+@query(
+    "e20_nested_document",
+    """with c as (select e.*, ocr_text, description from layout_elements e left join text_contents t on t.element_id=e.element_id left join ai_descriptions a on a.element_id=e.element_id),
+ n as (select page_id, count(*) as total_elements, count(*) filter (trim(coalesce(ocr_text,''))<>'') as text_elements, count(description) as ai_elements from c group by 1)
+ select page_id, total_elements, text_elements, ai_elements, cast(row_number() over (partition by page_id order by element_id)-1 as int) as place, element_id, class_name, bbox_x, bbox_y, bbox_width, bbox_height, ocr_text, description from c join n using (page_id)""",
+)
 def _(t):
     from pagespan.operators.joins import page_with_content
 
     out = Q.nested_document(page_with_content(t.layout_elements, t.text_contents, t.ai_descriptions))
-    return out.select("page_id", F.from_json("document", "total_elements long, text_elements long, ai_elements long").alias("d")).select("page_id", "d.*")
+    item = "element_id long, class_name string, bbox_x int, bbox_y int, bbox_width int, bbox_height int, ocr_text string, description string"
+    kind = "total_elements long, text_elements long, ai_elements long, elements array<struct<" + item.replace(" ", ": ").replace(",: ", ", ") + ">>"
+    read = out.select("page_id", F.from_json("document", kind).alias("d")).select("page_id", "d.total_elements", "d.text_elements", "d.ai_elements", F.posexplode("d.elements").alias("place", "e"))
+    return read.select("page_id", "total_elements", "text_elements", "ai_elements", "place", "e.*")
 
 
 def nested(t: Tables) -> DataFrame:

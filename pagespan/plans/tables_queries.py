@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pagespan import schema as S
 from pagespan.operators import joins as J
 from pagespan.operators import layout as L
 from pagespan.operators import lookups as K
@@ -32,10 +33,18 @@ def _(t):
     return files.select(F.regexp_extract("path", "/(\\w+)\\.parquet", 1).alias("source"), "kind", "format", "fault").distinct()
 
 
-@query("s04_seed_dimensions", "select e.element_id, case class_name when 'question type' then ']' when 'question number' then '. ' when 'second_question_number' then '' when 'figure' then chr(10) when 'table' then chr(10) when 'flowchart' then chr(10) else '' end as suffix from layout_elements e")
+def in_sql(value) -> str:
+    return "null" if value is None else str(value).lower() if isinstance(value, bool) else str(value) if isinstance(value, int) else "'" + value.replace("\n", "'||chr(10)||'") + "'"
+
+
+RULES_SQL = "(values " + ", ".join(f"({', '.join(map(in_sql, r))})" for r in S.FORMATTING_RULES) + ") r(document_type, class_name, prefix, suffix, indent, transform, allow_empty)"
+TYPES_SQL = "(values " + ", ".join(f"({', '.join(map(in_sql, r))})" for r in S.DOCUMENT_TYPES) + ") k(doc_type_id, type_name, model_name, sorting_method)"
+
+
+@query("s04_seed_dimensions", f"select e.element_id, document_type, prefix, suffix, indent, transform, allow_empty from layout_elements e join {RULES_SQL} using (class_name)")
 def _(t):
-    rules = dimensions.formatting_rules(t.spark).filter("document_type = 'question_based'")
-    return t.layout_elements.join(rules, "class_name").select("element_id", F.regexp_replace("suffix", "\n\\z", "").alias("suffix"))
+    rules = dimensions.formatting_rules(t.spark)
+    return t.layout_elements.join(rules, "class_name").select("element_id", "document_type", "prefix", "suffix", "indent", "transform", "allow_empty")
 
 
 @query("s05_write_groups", "select page_id, element_id as first_element_id, bbox_y as start_y from layout_elements where class_name<>'plain text'")
@@ -48,23 +57,24 @@ def _(t):
     return t.spark.read.parquet(f"{at}/question_groups").select("page_id", "first_element_id", "start_y")
 
 
-@query("s06_write_json_results", "select page_id, cast(count(*) as int) as n from layout_elements group by 1")
-def _(t):
-    from pagespan.streaming.streams import scratch_dir
+#: Every element of a page in its place, with its texts.
+NESTED = """select e.page_id, cast(row_number() over (partition by e.page_id order by bbox_y, bbox_x, e.element_id)-1 as int) as place, e.element_id, class_name, bbox_x, bbox_y, ocr_text, description
+ from layout_elements e left join text_contents t on t.element_id=e.element_id left join ai_descriptions a on a.element_id=e.element_id"""
+ITEM = ["element_id", "class_name", "bbox_x", "bbox_y", "ocr_text", "description"]
 
-    at = f"{scratch_dir(t.spark)}/json"
-    writers.write_json_results(J.nested_pages(J.page_with_content(t.layout_elements, t.text_contents, t.ai_descriptions)), at)
-    return t.spark.read.schema("page_id long, elements array<struct<element_id: long>>").json(at).select("page_id", F.size("elements").alias("n"))
+
+def unnested(pages):
+    return pages.select("page_id", F.posexplode("elements").alias("place", "e")).select("page_id", "place", *[f"e.{c}" for c in ITEM])
 
 
-@query("s07_write_project_text", "select project_id, count(*) as lines from doc_pages group by 1")
+@query("s06_write_json_results", NESTED)
 def _(t):
     from pagespan.streaming.streams import scratch_dir
 
-    at = f"{scratch_dir(t.spark)}/texts"
-    texts = t.doc_pages.groupBy("project_id").agg(F.array_join(F.array_sort(F.collect_list(F.col("page_number").cast("string"))), "\n").alias("combined_text"))
-    writers.write_project_text(texts.repartition(4, "project_id"), at)
-    return t.spark.read.text(at).groupBy(F.col("project_id").cast("long").alias("project_id")).agg(F.count(F.lit(1)).alias("lines"))
+    at = f"{scratch_dir(t.spark)}/json"
+    nested = J.nested_pages(J.page_with_content(t.layout_elements, t.text_contents, t.ai_descriptions))
+    writers.write_json_results(nested, at)
+    return unnested(t.spark.read.schema(nested.schema).json(at))
 
 
 @query("s08_resume_remaining", "select page_id, project_id || '_page_' || page_number as key from doc_pages where not (analysis_status='completed')")
@@ -93,10 +103,10 @@ def _(t):
     return K.elements_of_page(t.layout_elements, 7, "figure").select("element_id", "bbox_y", "bbox_x")
 
 
-@query("f05_doc_types_by_method", "select project_id, 'worksheet' as type_name from projects where doc_type_id=1")
+@query("f05_doc_types_by_method", f"select project_id, type_name, model_name, sorting_method from projects join {TYPES_SQL} using (doc_type_id) where sorting_method='question_based'")
 def _(t):
     kinds = K.doc_types_by_method(dimensions.document_types(t.spark), "question_based")
-    return t.projects.join(kinds, "doc_type_id").select("project_id", "type_name")
+    return t.projects.join(kinds, "doc_type_id").select("project_id", "type_name", "model_name", "sorting_method")
 
 
 @query("f06_versions_of_page", "select page_id, version_number from text_versions where is_current and version_type='user_edited' order by version_number desc")
@@ -143,10 +153,10 @@ def _(t):
     return index.search("Family")
 
 
-@query("f11_rules_for_type", "select element_id, 3 as indent from layout_elements where class_name='choices'")
+@query("f11_rules_for_type", f"select element_id, prefix, suffix, indent, transform, allow_empty from layout_elements join {RULES_SQL} using (class_name) where document_type='question_based' and class_name='choices'")
 def _(t):
     rules = K.rules_for_type(dimensions.formatting_rules(t.spark), "question_based", "choices")
-    return t.layout_elements.join(rules, "class_name").select("element_id", "indent")
+    return t.layout_elements.join(rules, "class_name").select("element_id", "prefix", "suffix", "indent", "transform", "allow_empty")
 
 
 @query("t01_page_through", "select orders.o_orderkey from orders order by o_orderkey limit 1000 offset 500")
@@ -169,10 +179,9 @@ def _(t):
     return J.page_with_content(t.layout_elements, t.text_contents, t.ai_descriptions).select("element_id", "page_id", "ocr_text", "description")
 
 
-@query("j01_nested_pages", "select page_id, cast(count(*) as int) as n, arg_min(element_id, (bbox_y, bbox_x, element_id)) as first from layout_elements group by page_id")
+@query("j01_nested_pages", NESTED)
 def _(t):
-    pages = J.nested_pages(J.page_with_content(t.layout_elements, t.text_contents, t.ai_descriptions))
-    return pages.select("page_id", F.size("elements").alias("n"), F.col("elements")[0]["element_id"].alias("first"))
+    return unnested(J.nested_pages(J.page_with_content(t.layout_elements, t.text_contents, t.ai_descriptions)))
 
 
 @query("j02_project_details", "select p.project_id, count(d.page_id) as total_pages, case doc_type_id when 1 then 'worksheet' else 'document' end as type_name, max(d.page_number) as combined_text from projects p left join doc_pages d using (project_id) group by p.project_id, doc_type_id")
@@ -261,10 +270,15 @@ def _(t):
     return A.project_statistics(t.doc_pages, t.layout_elements)
 
 
-@query("a02_page_stats", "select page_id, count(*) as total_elements, count(*) filter (class_name in ('question number','question type')) as anchor_elements, count(*) filter (class_name='figure') as figures, avg(confidence) filter (class_name='figure') as figure_confidence from layout_elements group by 1")
+@query(
+    "a02_page_stats",
+    """with n as (select page_id, count(*) as total_elements, count(*) filter (class_name in ('question number','question type')) as anchor_elements from layout_elements group by 1)
+ select page_id, total_elements, anchor_elements, class_name, count(*) as n, avg(confidence) as confidence from layout_elements join n using (page_id) group by all""",
+)
 def _(t):
     s = A.page_stats(t.layout_elements)
-    return s.select("page_id", "total_elements", "anchor_elements", F.coalesce(F.col("class_distribution")["figure"], F.lit(0)).alias("figures"), F.col("confidence_scores")["figure"].alias("figure_confidence"))
+    each = s.select("page_id", "total_elements", "anchor_elements", "confidence_scores", F.explode("class_distribution").alias("class_name", "n"))
+    return each.select("page_id", "total_elements", "anchor_elements", "class_name", "n", F.col("confidence_scores")[F.col("class_name")].alias("confidence"))
 
 
 @query("a03_class_counts", "select class_name, count(*) as n from layout_elements group by 1 order by 2 desc, 1")
