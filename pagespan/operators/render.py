@@ -38,8 +38,14 @@ def with_rules(content: DataFrame, rules: DataFrame, document_type: str) -> Data
     return out.withColumns({"prefix": F.coalesce("prefix", F.lit("")), "suffix": F.coalesce("suffix", F.lit("\n")), "indent": F.coalesce("indent", F.lit(0)), "allow_empty": F.coalesce("allow_empty", F.lit(False))})
 
 
-def with_body(content: DataFrame) -> DataFrame:
-    """Adds body: the chosen text through the rule's transform; visuals fall back to their description."""
+def python_transforms(rules: DataFrame, document_type: str) -> list[str]:
+    """The Python transforms that a type's rules name: pages of other types need no Python stage."""
+    named = rules.filter((F.col("document_type") == document_type) & F.col("transform").isin([*PYTHON_TRANSFORMS])).select("transform").distinct()
+    return [r["transform"] for r in named.collect()]  # as many as there are such transforms at most
+
+
+def with_body(content: DataFrame, python: list[str] | None = None) -> DataFrame:
+    """Adds body: the chosen text through the rule's transform; visuals fall back to their description. ``python``: which Python transforms rules name (null: any)."""
     visual = F.col("class_name").isin(S.VISUALS)
     base = F.when(visual, F.col("ocr")).when(F.col("ocr") != "", F.col("ocr")).otherwise(F.col("ai"))
     content = content.withColumn("base", base)
@@ -50,7 +56,8 @@ def with_body(content: DataFrame) -> DataFrame:
         done = fn(F.col("base"), F.col("ai"))
         chain = F.when(hit, done) if chain is None else chain.when(hit, done)
     content = content.withColumn("body", chain.otherwise(body))
-    for name, fn in PYTHON_TRANSFORMS.items():
+    for name in PYTHON_TRANSFORMS if python is None else python:
+        fn = PYTHON_TRANSFORMS[name]
         hit = F.col("transform") == name
         content = content.withColumn("body", F.when(hit, fn(F.when(hit, F.col("base")), F.col("ai"))).otherwise(F.col("body")))
     return content.withColumn("body", F.when(F.col("body") == "", F.when(visual, F.col("ai")).otherwise(F.lit(""))).otherwise(F.col("body"))).drop("base")
@@ -62,7 +69,8 @@ def format_element(content: DataFrame) -> DataFrame:
 
 
 def rendered_elements(elements: DataFrame, texts: DataFrame, ai: DataFrame, rules: DataFrame, document_type: str) -> DataFrame:
-    return format_element(with_body(with_rules(with_texts(elements, texts, ai), rules, document_type)))
+    content = with_rules(with_texts(elements, texts, ai), rules, document_type)
+    return format_element(with_body(content, python_transforms(rules, document_type)))
 
 
 def format_bundles(sorted_: DataFrame) -> DataFrame:
