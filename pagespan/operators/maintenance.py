@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 PAGES_A_RANGE = 100_000
 
 
-def replace_page_elements(elements: DataFrame, new: DataFrame) -> DataFrame:
-    """The pages of ``new`` (without element_id) lose their elements and get these, with ids after the largest.
+def replace_page_elements(elements: DataFrame, new: DataFrame, top: int | None = None) -> DataFrame:
+    """The pages of ``new`` (without element_id) lose their elements and get these, with ids after the largest (``top``, if it is known).
 
     Ids are given per page: a page's first id is the old maximum plus the rows of smaller pages.
     """
     kept = elements.join(new.select("page_id").distinct(), "page_id", "left_anti")
-    top = elements.agg(F.coalesce(F.max("element_id"), F.lit(0)).alias("m")).first()["m"]
+    top = largest_id(elements) if top is None else top
     # rows of smaller pages, in two steps: within a range of pages, and over the (far fewer) ranges
     per = new.groupBy("page_id").count().withColumn("_range", F.floor(F.col("page_id") / PAGES_A_RANGE))
     ranges = per.groupBy("_range").agg(F.sum("count").alias("_n"))
@@ -27,6 +27,10 @@ def replace_page_elements(elements: DataFrame, new: DataFrame) -> DataFrame:
     return kept.unionByName(fresh)
 
 
+def largest_id(elements: DataFrame) -> int:
+    return elements.agg(F.coalesce(F.max("element_id"), F.lit(0)).alias("m")).first()["m"]
+
+
 def upsert(base: DataFrame, new: DataFrame, key: str = "element_id") -> DataFrame:
     """Rows of ``new`` replace those of equal key; others stay."""
     return base.join(new.select(key), key, "left_anti").select(*base.columns).unionByName(new.select(*base.columns))

@@ -677,12 +677,35 @@ def _(t):
     files = F.col("_metadata.file_path").alias("file")
     before = cut(t.spark.read.parquet(table.path).select(files).distinct())
     patch = t.doc_pages.filter("page_id between 10 and 20").select("page_id", F.lit("patched").alias("analysis_status"), F.array(F.lit("analysis_status")).alias("fields_set"))
-    table.change(patch, lambda old, p: M.patch_rows(old, p, "page_id", ["analysis_status"]))
-    table.change(patch.filter("page_id = 11").select("page_id"), lambda old, gone: old.join(gone, "page_id", "left_anti"))
+    table.patch(patch, ["analysis_status"])
+    table.delete(patch.filter("page_id = 11"))
     after = t.spark.read.parquet(table.path).select("page_id", "analysis_status", files)
     return after.join(before.withColumn("old", F.lit(True)), "file", "left").select("page_id", "analysis_status", F.col("old").isNull().alias("rewritten"))
 
 
+@query("m01_replace_stored_pages", "with n as (select page_id, class_name, row_number() over (order by page_id, bbox_y, bbox_x, class_name, confidence) as r from layout_elements where page_id between 30 and 40 and class_name='figure') select element_id, page_id, class_name from layout_elements where page_id not in (select page_id from n) union all select (select max(element_id) from layout_elements)+r, page_id, class_name from n")
+def _(t):
+    """As m01_replace_page_elements, of a stored table, of which one range of pages is written again."""
+    from pagespan.sources.stored import StoredTable
+
+    table = StoredTable(t.spark, f"{R.scratch_dir(t.spark)}/elements", "page_id", span=64)
+    table.create(t.layout_elements)
+    table.replace_pages(t.layout_elements.filter("page_id between 30 and 40 and class_name = 'figure'").drop("element_id"))
+    return table.read().select("element_id", "page_id", "class_name")
+
+
+@query("m02_upsert_stored_rows", "select element_id, page_id, case when page_id between 5 and 9 and element_id%4=0 then 'changed' else class_name end as class_name from layout_elements union all select -element_id, page_id, 'new' from layout_elements where page_id=5")
+def _(t):
+    from pagespan.sources.stored import StoredTable
+
+    table = StoredTable(t.spark, f"{R.scratch_dir(t.spark)}/elements", "page_id", span=64)
+    table.create(t.layout_elements)
+    e = t.layout_elements
+    changed = e.filter("page_id between 5 and 9 and element_id % 4 = 0").withColumn("class_name", F.lit("changed"))
+    table.upsert(changed.unionByName(e.filter("page_id = 5").withColumns({"element_id": -F.col("element_id"), "class_name": F.lit("new")})), "element_id")
+    return table.read().select("element_id", "page_id", "class_name")
+
+
 @query("s02_read_elements_json", "select page_id, element_id, class_name, confidence, bbox_x, bbox_y, bbox_width, bbox_height from layout_elements")
 def _(t):
     from pagespan.sources import readers

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagespan.operators import maintenance as M
 from pagespan.sources.scratch import cut
 
 #: Up to so many touched ranges are named to the reader; beyond that a join finds them.
@@ -58,6 +59,23 @@ class StoredTable:
         self._delete([r["key_range"] for r in emptied.toLocalIterator()])
         return ranges.count()
 
+    def replace_pages(self, new: DataFrame) -> int:
+        """The pages of ``new`` (elements without ids) lose their elements and get these, with ids after the table's largest (one column is read for it)."""
+        top = M.largest_id(self.read())
+        return self.change(new, lambda old, rows: M.replace_page_elements(old, rows, top))
+
+    def upsert(self, new: DataFrame, key: str) -> int:
+        """Rows of ``new`` replace those of equal ``key`` in their ranges."""
+        return self.change(new, lambda old, rows: M.upsert(old, rows, key))
+
+    def patch(self, patch: DataFrame, fields: list[str]) -> int:
+        """``patch``: the table's key, fields, and fields_set (the names that were given)."""
+        return self.change(patch, lambda old, rows: M.patch_rows(old, rows, self.key, fields))
+
+    def delete(self, gone: DataFrame) -> int:
+        """All rows of the keys of ``gone`` go."""
+        return self.change(gone.select(self.key), lambda old, rows: old.join(rows, self.key, "left_anti"))
+
     def _delete(self, ranges: list[int]) -> None:
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         for k in ranges:

@@ -5,7 +5,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from pagespan.operators import lookups, maintenance
+from pagespan.operators import lookups
 from pagespan.sources import readers
 from pagespan.sources.stored import StoredTable
 from pagespan.sources.tables import STORED, read_jdbc, read_store
@@ -21,13 +21,13 @@ def test_a_patch_of_one_page_rewrites_one_partition(spark, tmp_path):
     table.create(spark.createDataFrame(rows, "page_id long, element_id long, class_name string"))
     before = files_of(table)
     patch = spark.createDataFrame([(33, "new", ["class_name"])], "page_id long, class_name string, fields_set array<string>")
-    assert table.change(patch, lambda old, p: maintenance.patch_rows(old, p, "page_id", ["class_name"])) == 1
+    assert table.patch(patch, ["class_name"]) == 1
     assert len(before - files_of(table)) == 1 and len(before) == 8
     got = {(r.page_id, r.element_id): r.class_name for r in table.read().collect()}
     assert got == {(p, e): "new" if p == 33 else c for p, e, c in rows}
     # a whole range goes, rows come to a new one, others stay as they are
     gone = spark.createDataFrame([(p,) for p in range(-20, -10)], "page_id long")
-    table.change(gone, lambda old, g: old.join(g, "page_id", "left_anti"))
+    assert table.delete(gone) == 1
     new = spark.createDataFrame([(905, 1, "x")], "page_id long, element_id long, class_name string")
     table.change(new, lambda old, n: old.unionByName(n))
     assert table.read().count() == 160 - 20 + 1 and len(before & files_of(table)) == 6
