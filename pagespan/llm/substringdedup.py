@@ -288,22 +288,24 @@ def _occurrences(docs: DataFrame, width: int, hot: np.ndarray) -> DataFrame:
 
 
 def _busy(docs: DataFrame, width: int, size: int) -> np.ndarray:
-    """Anchors that have one in SHARE of the different runs, or more, of a sample of documents: at most SHARE numbers."""
+    """Anchors that have one in SHARE, or more, of the different runs of a sample of documents: at most SHARE numbers.
+
+    Equal runs count once in the whole sample, however its documents lie: anchors within a common passage are not busy.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(batches, "text", SLICE):
             runs = Runs(part.column("text"), width, np.zeros(0, np.uint64))
             order, first = _groups(runs.keys[1], runs.keys[0])
-            anchor, n = np.unique(runs.anchor[order[first]], return_counts=True)
-            often = n * SHARE * 2 >= len(first)
-            columns = [pa.array(np.append(anchor[often].view(np.int64), 0)), pa.array(np.append(n[often], len(first)).astype(np.int64)), pa.array(np.append(np.zeros(often.sum(), bool), True))]
-            yield pa.RecordBatch.from_arrays(columns, ["anchor", "n", "total"])
+            pick = order[first]
+            yield pa.RecordBatch.from_arrays([pa.array(runs.anchor[pick].view(np.int64)), pa.array(runs.keys[0][pick].view(np.int64))], ["anchor", "k"])
 
     some = docs if size <= SAMPLE else docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * SAMPLE / size))
-    found = some.mapInArrow(run, "anchor long, n long, total boolean").groupBy("anchor", "total").agg(F.sum("n").alias("n"))
-    total = Window.partitionBy(F.lit(0))  # a slice gives 2 * SHARE rows at most, a sample has few slices
-    rows = found.withColumn("all", F.max(F.when(F.col("total"), F.col("n"))).over(total)).filter(~F.col("total") & (F.col("n") * SHARE >= F.col("all")) & (F.col("n") > 16))
-    return np.sort(np.array([r["anchor"] for r in rows.select("anchor").collect()], np.int64)).view(np.uint64)
+    counts = written(some.mapInArrow(run, "anchor long, k long").distinct().groupBy("anchor").agg(F.count(F.lit(1)).alias("n")), "anchors")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    rows = counts.filter((F.col("n") * SHARE >= total) & (F.col("n") > 16)).collect()  # SHARE rows at most
+    dropped(counts)
+    return np.sort(np.array([r["anchor"] for r in rows], np.int64)).view(np.uint64)
 
 
 def repeated_spans(docs: DataFrame, width: int = WIDTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

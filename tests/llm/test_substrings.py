@@ -108,6 +108,15 @@ def test_a_passage_in_most_documents(spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_common_passages_stay_whole(spark):
+    """However documents are dealt, a passage in all of them is one path but for its borders, where anchors are busy."""
+    p = " ".join(f"p{k}" for k in range(80))
+    rows = [(k, " ".join(f"s{k}x{i}" for i in range(9)) + f" {p} " + " ".join(f"t{k}x{i}" for i in range(9))) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = {n: sd.repeated_spans(df.repartition(n)).groupBy("doc").agg(F.count(F.lit(1)).alias("n"), F.max("n").alias("longest")).agg(F.count(F.lit(1)), F.max("n"), F.min("longest")).first() for n in (1, 50)}
+    assert counts[1] == counts[50] and counts[1][0] == 299 and counts[1][2] > 50, counts
+
+
 def test_paths_and_sources(spark):
     """Spans name their source and path: a passage of 40 words that leaves no branch is one path of one source."""
     p = [f"p{k}" for k in range(40)]
