@@ -42,7 +42,7 @@ WIDTH = 13
 #: Words of an anchor, and nodes of a run at most.
 ANCHOR, LONG = 4, 64
 #: Bytes of text to a bucket, and to a slice that a task looks at at once.
-BUCKET, SLICE = 8 << 20, 4 << 20
+BUCKET, SLICE = 4 << 20, 4 << 20
 #: Bytes of the documents in which anchors with many records are looked for; one in so many records makes an anchor such.
 SAMPLE, SHARE = 24 << 20, 5000
 _FAR = np.int64(1 << 40)
