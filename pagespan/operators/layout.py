@@ -2,7 +2,8 @@
 
 Everything is keyed by page_id first, so that one exchange on it serves all windows. Elements
 carry their zone: ``path`` ('' for the page, one digit a split below it, in reading order),
-its edges zx0, zy0, zx1, zy1 and its type. Ties always end at element_id.
+its edges zx0, zy0, zx1, zy1 and its type. ``local`` tells which sorter a row is for, so that a
+page which both of them sort goes through the same stages twice. Ties always end at element_id.
 """
 
 from __future__ import annotations
@@ -35,8 +36,13 @@ def visual() -> Column:
     return F.col("class_name").isin(S.VISUALS)
 
 
+#: What a sorter's page is, and a zone of it.
+PAGE = ["page_id", "local"]
+ZONE = [*PAGE, "path"]
+
+
 def zone():
-    return Window.partitionBy("page_id", "path")
+    return Window.partitionBy(*ZONE)
 
 
 #: Sides of boxes that are further out than this make a page faulty: sums of three of them must fit 32 bits.
@@ -91,15 +97,15 @@ def two_means(df: DataFrame, by: list[str], value: Column, among: Column, tie: s
     return df.withColumn("_best", F.max(cut_here).over(every)).withColumns({"c0": F.col("_best.c0"), "c1": F.col("_best.c1")}).drop("_k", "_s", "_n", "_t", "_best")
 
 
-def with_zone(elements: DataFrame) -> DataFrame:
-    """The page as one zone; needs page_width and page_height."""
-    return elements.withColumns({"path": F.lit(""), "zx0": F.lit(0.0), "zy0": F.lit(0.0), "zx1": F.col("page_width").cast("double"), "zy1": F.col("page_height").cast("double")})
+def with_zone(elements: DataFrame, local: bool = False) -> DataFrame:
+    """The page as one zone, for the local sorter or the global one; needs page_width and page_height."""
+    return elements.withColumns({"local": F.lit(local), "path": F.lit(""), "zx0": F.lit(0.0), "zy0": F.lit(0.0), "zx1": F.col("page_width").cast("double"), "zy1": F.col("page_height").cast("double")})
 
 
 def detect_layout_type(zoned: DataFrame) -> DataFrame:
     """Adds layout_type, n_anchors, c0 and c1 of each row's zone."""
     width, height = F.col("zx1") - F.col("zx0"), F.col("zy1") - F.col("zy0")
-    df = two_means(zoned, ["page_id", "path"], cx(), anchor())
+    df = two_means(zoned, ZONE, cx(), anchor())
     wide = (F.col("class_name") == S.SEPARATOR) & (F.col("bbox_y") < S.SEPARATOR_TOP * height) & (width > 0) & (F.col("bbox_width") / width >= S.SEPARATOR_WIDTH)
     mid, top = F.when(anchor(), cx()), F.when(anchor(), cy() < S.SPLIT_Y * height)
     many = lambda side: (F.count(F.when(side, mid)).over(zone()) > 1) & (F.stddev_pop(F.when(side, mid)).over(zone()) > S.SPREAD_X * width)
@@ -136,7 +142,7 @@ def with_separator(df: DataFrame) -> DataFrame:
     return df.withColumn("sep", F.when(fits, F.col("sep")))
 
 
-def anchor_gaps(df: DataFrame, keys: tuple[str, ...] = ("page_id", "path")) -> DataFrame:
+def anchor_gaps(df: DataFrame, keys: tuple[str, ...] = tuple(ZONE)) -> DataFrame:
     """Adds gap and gap_y: the widest gap between consecutive anchors' centres, where it reaches the threshold, and its middle."""
     by = Window.partitionBy(*keys)
     order = by.orderBy((~anchor()).cast("int"), "bbox_y", "element_id")
@@ -148,16 +154,16 @@ def anchor_gaps(df: DataFrame, keys: tuple[str, ...] = ("page_id", "path")) -> D
     return df.withColumns({"gap": F.when(ok, F.col("_g.gap")), "gap_y": F.when(ok, F.col("_g.y"))}).drop("_cy", "_y", "_a", "_r", "_g", "_t")
 
 
-def with_gutter(df: DataFrame, gutter: str = "margin") -> DataFrame:
-    """Adds gutter: where columns part (before the right column, or midway), if centres are far enough apart."""
-    at = F.col("c1") - S.COLUMN_MARGIN if gutter == "margin" else (F.col("c0") + F.col("c1")) / 2
+def with_gutter(df: DataFrame) -> DataFrame:
+    """Adds gutter: where columns part (before the right column; of the local sorter midway), if centres are far enough apart."""
+    at = F.when(F.col("local"), (F.col("c0") + F.col("c1")) / 2).otherwise(F.col("c1") - S.COLUMN_MARGIN)
     fits = (F.col("n_anchors") >= S.MIN_ANCHORS) & (F.col("c1") - F.col("c0") >= S.MIN_COLUMN_GAP) & (at > F.col("zx0")) & (at < F.col("zx1"))
     return df.withColumn("gutter", F.when(fits, at))
 
 
-def split_zones(df: DataFrame, gutter: str = "margin") -> DataFrame:
+def split_zones(df: DataFrame) -> DataFrame:
     """One level: every zone that a split applies to becomes its parts; ``done`` marks the final ones."""
-    df = with_gutter(anchor_gaps(with_separator(df)).withColumn("gap_y", F.when((F.col("gap_y") > F.col("zy0")) & (F.col("gap_y") < F.col("zy1")), F.col("gap_y"))), gutter)
+    df = with_gutter(anchor_gaps(with_separator(df)).withColumn("gap_y", F.when((F.col("gap_y") > F.col("zy0")) & (F.col("gap_y") < F.col("zy1")), F.col("gap_y"))))
     kind = F.col("layout_type")
     has_sep, has_gap, has_col = F.col("sep").isNotNull(), F.col("gap_y").isNotNull(), F.col("gutter").isNotNull()
     how = (
@@ -190,15 +196,19 @@ def split_zones(df: DataFrame, gutter: str = "margin") -> DataFrame:
     ).drop("_how", "_sep", "_first", "sep", "gap", "gap_y", "gutter", "c0", "c1", "n_anchors")
 
 
-def zone_tree(elements: DataFrame, gutter: str = "margin") -> DataFrame:
-    """Elements with their final zone. All pages' zones of a level are split together, until no split applies.
+def zone_tree(elements: DataFrame, local: bool = False) -> DataFrame:
+    """Elements with their final zone; needs page_width and page_height."""
+    return split_to_end(detect_layout_type(with_zone(elements, local)))
+
+
+def split_to_end(todo: DataFrame) -> DataFrame:
+    """Pages with their layout type as final zones. All pages' zones of a level are split together, until no split applies.
 
     A level's result is checkpointed, since the plan would otherwise double with each level.
     """
-    todo = detect_layout_type(with_zone(elements))
     parts: list[DataFrame] = []
     while True:
-        split = cut(split_zones(todo, gutter))
+        split = cut(split_zones(todo))
         parts.append(split.filter("done").drop("done"))
         rest = split.filter("not done").drop("done", "layout_type")
         if rest.isEmpty():
@@ -210,17 +220,17 @@ def zone_tree(elements: DataFrame, gutter: str = "margin") -> DataFrame:
     return out
 
 
-def adjacent_pairs(zoned: DataFrame, either_side: bool = True, keys: tuple[str, ...] = ("page_id", "path")) -> DataFrame:
+def adjacent_pairs(zoned: DataFrame, either_side: bool = True, keys: tuple[str, ...] = tuple(ZONE)) -> DataFrame:
     """anchor_id, child_id, anchor_y, dy of anchors and children side by side in one zone."""
     return spatial.side_by_side(zoned.filter(anchor()), zoned.filter(child()), keys, either_side)
 
 
-def adjacent_assign(pairs: DataFrame, keys: tuple[str, ...] = ("page_id", "path")) -> DataFrame:
+def adjacent_assign(pairs: DataFrame, keys: tuple[str, ...] = tuple(ZONE)) -> DataFrame:
     """Each anchor, from the top, takes its best free adjacent child."""
     return spatial.turns(pairs, list(keys))
 
 
-def nearest_anchor(zoned: DataFrame, taken: DataFrame | None = None, keep_top: bool = True, keys: tuple[str, ...] = ("page_id", "path")) -> DataFrame:
+def nearest_anchor(zoned: DataFrame, taken: DataFrame | None = None, keep_top: bool = True, keys: tuple[str, ...] = tuple(ZONE)) -> DataFrame:
     """anchor_id, child_id, distance: the nearest anchor not below a child, closer than the limit."""
     a = zoned.filter(anchor()).select(*keys, F.col("element_id").alias("anchor_id"), F.col("bbox_y").alias("ay"), cx().alias("ax"), cy().alias("acy"))
     c = zoned.filter(child())
@@ -248,16 +258,19 @@ def carry_anchor(df: DataFrame, order_y: Column, boundary: Column) -> DataFrame:
 
 
 def group_zones(zoned: DataFrame, proximity: bool = True) -> DataFrame:
-    """Elements with anchor_id (null for orphans) and orphans ('top', 'bottom'), by their zone's base case."""
+    """Elements with anchor_id (null for orphans) and orphans ('top', 'bottom'), by their zone's base case.
+
+    The nearest anchor is looked for in the global sorter's zones only; without ``proximity`` there are none.
+    """
     mixed = F.col("layout_type").startswith("MIXED")
     plain = zoned.filter(~mixed)
     taken = adjacent_assign(adjacent_pairs(plain))
-    found = ["page_id", "path", F.col("child_id").alias("element_id"), F.col("anchor_id").alias("known")]
+    found = [*ZONE, F.col("child_id").alias("element_id"), F.col("anchor_id").alias("known")]
     known = taken.select(*found)
     if proximity:
-        known = known.unionByName(nearest_anchor(plain, taken).select(*found))
+        known = known.unionByName(nearest_anchor(plain.filter(~F.col("local")), taken).select(*found))
     own = F.when(anchor(), F.col("element_id")).otherwise(F.col("known"))
-    df = zoned.join(known, ["page_id", "path", "element_id"], "left").withColumn("own", own).drop("known")
+    df = zoned.join(known, [*ZONE, "element_id"], "left").withColumn("own", own).drop("known")
     height = F.col("zy1") - F.col("zy0")
     return carry_anchor(
         df,
@@ -266,7 +279,7 @@ def group_zones(zoned: DataFrame, proximity: bool = True) -> DataFrame:
     ).drop("own")
 
 
-GROUP = ["page_id", "path", "anchor_id", "orphans"]
+GROUP = [*ZONE, "anchor_id", "orphans"]
 
 
 def group_positions(grouped: DataFrame, whole_page: bool = False) -> DataFrame:
@@ -275,7 +288,7 @@ def group_positions(grouped: DataFrame, whole_page: bool = False) -> DataFrame:
     head = F.min(F.when(F.col("element_id") == F.col("anchor_id"), F.struct(F.col("bbox_y").alias("y"), F.col("bbox_x").alias("x"))))
     groups = df.groupBy(*GROUP).agg(head.alias("head"), F.min("bbox_y").alias("least"))
     groups = groups.select(*GROUP, F.col("head.y").alias("anchor_y"), F.coalesce(F.col("head.y"), F.col("least")).alias("key"), F.coalesce(F.col("head.x"), F.lit(-1)).alias("kx"))
-    keys = ["page_id"] if whole_page else ["page_id", "path"]
+    keys = PAGE if whole_page else ZONE
     order = Window.partitionBy(*keys).orderBy("path", "key", "kx", F.col("anchor_id").asc_nulls_first())
     return groups.withColumn("place", F.row_number().over(order))
 
@@ -283,9 +296,9 @@ def group_positions(grouped: DataFrame, whole_page: bool = False) -> DataFrame:
 def lookahead_target(grouped: DataFrame, whole_page: bool = False) -> DataFrame:
     """element_id and target anchor of visuals that one of the next two groups is much closer to."""
     groups = group_positions(grouped, whole_page)
-    keys = ["page_id"] if whole_page else ["page_id", "path"]
+    keys = PAGE if whole_page else ZONE
     anchored = groups.filter(F.col("anchor_id").isNotNull())
-    now = grouped.filter(visual() & F.col("anchor_id").isNotNull()).join(anchored.select("page_id", "anchor_id", "anchor_y", "place"), ["page_id", "anchor_id"])
+    now = grouped.filter(visual() & F.col("anchor_id").isNotNull()).join(anchored.select(*PAGE, "anchor_id", "anchor_y", "place"), [*PAGE, "anchor_id"])
     now = now.select(*keys, "element_id", "bbox_y", F.col("anchor_y").alias("ay"), F.col("place").alias("p"))
     after = anchored.select(*keys, F.col("anchor_id").alias("target"), F.col("path").alias("target_path"), F.col("anchor_y").alias("ty"), (F.col("place")).alias("tp"), F.explode(F.sequence(F.col("place") - S.LOOKAHEAD, F.col("place") - 1)).alias("p"))
     if not whole_page:
@@ -293,13 +306,13 @@ def lookahead_target(grouped: DataFrame, whole_page: bool = False) -> DataFrame:
     d, e = F.col("bbox_y") - F.col("ay"), F.abs(F.col("bbox_y") - F.col("ty"))
     moves = now.join(after, [*keys, "p"]).filter((d > S.MOVE_FROM) & (e < S.MOVE_RATIO * d))
     best = F.min(F.struct(e.alias("e"), (-F.col("tp")).alias("late"), F.col("target"), *(["target_path"] if whole_page else [])))
-    return moves.groupBy("page_id", "element_id").agg(best.alias("b")).select("page_id", "element_id", F.col("b.target").alias("target"), *([F.col("b.target_path").alias("target_path")] if whole_page else []))
+    return moves.groupBy(*PAGE, "element_id").agg(best.alias("b")).select(*PAGE, "element_id", F.col("b.target").alias("target"), *([F.col("b.target_path").alias("target_path")] if whole_page else []))
 
 
 def reassign_visuals(grouped: DataFrame, whole_page: bool = False) -> DataFrame:
     """All moves found, then applied."""
     moves = lookahead_target(grouped, whole_page)
-    out = grouped.join(moves, ["page_id", "element_id"], "left").withColumn("anchor_id", F.coalesce("target", "anchor_id"))
+    out = grouped.join(moves, [*PAGE, "element_id"], "left").withColumn("anchor_id", F.coalesce("target", "anchor_id"))
     if whole_page:
         out = out.withColumn("path", F.coalesce("target_path", "path")).drop("target_path")
     return out.drop("target")
@@ -320,7 +333,7 @@ def flatten_groups(grouped: DataFrame) -> DataFrame:
         F.col("orphans").desc(),
     ]
     inner = [(F.col("element_id") != F.coalesce(F.col("anchor_id"), F.lit(-1))).cast("int"), "bbox_y", "bbox_x", "element_id"]
-    page = Window.partitionBy("page_id")
+    page = Window.partitionBy(*PAGE)
     return df.withColumns(
         {
             "order_in_question": F.row_number().over(page.orderBy(*group, *inner)) - 1,
@@ -339,20 +352,25 @@ def reading_order(elements: DataFrame) -> DataFrame:
     return elements.withColumn("order_in_question", order).withColumns({"group_id": F.col("order_in_question"), "order_in_group": F.lit(0), "anchor_id": F.lit(None).cast("long")}).select(*SORTED)
 
 
-def sort_layout(elements: DataFrame, pages: DataFrame | None = None, document_type: str = "question_based", gutter: str = "margin", proximity: bool = True) -> DataFrame:
-    """Elements in reading order and question groups.
+def sort_layout(elements: DataFrame, pages: DataFrame | None = None, document_type: str = "question_based", local: bool = False) -> DataFrame:
+    """Elements in reading order and question groups, by the global sorter or the local one.
 
     Pages with a row that cannot be computed with are not sorted: their elements come in (y, x) order (nulls last), each its own group.
     """
     if document_type != "question_based":
         return reading_order(preprocess(elements, document_type))
     sound, other = set_apart(elements)
-    return sort_sound(sound, pages, gutter, proximity).unionByName(reading_order(other))
+    return sort_zoned(typed(sound, pages, local), proximity=not local).select(*SORTED).unionByName(reading_order(other))
+
+
+def typed(kept: DataFrame, pages: DataFrame | None, local: bool = False) -> DataFrame:
+    """Anchors and children of pages without a fault, each page one zone with its layout type."""
+    return detect_layout_type(with_zone(page_extent(kept, pages), local))
 
 
-def sort_sound(kept: DataFrame, pages: DataFrame | None, gutter: str = "margin", proximity: bool = True) -> DataFrame:
-    """The same for anchors and children of pages without a fault."""
+def sort_zoned(whole: DataFrame, proximity: bool = True) -> DataFrame:
+    """Rows of ``typed`` in order, each by the sorter that its ``local`` tells: SORTED and local."""
     # each stage reads the one before several times: cut, it is computed once, and plans stay small
-    zoned = cut(zone_tree(page_extent(kept, pages), gutter).drop("page_width", "page_height"))
+    zoned = cut(split_to_end(whole.drop("page_width", "page_height")))
     grouped = cut(reassign_visuals(cut(group_zones(zoned, proximity))))
-    return flatten_groups(reassign_visuals(grouped, whole_page=True)).select(*SORTED)
+    return flatten_groups(reassign_visuals(grouped, whole_page=True)).select(*SORTED, "local")
