@@ -19,15 +19,15 @@ def read_elements_json(spark: SparkSession, path: str) -> DataFrame:
 
 # What files begin with, in hexadecimal digits.
 MAGIC = {"89504E470D0A1A0A": "png", "FFD8FF": "jpeg", "25504446": "pdf", "424D": "bmp", "49492A00": "tiff", "4D4D002A": "tiff", "52494646": "webp", "50415231": "parquet"}
-#: Files whose beginnings are read are so large at most; the reader has no way to read a part of one.
-MAGIC_BYTES = 256 << 20
+#: Tasks read files of up to this size whole, as their reader has no way to read a part of one. Of larger ones the driver reads the first HEAD bytes.
+MAGIC_BYTES, HEAD = 256 << 20, 24
 
 
 def register_page_files(spark: SparkSession, path: str, look: bool = False, kinds: dict[str, str] | None = None) -> DataFrame:
     """path, name, size_bytes, modificationTime, kind of accepted files: image, pdf, or what ``kinds`` says of suffixes.
 
     Contents are not read, unless ``look`` asks for it: then ``format`` is what a file begins as (null: unknown), ``fault`` whether
-    that is not what its suffix says, and PNG images have their width and height. Files over MAGIC_BYTES have null there.
+    that is not what its suffix says, and PNG images have their width and height.
     Empty files are not listed, as Spark leaves them out.
     """
     kinds = kinds or {"pdf": "pdf", **dict.fromkeys(IMAGES, "image")}
@@ -42,6 +42,18 @@ def register_page_files(spark: SparkSession, path: str, look: bool = False, kind
     is_ = F.coalesce(*[F.when(head.startswith(m), f) for m, f in MAGIC.items()])
     wanted = F.when(suffix == "jpg", "jpeg").otherwise(suffix)
     side = lambda at: F.when(F.col("format") == "png", F.conv(F.hex(F.substring("content", at, 4)), 16, 10).cast("int"))
-    small = named.filter(F.col("length") <= MAGIC_BYTES).withColumns({"format": is_, "fault": ~F.equal_null(is_, wanted)}).withColumns({"image_width": side(17), "image_height": side(21)})
-    more = ["format", "fault", "image_width", "image_height"]
-    return small.select(*columns, *more).unionByName(named.filter(F.col("length") > MAGIC_BYTES).select(*columns), allowMissingColumns=True)
+    large = named.filter(F.col("length") > MAGIC_BYTES)
+    heads = spark.createDataFrame([(r["path"], _head(spark, r["path"])) for r in large.select("path").toLocalIterator()], "path string, content binary")
+    both = named.filter(F.col("length") <= MAGIC_BYTES).select(*columns, "content").unionByName(large.select(*columns).join(heads, "path"))
+    looked = both.withColumns({"format": is_, "fault": ~F.equal_null(is_, wanted)}).withColumns({"image_width": side(17), "image_height": side(21)})
+    return looked.select(*columns, "format", "fault", "image_width", "image_height")
+
+
+def _head(spark: SparkSession, path: str) -> bytes:
+    """The first HEAD bytes of a file of any store that Spark reads."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(at)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, HEAD))
+    finally:
+        stream.close()
