@@ -1,9 +1,43 @@
 """What larger tables need: cuts that are small and go, tasks by rows, files of any size."""
 
-from pagespan.sources import readers
+import pathlib
+
+import pytest
+
+from pagespan.operators import strategies
+from pagespan.sources import readers, scratch
 from pagespan.sources.tables import Tables
 
 
+@pytest.fixture
+def shared(spark):
+    return pathlib.Path(scratch.shared_folder(spark).removeprefix("file:"))
+
+
+def cuts(folder):
+    return {p for p in folder.rglob("*") if p.is_dir() and p.name.startswith(("cut-", "rdd-"))}
+
+
+def test_sorters_leave_two_tables(spark, sf, shared):
+    """Of each sorter's cuts only the rows and the last one are left, as columns; formerly all, as rows."""
+    t = Tables(spark, sf)
+    before = cuts(shared)
+    assert strategies.sort_hybrid(t.layout_elements, t.doc_pages).count() == t.layout_elements.filter("class_name <> 'plain text'").count()
+    left = cuts(shared) - before
+    assert len(left) <= 3 and all(p.name.startswith("cut-") for p in left)
+
+
+def test_kept_tables_outlive_their_step(spark, shared):
+    before = cuts(shared)
+    with scratch.passing() as keep_outer:
+        with scratch.passing() as keep:
+            scratch.cut(spark.range(3))
+            kept = keep(scratch.cut(spark.range(5)))
+        assert kept.count() == 5 and len(cuts(shared) - before) == 1
+        keep_outer(scratch.cut(spark.range(7)))
+    assert len(cuts(shared) - before) == 1
+
+
 def test_beginnings_of_large_files(spark, tmp_path, monkeypatch):
     """Files over the size that is read whole have their format too."""
     (tmp_path / "a b.png").write_bytes(bytes.fromhex("89504E470D0A1A0A") + bytes(8) + (7).to_bytes(4) + (9).to_bytes(4) + bytes(80))
