@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pagespan import schema as S
 from pagespan.operators import spatial
+from pagespan.operators.sides import dealt, tasks
 from pagespan.sources.scratch import cut, passing
 
 # Columns and windows are made on call: they need a session.
@@ -222,7 +223,7 @@ def split_to_end(todo: DataFrame) -> DataFrame:
 
 def adjacent_pairs(zoned: DataFrame, either_side: bool = True, keys: tuple[str, ...] = tuple(ZONE)) -> DataFrame:
     """anchor_id, child_id, anchor_y, dy of anchors and children side by side in one zone."""
-    return spatial.side_by_side(zoned.filter(anchor()), zoned.filter(child()), keys, either_side)
+    return spatial.side_by_side(zoned.filter(anchor() | child()).withColumn("_a", anchor()), keys, either_side)
 
 
 def adjacent_assign(pairs: DataFrame, keys: tuple[str, ...] = tuple(ZONE)) -> DataFrame:
@@ -365,7 +366,7 @@ def sort_layout(elements: DataFrame, pages: DataFrame | None = None, document_ty
 
 def typed(kept: DataFrame, pages: DataFrame | None, local: bool = False) -> DataFrame:
     """Anchors and children of pages without a fault, each page one zone with its layout type."""
-    return detect_layout_type(with_zone(page_extent(kept, pages), local))
+    return detect_layout_type(with_zone(page_extent(dealt(kept, tasks(kept), "page_id"), pages), local))
 
 
 def sort_zoned(whole: DataFrame, proximity: bool = True) -> DataFrame:

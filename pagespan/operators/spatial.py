@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagespan import schema as S
+from pagespan.operators.sides import dealt, tasks
 from pagespan.sources.scratch import cut
 
 #: Zones of so many rows are one cell; choices among so many pairs of a zone are a fold over one array.
@@ -47,15 +48,16 @@ def _sized(df: DataFrame, keys: list[str], **more: Column) -> DataFrame:
     return df.withColumns({"_many": F.count(F.lit(1)).over(zone) > FEW, **{k: c.over(zone) for k, c in more.items()}})
 
 
-def side_by_side(anchors: DataFrame, children: DataFrame, keys: Iterable[str], either_side: bool) -> DataFrame:
-    """keys, anchor_id, child_id, anchor_y, dy of boxes side by side: centres in y nearer than ADJACENT_Y of the mean height, facing edges than ADJACENT_X.
+def side_by_side(both: DataFrame, keys: Iterable[str], either_side: bool) -> DataFrame:
+    """keys, anchor_id, child_id, anchor_y, dy of boxes (``both``, _a: anchors) side by side: centres in y nearer than ADJACENT_Y of the mean height, facing edges than ADJACENT_X.
 
     In cells, an anchor meets the children whose facing edge is in its own or a neighbouring strip of ADJACENT_X pixels, in the
     cells of height that both cover; a pair counts where its common part begins, and once if both sides are near.
     """
     keys = list(keys)
     box = ["bbox_x", "bbox_y", "bbox_width", "bbox_height"]
-    both = anchors.select(*keys, "element_id", *box, F.lit(True).alias("_a")).unionByName(children.select(*keys, "element_id", *box, F.lit(False).alias("_a")))
+    both = both.select(*keys, "element_id", *box, "_a")
+    n = tasks(both)
     both = both.withColumns({"_cy": F.col("bbox_y") + F.col("bbox_height") / 2, "_e": F.abs(F.col("bbox_height")) / 2 * S.ADJACENT_Y})
     both = _sized(both, keys, _tallest=F.max("_e")).withColumn("_cell", F.greatest(F.lit(float(CELL_HEIGHT)), F.col("_tallest") * 2 / CELLS_A_ROW))
     top, bottom = F.col("_cy") - F.col("_e"), F.col("_cy") + F.col("_e")
@@ -70,7 +72,8 @@ def side_by_side(anchors: DataFrame, children: DataFrame, keys: Iterable[str], e
 
     def side(p: str, wanted: Column, cells: Column) -> DataFrame:
         df = both.filter(wanted).withColumn("_s", F.explode(F.when(F.col("_many"), cells).otherwise(one))).withColumn("_row", F.explode(rows))
-        return df.select(*keys, F.col("_s.side").alias("_side"), F.col("_s.x").alias("_strip"), "_row", *[F.col(c).alias(f"{p}{c}") for c in ("element_id", *box, "_cy", "_top")])
+        df = df.select(*keys, F.col("_s.side").alias("_side"), F.col("_s.x").alias("_strip"), "_row", *[F.col(c).alias(f"{p}{c}") for c in ("element_id", *box, "_cy", "_top")])
+        return dealt(df, n, *keys, "_side", "_strip", "_row")
 
     met = side("a_", F.col("_a"), of_anchor).join(side("c_", ~F.col("_a"), of_child), [*keys, "_side", "_strip", "_row"])
     on_right = F.abs(F.col("c_bbox_x") - (F.col("a_bbox_x") + F.col("a_bbox_width"))) < S.ADJACENT_X

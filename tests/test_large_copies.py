@@ -4,9 +4,10 @@ import pathlib
 
 import pytest
 
-from pagespan.operators import strategies
+from pagespan.operators import layout, sides, stats, strategies
 from pagespan.sources import readers, scratch
 from pagespan.sources.tables import Tables
+from pyspark.sql import functions as F
 
 
 @pytest.fixture
@@ -38,6 +39,19 @@ def test_kept_tables_outlive_their_step(spark, shared):
     assert len(cuts(shared) - before) == 1
 
 
+def test_large_tables_are_dealt_by_rows(spark, sf, monkeypatch):
+    t = Tables(spark, sf)
+    ratio = lambda: {r.page_id: r.adjacency_ratio for r in stats.adjacency_ratio(t.layout_elements).collect()}
+    profile = lambda: {tuple(r) for r in strategies.layout_profile(t.layout_elements, t.doc_pages).select("page_id", "layout_type", F.round("adjacency_ratio", 6), "strategy").collect()}
+    want = ratio(), profile()
+    monkeypatch.setattr(sides, "MANY", 100)
+    monkeypatch.setattr(sides, "A_TASK", 500)
+    assert (ratio(), profile()) == want
+    kept = layout.preprocess(t.layout_elements)
+    n = kept.count()
+    assert layout.typed(kept, t.doc_pages).rdd.getNumPartitions() == -(-n // 500)
+
+
 def test_beginnings_of_large_files(spark, tmp_path, monkeypatch):
     """Files over the size that is read whole have their format too."""
     (tmp_path / "a b.png").write_bytes(bytes.fromhex("89504E470D0A1A0A") + bytes(8) + (7).to_bytes(4) + (9).to_bytes(4) + bytes(80))
