@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
-from pyspark.sql.types import BooleanType, StructField, StructType
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from pagespan import schema as S
 from pagespan.operators.render import format_page
@@ -29,8 +29,14 @@ def run(writer, checkpoint: str) -> None:
     writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+#: Waiting pages are kept in ranges of 2**TOGETHER page numbers, so that Python and the state store are called once a range, not a row.
+TOGETHER = 6
+#: Waiting rows of a range are kept in chunks of so many.
+CHUNK = 10_000
+
+
 class Gathering(StatefulProcessor):
-    """Elements of a page (the key) until their number is the page's ``expected``, or it has waited too long since its first.
+    """Elements of pages (the key is a range of them) until a page has its number ``expected``, or has waited too long since its first.
 
     Elements that come twice count once, the later one. A page without a known number goes with the batch that brings it.
     What comes after a page went is gathered anew.
@@ -41,32 +47,62 @@ class Gathering(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.rows = handle.getMapState("rows", "element_id long", self.element)
+        self.waiting = handle.getListState("waiting", "rows binary")
 
-    def _whole(self, key, complete: bool):
-        import pandas as pd
+    def _held(self) -> list:
+        """What waits: elements and until when their page does, as frames."""
+        import pyarrow as pa
+
+        return [pa.ipc.open_stream(rows).read_pandas() for (rows,) in self.waiting.get()] if self.waiting.exists() else []
+
+    def _keep(self, rows) -> None:
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
 
-        out = pd.DataFrame([tuple(row) for _, row in self.rows.iterator()], columns=self.element.names)
-        self.rows.clear()
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        yield out.assign(complete=complete)
+        if rows.empty:
+            self.waiting.clear()
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            return
+        schema, chunks = to_arrow_schema(StructType([*self.element.fields, StructField("until", LongType())])), []
+        for at in range(0, len(rows), CHUNK):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, schema) as out:
+                out.write_table(pa.Table.from_pandas(rows.iloc[at : at + CHUNK][schema.names], schema, preserve_index=False))
+            chunks.append((sink.getvalue().to_pybytes(),))
+        self.waiting.put(chunks)
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803  Spark's names
-        first, expected = not self.rows.exists(), None
-        for pdf in rows:
-            for row in pdf[self.element.names].itertuples(index=False):
-                values = tuple(None if v != v else v for v in row)
-                self.rows.updateValue((int(row.element_id),), values)
-            known = pdf["expected"].dropna()
-            expected = int(known.max()) if len(known) else expected
-        if expected is None or sum(1 for _ in self.rows.keys()) >= expected:
-            yield from self._whole(key, expected is not None)
-        elif first:
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait_ms)
+        import pandas as pd
+
+        end = timerValues.getCurrentProcessingTimeInMs() + self.wait_ms
+        held, names = self._held(), self.element.names
+        both = pd.concat([*held, *[pdf[[*names, "expected"]].assign(come=True) for pdf in rows]], ignore_index=True)
+        if not held:
+            both["until"] = float("nan")
+        of = both.groupby("page_id", dropna=False)
+        both["until"] = of["until"].transform("min").fillna(end).astype("int64")
+        both["expected"], both["come"] = of["expected"].transform("max"), of["come"].transform("count") > 0
+        both = both.drop_duplicates(["page_id", "element_id"], keep="last")
+        known = both["expected"].notna()
+        goes = both["come"] & (~known | (both.groupby("page_id", dropna=False)["come"].transform("size") >= both["expected"]))
+        if goes.any():
+            yield both.loc[goes, names].assign(complete=known[goes])
+        left = both[~goes]
+        self._keep(left)
+        if (left["until"] == end).any():
+            self.handle.registerTimer(end)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
-        yield from self._whole(key, False)
+        import pandas as pd
+
+        held = self._held()
+        if held:
+            rows = pd.concat(held, ignore_index=True)
+            over = rows["until"] <= expiredTimerInfo.getExpiryTimeInMs()
+            if over.any():
+                yield rows.loc[over, self.element.names].assign(complete=False)
+                self._keep(rows[~over])
 
 
 def gathered_pages(elements: DataFrame, expected: DataFrame, wait_s: int = 600) -> DataFrame:
@@ -77,7 +113,8 @@ def gathered_pages(elements: DataFrame, expected: DataFrame, wait_s: int = 600)
     kept = StructType([f for f in elements.schema.fields if f.name in S.ELEMENT_COLUMNS])
     counted = elements.select(*kept.names).join(expected.select("page_id", "expected"), "page_id", "left")
     schema = StructType([*kept.fields, StructField("complete", BooleanType())])
-    return counted.groupBy("page_id").transformWithStateInPandas(Gathering(wait_s * 1000, kept), schema, "Append", "ProcessingTime")
+    counted = counted.withColumn("pages", F.shiftright("page_id", TOGETHER))
+    return counted.groupBy("pages").transformWithStateInPandas(Gathering(wait_s * 1000, kept), schema, "Append", "ProcessingTime")
 
 
 #: For keyed state with timers. Without batches that have no data, as a stream with timers would never be at its input's end.

@@ -116,3 +116,46 @@ def test_edits_make_cached_texts_stale(spark, tmp_path):
     state = sorted(map(tuple, stale.latest().collect()))
     stale.append(1, spark.createDataFrame([(4, None)], logs.InvalidationLog.SCHEMA))
     assert sorted(map(tuple, stale.latest().collect())) == state
+
+
+def test_state_is_called_once_a_range_of_pages(spark):
+    """Not once a row: 64 pages of 30 elements in three pieces; two stay short, one of them with rows that come twice."""
+    import pandas as pd
+    from pyspark.sql.types import _parse_datatype_string
+
+    calls = []
+
+    class State:
+        def __init__(self):
+            self.held = []
+
+        def __getattr__(self, name):
+            calls.append(name)
+            return {"exists": lambda: bool(self.held), "get": lambda: iter(self.held), "put": lambda rows: setattr(self, "held", rows), "clear": lambda: setattr(self, "held", [])}[name]
+
+    class Handle:
+        def getListState(self, *_):  # noqa: N802
+            return State()
+
+        def registerTimer(self, at):  # noqa: N802
+            calls.append("timer")
+
+        def listTimers(self):  # noqa: N802
+            return []
+
+    class Now:
+        getCurrentProcessingTimeInMs = getExpiryTimeInMs = lambda self: 1000  # noqa: N815
+
+    rows = pd.DataFrame([(1000 * p + i, p, "figure", 0.5 if i % 2 else None, i, 2, 3, None if i == 4 else 4, 31 if p < 2 else 30) for p in range(64) for i in range(30)], columns=[*S.ELEMENT_COLUMNS, "expected"])
+    schema = _parse_datatype_string(S.ELEMENT) if isinstance(S.ELEMENT, str) else S.ELEMENT
+    gathering = streams.Gathering(0, schema)
+    gathering.init(Handle())
+    out = []
+    for k in range(3):
+        batch = rows[(rows.element_id % 3 == k) | ((rows.page_id == 1) & (rows.element_id == 1000))]
+        out += list(gathering.handleInputRows((0,), iter([batch[:100], batch[100:]]), Now()))
+    got = pd.concat(out)
+    assert set(got.page_id) == set(range(2, 64)) and len(got) == 62 * 30 == got.element_id.nunique() and got.complete.all()
+    late = pd.concat(gathering.handleExpiredTimer((0,), Now(), Now()))
+    assert sorted(late.element_id) == [*range(30), *range(1000, 1030)] and not late.complete.any()
+    assert len(calls) < 20, len(calls)
