@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SPACE = "[\\s\\u0085\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\u001C-\\u001F]"
+#: The same characters one by one: ends are trimmed without a pattern, which would try each run of white space from each of its places.
+SPACES = "".join(chr(c) for c in (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 LINE_END = "\\r\\n|[\\n\\r\\x0B\\x0C\\u001C-\\u001E\\u0085\\u2028\\u2029]"
 # Labels of choices and marks of lists.
 CHOICE = "^(\\(?\\d{1,2}[\\).]|[①-⑳]|[A-Z][\\).]|[가-하]\\.|[가-하]\\))\\s*(.+)$"
@@ -14,11 +16,11 @@ BULLET = "^([\\-•]|\\d+\\.)\\s*(.+)$"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def rstrip(text: Column) -> Column:
-    return F.regexp_replace(text, f"{SPACE}+$", "")
+    return F.rtrim(text, F.lit(SPACES))
 
 
 def lines(text: Column) -> Column:

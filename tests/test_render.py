@@ -90,3 +90,21 @@ def test_simple_document(spark):
     content = spark.createDataFrame([(1, k, c, 0, y, o.strip(), a) for k, c, y, o, a in rows], "page_id long, element_id long, class_name string, bbox_x int, bbox_y int, ocr string, ai string")
     assert render.format_document_simple(content).first()["text"] == "1.    Why?\n\n[그림 설명] a cat\n\nT1"
     assert render.format_document_simple(content, same_line=True).first()["text"].startswith("1. Why?")
+
+
+def test_ends_are_trimmed_in_one_pass(spark):
+    """As the pattern of white space would; a long run within a text takes no time that grows with its square."""
+    import time
+
+    from pagespan.functions import text as X
+    from pyspark.sql import functions as F
+
+    odd = [None, "", " ", "a", "\n a \n", "a\r\n", *[f"{chr(c)}a{chr(c)}b{chr(c)}" for c in (*range(0x100), 0x1680, 0x180E, *range(0x1FFF, 0x2030), 0x205F, 0x3000, 0xFEFF)], "가 나　", "  "]
+    df = spark.createDataFrame([(t,) for t in odd], "t string")
+    pattern = lambda p: F.regexp_replace("t", p, "")
+    assert df.filter(~X.strip(F.col("t")).eqNullSafe(pattern(f"^{X.SPACE}+|{X.SPACE}+$"))).collect() == []
+    assert df.filter(~X.rstrip(F.col("t")).eqNullSafe(pattern(f"{X.SPACE}+$"))).collect() == []
+    long = spark.createDataFrame([(f" x{' ' * 400_000}y ",)], "t string")
+    began = time.time()
+    assert long.select(F.length(X.strip(F.col("t"))).alias("n")).first()["n"] == 400_002
+    assert time.time() - began < 10
