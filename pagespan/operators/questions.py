@@ -20,7 +20,8 @@ SECTIONS = ["([A-Z])\\s*섹션", "([A-Z])\\s*부분", "([A-Z])\\s+"]
 def extract_question_numbers(content: DataFrame) -> DataFrame:
     """page_id, question (text), distinct."""
     found = F.flatten(F.array(*[F.regexp_extract_all(X.strip(F.col("text")), F.lit(p), 1) for p in NUMBERS]))
-    return content.select("page_id", F.explode(found).alias("question")).distinct()
+    # every pattern wants a digit: most texts have none
+    return content.filter(F.col("text").rlike("\\d")).select("page_id", F.explode(found).alias("question")).distinct()
 
 
 def extract_sections(content: DataFrame) -> DataFrame:
