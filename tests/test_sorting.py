@@ -131,3 +131,16 @@ def test_spatial_joins_over_bands(spark):
         d, _, q = min((abs(y - qy), qy, q) for page, q, qy in questions if page == p)
         assert near[k] == (str(q) if d <= 500 else "unknown")
     assert near[900] == "unknown"
+
+
+def test_arrays_and_joins_choose_alike(spark, t, ordered, monkeypatch):
+    """Small zones' arrays and large zones' joins give the same groups; formerly all zones were joined."""
+    from pagespan.operators import spatial
+
+    zoned = layout.zone_tree(layout.page_extent(layout.preprocess(t.layout_elements), t.doc_pages))
+    groups = lambda: {(r.element_id, r.path, r.anchor_id, r.orphans) for r in layout.group_zones(zoned).collect()}
+    want = groups()
+    plan = layout.group_zones(zoned)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+    monkeypatch.setattr(spatial, "FEW", 6)
+    assert groups() == want
