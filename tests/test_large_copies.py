@@ -69,3 +69,27 @@ def test_element_files_hold_many_pages(spark, sf):
     got = catalog.queries()["s02_read_elements_json"](spark, sf)
     pages = Tables(spark, sf).layout_elements.select("page_id").distinct().count()
     assert len(got.inputFiles()) <= pages // 256 + 2
+
+
+def test_page_kernel_sends_batches_of_pages(spark):
+    """Python is called for many pages at once, with the frames that it would get page by page; pages go over batches' ends."""
+    rows = [(p, k, None if (p or 0) % 3 == 0 and k == 1 else (1 << 60) + k, None if p == 4 else k % 2 == 0, f"{p}") for p in [None, 0, *range(-2, 9)] for k in range(7 if p != 5 else 60)]
+    df = spark.createDataFrame(rows, "page_id long, k int, n long, b boolean, t string").repartition(3)
+
+    def told(pdf):
+        import pandas as pd
+
+        page = pdf.page_id.iloc[0]
+        return pd.DataFrame({"p": [str(page)], "rows": [len(pdf)], "total": [str(sum(int(x) for x in pdf.n.dropna()))], "kinds": [" ".join(map(str, pdf.dtypes))], "bs": [str(sorted(map(str, pdf.b)))]})
+
+    schema = "p string, rows int, total string, kinds string, bs string"
+    want = sorted(map(tuple, df.groupBy("page_id").applyInPandas(told, schema).collect()))
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for n in ("10", "9999"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+            got = strategies.page_kernel(df, told, schema)
+            assert sorted(map(tuple, got.collect())) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().toString()
