@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagespan.sources.scratch import cut
@@ -28,9 +28,19 @@ def write_json_results(results: DataFrame, path: str) -> None:
     results.write.mode("overwrite").json(path)
 
 
-def write_project_text(combined: DataFrame, path: str) -> None:
-    """combined_text of each project under project_id=<id>."""
-    combined.select("project_id", F.col("combined_text").alias("value")).write.mode("overwrite").partitionBy("project_id").text(path)
+def write_project_text(combined: DataFrame, path: str, span: int = 1) -> None:
+    """combined_text of each project, as text under project_id=<id>; with a ``span`` over 1, as JSON lines (project_id,
+    combined_text) under project_range=<project_id / span>, so that files grow with the ranges of ids instead of the projects."""
+    if span > 1:
+        ranged = combined.select("project_id", "combined_text", F.floor(F.col("project_id") / span).cast("long").alias("project_range"))
+        ranged.repartition("project_range").write.mode("overwrite").partitionBy("project_range").json(path)
+    else:
+        combined.select("project_id", F.col("combined_text").alias("value")).write.mode("overwrite").partitionBy("project_id").text(path)
+
+
+def read_project_text(spark: SparkSession, path: str) -> DataFrame:
+    """project_id and combined_text of what was written in ranges; ``project_range`` finds a project's file."""
+    return spark.read.schema("project_id long, combined_text string, project_range long").json(path)
 
 
 def resume_remaining(inputs: DataFrame, done: DataFrame, key: str = "key") -> DataFrame:

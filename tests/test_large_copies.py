@@ -71,6 +71,21 @@ def test_element_files_hold_many_pages(spark, sf):
     assert len(got.inputFiles()) <= pages // 256 + 2
 
 
+def test_project_texts_lie_in_ranges(spark, sf, tmp_path):
+    """Files grow with the projects' ids over 256, not one folder a project; any text comes back as it was."""
+    from pagespan.plans import catalog
+    from pagespan.sources import writers
+
+    t = Tables(spark, sf)
+    ranges = t.doc_pages.select(F.floor(F.col("project_id") / 256)).distinct().count()
+    assert len(catalog.queries()["s07_write_project_text"](spark, sf).inputFiles()) <= ranges
+    rows = [(-1, 'a\r\n\n"b"\\n\u2028\x00\x85'), (0, ""), (255, " "), (256, "\n"), (None, "없음"), (1 << 60, "x")]
+    writers.write_project_text(spark.createDataFrame(rows, "project_id long, combined_text string"), str(tmp_path / "t"), 256)
+    back = writers.read_project_text(spark, str(tmp_path / "t"))
+    assert {(r.project_id, r.combined_text) for r in back.collect()} == set(rows)
+    assert back.filter("project_range = 0").count() == 2
+
+
 def test_page_kernel_sends_batches_of_pages(spark):
     """Python is called for many pages at once, with the frames that it would get page by page; pages go over batches' ends."""
     rows = [(p, k, None if (p or 0) % 3 == 0 and k == 1 else (1 << 60) + k, None if p == 4 else k % 2 == 0, f"{p}") for p in [None, 0, *range(-2, 9)] for k in range(7 if p != 5 else 60)]
