@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagespan.operators.sides import if_small
@@ -17,7 +17,39 @@ def page_with_content(elements: DataFrame, texts: DataFrame, ai: DataFrame) -> D
 def nested_pages(content: DataFrame) -> DataFrame:
     """One row a page with its elements in (y, x) order."""
     item = F.struct("bbox_y", "bbox_x", "element_id", "class_name", "ocr_text", "description")
-    return content.groupBy("page_id").agg(F.array_sort(F.collect_list(item)).alias("elements"))
+    return by_page(content, F.array_sort(F.collect_list(item)).alias("elements"))
+
+
+#: Elements of so many consecutive ids lie in one range.
+RANGE_BITS = 16
+
+
+def content_in_ranges(elements: DataFrame, texts: DataFrame, ai: DataFrame) -> DataFrame:
+    """The rows of ``page_with_content``, dealt by ranges of element ids, with what ``by_page`` needs to leave there pages that lie in one range.
+
+    Texts are shuffled once, and again only those of pages that lie in several ranges; joins would shuffle all by element and then by page.
+    """
+    number = F.col("element_id").cast("long")
+    found = F.coalesce(F.shiftright(number, RANGE_BITS), F.lit(1 << 62))  # elements without an id: a range that no id has
+    page = Window.partitionBy("page_id")
+    own = elements.withColumn("_range", found).withColumn("_whole", F.min("_range").over(page) == F.max("_range").over(page))
+    said = lambda df, column: df.filter("element_id is not null").select("element_id", found.alias("_range"), column)
+    rows = own.withColumn("_own", F.lit(True))
+    for side, column in ((texts, "ocr_text"), (ai, "description")):
+        rows = rows.unionByName(said(side, column).withColumn(f"_{column}", F.struct(column)).drop(column), allowMissingColumns=True)
+    element = Window.partitionBy("_range", "element_id")
+    rows = rows.repartition("_range").withColumns({c: F.collect_list(f"_{c}").over(element) for c in ("ocr_text", "description")}).filter("_own")
+    return rows.select(*elements.columns, "_range", "_whole", F.explode_outer("ocr_text").alias("_t"), "description").select(
+        *elements.columns, "_range", "_whole", F.col("_t.ocr_text").alias("ocr_text"), F.explode_outer("description").alias("_d")
+    ).select(*elements.columns, "ocr_text", F.col("_d.description").alias("description"), "_range", "_whole")
+
+
+def by_page(content: DataFrame, *aggregates: Column) -> DataFrame:
+    """One row a page. Of ``content_in_ranges``, pages within one range are put together where they are."""
+    if "_whole" not in content.columns:
+        return content.groupBy("page_id").agg(*aggregates)
+    there = content.filter("_whole").groupBy("_range", "page_id").agg(*aggregates).drop("_range")
+    return there.unionByName(content.filter("not _whole").groupBy("page_id").agg(*aggregates))
 
 
 def project_details(projects: DataFrame, pages: DataFrame, types: DataFrame, combined: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagespan.functions import text as X
+from pagespan.operators.joins import by_page
 from pagespan.operators.spatial import points_in_ranges
 from pagespan.sources.scratch import cut
 
@@ -170,5 +171,5 @@ def nested_document(content: DataFrame) -> DataFrame:
     """page_id and the page as one JSON object: elements with their texts, and counts."""
     item = F.struct("element_id", "class_name", "bbox_x", "bbox_y", "bbox_width", "bbox_height", "ocr_text", "description")
     filled = lambda c: F.length(F.trim(F.coalesce(F.col(c), F.lit("")))) > 0
-    by = content.groupBy("page_id").agg(F.array_sort(F.collect_list(item)).alias("elements"), F.count(F.lit(1)).alias("total_elements"), F.count_if(filled("ocr_text")).alias("text_elements"), F.count_if(filled("description")).alias("ai_elements"))
+    by = by_page(content, F.array_sort(F.collect_list(item)).alias("elements"), F.count(F.lit(1)).alias("total_elements"), F.count_if(filled("ocr_text")).alias("text_elements"), F.count_if(filled("description")).alias("ai_elements"))
     return by.select("page_id", F.to_json(F.struct("page_id", "total_elements", "text_elements", "ai_elements", "elements")).alias("document"))

@@ -63,6 +63,10 @@ NESTED = """select e.page_id, cast(row_number() over (partition by e.page_id ord
 ITEM = ["element_id", "class_name", "bbox_x", "bbox_y", "ocr_text", "description"]
 
 
+def kept(t):
+    return t.keep("layout_elements", "page_id", "element_id", "class_name", "bbox_x", "bbox_y")
+
+
 def unnested(pages):
     return pages.select("page_id", F.posexplode("elements").alias("place", "e")).select("page_id", "place", *[f"e.{c}" for c in ITEM])
 
@@ -72,7 +76,8 @@ def _(t):
     from pagespan.streaming.streams import scratch_dir
 
     at = f"{scratch_dir(t.spark)}/json"
-    nested = J.nested_pages(J.page_with_content(t.layout_elements, t.text_contents, t.ai_descriptions))
+    t = kept(t)
+    nested = J.nested_pages(J.content_in_ranges(t.layout_elements, t.text_contents, t.ai_descriptions))
     writers.write_json_results(nested, at)
     return unnested(t.spark.read.schema(nested.schema).json(at))
 

@@ -6,9 +6,12 @@ The derivations are plain SQL that Spark and DuckDB both run, so that oracles us
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pagespan.sources.scratch import cut
+
 RAW = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 DERIVED = {
@@ -77,18 +80,18 @@ from layout_elements""",
 }
 
 
-def needed(sql: str) -> list[str]:
+def needed(sql: str, bodies: dict[str, str] = DERIVED) -> list[str]:
     """Derived tables that a text names, those they rest on first."""
     out: list[str] = []
-    for name, body in DERIVED.items():
+    for name, body in bodies.items():
         if re.search(rf"\b{name}\b", sql):
-            out += [n for n in [*needed(body), name] if n not in out]
+            out += [n for n in [*needed(body, bodies), name] if n not in out]
     return out
 
 
-def with_tables(sql: str) -> str:
+def with_tables(sql: str, bodies: dict[str, str] = DERIVED) -> str:
     """``sql`` with the derived tables it names in front (for DuckDB, where raw tables are views)."""
-    ctes = ", ".join(f"{n} as ({DERIVED[n]})" for n in needed(sql))
+    ctes = ", ".join(f"{n} as ({bodies[n]})" for n in needed(sql, bodies))
     sql = sql.strip()
     if not ctes:
         return sql
@@ -101,18 +104,25 @@ class Tables:
     """Tables by attribute: ``Tables(spark, folder).layout_elements``."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir, self.bodies = spark, sf_dir, dict(DERIVED)
+
+    def keep(self, name: str, *columns: str) -> Tables:
+        """These tables, of which the derived table ``name`` is worked out once (``columns`` alone): for several uses in one query."""
+        out, view = Tables(self.spark, self.sf_dir), f"kept_{uuid.uuid4().hex}"
+        cut(getattr(self, name).select(*columns)).createOrReplaceTempView(view)
+        out.bodies = self.bodies | {name: f"select * from {view}"}
+        return out
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in RAW:
             return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         if name not in DERIVED:
             raise AttributeError(name)
-        return self.sql(DERIVED[name])
+        return self.sql(self.bodies[name])
 
     def sql(self, text: str) -> DataFrame:
         """SQL over raw and derived tables; only the files named are read."""
-        text = with_tables(text)
+        text = with_tables(text, self.bodies)
         for name in RAW:
             text = re.sub(rf"\b(from|join)\s+{name}\b", rf"\1 parquet.`{self.sf_dir}/{name}.parquet`", text, flags=re.I)
         return self.spark.sql(text)

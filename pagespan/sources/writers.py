@@ -24,8 +24,8 @@ def write_groups(groups: DataFrame, members: DataFrame, path: str, buckets: int
 
 
 def write_json_results(results: DataFrame, path: str) -> None:
-    """Nested results, one JSON object a line."""
-    results.write.mode("overwrite").json(path)
+    """Nested results, one JSON object a line, in compressed files (.json.gz)."""
+    results.write.mode("overwrite").option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").json(path)
 
 
 def write_project_text(combined: DataFrame, path: str, span: int = 1) -> None:

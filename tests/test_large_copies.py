@@ -71,6 +71,23 @@ def test_element_files_hold_many_pages(spark, sf):
     assert len(got.inputFiles()) <= pages // 256 + 2
 
 
+@pytest.mark.parametrize("bits", [1, 3, 16])
+def test_content_in_ranges(spark, monkeypatch, bits):
+    """The rows of the joins, and their pages, whatever the ids: pages over several ranges, repeated and null ids, rows without a partner."""
+    from pagespan.operators import joins, questions
+
+    monkeypatch.setattr(joins, "RANGE_BITS", bits)
+    ids = [(0, 5), (0, 6), (0, 7), (1, 8), (1, 900), (2, None), (2, 9), (2, None), (3, -1), (3, -2), (None, 10), (None, 70000), (4, 11), (4, 11)]
+    elements = spark.createDataFrame([(e, p, f"c{k % 3}", k, 9 - k, 1, None) for k, (p, e) in enumerate(ids)], "element_id long, page_id long, class_name string, bbox_x int, bbox_y int, bbox_width int, bbox_height int")
+    texts = spark.createDataFrame([(5, "a"), (7, None), (8, "b"), (8, "b"), (8, None), (None, "n"), (900, ""), (-2, "m"), (70000, " "), (12, "none"), (11, "t")], "element_id int, ocr_text string")
+    ai = spark.createDataFrame([(5, "x"), (5, "y"), (8, "z"), (None, "n"), (6, None), (11, "u")], "element_id long, description string")
+    joined, dealt = joins.page_with_content(elements, texts, ai), joins.content_in_ranges(elements, texts, ai)
+    told = lambda df: sorted(map(repr, df.collect()))
+    assert told(dealt.select(*joined.columns)) == told(joined)
+    assert told(questions.nested_document(dealt)) == told(questions.nested_document(joined))
+    assert told(joins.nested_pages(dealt)) == told(joins.nested_pages(joined))
+
+
 def test_project_texts_lie_in_ranges(spark, sf, tmp_path):
     """Files grow with the projects' ids over 256, not one folder a project; any text comes back as it was."""
     from pagespan.plans import catalog
