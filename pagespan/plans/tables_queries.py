@@ -186,7 +186,8 @@ def _(t):
 
 @query("j01_nested_pages", NESTED)
 def _(t):
-    return unnested(J.nested_pages(J.page_with_content(t.layout_elements, t.text_contents, t.ai_descriptions)))
+    t = kept(t)
+    return unnested(J.nested_pages(J.content_in_ranges(t.layout_elements, t.text_contents, t.ai_descriptions)))
 
 
 @query("j02_project_details", "select p.project_id, count(d.page_id) as total_pages, case doc_type_id when 1 then 'worksheet' else 'document' end as type_name, max(d.page_number) as combined_text from projects p left join doc_pages d using (project_id) group by p.project_id, doc_type_id")

@@ -92,7 +92,7 @@ def test_nested_pages_shuffle_texts_once(spark, sf, monkeypatch):
     """Pages are put together where the texts met their elements, and the elements are worked out once."""
     from pagespan.plans import catalog
 
-    for name in ("e20_nested_document",):
+    for name in ("j01_nested_pages", "e20_nested_document"):
         df = catalog.queries()[name](spark, sf)
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert "RepartitionByExpression [_range" in plan and "lineitem" not in plan
