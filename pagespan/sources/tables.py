@@ -10,6 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pagespan.operators.sides import dealt, tasks
 from pagespan.sources.scratch import cut
 
 RAW = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -107,9 +108,13 @@ class Tables:
         self.spark, self.sf_dir, self.bodies = spark, sf_dir, dict(DERIVED)
 
     def keep(self, name: str, *columns: str) -> Tables:
-        """These tables, of which the derived table ``name`` is worked out once (``columns`` alone): for several uses in one query."""
+        """These tables, of which the derived table ``name`` is worked out once (``columns`` alone): for several uses in one query.
+
+        Large ones are dealt to tasks by the first column and the number of rows: what a use makes of few numbers may be long texts.
+        """
         out, view = Tables(self.spark, self.sf_dir), f"kept_{uuid.uuid4().hex}"
-        cut(getattr(self, name).select(*columns)).createOrReplaceTempView(view)
+        once = cut(getattr(self, name).select(*columns))
+        dealt(once, tasks(once), columns[0]).createOrReplaceTempView(view)
         out.bodies = self.bodies | {name: f"select * from {view}"}
         return out
 
