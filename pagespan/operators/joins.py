@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagespan.operators.sides import if_small
+from pagespan.operators.sides import dealt, if_small, tasks
 from pagespan.operators.spatial import points_in_ranges
+from pagespan.sources.scratch import cut
 
 
 def page_with_content(elements: DataFrame, texts: DataFrame, ai: DataFrame) -> DataFrame:
@@ -25,31 +28,43 @@ RANGE_BITS = 16
 
 
 def content_in_ranges(elements: DataFrame, texts: DataFrame, ai: DataFrame) -> DataFrame:
-    """The rows of ``page_with_content``, dealt by ranges of element ids, with what ``by_page`` needs to leave there pages that lie in one range.
+    """The rows of ``page_with_content``, dealt by ranges of element ids, with what ``in_pages`` needs to leave there pages that lie in one range.
 
     Texts are shuffled once, and again only those of pages that lie in several ranges; joins would shuffle all by element and then by page.
+    Elements are numbers, and are written once: whether any page lies in several ranges is asked before texts are moved.
     """
     number = F.col("element_id").cast("long")
     found = F.coalesce(F.shiftright(number, RANGE_BITS), F.lit(1 << 62))  # elements without an id: a range that no id has
     page = Window.partitionBy("page_id")
-    own = elements.withColumn("_range", found).withColumn("_whole", F.min("_range").over(page) == F.max("_range").over(page))
+    own = cut(elements.withColumn("_range", found).withColumn("_whole", F.min("_range").over(page) == F.max("_range").over(page)))
+    several = not own.filter("not _whole").isEmpty()
     said = lambda df, column: df.filter("element_id is not null").select("element_id", found.alias("_range"), column)
     rows = own.withColumn("_own", F.lit(True))
     for side, column in ((texts, "ocr_text"), (ai, "description")):
         rows = rows.unionByName(said(side, column).withColumn(f"_{column}", F.struct(column)).drop(column), allowMissingColumns=True)
     element = Window.partitionBy("_range", "element_id")
-    rows = rows.repartition("_range").withColumns({c: F.collect_list(f"_{c}").over(element) for c in ("ocr_text", "description")}).filter("_own")
-    return rows.select(*elements.columns, "_range", "_whole", F.explode_outer("ocr_text").alias("_t"), "description").select(
-        *elements.columns, "_range", "_whole", F.col("_t.ocr_text").alias("ocr_text"), F.explode_outer("description").alias("_d")
-    ).select(*elements.columns, "ocr_text", F.col("_d.description").alias("description"), "_range", "_whole")
+    n = tasks(own)
+    rows = rows.repartition("_range") if n is None else dealt(rows, n, "_range")
+    rows = rows.withColumns({c: F.collect_list(f"_{c}").over(element) for c in ("ocr_text", "description")}).filter("_own")
+    kept = [*elements.columns, "_range", *(["_whole"] if several else [])]
+    return rows.select(*kept, F.explode_outer("ocr_text").alias("_t"), "description").select(
+        *kept, F.col("_t.ocr_text").alias("ocr_text"), F.explode_outer("description").alias("_d")
+    ).select(*elements.columns, "ocr_text", F.col("_d.description").alias("description"), *kept[len(elements.columns) :])
+
+
+def in_pages(content: DataFrame, make: Callable[[DataFrame, list[str]], DataFrame]) -> DataFrame:
+    """What ``make`` makes of rows and the columns that tell their page. Of ``content_in_ranges``, pages within one range stay where they are."""
+    if "_range" not in content.columns:
+        return make(content, ["page_id"])
+    if "_whole" not in content.columns:
+        return make(content, ["_range", "page_id"]).drop("_range")
+    there = make(content.filter("_whole"), ["_range", "page_id"]).drop("_range")
+    return there.unionByName(make(content.filter("not _whole").drop("_range"), ["page_id"]))
 
 
 def by_page(content: DataFrame, *aggregates: Column) -> DataFrame:
-    """One row a page. Of ``content_in_ranges``, pages within one range are put together where they are."""
-    if "_whole" not in content.columns:
-        return content.groupBy("page_id").agg(*aggregates)
-    there = content.filter("_whole").groupBy("_range", "page_id").agg(*aggregates).drop("_range")
-    return there.unionByName(content.filter("not _whole").groupBy("page_id").agg(*aggregates))
+    """One row a page, as ``in_pages``."""
+    return in_pages(content, lambda rows, page: rows.groupBy(*page).agg(*aggregates))
 
 
 def project_details(projects: DataFrame, pages: DataFrame, types: DataFrame, combined: DataFrame) -> DataFrame:

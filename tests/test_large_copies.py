@@ -98,6 +98,37 @@ def test_nested_pages_shuffle_texts_once(spark, sf, monkeypatch):
         assert "RepartitionByExpression [_range" in plan and "lineitem" not in plan
 
 
+def test_questions_move_texts_once(spark, sf):
+    """Questions choose among their page's arrays where its texts met its elements: no join, and no second computation of texts."""
+    from pagespan.plans import catalog
+
+    for name in ("e21_nested_questions", "d07_format_questions_text"):
+        plan = catalog.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("RepartitionByExpression [_range") == 1 and plan.count("documents") <= 3 and "lineitem" not in plan
+
+
+@pytest.mark.parametrize("bits, most", [(16, 1024), (1, 1024), (16, 7), (3, 7)])
+def test_questions_of_elements_are_those_of_joins(spark, monkeypatch, bits, most):
+    """Pages in one range and in several, large and small: gaps, repeated and missing numbers, equal places, null boxes, texts and ids without a partner."""
+    from pagespan.operators import joins, questions
+
+    monkeypatch.setattr(joins, "RANGE_BITS", bits)
+    monkeypatch.setattr(questions, "A_PAGE", most)
+    said = ["1", "12", "A 섹션 3번", " 2. B 12) x", "문제 4 Q5", None, "", "① 하나", "다음을 C 부분", "해설 001", "7 7", "99999999999999999999", "13", "2", "Z  끝", "글"]
+    kinds = ["question number", "question text", "figure", "table", "choices", "plain text", "flowchart"]
+    rows = [(100 * p + k if p != 4 or k else None, p, kinds[(3 * k + p) % 7], None if (p, k) == (1, 3) else (k * 370 + p * 90) % 2600, 0.5 + k / 100) for p in range(6) for k in range(4 + 3 * p)]
+    elements = spark.createDataFrame(rows, "element_id long, page_id long, class_name string, bbox_y int, confidence double")
+    texts = spark.createDataFrame([(r[0], said[(i * 5) % 16]) for i, r in enumerate(rows) if i % 6] + [(77777, "8")], "element_id long, ocr_text string")
+    ai = spark.createDataFrame([(r[0], f"d{i}") for i, r in enumerate(rows) if i % 3 == 0] + [(77777, "none")], "element_id long, description string")
+    content = elements.join(texts, "element_id").withColumn("text", F.col("ocr_text"))
+    joined = questions.nested_questions(content, elements.join(ai, "element_id"), elements)
+    told = lambda df: sorted(map(repr, df.select(*joined.columns).collect()))
+    want = told(joined)
+    assert len(want) > 20 and told(questions.questions_of_elements(elements, texts, ai)) == want
+    pages = lambda df: {r.page_id: r.text for r in df.collect()}
+    assert pages(questions.questions_text_of_elements(elements, texts, ai)) == pages(questions.format_questions_text(joined))
+
+
 def test_project_texts_lie_in_ranges(spark, sf, tmp_path):
     """Files grow with the projects' ids over 256, not one folder a project; any text comes back as it was."""
     from pagespan.plans import catalog
