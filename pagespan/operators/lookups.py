@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pagespan.operators.sides import dealt
 from pagespan.sources.scratch import cut, passing
 
 
@@ -101,16 +104,17 @@ def text_search(texts: DataFrame, phrase: str, n: int = 2, limit: int = 20) -> D
     return texts.withColumn("hits", hits).filter("hits > 0").orderBy(F.col("hits").desc(), "element_id").limit(limit).select("element_id", "hits")
 
 
-#: A task takes the n-grams of about so many characters.
-A_TASK_CHARS = 8_000_000
+#: Texts of about so many characters are a block of an index; a task takes the n-grams of so many blocks.
+A_BLOCK_CHARS, A_TASK_BLOCKS = 2_000_000, 3
 
 
 class TextIndex:
-    """An inverted index of texts in a folder: posting lists (gram, text) of the different texts, in parts by gram and sorted by it,
-    and the elements of each text. A text, without case and white space, is known by 128 bits of hash.
+    """An inverted index of texts in a folder: posting lists of the different texts, in parts by gram and sorted by it, and the elements of each text.
 
+    Different texts (without case and white space, told by 128 bits of hash) are dealt to blocks and numbered there. A gram has a list of
+    places a block, so that a posting is a small number; lists are made where a block's texts are, and only they are shuffled.
     A search reads the parts of the phrase's grams alone, and of these the row groups that hold them. Texts are added in
-    further tables; a text that is added again counts with all its grams.
+    further loads; a text that is added again counts with all its grams.
     """
 
     def __init__(self, spark: SparkSession, path: str, n: int = 2, parts: int = 64):
@@ -129,14 +133,17 @@ class TextIndex:
         flat = F.lower("ocr_text")
         for space in " \t\n\x0b\f\r":  # what \\s is, without a pattern
             flat = F.replace(flat, F.lit(space), F.lit(""))
+        load, order = F.lit(uuid.uuid4().hex).alias("load"), Window.partitionBy("block").orderBy("h1", "h2")
         with passing():
             rows = cut(texts.select("element_id", flat.alias("t"))).filter(F.length("t") >= self.n)
-            rows = rows.select("element_id", F.xxhash64("t").alias("h1"), F.xxhash64(F.lit(1), "t").alias("h2"), "t")
-            rows.select("h1", "h2", "element_id").write.mode("append").parquet(f"{self.path}/elements")
-            tasks = -(-(rows.agg(F.sum(F.length("t"))).first()[0] or 1) // A_TASK_CHARS)
-            once = rows.select("h1", "h2", "t").repartition(tasks, "h1", "h2").groupBy("h1", "h2").agg(F.first("t").alias("t"))
-            grams = once.select(F.explode(self._grams(F.col("t"))).alias("gram"), "h1", "h2").withColumn("part", self._part(F.col("gram")))
-            grams.repartition("part").sortWithinPartitions("part", "gram", "h1").write.mode("append").partitionBy("part").parquet(f"{self.path}/grams")
+            blocks = -(-(rows.agg(F.sum(F.length("t"))).first()[0] or 1) // A_BLOCK_CHARS)
+            rows = rows.select("element_id", F.xxhash64("t").alias("h1"), F.xxhash64(F.lit(1), "t").alias("h2"), "t").withColumn("block", F.pmod("h1", F.lit(blocks)).cast("int"))
+            by_block = lambda *columns: dealt(rows.select("block", "h1", "h2", *columns), -(-blocks // A_TASK_BLOCKS), "block")
+            by_block("element_id").select(load, "block", F.dense_rank().over(order).alias("place"), "element_id").write.mode("append").parquet(f"{self.path}/elements")
+            once = by_block("t").groupBy("block", "h1", "h2").agg(F.first("t").alias("t")).withColumn("place", F.row_number().over(order))
+            lists = once.select("block", "place", F.explode(self._grams(F.col("t"))).alias("gram")).groupBy("block", "gram").agg(F.collect_list("place").alias("places"))
+            lists = lists.withColumn("part", self._part(F.col("gram"))).repartition("part").sortWithinPartitions("part", "gram", "block")
+            lists.select("gram", load, "block", "places", "part").write.mode("append").partitionBy("part").parquet(f"{self.path}/grams")
 
     def search(self, phrase: str, limit: int = 20) -> DataFrame:
         """The same rows as ``text_search``."""
@@ -144,12 +151,13 @@ class TextIndex:
 
         wanted = grams_of(phrase, self.n)
         parts = sorted({zlib.crc32(g.encode()) % self.parts for g in wanted})
-        found = self.spark.read.schema("gram string, h1 long, h2 long, part int").parquet(f"{self.path}/grams").filter(F.col("part").isin(parts) & F.col("gram").isin(wanted))
+        found = self.spark.read.schema("gram string, load string, block int, places array<int>, part int").parquet(f"{self.path}/grams").filter(F.col("part").isin(parts) & F.col("gram").isin(wanted))
         # a bit for each of the phrase's grams, 63 in a number
         sets = [wanted[i : i + 63] for i in range(0, len(wanted), 63)] or [[]]
         bit = lambda grams: F.coalesce(*[F.when(F.col("gram") == g, F.lit(1 << k).cast("long")) for k, g in enumerate(grams)], F.lit(0).cast("long"))
-        each = found.groupBy("h1", "h2").agg(*[F.bit_or(bit(grams)).alias(f"b{i}") for i, grams in enumerate(sets)])
-        held = self.spark.read.schema("h1 long, h2 long, element_id long").parquet(f"{self.path}/elements").join(each, ["h1", "h2"])
+        text = ["load", "block", "place"]
+        each = found.select("gram", "load", "block", F.explode("places").alias("place")).groupBy(*text).agg(*[F.bit_or(bit(grams)).alias(f"b{i}") for i, grams in enumerate(sets)])
+        held = self.spark.read.schema("load string, block int, place int, element_id long").parquet(f"{self.path}/elements").join(each, text)
         hits = sum((F.bit_count(F.bit_or(f"b{i}")) for i in range(len(sets))), F.lit(0))
         return held.groupBy("element_id").agg(hits.cast("int").alias("hits")).orderBy(F.col("hits").desc(), "element_id").limit(limit)
 

@@ -84,6 +84,22 @@ def test_text_index_holds_copies_once(spark, tmp_path):
         assert spark.read.parquet(str(postings)).count() < len(texts) * 150
 
 
+def test_text_index_keeps_lists_of_places(spark, tmp_path, monkeypatch):
+    """A posting is a small number in a gram's list of a block, not a row with a text's hash; blocks and loads do not mix."""
+    import pathlib
+
+    monkeypatch.setattr(lookups, "A_BLOCK_CHARS", 300)
+    df = spark.createDataFrame([(k, f"text {k % 50} family {'x' * (k % 7)}") for k in range(400)], "element_id long, ocr_text string")
+    index = lookups.TextIndex(spark, str(tmp_path / "i"), parts=4)
+    for load in (df.filter("element_id < 250"), df.filter("element_id >= 200")):
+        index.add(load)
+    for phrase in ("Family", "xx", "49f", "t 1"):
+        assert list(map(tuple, index.search(phrase, 1000).collect())) == list(map(tuple, lookups.text_search(df, phrase, 2, 1000).collect())), phrase
+    tables = [spark.read.parquet(str(p)) for p in pathlib.Path(index.path).glob("*") if any(p.glob("part=*"))]
+    assert all(dict(t.dtypes)["places"] == "array<int>" for t in tables)
+    assert tables[0].groupBy("load", "block", "gram").count().filter("count > 1").isEmpty() and tables[0].select("block").distinct().count() > 5
+
+
 def test_files_are_told_by_what_they_hold(spark, tmp_path):
     png = b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sII", 13, b"IHDR", 2480, 3508) + b"\x08\x02\x00\x00\x00"
     files = {"a.PNG": png, "b.png": b"%PDF-1.7", "c.pdf": b"%PDF-1.4\n", "d.jpg": b"\xff\xd8\xff\xe0..", "e.jpeg": b"??", "f.txt": b"%PDF", "g.webp": b"RIFF....WEBP", "h.tiff": b"II*\0", "i.bmp": b"BM"}
