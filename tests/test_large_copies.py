@@ -129,6 +129,52 @@ def test_questions_of_elements_are_those_of_joins(spark, monkeypatch, bits, most
     assert pages(questions.questions_text_of_elements(elements, texts, ai)) == pages(questions.format_questions_text(joined))
 
 
+def test_strategies_of_pages_are_not_broadcast(spark, sf):
+    """A table with a row a page is small in its files, but not in the driver's memory."""
+    t = Tables(spark, sf)
+    plan = strategies.sort_adaptive(t.layout_elements, t.doc_pages)._jdf.queryExecution().executedPlan().toString()
+    kinds = {j for j in ("SortMergeJoin [page_id", "BroadcastHashJoin [page_id") for line in plan.splitlines() if j in line and ("LeftAnti" in line or "LeftSemi" in line)}
+    assert kinds == {"SortMergeJoin [page_id"}
+
+
+def test_rendering_moves_numbers_and_bodies(spark, sf):
+    """Places are found before texts are moved; then texts move once, and after a Python stage bodies alone."""
+    from pagespan.operators import render
+    from pagespan.sources import dimensions
+
+    t = Tables(spark, sf)
+    e = layout.reading_order(t.layout_elements)
+    rules = dimensions.formatting_rules(spark)
+    plans = {kind: render.format_page(e, t.text_contents, t.ai_descriptions, rules, kind)._jdf.queryExecution().executedPlan().toString() for kind in ("question_based", "reading_order")}
+    moves = {kind: [line for line in plan.splitlines() if "Exchange hashpartitioning(page_id" in line or "Exchange hashpartitioning(_range" in line] for kind, plan in plans.items()}
+    last = {kind: plan.index("Exchange hashpartitioning(_range") for kind, plan in plans.items()}
+    assert plans["question_based"][: last["question_based"]].count("Exchange hashpartitioning(") == 1 and moves["question_based"]
+    assert "Exchange hashpartitioning(" not in plans["reading_order"][: last["reading_order"]] and "_whole" not in plans["reading_order"][: last["reading_order"]]
+
+
+@pytest.mark.parametrize("bits", [1, 16])
+def test_rendered_pages_in_ranges(spark, monkeypatch, bits):
+    """Pages over several ranges, without texts, and with ids that are null are rendered as by joins on the element."""
+    from pagespan.operators import joins, render
+    from pagespan.sources import dimensions
+
+    monkeypatch.setattr(joins, "RANGE_BITS", bits)
+    kinds = ["question type", "question number", "question text", "list", "choices", "figure", "plain text"]
+    rows = [(None if (p, k) == (2, 3) else 10 * p + k, p, kinds[(p + 2 * k) % 7], 30 * (k % 4), 50 * k, 10, 10, 0.5) for p in range(7) for k in range(9)]
+    elements = spark.createDataFrame(rows, "element_id long, page_id long, class_name string, bbox_x int, bbox_y int, bbox_width int, bbox_height int, confidence double")
+    texts = spark.createDataFrame([(r[0], ["①\n하나", " a\n\n\n\nb ", "- x\n2. y", "", None][i % 5]) for i, r in enumerate(rows) if i % 4] + [(None, "n"), (9999, "n")], "element_id long, ocr_text string")
+    ai = spark.createDataFrame([(r[0], f"d{i}") for i, r in enumerate(rows) if i % 3 == 0], "element_id long, description string")
+    rules = dimensions.formatting_rules(spark)
+    sorted_ = layout.reading_order(elements).withColumn("group_id", F.floor(F.col("order_in_question") / 3).cast("int"))
+    bundled = render.render_bundles(render.format_bundles(render.rendered_elements(sorted_, texts, ai, rules, "question_based")), rules)
+    told = lambda df: sorted(map(tuple, df.collect()))
+    assert told(render.bundle_texts(sorted_, texts, ai, rules)) == told(bundled)
+    plain = render.render_reading_order(render.rendered_elements(sorted_, texts, ai, rules, "reading_order"))
+    pages = lambda df: {r.page_id: r.text.strip() for r in df.collect()}
+    got = pages(render.format_page(sorted_, texts, ai, rules, "reading_order"))
+    assert {p: x.replace("\n\n\n\n", "\n\n\n") for p, x in pages(plain).items()} == {p: x.replace("\n\n\n\n", "\n\n\n") for p, x in got.items()}
+
+
 def test_project_texts_lie_in_ranges(spark, sf, tmp_path):
     """Files grow with the projects' ids over 256, not one folder a project; any text comes back as it was."""
     from pagespan.plans import catalog
