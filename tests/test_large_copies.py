@@ -152,6 +152,14 @@ def test_rendering_moves_numbers_and_bodies(spark, sf):
     assert "Exchange hashpartitioning(" not in plans["reading_order"][: last["reading_order"]] and "_whole" not in plans["reading_order"][: last["reading_order"]]
 
 
+def test_bundles_take_one_exchange(spark, sf):
+    """Windows over bundles and over pages share it."""
+    from pagespan.operators import render
+
+    plan = render.format_bundles(scratch.cut(layout.reading_order(Tables(spark, sf).layout_elements)))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 1
+
+
 @pytest.mark.parametrize("bits", [1, 16])
 def test_rendered_pages_in_ranges(spark, monkeypatch, bits):
     """Pages over several ranges, without texts, and with ids that are null are rendered as by joins on the element."""
